@@ -83,3 +83,10 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str | Column], start: Cal
     schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(inner, fields, strict=True)), *added.fields])
     done = wanted.mapInArrow(run, schema)
     return done.select(*(F.col(n).alias(f.name) for n, f in zip(inner, fields, strict=True)), *added.names)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], step: int = OUT_ROWS) -> Iterator[dict[str, list]]:
+    """Slices Arrow batches into small dicts of Python lists, so that only a few long texts are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step).to_pydict()

@@ -7,7 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import table
+from codeweft.llm.common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.language_id import fit_profiles, identify
+
+    documents = table(spark, sf_dir, "documents")
+    profiles = fit_profiles(documents, learn=~held_out())
+    return identify(documents, profiles, keep=("doc_id", held_out().alias("held_out")))
+
+
+def op2_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.pq_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.jaccard_join import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +39,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_bytes", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_bpe": op8_bpe}
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.quality_gam import classify, fit_quality
+
+    documents = table(spark, sf_dir, "documents")
+    model = fit_quality(documents, table(spark, sf_dir, "labels"), learn=~held_out())
+    return classify(documents, model, keep=("doc_id", held_out().alias("held_out")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_pq_dedup": op2_pq_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op8_bpe": op8_bpe,
+    "op10_quality_gam": op10_quality_gam,
+}
 ORACLES: dict[str, str] = {}
