@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.llm import mixing
 from codeweft.llm.common import held_out, table
 
 
@@ -30,6 +31,20 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.quality_rules import fit_rules, judge
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = fit_rules(documents, table(spark, sf_dir, "labels"))
+    return judge(documents, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pq_dedup": op2_pq_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_mixing": op6_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
     "op10_quality_gam": op10_quality_gam,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
