@@ -31,6 +31,16 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.secret_scan import BASE, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    counts = {f"n_{r.kind}": F.size(F.array_remove(F.transform("spans", lambda s: s["rank"] == i), F.lit(False))).cast("long") for i, r in enumerate(BASE)}  # noqa: B023
+    return found.select("doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(F.concat_ws(",", F.transform(base, name)), 256).alias("base_sha256"), F.concat_ws(",", F.transform("spans", name)).alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeweft.llm.mixing import mix
 
@@ -66,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pq_dedup": op2_pq_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
