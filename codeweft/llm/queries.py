@@ -64,6 +64,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_bytes", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumns({k: F.concat_ws(",", k) for k in ("base_labels", "labels")})
+
+
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeweft.llm.quality_gam import classify, fit_quality
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_gam": op10_quality_gam,
 }
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
