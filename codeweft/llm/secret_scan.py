@@ -139,7 +139,9 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     named = documents.select(*(documents[c].alias(f"_{i}") for i, c in enumerate(documents.columns)))
     own = f"_{documents.columns.index(text)}"
     rows = with_candidates(named, rules, own)
-    for i, r in enumerate(rules):
-        rows = rows.withColumn(own, F.when(applies(r, i, F.col(own)), redacted(F.col(own), r)).otherwise(F.col(own)))
+    clean = F.col(own)
+    for i, r in enumerate(rules):  # each step names the one before once, so that the expression grows in step with the rules
+        clean = let(clean, lambda t: F.when(applies(r, i, t), redacted(t, r)).otherwise(t))  # noqa: B023
+    rows = rows.withColumn(own, clean)
     out = rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(documents.columns)))
     return out if length not in documents.columns else out.withColumn(length, F.length(text).cast(documents.schema[length].dataType))
