@@ -25,6 +25,16 @@ def op2_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.suffix_dedup import to_rows, without_repeats
+
+    documents = table(spark, sf_dir, "documents")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    judged = without_repeats(documents, length=200)
+    judged = judged.select("k1", "k2", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return to_rows(documents, judged)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeweft.llm.jaccard_join import similarity_join
 
@@ -82,6 +92,7 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pq_dedup": op2_pq_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
