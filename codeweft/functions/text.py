@@ -137,3 +137,14 @@ def snake(word: Column) -> Column:
 
 def studly(word: Column) -> Column:
     return F.array_join(F.transform(F.split(word, r"[\s_-]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+
+
+def canonical_json(values: Column) -> Column:
+    """A map of strings as JSON with its keys in order: equal maps give equal texts, whatever order they were built in."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+
+
+def overlaid(under_: Column, over: Column) -> Column:
+    """Two maps in one; where both have a key, ``over`` counts."""
+    rest = F.map_filter(under_, lambda k, _: ~F.map_contains_key(over, k))
+    return F.map_concat(rest, over)

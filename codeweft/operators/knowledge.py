@@ -71,3 +71,23 @@ def recorded(drafts: DataFrame) -> DataFrame:
 def catalogued(knowledge: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The rows of a catalogue that aren't recorded yet, as drafts."""
     return catalogue.join(knowledge.select("knowledge_key"), "knowledge_key", "left_anti").withColumn("state", F.lit("draft"))
+
+
+def revised(knowledge: DataFrame, revisions: DataFrame) -> DataFrame:
+    """knowledge(knowledge_key, lineage_key, version, state, body), revisions(previous_key, knowledge_key, body): each revision joins its
+    lineage as the next version, active, and the row that it revises is archived. Revisions of unknown keys are left out."""
+    old = knowledge.select(F.col("knowledge_key").alias("previous_key"), "lineage_key", "version")
+    new = revisions.join(old, "previous_key").select("knowledge_key", "lineage_key", (F.col("version") + 1).alias("version"), F.lit("active").alias("state"), "body")
+    done = revisions.select(F.col("previous_key").alias("knowledge_key"), F.lit(True).alias("_done")).distinct()
+    archived = knowledge.join(done, "knowledge_key", "left").withColumn("state", F.when(F.col("_done"), "archived").otherwise(F.col("state")))
+    return archived.select("knowledge_key", "lineage_key", "version", "state", "body").unionByName(new)
+
+
+def reaffirmed(knowledge: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """The named rows, active again, with the hashes that their references have now. A row with a reference that is gone stays as
+    it is. knowledge(knowledge_key, state, source_refs, ...)."""
+    asked = knowledge.where(F.col("knowledge_key").isin(keys)).select("knowledge_key", F.explode("source_refs").alias("node_key"))
+    found = asked.join(nodes.select("node_key", "content_hash"), "node_key", "left")
+    proved = found.groupBy("knowledge_key").agg(F.bool_and(F.col("content_hash").isNotNull()).alias("_all"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("node_key", "content_hash")))).alias("_hashes")).where("_all")
+    joined = knowledge.join(proved, "knowledge_key", "left")
+    return joined.withColumns({"state": F.when(F.col("_all"), "active").otherwise(F.col("state")), "source_hashes": F.coalesce("_hashes", "source_hashes")}).select(*knowledge.columns)

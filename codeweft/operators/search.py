@@ -79,3 +79,11 @@ def packed(items: DataFrame, packet: str, header: str, budget: int, bytes_a_toke
         )
 
     return held.select(packet, F.aggregate("items", zero, step).alias("p")).select(packet, "p.*")
+
+
+def limited(rows: DataFrame, order: list[Column | str], most: int) -> DataFrame:
+    """The first ``most`` rows in order, with truncated: whether there was at least one more. One row more is read, none is counted."""
+    probe = rows.orderBy(*order).limit(most + 1)
+    numbered = probe.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    more = F.max("_n").over(Window.partitionBy(F.lit(0))) > most
+    return numbered.withColumn("truncated", more).where(F.col("_n") <= most).drop("_n")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import scoring, text
-from codeweft.operators import changes, extract, graph, knowledge, reports, search
+from codeweft.operators import cache, changes, extract, graph, knowledge, reports, search
 from codeweft.plans.demo_graph import EDGES_SQL, NODES_SQL, edges, key, nodes, table
 from codeweft.sources import files
 from codeweft.streaming.incremental import counted_windows, sessions
@@ -561,3 +561,58 @@ def module_overview(spark, sf_dir):
 def change_history(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role != 'system'").orderBy(F.desc("conv_id"), F.desc("turn")).limit(10)
     return c.select("conv_id", "turn", F.lit(70).alias("score"), F.concat("role", F.lit(": "), F.substring("text", 1, 80)).alias("text"))
+
+
+# -- cache, versions, overlays
+
+
+@query("""select doc_id, case when doc_id % 5 = 0 then null when doc_id % 7 = 0 then null else lang end as lang from documents""")
+def cache_verified(spark, sf_dir):
+    """Entries for all documents but every fifth; every seventh is corrupt and counts as a miss."""
+    d = table(spark, sf_dir, "documents")
+    k = F.sha2(F.col("doc_id").cast("string"), 256)
+    payload = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    held = cache.entries(d.where("doc_id % 5 != 0"), k, payload, F.lit("2024-01-01").cast("timestamp_ntz"))
+    bad = d.where("doc_id % 7 = 0").select(k.alias("_key"))
+    held = held.join(bad, F.col("cache_key") == F.col("_key"), "left").withColumn("artifact_hash", F.when(F.col("_key").isNotNull(), "x").otherwise(F.col("artifact_hash"))).drop("_key")
+    return cache.hits(held, d.select("doc_id", k.alias("cache_key"))).select("doc_id", F.element_at("payload", "lang").alias("lang"))
+
+
+@query("""select p_partkey, '{"brand":"' || p_brand || '","size":"' || case when p_size > 20 then 'big' else cast(p_size as varchar) end || '"}' as meta from part""")
+def map_overlay(spark, sf_dir):
+    under = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"))
+    over = F.when(F.col("p_size") > 20, F.create_map(F.lit("size"), F.lit("big"))).otherwise(F.create_map().cast("map<string,string>"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.canonical_json(text.overlaid(under, over)).alias("meta"))
+
+
+@query("""select p_partkey, p_retailprice, true as truncated from part order by p_retailprice desc, p_partkey limit 50""")
+def limit_probe(spark, sf_dir):
+    return search.limited(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), "p_partkey"], 50)
+
+
+@query("""select 'k' || c_custkey as knowledge_key, 'l' || c_custkey as lineage_key, 1 as version, case when c_custkey % 4 = 0 then 'archived' else 'active' end as state, c_name as body from customer
+union all select 'r' || c_custkey, 'l' || c_custkey, 2, 'active', c_mktsegment from customer where c_custkey % 4 = 0""")
+def knowledge_revise(spark, sf_dir):
+    c, name = table(spark, sf_dir, "customer"), lambda p: F.concat(F.lit(p), F.col("c_custkey").cast("string"))
+    k = c.select(name("k").alias("knowledge_key"), name("l").alias("lineage_key"), F.lit(1).alias("version"), F.lit("active").alias("state"), F.col("c_name").alias("body"))
+    r = c.where("c_custkey % 4 = 0").select(name("k").alias("previous_key"), name("r").alias("knowledge_key"), F.col("c_mktsegment").alias("body"))
+    return knowledge.revised(k, r)
+
+
+@query(f"""with {NODES_SQL} select node_key, case when node_type = 'class' then true when file_path is null then false else substr(content_hash, 1, 1) <> '0' end as fresh from nodes""")
+def node_freshness(spark, sf_dir):
+    """Every node rests on its own path; live hashes of nodes other than classes whose hash begins with 0 have moved on."""
+    n = nodes(spark, sf_dir)
+    moved = (F.substring("content_hash", 1, 1) == "0") & (F.col("node_type") != "class")
+    live = n.where("file_path is not null").select(F.col("file_path").alias("path"), F.when(moved, "new").otherwise(F.col("content_hash")).alias("live_hash"))
+    return reports.fresh_nodes(n, live, F.array_compact(F.array("file_path"))).select("node_key", "fresh")
+
+
+@query("""with c as (select c_custkey, c_mktsegment as k from customer), b as (select p_type as k, count(distinct p_brand) as n, min(p_brand) as one from part group by 1)
+select o_orderkey, case when n is null then 'external' when n > 1 then 'ambiguous' else 'partially_resolved' end as state from (select o_orderkey, ['ECONOMY', 'LARGE', 'NOWHERE'][1 + o_orderkey % 3] as k from orders) o left join b using (k)""")
+def facade_bindings(spark, sf_dir):
+    """Calls through an accessor: the set of what is bound to it decides the state."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(F.lit("ECONOMY"), F.lit("LARGE"), F.lit("NOWHERE")), (F.col("o_orderkey") % 3).cast("int")).alias("k"))
+    bound = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("k")).agg(F.collect_set("p_brand").alias("concretes"))
+    state = F.when(F.col("concretes").isNull(), "external").when(F.size("concretes") > 1, "ambiguous").otherwise("partially_resolved")
+    return o.join(bound, "k", "left").select("o_orderkey", state.alias("state"))

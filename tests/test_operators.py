@@ -219,3 +219,24 @@ def test_streams(spark, tmp_path):
     whole = {(r.start, r.event_type): r.n for r in counted_windows(events, "ts", "event_type").collect()}
     closed = {(r.start, r.event_type): r.n for r in spark.table("w").collect()}
     assert closed and all(whole[k] == n for k, n in closed.items())
+
+
+def test_cache_and_versions(spark):
+    from codeweft.operators import cache
+
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    rows = spark.createDataFrame([("a", {"y": "1", "x": "2"}), ("b", {})], "k string, p map<string,string>")
+    held = cache.entries(rows, F.col("k"), F.col("p"), at("2024-01-01"))
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "cache_key string")
+    assert {r.cache_key: r.payload for r in cache.hits(held, wanted).collect()} == {"a": {"x": "2", "y": "1"}, "b": {}, "c": None}
+    assert cache.hits(held.withColumn("artifact_hash", F.lit("x")), wanted).where("payload is not null").count() == 0
+    used = cache.touched(held, wanted.where("cache_key = 'a'"), at("2024-03-01"))
+    assert [r.cache_key for r in cache.kept(used, at("2024-03-10")).collect()] == ["a"]
+    again = cache.put(used, cache.entries(rows.limit(1).withColumn("p", F.create_map(F.lit("z"), F.lit("9"))), F.col("k"), F.col("p"), at("2024-04-01")))
+    assert again.count() == 2
+    k = spark.createDataFrame([("a", "stale", ["n"], {"n": "old"}), ("b", "stale", ["n", "gone"], None)], "knowledge_key string, state string, source_refs array<string>, source_hashes map<string,string>")
+    nodes = spark.createDataFrame([("n", "new")], "node_key string, content_hash string")
+    got = {r.knowledge_key: (r.state, r.source_hashes) for r in knowledge.reaffirmed(k, nodes, ["a", "b"]).collect()}
+    assert got == {"a": ("active", {"n": "new"}), "b": ("stale", None)}
+    some = search.limited(spark.range(3), ["id"], 5).collect()
+    assert [r.truncated for r in some] == [False] * 3
