@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.cells import cells_of, in_cells
-from codeweft.llm.common import dealt, text_key, text_or_empty, written
+from codeweft.llm.common import dealt, text_key, text_or_empty
 from codeweft.llm.deep_shallow import shared_ranges
 
 LENGTH, GRAM = 200, 32
@@ -30,7 +30,7 @@ PIECE = 1 << 20
 BLOCK_ROWS = 4096
 #: How many different contexts of one anchor a single text is taken to have, at most, in sizing the cells.
 RUN_CONTEXTS = 64
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+FACTOR = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,7 +54,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     run, k, power = mixed(raw.astype(np.uint64) + np.uint64(1)), 1, FACTOR
     while k < GRAM:
-        run, power, k = run[:-k] * power + run[k:], power * power, 2 * k
+        run, power, k = run[:-k] * np.uint64(power) + run[k:], power * power % (1 << 64), 2 * k
     run = mixed(run)
     weight = (run >> np.uint64(33)).astype(np.uint32)
     cut = (ends[:-1, None] - np.arange(1, GRAM)).ravel()  # runs that reach into the next text
@@ -146,7 +146,8 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
         if rows[0]:
             yield flush()
 
-    return texts.select("k1", "k2", F.col("text").cast("binary"), "found").mapInArrow(run, "h long, group_rows long, k1 long, k2 long, at array<int>, before int, context binary")
+    # n is there only so that both uses of the texts read the same exchange
+    return texts.select("k1", "k2", F.col("text").cast("binary"), "found", "n").mapInArrow(run, "h long, group_rows long, k1 long, k2 long, at array<int>, before int, context binary")
 
 
 def covered(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -195,16 +196,18 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, text: str = "tex
     starts anywhere else in the corpus, the same text included; strings are judged on the input. Repeated rows are
     copies of each other and go whole if they have that length. An empty table gives an empty result.
     """
-    table = written(anchor_table(documents, length, text))
+    table = anchor_table(documents, length, text)
     text_of = F.xxhash64("k1", "k2")
     seen = table.groupBy("h").agg(F.min(text_of).alias("first"), F.max(text_of).alias("last"), F.max(F.size("at")).alias("most"), F.sum(F.least(F.size("at"), F.lit(RUN_CONTEXTS))).alias("group_rows"))
-    seen = seen.where("first < last or most > 1").select("h", "group_rows")
+    whole_blocks = (F.ceil(F.col("group_rows") / BLOCK_ROWS) * BLOCK_ROWS).alias("group_rows")  # few different values, which shuffles compress
+    seen = seen.where("first < last or most > 1").select("h", whole_blocks)
     found = table.join(dealt(seen), "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "group_rows", "at")).alias("found"))
     texts = documents.select(*text_key(text), text_or_empty(text).alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     around = contexts(texts.join(found, ["k1", "k2"]), length)
     cells = in_cells(around, ["h"], F.xxhash64("k1", "before", F.get("at", F.lit(0))), BLOCK_ROWS)
-    cells = cells.select("c1", "c2", "k1", "k2", "at", "before", "context")
-    runs = written(cells.mapInArrow(lambda b: covered(b, length), "k1 long, k2 long, start long, end long"))
+    # two anchors that share a cell by a collision of 64 bits do no harm: contexts are compared by their bytes
+    cells = cells.select("c1", F.lit(0).cast("long").alias("c2"), "k1", "k2", "at", "before", "context")
+    runs = cells.mapInArrow(lambda b: covered(b, length), "k1 long, k2 long, start long, end long")
     runs = runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
