@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import map_texts
+from codeweft.llm.common import map_texts, ship_package
 
 LONG_WORD = 400
 #: Encoded words kept by each Python worker; beyond it the older half is dropped.
@@ -171,7 +171,8 @@ def encode_documents(documents: DataFrame, vocabulary_path: str, text: str = "te
 
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str, token_bytes: str = "token_bytes") -> DataFrame:
-    """Replaces nothing: adds ``decoded`` for a column of token ids as encode_documents() writes them (null: null)."""
+    """Adds ``decoded`` for a column of token ids as encode_documents() writes them (null: null)."""
+    ship_package(encoded.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         definition = encoded.sparkSession.sparkContext.broadcast(f.read())
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 OUT_ROWS = 256
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, unless its folder is on PYTHONPATH, which says that they
+    have it already. The archive is staged on the driver, and Spark's own file server hands it out."""
+    top, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "codeweft"), "zip", top, "codeweft"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,6 +80,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str | Column], start: Cal
 
     A null text counts as empty. ``start`` runs once for each task; its function sees at most OUT_ROWS texts at a time.
     """
+    ship_package(df.sparkSession)
     kept = df.select(*keep)
     added = T.StructType.fromDDL(out)
     fields = kept.schema.fields

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.cells import cells_of, in_cells, roots, with_group_rows
-from codeweft.llm.common import dealt, map_texts, text_key, text_or_empty, written
+from codeweft.llm.common import dealt, map_texts, ship_package, text_key, text_or_empty, written
 from codeweft.llm.components import connected_components
 from codeweft.llm.links import PARTIAL, linked_classes
 
@@ -115,6 +115,7 @@ def similar(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> tu
 
 def similar_classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id", trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """(k1, k2, n_links, component_id) for each distinct text, named by text_key(); see similarity_join()."""
+    ship_package(documents.sparkSession)
     level = match_depth(trees, depth, threshold, recall)
 
     def sign() -> Callable[[list[str]], list[pa.Array]]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import map_texts, rows_of
+from codeweft.llm.common import map_texts, rows_of, ship_package
 
 #: n-grams of one to three characters; three code points of 21 bits fit in one signed 64-bit key.
 LONGEST = 3
@@ -68,6 +68,7 @@ def fit_profiles(documents: DataFrame, learn: Column, text: str = "text", lang:
     Learns from rows for which ``learn`` is true and lang and text aren't null: about ``fit_texts`` of a language, picked by a
     hash of the text. What reaches the driver is a count and ``size`` keys for each language.
     """
+    ship_package(documents.sparkSession)
     rows = documents.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.cells import cells_of, in_cells, roots, with_group_rows
-from codeweft.llm.common import dealt, written
+from codeweft.llm.common import dealt, ship_package, written
 from codeweft.llm.links import PARTIAL, linked_classes
 
 #: The index is fitted on about so many vectors at most; every vector is indexed.
@@ -188,6 +188,7 @@ def partial_links(classes: DataFrame, index: Index, cosine: float) -> DataFrame:
             root, some = roots(len(k1), a, b), np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[some], k2[some], links[some], k1[root[some]], k2[root[some]])], names=["k1", "k2", "links", "r1", "r2"])
 
+    ship_package(classes.sparkSession)
     kind = classes.schema["label"].dataType.simpleString()
     visiting = classes.select("k1", "k2", "label", "n", F.col("vector")).mapInArrow(visits, f"k1 long, k2 long, label {kind}, n long, vector array<double>, list int, home boolean")
     visiting = written(visiting.withColumn("width", F.size("vector")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.cells import cells_of, in_cells
-from codeweft.llm.common import dealt, text_key, text_or_empty
+from codeweft.llm.common import dealt, ship_package, text_key, text_or_empty
 from codeweft.llm.deep_shallow import shared_ranges
 
 LENGTH, GRAM = 200, 32
@@ -196,6 +196,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, text: str = "tex
     starts anywhere else in the corpus, the same text included; strings are judged on the input. Repeated rows are
     copies of each other and go whole if they have that length. An empty table gives an empty result.
     """
+    ship_package(documents.sparkSession)
     table = anchor_table(documents, length, text)
     text_of = F.xxhash64("k1", "k2")
     seen = table.groupBy("h").agg(F.min(text_of).alias("first"), F.max(text_of).alias("last"), F.max(F.size("at")).alias("most"), F.sum(F.least(F.size("at"), F.lit(RUN_CONTEXTS))).alias("group_rows"))
