@@ -158,6 +158,10 @@ def fit_rules(documents: DataFrame, labels: DataFrame, text: str = "text", doc_i
                         best, cond = gain, Condition(f, above, edges[f][cut])
             if cond is None:
                 break
+            # halfway to the next value that was seen, so that what lies just beyond the cut isn't judged by it alone
+            beyond = seen.agg(F.min(F.when(feature(cond.feature) > cond.cut, feature(cond.feature)))).first()[0]
+            if beyond is not None:
+                cond = Condition(cond.feature, cond.above, (cond.cut + beyond) / 2)
             found.append(cond)
             here = here & cond.column()
         return found
