@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import dealt, text_key, text_or_empty
+from codeweft.llm.common import text_key, text_or_empty, written
 from codeweft.llm.quality_rules import let
 from codeweft.llm.trigrams import trigram_query
 
@@ -113,9 +113,13 @@ def applies(rule: Rule, rank: int, t: Column) -> Column:
 
 
 def with_candidates(documents: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:
-    """Adds _ranks, the rules whose queries the row's text meets (null: none); the other columns stay."""
+    """Adds _ranks, the rules whose queries the row's text meets (null: none); the other columns stay.
+
+    The candidates are written first: the planner then knows their size, and leaves the texts where they are if it is below
+    the threshold for broadcasts. Otherwise both sides are plain exchanges, of which adaptive execution splits a hot key.
+    """
     found = candidates(postings(documents, grams_of(rules), text), rules)
-    found = dealt(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("ranks").alias("_ranks")))
+    found = written(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("ranks").alias("_ranks")))
     rows = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(text), strict=True)))
     return rows.join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
