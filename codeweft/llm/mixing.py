@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import WORD, dealt, written
+from codeweft.llm.common import WORD, written
 
 #: Bits of the row hash, and how many of them a histogram adds to those before.
 HASH_BITS, STEP_BITS = 60, 12
@@ -83,8 +83,9 @@ def plan_of(rows: DataFrame) -> DataFrame:
 
 
 def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds the plan's columns and _copies to rows(_source, _hash, ...). The plan is broadcast only if it turns out small."""
-    plan = dealt(plan.select(*(F.col(c).alias(f"_p_{c}") for c in plan.columns)))
+    """Adds the plan's columns and _copies to rows(_source, _hash, ...). The plan is written first: the planner then knows its size, and
+    leaves the rows where they are if it is below the threshold for broadcasts."""
+    plan = written(plan.select(*(F.col(c).alias(f"_p_{c}") for c in plan.columns)))
     joined = rows.join(plan, F.col("_source").eqNullSafe(F.col("_p_source")))
     return joined.withColumn("_copies", F.col("_p_whole") + (F.col("_hash") < F.col("_p_cut")).cast("long"))
 

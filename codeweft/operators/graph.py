@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.scoring import CLASS_LIKE, INHERITANCE, STRUCTURAL, finding_confidence, impact_score, risk
+from codeweft.operators.lineage import cut
 
 HARD_NODES, HARD_DEPTH, HARD_FINDINGS = 1000, 10, 200
 
@@ -58,10 +59,12 @@ def impact(edges: DataFrame, nodes: DataFrame, origin: str, depth: int | None =
             ranked = top.withColumn("_n", F.row_number().over(order)).withColumn("_inherits", F.col("relationship").isin(*INHERITANCE))
             room = F.when(F.col("_inherits"), HARD_FINDINGS - total).otherwise(min(cap, HARD_FINDINGS) - total)
             seen = ranked.count()
-            new = ranked.where(F.col("_n") <= room).drop("_n", "_inherits").checkpoint()
+            new = cut(ranked.where(F.col("_n") <= room).drop("_n", "_inherits"))
             taken = new.count()
             total += taken
             truncated = truncated or taken < seen or total >= cap
+        else:
+            new = cut(new)  # the next level, its visited set and the result all read it
         found = new if found is None else found.unionByName(new)
         if cap is not None and (not taken or total >= HARD_FINDINGS):
             break
@@ -136,8 +139,8 @@ def inherited_methods(classes: DataFrame, methods: DataFrame, parents: DataFrame
         done = here.where("outcome is not null").select("start", "name", "path", "rank", "outcome", F.when(F.col("outcome") == "found", F.col("method_key")).alias("method_key"))
         settled = done if settled is None else settled.unionByName(done)
         onward = here.where("outcome is null").select("start", "name", "at", "path", "rank").join(up, "at").where(~F.array_contains("path", F.col("next")))
-        open_ = onward.select("start", "name", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), F.concat("rank", F.array("order")).alias("rank")).checkpoint()
-        settled = settled.checkpoint()
+        open_ = cut(onward.select("start", "name", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), F.concat("rank", F.array("order")).alias("rank")))
+        settled = cut(settled)
         if open_.isEmpty():
             break
     else:

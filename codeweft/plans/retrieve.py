@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.scoring import edge_score, knowledge_score
 from codeweft.functions.text import class_key, relevance
 from codeweft.operators import graph, search
+from codeweft.operators.lineage import cut
 
 BUDGET, MOST_BUDGET = 4000, 32_000
 
@@ -65,7 +66,7 @@ def symbol_lookup(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
     """The node of a key or symbol, or all candidates if it is ambiguous, with the edges that touch them."""
     name = symbol.strip().lstrip("\\")
     key = nodes.sparkSession.range(1).select(class_key(F.lit(name)).alias("k")).first()["k"]
-    found = graph.resolve_target(nodes, F.lit(key)).checkpoint()
+    found = cut(graph.resolve_target(nodes, F.lit(key)))
     n = found.count()  # six at most
     primary = found.first()["node_key"] if n == 1 else ""
     return items(found, F.col("node_key"), F.lit(180 if n == 1 else 160), node_text(), F.col("node_key")).unionByName(edge_items(edges, found, primary))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.operators import changes, extract, knowledge
+from codeweft.operators.lineage import cut
 from codeweft.sources.files import unchanged
 from codeweft.store import SnapshotStore
 
@@ -46,14 +47,14 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     spark = store.spark
     stored = lambda name, schema: (d if (d := store.read(name)) is not None else spark.createDataFrame([], schema))
     old_files, old_nodes, old_edges, runs = stored("files", FILES), stored("nodes", NODES), stored("edges", EDGES), stored("runs", RUNS)
-    live = unchanged(files.withColumn("content_hash", F.sha2("text", 256)), old_files, fingerprint).checkpoint()
+    live = cut(unchanged(files.withColumn("content_hash", F.sha2("text", 256)), old_files, fingerprint))
     todo = live if force else live.where("not skip")
-    missing = changes.missing_files(old_files.withColumnRenamed("path", "file_path"), live.select(F.col("path").alias("file_path")), roots).select(F.col("file_path").alias("path")).checkpoint()
+    missing = cut(changes.missing_files(old_files.withColumnRenamed("path", "file_path"), live.select(F.col("path").alias("file_path")), roots).select(F.col("file_path").alias("path")))
     counts = {"updated": todo.count(), "scanned": live.count(), "deleted": missing.count()}
     counts["skipped"] = counts["scanned"] - counts["updated"]
 
     nodes, edges = extract.graph_of(todo.select("path", "text"))
-    nodes, edges = nodes.withColumn("stub", F.lit(False)).checkpoint(), edges.checkpoint()
+    nodes, edges = cut(nodes.withColumn("stub", F.lit(False))), cut(edges)
     touched = todo.select(F.col("path").alias("file_path")).union(missing.select(F.col("path").alias("file_path")))
     kept = old_nodes.join(touched, "file_path", "left_anti").select(*old_nodes.columns)
     declared = kept.where("not stub").select("node_key", "file_path").union(nodes.select("node_key", "file_path"))
@@ -67,14 +68,14 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
 
     all_edges = changes.combined_edges(old_edges.join(touched, "file_path", "left_anti").select(*old_edges.columns).unionByName(edges), ["file_path"])
     gone = old_nodes.join(touched, "file_path", "left_semi").join(nodes.select("node_key"), "node_key", "left_anti")
-    outcome = changes.retired(gone, all_edges).checkpoint()
+    outcome = cut(changes.retired(gone, all_edges))
     to_stub = gone.join(outcome.where("outcome = 'stub'"), "node_key", "left_semi").where("node_type != 'file'")
     as_stub = lambda df: df.select("node_key", "node_type", "symbol_name", F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("content_hash"), F.lit(True).alias("stub"))
     merged = changes.inserted(kept.where("not stub").unionByName(nodes).select(*old_nodes.columns), kept.where("stub").unionByName(as_stub(to_stub)).select(*old_nodes.columns), "node_key")
     kind = F.get(F.split("node_key", ":"), F.lit(0))
     ends = all_edges.select(F.col("source_key").alias("node_key")).union(all_edges.select(F.col("target_key").alias("node_key"))).distinct()
     unknown = as_stub(ends.select("node_key", F.when(kind == "view", "blade_view").otherwise(kind).alias("node_type"), F.substring("node_key", F.length(kind) + 2, F.lit(1 << 20)).alias("symbol_name")))
-    merged = changes.inserted(merged, unknown, "node_key").checkpoint()
+    merged = cut(changes.inserted(merged, unknown, "node_key"))
     final = merged.join(changes.orphans(merged, all_edges).select("node_key"), "node_key", "left_anti").select(*old_nodes.columns)
 
     now = live.select("path", "content_hash", F.lit(fingerprint).alias("fingerprint"))
