@@ -2,8 +2,8 @@
 
 A coarse k-means deals unit vectors into lists. What is left of a vector after its list's centre, the residual, is cut into
 subspaces and coded by the nearest of each subspace's centres. A query visits its own list and each list that could hold
-a partner: those whose boundary with its own lies nearer than partners are apart, as far as a displacement in a random
-direction reaches (``spread`` standard deviations of it). In a list, one table of distances from the query's residual to
+a partner: those whose boundary with its own lies no further off than partners are apart. A partner beyond that boundary
+is at least as far away as the boundary is, whatever its direction. In a list, one table of distances from the query's residual to
 all subspace centres turns each stored code into a distance by additions alone; with the stored length of the coding
 error this bounds the true distance from below, so that no partner in a visited list is lost. What remains is compared
 exactly, as cosines in double precision.
@@ -28,7 +28,6 @@ from codeweft.llm.links import PARTIAL, linked_classes
 FIT_VECTORS = 8192
 SUBSPACES, CODES, ITERATIONS = 8, 256, 8
 LEAST_LISTS, MOST_LISTS, LIST_ROWS = 64, 1024, 1000
-SPREAD = 4.5
 BLOCK_ROWS = 1500
 PAIRS_AT_ONCE = 1 << 18
 
@@ -56,7 +55,6 @@ class Index:
     coarse: np.ndarray
     parts: list[tuple[int, int, np.ndarray]]
     reach: float
-    margin: float
 
     def code(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and the length of what the codes leave."""
@@ -74,7 +72,7 @@ class Index:
         own = d.argmin(1)
         apart = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse) ** 2).sum(2), 1e-18))
         to_boundary = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart[own])
-        return own, to_boundary <= self.margin
+        return own, to_boundary <= self.reach
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -93,14 +91,14 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def fit_index(sample: np.ndarray, rows: int, cosine: float, spread: float = SPREAD) -> Index:
+def fit_index(sample: np.ndarray, rows: int, cosine: float) -> Index:
     coarse = k_means(sample, min(MOST_LISTS, max(LEAST_LISTS, rows // LIST_ROWS)), 0)
     residual = sample - coarse[nearest(sample, coarse)]
     width = sample.shape[1]
     ends = np.linspace(0, width, min(SUBSPACES, width) + 1).astype(int).tolist()
     parts = [(a, b, k_means(residual[:, a:b], CODES, 1 + m)) for m, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
     reach = math.sqrt(2 - 2 * cosine) + 1e-6
-    return Index(coarse, parts, reach, reach * min(1.0, spread / math.sqrt(width)))
+    return Index(coarse, parts, reach)
 
 
 def links_in(t: pa.Table, index: Index, cosine: float) -> tuple[np.ndarray, np.ndarray]:

@@ -50,6 +50,18 @@ def test_large_group_in_many_cells(spark, monkeypatch):
     assert there > 5000 and all(got[i][0] <= want[i][0] for i in want) and found >= 0.99 * there, (found, there)
 
 
+def test_families_that_vary_in_few_directions(spark):
+    rng = random.Random(5)
+    rows = []
+    for directions in (1, 2, 3, 4):
+        hub, *ways = ([rng.gauss(0, 1) / 8 for _ in range(64)] for _ in range(directions + 1))
+        for _ in range(200):
+            at = [rng.uniform(-0.5, 0.5) for _ in ways]
+            rows.append((len(rows), [h + sum(a * w[d] for a, w in zip(at, ways)) for d, h in enumerate(hub)], directions))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert result(near_duplicates(df)) == brute(rows, 0.98)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], None), (5, None, 1), (6, [], 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [1.0, 0.0, 0.0], 1), (12, [-1.0, 0.0], 1), (13, [1.0, 0.0], 2), (14, [1e-30, 0.0], 1)]
