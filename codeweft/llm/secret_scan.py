@@ -81,13 +81,13 @@ def matches(t: Column, rule: Rule, use) -> Column:  # noqa: ANN001
     return let(F.split(t, rule.pattern, -1), lambda p: let(found, lambda m: let(values, lambda v: use(p, m, v))))
 
 
-def spans_of(t: Column, rule: Rule, rank: int) -> Column:
-    """Spans of the kept matches, in code points; each match starts where the pieces and matches before it end."""
+def spans_of(t: Column, rule: Rule, rank: int, length=F.length) -> Column:  # noqa: ANN001
+    """Spans of the kept matches, in units of ``length``; each match starts where the pieces and matches before it end."""
 
     def walk(pieces: Column, found: Column, values: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(F.get(pieces, i))
-            end = start + F.length(F.get(found, i))
+            start = state["at"] + length(F.get(pieces, i))
+            end = start + length(F.get(found, i))
             span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
             return F.struct(end.alias("at"), F.when(F.length(F.get(values, i)) >= rule.least, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
 
@@ -97,12 +97,33 @@ def spans_of(t: Column, rule: Rule, rank: int) -> Column:
     return matches(t, rule, walk)
 
 
-def redacted(t: Column, rule: Rule) -> Column:
-    def put(pieces: Column, found: Column, values: Column) -> Column:
-        shown = lambda i: F.when(F.length(F.get(values, i)) >= rule.least, F.lit(f"[{rule.kind}]")).otherwise(F.get(found, i))
-        return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(shown(i), F.lit("")))), "")
+def all_spans(t: Column, rules: tuple[Rule, ...], length=F.length) -> Column:  # noqa: ANN001
+    """Spans of all rules on a row of with_candidates(), in order of start and of the rules."""
+    none = F.array().cast(SPAN)
+    return F.array_sort(F.concat(*(F.when(applies(r, i, t), spans_of(t, r, i, length)).otherwise(none) for i, r in enumerate(rules))))
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans, of which those that overlap are one: it ends with the last of them and is named by the first."""
+
+    def step(runs: Column, s: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(SPAN), step)
 
-    return matches(t, rule, put)
+
+def replaced(t: Column, runs: Column) -> Column:
+    """The text with each of ``runs``, in bytes, replaced by its kind in brackets. Bytes are cut out in constant time each."""
+
+    def put(utf8: Column) -> Column:
+        cut = lambda start, end: F.substring(utf8, start + 1, end - start).cast("string")
+        before = lambda i: F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)
+        parts = F.transform(runs, lambda s, i: F.concat(cut(before(i), s["start"]), F.lit("["), s["kind"], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), cut(F.get(runs, F.size(runs) - 1)["end"], F.octet_length(utf8)))
+
+    return let(F.encode(t, "UTF-8"), put)
 
 
 def applies(rule: Rule, rank: int, t: Column) -> Column:
@@ -130,22 +151,20 @@ def scan(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tuple
     equal results, an empty table an empty one; columns that aren't named have no influence."""
     rows = documents.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keep)), text_or_empty(text).alias("_text"))
     rows = with_candidates(rows, rules, "_text")
-    none = F.array().cast(SPAN)
-    found = F.concat(*(F.when(applies(r, i, F.col("_text")), spans_of(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules)))
-    return rows.select(*(F.col(f"_{i}").alias(k) for i, k in enumerate(keep)), F.array_sort(found).alias("spans"))
+    return rows.select(*(F.col(f"_{i}").alias(k) for i, k in enumerate(keep)), all_spans(F.col("_text"), rules).alias("spans"))
 
 
 def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", length: str | None = None) -> DataFrame:
-    """``documents`` with each secret in ``text`` replaced by its kind in brackets, rule by rule in their order; null stays null.
+    """``documents`` with each secret that scan() finds in ``text`` replaced by its kind in brackets; null stays null.
 
+    Secrets that overlap are replaced together, by the kind of the one that starts first, the earlier rule's if several do.
     ``length`` names a column that is set to the new text's length, if there is one. All other columns stay as they are.
     """
     named = documents.select(*(documents[c].alias(f"_{i}") for i, c in enumerate(documents.columns)))
     own = f"_{documents.columns.index(text)}"
     rows = with_candidates(named, rules, own)
-    clean = F.col(own)
-    for i, r in enumerate(rules):  # each step names the one before once, so that the expression grows in step with the rules
-        clean = let(clean, lambda t: F.when(applies(r, i, t), redacted(t, r)).otherwise(t))  # noqa: B023
+    t = F.col(own)
+    clean = let(all_spans(t, rules, F.octet_length), lambda spans: F.when(F.size(spans) > 0, let(merged(spans), lambda runs: replaced(t, runs))).otherwise(t))
     rows = rows.withColumn(own, clean)
     out = rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(documents.columns)))
     return out if length not in documents.columns else out.withColumn(length, F.length(text).cast(documents.schema[length].dataType))

@@ -71,6 +71,26 @@ def test_odd_rows(spark):
     assert scan(df.limit(0)).count() == 0 and redact(df.limit(0)).count() == 0
 
 
+def test_every_span_goes(spark):
+    hexes, key = "0123456789abcdef" * 2, "-----BEGIN RSA PRIVATE KEY-----\nMII" + "Qx" * 40 + "\n-----END RSA PRIVATE KEY-----"
+    odd = [f'é😀 token="{key}" é', f"x eyJ{hexes}Zz.eyJQ{hexes}.Sig-{hexes}_tail y", f"AIza{hexes}_Rest-{'Z' * 20} ü", f"token={hexes}", f"token=abcdef {hexes} token=ghijkl"]
+    odd += [t for t in ODD if t]
+    want = []
+    for t in odd:
+        out, at, runs = "", 0, []
+        for a, _, b, kind in brute(t):
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(b, runs[-1][1])
+            else:
+                runs.append([a, b, kind])
+        for a, b, kind in runs:
+            out, at = f"{out}{t[at:a]}[{kind}]", b
+        want.append(out + t[at:])
+    assert want[:4] == ['é😀 [assign]" é', "x [jwt] y", "[google] ü", "[assign]"]
+    got = redact(spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == dict(enumerate(want))
+
+
 def test_no_python_in_the_plan(spark):
     plan = scan(spark.range(1).select(F.lit(1).alias("doc_id"), F.lit("a").alias("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
