@@ -114,7 +114,7 @@ def similar(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> tu
 
 
 def similar_classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id", trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """(k1, k2, n_links, component_id) for each distinct text, named by text_key(); see similarity_join()."""
+    """(k1, k2, n_links, component_id, stands) for each distinct text, named by text_key(); see similarity_join()."""
     ship_package(documents.sparkSession)
     level = match_depth(trees, depth, threshold, recall)
 
@@ -170,8 +170,14 @@ def similarity_join(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), t
 
 
 def one_of_each(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **how: float) -> DataFrame:
-    """The rows of ``documents`` that similarity_join() keeps, with all their columns."""
-    found = similar_classes(documents, text=text, doc_id=doc_id, **how)
-    found = dealt(found.select(F.col("k1").alias("_0"), F.col("k2").alias("_1"), F.col("component_id").alias("_component")))
-    rows = documents.withColumns({f"_{i}": k for i, k in enumerate(text_key(text))})
-    return rows.join(found, ["_0", "_1"]).where(F.col(doc_id).eqNullSafe(F.col("_component"))).select(*documents.columns)
+    """One row of each component of similarity_join(), with all its columns: the one with the least id, null after all others.
+
+    Of several the one with the least text key is taken, then the one with the least hash of all columns; of rows that equal each
+    other, any. Maps are left out of the hash. Each task first picks one of its rows of a text, so that no text is hot.
+    """
+    found = similar_classes(documents, text=text, doc_id=doc_id, **how).where("stands").select(F.col("k1").alias("_0"), F.col("k2").alias("_1"))
+    hashed = [documents[f.name] for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(*hashed).alias("h1"), F.xxhash64(F.lit(7), *hashed).alias("h2"))
+    keys = [k.alias(f"_{i}") for i, k in enumerate(text_key(text))]
+    first = documents.groupBy(*keys).agg(F.min_by(F.struct(*(documents[c] for c in documents.columns)), order).alias("_row"))
+    return first.join(found, ["_0", "_1"]).select("_row.*")

@@ -87,3 +87,19 @@ def test_odd_rows(spark):
     assert similarity_join(df.limit(0)).count() == 0
     twice = df.where("doc_id = 9").union(df.where("doc_id = 9")).union(df.where("doc_id = 9").selectExpr("cast(null as long)", "text", "k1", "n_links"))
     assert sorted(((r.doc_id, r.n_links, r.component_id, r.kept) for r in similarity_join(twice).collect()), key=str) == [(9, 2, 9, True), (9, 2, 9, True), (None, 2, 9, False)]
+
+
+def test_one_row_of_each_component(spark):
+    near = [" ".join(f"w{i}" for i in range(60)) + end for end in ("", " x", " y")]
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, near[0], "a")] * 40 + [(7, near[1], "b"), (7, near[0], "b"), (None, near[2], "c")]  # repeated rows and ids
+    rows += [(None, other, "a"), (None, other, "b"), (None, other + " x", "a"), (None, other, "a")]  # a group without ids
+    rows += [(8, None, "a"), (None, "", "a"), (9, " ", "a"), (9, "alone", "a"), (7, "alone too", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = one_of_each(df)
+    found = [tuple(r) for r in got.collect()]
+    assert got.columns == df.columns and all(r in rows for r in found)
+    of = lambda t: "near" if t in near else "other" if t in (other, other + " x") else t or ""
+    assert sorted((of(t), i) for i, t, _ in found if i is not None) == [("", 8), (" ", 9), ("alone", 9), ("alone too", 7), ("near", 7)]
+    assert [of(t) for i, t, _ in found if i is None] == ["other"]
+    assert sorted(map(str, one_of_each(df.repartition(3)).collect())) == sorted(map(str, got.collect()))
