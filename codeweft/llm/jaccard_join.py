@@ -1,16 +1,20 @@
 """A similarity self-join of texts by the Jaccard coefficient of their word n-grams, through a MinHash LSH forest.
 
-A text's signature is cut into trees of ``DEPTH`` minima each, and each tree is a prefix trie of the texts' signatures.
-Two texts whose similarity is s agree on the first p minima of some tree with probability 1 - (1 - s^p)^trees. From the
-full depth, the prefixes that count as a match are shortened until this reaches the target recall at the join's threshold,
-where it is lowest; all texts below one node of that depth are candidates of each other. Nodes that share texts are
-merged, so that each text is sent to one place only, and there every pair is verified exactly, in cells of bounded size.
+A text's signature is cut into trees of DEPTH minima each, and each tree is a prefix trie: its labels in order, so that
+the texts that share most of a label stand next to each other. A leaf is a whole label; texts that share one in some tree, and
+what they lead to, are groups, and in these all pairs are verified exactly. Then the prefixes that count as a match are
+shortened, for each text as far as its own size demands: two texts of similarity s agree on p minima of some tree with
+probability 1 - (1 - s^p)^trees, and the least s that a text's number of n-grams allows at the join's threshold tells the
+depth at which that reaches the target recall. What a shorter prefix adds, pairs below one node that are in different
+groups, is verified below that node, once for each pair. Groups and nodes are compared in cells of bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.cells import cells_of, in_cells, roots, with_group_rows
-from codeweft.llm.common import dealt, map_texts, ship_package, text_key, text_or_empty, written
+from codeweft.llm.common import dealt, map_texts, partitions, ship_package, text_key, text_or_empty, written
 from codeweft.llm.components import connected_components
 from codeweft.llm.links import PARTIAL, linked_classes
 
-TREES, DEPTH, RECALL = 20, 6, 0.999
+#: A label has eight minima of 16 bits, four in each of two numbers.
+TREES, DEPTH, RECALL = 20, 8, 0.999
 BLOCK_ROWS = 1000
 CACHE_WORDS = 200_000
 #: Numbers of a signature's matrix computed at once.
@@ -57,38 +62,98 @@ def shingles(text: str, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def match_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """Shortens the prefix from ``depth`` until a pair at the threshold is found with probability ``recall``."""
+def match_depth(trees: int, depth: int, similarity: float, recall: float) -> int:
+    """Shortens the prefix from ``depth`` until a pair of that similarity is found with probability ``recall``."""
     p = depth
-    while p > 1 and 1 - (1 - threshold**p) ** trees < recall:
+    while p > 1 and 1 - (1 - similarity**p) ** trees < recall:
         p -= 1
     return p
 
 
+@cache
+def least_similarity(size: int, threshold: Fraction) -> Fraction:
+    """The least Jaccard coefficient from ``threshold`` on that a set of ``size`` can have with any other set."""
+    if size > 100:
+        return threshold  # near enough, and on the safe side
+    least = Fraction(1)
+    for other in range(math.ceil(threshold * size), math.floor(size / threshold) + 1):
+        common = math.ceil(threshold * (size + other) / (1 + threshold))
+        if common <= min(size, other):
+            least = min(least, Fraction(common, size + other - common))
+    return least
+
+
+@cache
+def depths(size: int, threshold: Fraction, trees: int, recall: float) -> tuple[int, ...]:
+    """The depths at which a text of ``size`` n-grams meets others, its own the first: two texts meet at the deeper of theirs."""
+    own = lambda n: match_depth(trees, DEPTH, float(least_similarity(n, threshold)), recall)
+    if size > 200:
+        return (own(size),)
+    others = range(max(1, math.ceil(threshold * size)), math.floor(size / threshold) + 1)
+    return (own(size), *sorted({own(n) for n in others if own(n) > own(size)}))
+
+
 class Signatures:
-    def __init__(self, trees: int, depth: int) -> None:
+    def __init__(self, trees: int) -> None:
         rng = np.random.default_rng(42)
-        self.trees, self.depth = trees, depth
-        self.factor = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
+        self.trees = trees
+        self.factor = rng.integers(0, 1 << 31, trees * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.add = rng.integers(0, 1 << 32, trees * DEPTH, dtype=np.uint32)
 
-    def minima(self, grams: np.ndarray) -> np.ndarray:
-        """A row of minima for each tree, in the order in which its trie branches."""
+    def labels(self, grams: np.ndarray) -> np.ndarray:
+        """Two numbers for each tree: the low bits of its minima, in the order in which its trie branches."""
         out = np.full(len(self.factor), np.iinfo(np.uint32).max, np.uint32)
-        step = max(1, AT_ONCE // len(out))
-        for at in range(0, len(grams), step):
-            part = grams[at : at + step]
-            out = np.minimum(out, ((self.factor[:, None] * part + self.add[:, None]) >> np.uint64(32)).astype(np.uint32).min(1))
-        return out.reshape(self.trees, self.depth)
-
-    def nodes(self, grams: np.ndarray, depth: int) -> list[int]:
-        """The node that holds the text at ``depth`` of each tree's trie, as a hash of tree and prefix."""
-        if not len(grams):
-            return []
-        node = np.arange(self.trees, dtype=np.uint64)
-        for column in self.minima(grams).T[:depth]:
-            node = mixed(node * MIX + column)
-        return node.view(np.int64).tolist()
+        low, step = grams.astype(np.uint32), max(1, AT_ONCE // len(out))
+        for at in range(0, len(low), step):
+            out = np.minimum(out, (self.factor[:, None] * low[at : at + step] + self.add[:, None]).min(1))
+        parts = (out & np.uint32(0xFFFF)).astype(np.uint64).reshape(2 * self.trees, 4)
+        return ((parts[:, 0] << np.uint64(48)) | (parts[:, 1] << np.uint64(32)) | (parts[:, 2] << np.uint64(16)) | parts[:, 3]).view(np.int64)
+
+
+def prefix(label: np.ndarray, depth: int) -> np.ndarray:
+    """Labels, as rows of two unsigned numbers, cut to ``depth`` minima."""
+    keep = (((1 << 128) - 1) >> (16 * (DEPTH - depth))) << (16 * (DEPTH - depth))
+    return label & np.array([keep >> 64, keep & ((1 << 64) - 1)], np.uint64)
+
+
+def shared_depth(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima the labels in rows of ``a`` and ``b`` share from the start."""
+    differ = a ^ b
+    first = sum((differ[:, 0] >> np.uint64(s) == 0).astype(int) for s in (48, 32, 16, 0))
+    return first + np.where(first == 4, sum((differ[:, 1] >> np.uint64(s) == 0).astype(int) for s in (48, 32, 16, 0)), 0)
+
+
+def shared_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels in order -> (depth, node, k1, k2): the leaf of each text that shares it, and of the depths at which the text meets
+    others, the nodes that it shares. A node's texts stand next to each other, so that a text shares one if its label has it in
+    common with the one before or after; at either end of a partition that isn't known, and the node is taken as shared."""
+    held: pa.RecordBatch | None = None
+    before = DEPTH
+
+    def nodes(t: pa.RecordBatch, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tree, hi, lo, k1, k2 = (t.column(c).to_numpy() for c in ("tree", "hi", "lo", "k1", "k2"))
+        label = np.stack([hi.view(np.uint64), lo.view(np.uint64)], 1)
+        meets = t.column("depths").to_numpy()
+        for p in range(1, DEPTH + 1):
+            at = np.flatnonzero((shared >= p) & ((meets >> p & 1 == 1) | (p == DEPTH)))
+            if len(at):
+                cut = prefix(label[at], p)
+                node = mixed(mixed(cut[:, 0] + tree[at].astype(np.uint64) * MIX) * MIX + cut[:, 1] + np.uint64(p))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(tree[at]), pa.array(node.view(np.int64)), pa.array(k1[at]), pa.array(k2[at])], names=["depth", "tree", "node", "k1", "k2"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches(batch.num_rows + 1)[0]
+        tree = t.column("tree").to_numpy()
+        label = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")], 1)
+        lcp = np.where(tree[1:] == tree[:-1], shared_depth(label[1:], label[:-1]), 0)
+        if len(lcp):
+            yield from nodes(t.slice(0, len(lcp)), np.maximum(np.r_[before, lcp[:-1]], lcp))
+            before = int(lcp[-1])
+        held = t.slice(len(lcp))
+    if held is not None:
+        yield from nodes(held, np.array([DEPTH]))
 
 
 def similar(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -113,32 +178,69 @@ def similar(sets: list[np.ndarray], side: np.ndarray, threshold: Fraction) -> tu
     return i[keep], j[keep]
 
 
-def similar_classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id", trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+def first_shared_tree(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """For texts in rows, each with the labels of all trees: the first tree in which both are below one node of ``depth``."""
+    trees = a.shape[1] // 2
+    same = (prefix(a.reshape(len(a), trees, 2), depth) == prefix(b.reshape(len(b), trees, 2), depth)).all(2)
+    return np.where(same.any(1), same.argmax(1), -1)
+
+
+def similar_classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id", trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(k1, k2, n_links, component_id, stands) for each distinct text, named by text_key(); see similarity_join()."""
-    ship_package(documents.sparkSession)
-    level = match_depth(trees, depth, threshold, recall)
+    spark = documents.sparkSession
+    ship_package(spark)
+    exact = Fraction(str(threshold))
 
     def sign() -> Callable[[list[str]], list[pa.Array]]:
-        signatures, hashes = Signatures(trees, depth), WordHashes()
-        return lambda texts: [pa.array([signatures.nodes(shingles(t, n, hashes), level) for t in texts], pa.list_(pa.int64()))]
+        signatures, hashes = Signatures(trees), WordHashes()
 
-    k1, k2 = text_key(text)
-    signed = map_texts(documents, text, (F.col(doc_id).alias("id"), k1, k2), sign, "nodes array<long>")
-    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("nodes").alias("nodes")))
-    at = classes.select(F.explode("nodes").alias("node"), F.struct("k1", "k2").alias("k"))
-    shared = at.groupBy("node").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("node", "first")
-    links = at.join(dealt(shared), "node").select(F.col("k").alias("a"), F.col("first").alias("b"))
-    groups = with_group_rows(connected_components(links), ["component"]).select("id.k1", "id.k2", F.col("component.k1").alias("g1"), F.col("component.k2").alias("g2"), "group_rows")
+        def compute(texts: list[str]) -> list[pa.Array]:
+            sets = [shingles(t, n, hashes) for t in texts]
+            meets = [depths(len(s), exact, trees, recall) if len(s) else () for s in sets]
+            return [
+                pa.array([d[0] if d else 0 for d in meets], pa.int32()),
+                pa.array([sum(1 << p for p in d) for d in meets], pa.int32()),
+                pa.array([signatures.labels(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            ]
 
-    exact = Fraction(str(threshold))
+        return compute
+
+    k1, k2 = text_key(text)
+    signed = map_texts(documents, text, (F.col(doc_id).alias("id"), k1, k2), sign, "own int, depths int, labels array<long>")
+    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("own").alias("own"), F.first("depths").alias("depths"), F.first("labels").alias("labels")))
+
+    tries = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.get("labels", 2 * t).alias("hi"), F.get("labels", 2 * t + 1).alias("lo")))
+    labels = classes.where("size(labels) > 0").select(F.inline(tries), "depths", "k1", "k2")
+    order = ("tree", "hi", "lo", "k1", "k2")  # equal labels, too, may be many: they are split by text
+    at = written(labels.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(shared_nodes, "depth int, tree int, node long, k1 long, k2 long"))
+
+    leaves = at.where(F.col("depth") == DEPTH).select("node", F.struct("k1", "k2").alias("k"))
+    shared = leaves.groupBy("node").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("node", "first")
+    groups = connected_components(leaves.join(dealt(shared), "node").select(F.col("k").alias("a"), F.col("first").alias("b")))
+    groups = written(groups.select("id.k1", "id.k2", F.col("component.k1").alias("g1"), F.col("component.k2").alias("g2")))
+
+    below = at.where(F.col("depth") < DEPTH).join(dealt(groups), ["k1", "k2"], "left")
+    below = below.withColumns({"g1": F.coalesce("g1", "k1"), "g2": F.coalesce("g2", "k2")})
+    both = F.struct("g1", "g2")
+    mixed_nodes = below.groupBy("node").agg(F.min(both).alias("first"), F.max(both).alias("last")).where("first < last").select("node")
+    below = below.join(dealt(mixed_nodes), "node").select("k1", "k2", "g1", "g2", "depth", "tree", "node")
+    whole = groups.select("k1", "k2", "g1", "g2", F.lit(DEPTH).alias("depth"), F.lit(-1).alias("tree"), F.xxhash64("g1", "g2").alias("node"))
+    routes = with_group_rows(whole.union(below), ["depth", "tree", "node"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for cell in cells_of(batches):
             a, b = similar([shingles(t, n, hashes) for t in cell.column("text").to_pylist()], cell.column("side").to_numpy(), exact)
+            depth, tree = cell.column("depth")[0].as_py(), cell.column("tree")[0].as_py()
+            k1, k2, copies, own, g1, g2 = (cell.column(c).to_numpy() for c in ("k1", "k2", "n", "own", "g1", "g2"))
+            if tree >= 0 and len(a):
+                label = np.asarray(cell.column("labels").combine_chunks().flatten()).reshape(len(k1), -1).view(np.uint64)
+                ok = ((g1[a] != g1[b]) | (g2[a] != g2[b])) & (np.maximum(own[a], own[b]) == depth)
+                a, b = a[ok], b[ok]
+                ok = first_shared_tree(label[a], label[b], depth) == tree
+                a, b = a[ok], b[ok]
             if not len(a):
                 continue
-            k1, k2, copies = (cell.column(c).to_numpy() for c in ("k1", "k2", "n"))
             links = np.zeros(len(k1), np.int64)
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
@@ -146,8 +248,11 @@ def similar_classes(documents: DataFrame, n: int = 5, threshold: float = 0.8, te
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[some], k2[some], links[some], k1[root[some]], k2[root[some]])], names=["k1", "k2", "links", "r1", "r2"])
 
     texts = documents.select(*text_key(text), text_or_empty(text).alias("text")).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    cells = in_cells(texts.join(dealt(groups), ["k1", "k2"]), ["g1", "g2"], F.col("k1"), BLOCK_ROWS)
-    partial = written(cells.select("c1", "c2", "side", "k1", "k2", "n", "text").mapInArrow(verify, PARTIAL))
+    wanted = routes.join(classes.select("k1", "k2", "own", "labels"), ["k1", "k2"])
+    cells = in_cells(texts.join(dealt(wanted), ["k1", "k2"]), ["depth", "tree", "node"], F.col("k1"), BLOCK_ROWS)
+    # the labels of a whole group aren't looked at
+    cells = cells.select("c1", "c2", "side", "k1", "k2", "n", "g1", "g2", "depth", "tree", "own", F.when(F.col("tree") >= 0, F.col("labels")).alias("labels"), "text")
+    partial = written(cells.mapInArrow(verify, PARTIAL))
     return linked_classes(classes.select("k1", "k2", "id", "n"), partial)
 
 
@@ -163,21 +268,25 @@ def similarity_join(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), t
     don't matter; an empty table gives an empty result.
     """
     found = similar_classes(documents, text=text, doc_id=doc_id, **how)
-    rows = documents.select(*keep, F.col(doc_id).alias("_id"), *[k.alias(f"_{i}") for i, k in enumerate(text_key(text))])
-    found = dealt(found.select(F.col("k1").alias("_0"), F.col("k2").alias("_1"), F.col("n_links").alias("_links"), F.col("component_id").alias("_component")))
-    kept = F.col("_id").eqNullSafe(F.col("_component")).alias("kept")
-    return rows.join(found, ["_0", "_1"]).select(*keep, F.col("_links").alias("n_links"), F.col("_component").alias("component_id"), kept)
+    found = dealt(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_links", "component_id"))
+    rows = documents.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keep)), F.col(doc_id).alias("_id"), *[k.alias(n) for n, k in zip(("_k1", "_k2"), text_key(text), strict=True)])
+    kept = F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return rows.join(found, ["_k1", "_k2"]).select(*(F.col(f"_{i}").alias(k) for i, k in enumerate(keep)), "n_links", "component_id", kept)
 
 
 def one_of_each(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **how: float) -> DataFrame:
-    """One row of each component of similarity_join(), with all its columns: the one with the least id, null after all others.
+    """One row of each component of similarity_join(), with all its columns, whatever their names: the one with the least id, null
+    after all others.
 
     Of several the one with the least text key is taken, then the one with the least hash of all columns; of rows that equal each
     other, any. Maps are left out of the hash. Each task first picks one of its rows of a text, so that no text is hot.
     """
-    found = similar_classes(documents, text=text, doc_id=doc_id, **how).where("stands").select(F.col("k1").alias("_0"), F.col("k2").alias("_1"))
-    hashed = [documents[f.name] for f in documents.schema if "map<" not in f.dataType.simpleString()]
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(*hashed).alias("h1"), F.xxhash64(F.lit(7), *hashed).alias("h2"))
-    keys = [k.alias(f"_{i}") for i, k in enumerate(text_key(text))]
-    first = documents.groupBy(*keys).agg(F.min_by(F.struct(*(documents[c] for c in documents.columns)), order).alias("_row"))
-    return first.join(found, ["_0", "_1"]).select("_row.*")
+    found = similar_classes(documents, text=text, doc_id=doc_id, **how).where("stands").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    names = documents.columns
+    rows = documents.select(*(documents[c].alias(f"_{i}") for i, c in enumerate(names)))
+    own = {c: f"_{i}" for i, c in enumerate(names)}
+    hashed = [F.col(own[f.name]) for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(own[doc_id]).isNull().alias("none"), F.col(own[doc_id]).alias("id"), F.xxhash64(*hashed).alias("h1"), F.xxhash64(F.lit(7), *hashed).alias("h2"))
+    keyed = rows.withColumns(dict(zip(("_k1", "_k2"), text_key(own[text]), strict=True)))
+    first = keyed.groupBy("_k1", "_k2").agg(F.min_by(F.struct(*own.values()), order).alias("_row"))
+    return first.join(found, ["_k1", "_k2"]).select(*(F.col(f"_row.{o}").alias(c) for c, o in own.items()))
