@@ -75,13 +75,19 @@ class Index:
         return own, to_boundary <= self.reach
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors whose greatest component lies between 1/2 and 1, scaled by powers of two: no digit is lost, and no sum of squares
+    overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors of one table, the shorter filled up with zeros."""
+    """Vectors of one table in double precision, the shorter filled up with zeros."""
     values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
     n = np.asarray(column.value_lengths())
     if (n == width).all():
@@ -104,7 +110,7 @@ def fit_index(sample: np.ndarray, rows: int, cosine: float) -> Index:
 def links_in(t: pa.Table, index: Index, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of a cell that link: one of its two blocks with the other, or all within one, at least one at home."""
     width = index.coarse.shape[1]
-    vectors = matrix(t.column("vector").chunk(0), width)
+    vectors = scaled(matrix(t.column("vector").chunk(0), width))
     x = unit(vectors)
     home, side = t.column("home").to_numpy(), t.column("side").to_numpy()
     centre = index.coarse[t.column("list")[0].as_py()]
@@ -144,7 +150,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec
     sound = F.forall(v, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float("inf"))) & F.exists(v, lambda c: c != 0)
     usable = F.coalesce(sound, F.lit(False)) & F.col(label).isNotNull()
     key = [F.col(label), v]
-    rows = vectors.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), v.cast("array<double>").alias("vector"), F.when(usable, F.xxhash64(*key)).alias("k1"), F.when(usable, F.xxhash64(F.lit(7), *key)).alias("k2"))
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), v.alias("vector"), F.when(usable, F.xxhash64(*key)).alias("k1"), F.when(usable, F.xxhash64(F.lit(7), *key)).alias("k2"))
     classes = written(rows.where("k1 is not null").groupBy("k1", "k2", "label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
     size = classes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
     alone = rows.where("k1 is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
@@ -187,8 +193,8 @@ def partial_links(classes: DataFrame, index: Index, cosine: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[some], k2[some], links[some], k1[root[some]], k2[root[some]])], names=["k1", "k2", "links", "r1", "r2"])
 
     ship_package(classes.sparkSession)
-    kind = classes.schema["label"].dataType.simpleString()
-    visiting = classes.select("k1", "k2", "label", "n", F.col("vector")).mapInArrow(visits, f"k1 long, k2 long, label {kind}, n long, vector array<double>, list int, home boolean")
+    kind, numbers = (classes.schema[c].dataType.simpleString() for c in ("label", "vector"))
+    visiting = classes.select("k1", "k2", "label", "n", F.col("vector")).mapInArrow(visits, f"k1 long, k2 long, label {kind}, n long, vector {numbers}, list int, home boolean")
     visiting = written(visiting.withColumn("width", F.size("vector")))
     group = ["label", "width", "list"]
     return written(in_cells(with_group_rows(visiting, group), group, F.col("k1"), BLOCK_ROWS).mapInArrow(compare, PARTIAL))

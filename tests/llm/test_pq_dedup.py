@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from codeweft.llm.components import connected_components
 from codeweft.llm.pq_dedup import near_duplicates
 from codeweft.llm.queries import op2_pq_dedup
@@ -62,6 +64,47 @@ def test_families_that_vary_in_few_directions(spark):
     assert result(near_duplicates(df)) == brute(rows, 0.98)
 
 
+def linked(x, labels, cosine):
+    """n_links and components by plain matrix products."""
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    links = (u @ u.T >= cosine) & (labels[:, None] == labels)
+    np.fill_diagonal(links, False)
+    root = np.arange(len(x))
+    while True:
+        low = np.where(links, root, len(x)).min(1)
+        new = np.minimum(root, low)
+        if (new == root).all():
+            return links.sum(1), root
+        root = new
+
+
+def test_thousands_of_links_in_64_dimensions(spark, monkeypatch):
+    """Families on curved surfaces of few dimensions, isotropic clusters and lone vectors, over as many lists as a large table has."""
+    import codeweft.llm.pq_dedup as m
+
+    for lists, dimensions in ((1000, 3), (256, 4)):
+        monkeypatch.setattr(m, "LEAST_LISTS", lists)
+        rng = np.random.default_rng(dimensions)
+        ways = rng.normal(size=(dimensions, 64))
+        surface = np.tanh(rng.uniform(-1, 1, (4000, dimensions)) @ ways) + 0.3 * rng.normal(size=64)
+        cluster = rng.normal(size=64) + rng.normal(size=(600, 64)) * 0.1
+        x = np.concatenate([surface, cluster, rng.normal(size=(400, 64))]).astype(np.float32).astype(np.float64)
+        labels = np.arange(len(x)) % 2
+        df = spark.createDataFrame([(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), labels))], "vec_id long, embedding array<float>, label int")
+        n, root = linked(x, labels, 0.98)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(df).collect()}
+        assert n.sum() > 5000 and all(got[i][0] <= n[i] + 1 for i in got)
+        recall = sum(min(got[i][0], int(n[i])) for i in got) / n.sum()
+        assert recall >= 0.9999, recall  # all but pairs that rounding puts on either side
+        assert sum(got[i][1] == root[i] for i in got) >= 0.999 * len(x)
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [2e200, 2e200], 1), (3, [1e-200, 1e-200], 1), (4, [1e-310, 1e-310], 1), (5, [1e300, -1e300], 1)]
+    got = result(near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")))
+    assert got == {**{i: (3, 1, i == 1) for i in (1, 2, 3, 4)}, 5: (0, 5, True)}
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], None), (5, None, 1), (6, [], 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [1.0, 0.0, 0.0], 1), (12, [-1.0, 0.0], 1), (13, [1.0, 0.0], 2), (14, [1e-30, 0.0], 1)]
