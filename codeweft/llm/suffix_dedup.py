@@ -28,8 +28,6 @@ LENGTH, GRAM = 200, 32
 PIECE = 1 << 20
 #: Contexts of one anchor compared in one place; those of a more frequent anchor are dealt into cells.
 BLOCK_ROWS = 4096
-#: How many different contexts of one anchor a single text is taken to have, at most, in sizing the cells.
-RUN_CONTEXTS = 64
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -84,14 +82,20 @@ def pieces_of(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list
 
 
 def anchor_table(documents: DataFrame, length: int, text: str) -> DataFrame:
-    """(h, k1, k2, at): the anchors of each text by hash, with all places that share it."""
+    """(h, k1, k2, at, contexts): the anchors of each text by hash, with all places that share it, and how many of these differ in
+    the bytes around them."""
+    back = length - GRAM
+
+    def differing(raw: bytes, places: np.ndarray) -> int:
+        return len({hash((min(p, back), raw[max(0, p - back) : p + length])) for p in places.tolist()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 doc, place, gram = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for which, starts, parts in pieces_of(part.column(2).to_pylist(), length):
+                texts = part.column(2).to_pylist()
+                for which, starts, parts in pieces_of(texts, length):
                     ends = np.cumsum([len(p) for p in parts])
                     found, h = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length)
                     own = np.searchsorted(ends, found, side="right")
@@ -107,10 +111,13 @@ def anchor_table(documents: DataFrame, length: int, text: str) -> DataFrame:
                 d, p, h = d[once], p[once], h[once]
                 first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
                 at_list = pa.ListArray.from_arrays(pa.array(np.r_[first, len(p)].astype(np.int32)), pa.array(p.astype(np.int32)))
+                ends = np.r_[first[1:], len(p)]
+                several = {int(i): differing(texts[d[first[i]]], p[first[i] : ends[i]]) for i in np.flatnonzero(ends - first > 1)}
                 keys = part.select(["k1", "k2"]).take(pa.array(d[first]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), *keys.columns, at_list], names=["h", "k1", "k2", "at"])
+                contexts = pa.array([several.get(i, 1) for i in range(len(first))], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), *keys.columns, at_list, contexts], names=["h", "k1", "k2", "at", "contexts"])
 
-    return documents.select(*text_key(text), text_or_empty(text).cast("binary").alias("raw")).mapInArrow(run, "h long, k1 long, k2 long, at array<int>")
+    return documents.select(*text_key(text), text_or_empty(text).cast("binary").alias("raw")).mapInArrow(run, "h long, k1 long, k2 long, at array<int>, contexts int")
 
 
 def contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -199,7 +206,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, text: str = "tex
     ship_package(documents.sparkSession)
     table = anchor_table(documents, length, text)
     text_of = F.xxhash64("k1", "k2")
-    seen = table.groupBy("h").agg(F.min(text_of).alias("first"), F.max(text_of).alias("last"), F.max(F.size("at")).alias("most"), F.sum(F.least(F.size("at"), F.lit(RUN_CONTEXTS))).alias("group_rows"))
+    seen = table.groupBy("h").agg(F.min(text_of).alias("first"), F.max(text_of).alias("last"), F.max(F.size("at")).alias("most"), F.sum("contexts").alias("group_rows"))
     whole_blocks = (F.ceil(F.col("group_rows") / BLOCK_ROWS) * BLOCK_ROWS).alias("group_rows")  # few different values, which shuffles compress
     seen = seen.where("first < last or most > 1").select("h", whole_blocks)
     found = table.join(dealt(seen), "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "group_rows", "at")).alias("found"))
