@@ -7,6 +7,7 @@ over the texts that meet its query. A rule whose expression demands no trigram r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,26 +16,28 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.common import text_key, text_or_empty, written
 from codeweft.llm.quality_rules import let
-from codeweft.llm.trigrams import trigram_query
+from codeweft.llm.trigrams import Clause, selective, trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches are leftmost and don't overlap; those whose ``group`` is shorter than ``least`` are dropped.
-    ``sieve`` is a simpler expression that every kept match's text meets, tried first where all texts are scanned."""
+    """A kind of secret: matches are leftmost and don't overlap; those whose ``group`` is shorter than ``least`` are dropped."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
-    sieve: str | None = None
+
+    @property
+    def query(self) -> tuple[Clause, ...]:
+        return selective(trigram_query(self.pattern))
 
 
 #: The base kinds, in their order, then others whose formats are public.
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", group=2, least=6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
-    Rule("hex", r"[0-9a-f]+", least=24, sieve=r"[0-9a-f]{24}"),
+    Rule("hex", r"[0-9a-f]{24,}", least=24),  # shorter runs are dropped anyway
 )
 MORE = (
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", least=40),
@@ -45,11 +48,13 @@ MORE = (
     Rule("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
+#: Entries of an array that is built up by copying.
+CHUNK = 256
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def grams_of(rules: tuple[Rule, ...]) -> list[str]:
-    return sorted({g for r in rules for clause in trigram_query(r.pattern) for alternative in clause for g in alternative})
+    return sorted({g for r in rules for clause in r.query for alternative in clause for g in alternative})
 
 
 def postings(documents: DataFrame, grams: list[str], text: str = "text") -> DataFrame:
@@ -63,55 +68,66 @@ def postings(documents: DataFrame, grams: list[str], text: str = "text") -> Data
 def meets(rule: Rule, held: Column) -> Column:
     """Whether the trigrams ``held`` by a text meet the rule's query."""
     each = lambda words: reduce(lambda a, b: a & b, (F.array_contains(held, g) for g in sorted(words)))
-    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(each, sorted(clause, key=sorted))) for clause in trigram_query(rule.pattern)))
+    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(each, sorted(clause, key=sorted))) for clause in rule.query))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(k1, k2, ranks): for each text that meets the query of some rule, the places of those rules in ``rules``."""
-    asked = [(i, r) for i, r in enumerate(rules) if trigram_query(r.pattern)]
+    asked = [(i, r) for i, r in enumerate(rules) if r.query]
     held = index.groupBy("k1", "k2").agg(F.collect_set("gram").alias("held"))
     ranks = F.filter(F.array(*(F.when(meets(r, F.col("held")), F.lit(i)) for i, r in asked)), lambda i: i.isNotNull())
     return held.select("k1", "k2", ranks.alias("ranks")).where(F.size("ranks") > 0)
 
 
-def matches(t: Column, rule: Rule, use) -> Column:  # noqa: ANN001
-    """use(pieces, found, values): what stands between the matches, the matches, and what is measured of each."""
-    found = F.regexp_extract_all(t, F.lit(rule.pattern), F.lit(0))
-    values = F.regexp_extract_all(t, F.lit(rule.pattern), F.lit(rule.group))
-    return let(F.split(t, rule.pattern, -1), lambda p: let(found, lambda m: let(values, lambda v: use(p, m, v))))
+def running(x: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each entry of an array of int, what ``combine`` makes of 0 and all entries before it.
+
+    An array that grows by an entry is copied each time; here that holds for chunks of the array, and for one entry a chunk, so
+    that the work is in proportion to the array up to millions of entries."""
+    zero = F.lit(0)
+
+    def plain(chunk: Column, start: Column) -> Column:
+        step = lambda s, v: F.struct(combine(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(chunk, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    chunks = F.transform(F.sequence(zero, F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.slice(x, i * CHUNK + 1, CHUNK))
+    starts = lambda c: plain(F.transform(c, lambda chunk: F.aggregate(chunk, zero, combine)), zero)
+    return F.when(F.size(x) > 0, let(chunks, lambda c: F.flatten(F.zip_with(c, starts(c), plain)))).otherwise(F.array().cast("array<int>"))
+
 
+def matches(t: Column, rule: Rule, rank: int) -> Column:
+    """A rule's matches in a text, what stands between them, and what is measured of each."""
+    of = lambda group: F.regexp_extract_all(t, F.lit(rule.pattern), F.lit(group))
+    return F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), F.split(t, rule.pattern, -1).alias("pieces"), of(0).alias("found"), of(rule.group).alias("values"))
 
-def spans_of(t: Column, rule: Rule, rank: int, length=F.length) -> Column:  # noqa: ANN001
-    """Spans of the kept matches, in units of ``length``; each match starts where the pieces and matches before it end."""
 
-    def walk(pieces: Column, found: Column, values: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + length(F.get(pieces, i))
-            end = start + length(F.get(found, i))
-            span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-            return F.struct(end.alias("at"), F.when(F.length(F.get(values, i)) >= rule.least, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
+def spans_of(m: Column, length: Callable[[Column], Column]) -> Column:
+    """Spans of the kept ones of matches(), in units of ``length``; each starts where the pieces and matches before it end."""
+    steps = F.transform(m["found"], lambda x, i: length(F.get(m["pieces"], i)) + length(x))
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+    def span(x: Column, i: Column, before: Column) -> Column:
+        start = F.get(before, i) + length(F.get(m["pieces"], i))
+        return F.when(F.length(F.get(m["values"], i)) >= m["least"], F.struct(start.alias("start"), m["rank"].alias("rank"), (start + length(x)).alias("end"), m["kind"].alias("kind")))
 
-    return matches(t, rule, walk)
+    every = let(let(steps, lambda x: running(x, lambda a, b: a + b)), lambda before: F.transform(m["found"], lambda x, i: span(x, i, before)))
+    return F.filter(every, lambda s: s.isNotNull())
 
 
-def all_spans(t: Column, rules: tuple[Rule, ...], length=F.length) -> Column:  # noqa: ANN001
+def all_spans(t: Column, rules: tuple[Rule, ...], length: Callable[[Column], Column] = F.length) -> Column:
     """Spans of all rules on a row of with_candidates(), in order of start and of the rules."""
-    none = F.array().cast(SPAN)
-    return F.array_sort(F.concat(*(F.when(applies(r, i, t), spans_of(t, r, i, length)).otherwise(none) for i, r in enumerate(rules))))
+    found = F.filter(F.array(*(F.when(applies(r, i, t), matches(t, r, i)) for i, r in enumerate(rules))), lambda m: m.isNotNull())
+    return F.array_sort(F.flatten(F.transform(found, lambda m: spans_of(m, length)))).cast(SPAN)
 
 
 def merged(spans: Column) -> Column:
     """Sorted spans, of which those that overlap are one: it ends with the last of them and is named by the first."""
 
-    def step(runs: Column, s: Column) -> Column:
-        last = F.get(runs, F.size(runs) - 1)
-        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(s["start"] < last["end"], F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(s)))
+    def runs(before: Column, ends: Column) -> Column:
+        firsts = F.filter(F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(before, i), i)), lambda i: i.isNotNull())
+        run = lambda s, end: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), end.alias("end"), s["kind"].alias("kind"))
+        return let(firsts, lambda at: F.transform(at, lambda i, k: run(F.get(spans, i), F.coalesce(F.get(before, F.get(at, k + 1)), F.array_max(ends)))))
 
-    return F.aggregate(spans, F.array().cast(SPAN), step)
+    return let(F.transform(spans, lambda s: s["end"]), lambda ends: let(running(ends, lambda a, b: F.greatest(a, b)), lambda before: runs(before, ends)))
 
 
 def replaced(t: Column, runs: Column) -> Column:
@@ -128,9 +144,9 @@ def replaced(t: Column, runs: Column) -> Column:
 
 def applies(rule: Rule, rank: int, t: Column) -> Column:
     """Whether a rule is to be tried on a row of with_candidates()."""
-    if trigram_query(rule.pattern):
+    if rule.query:
         return F.coalesce(F.array_contains("_ranks", rank), F.lit(False))
-    return t.rlike(rule.sieve or rule.pattern)
+    return t.rlike(rule.pattern)
 
 
 def with_candidates(documents: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:

@@ -106,3 +106,22 @@ def trigram_query(pattern: str) -> tuple[Clause, ...]:
     """The clauses that every text with a match meets; none if the pattern demands no trigram, so that all texts qualify."""
     best: dict[Clause, None] = dict.fromkeys(clauses_of([*sre_parse.parse(pattern, re.ASCII if isinstance(pattern, str) else 0)]))
     return tuple(best)
+
+
+#: Letters, the most frequent ones of English prose first; what isn't among them is taken to be rarer still.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def rarity(gram: str) -> tuple[int, str]:
+    return sum(FREQUENT.find(c) if c in FREQUENT else len(FREQUENT) for c in gram), gram
+
+
+def selective(query: tuple[Clause, ...], most: int = 2) -> tuple[Clause, ...]:
+    """A weaker query with ``most`` trigrams an alternative at most: those that all alternatives of a clause share come
+    first, then the rarest. What meets a query meets the weaker one, and fewer trigrams have to be looked for."""
+
+    def fewer(clause: Clause) -> Clause:
+        shared = frozenset.intersection(*clause)
+        return frozenset(frozenset(sorted(a, key=lambda g: (g in shared, *rarity(g)), reverse=True)[:most]) for a in clause)
+
+    return tuple(dict.fromkeys(map(fewer, query)))

@@ -1,11 +1,13 @@
 import hashlib
+import itertools
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from codeweft.llm.queries import op5_secret_scan
-from codeweft.llm.secret_scan import RULES, redact, scan
-from codeweft.llm.trigrams import trigram_query
+from codeweft.llm.secret_scan import RULES, redact, running, scan
+from codeweft.llm.trigrams import selective, trigram_query
 
 SF = "/root/testdata/sf0.01"
 
@@ -94,3 +96,32 @@ def test_every_span_goes(spark):
 def test_no_python_in_the_plan(spark):
     plan = scan(spark.range(1).select(F.lit(1).alias("doc_id"), F.lit("a").alias("text")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_selective_queries_are_implied():
+    for r in RULES:
+        full, few = trigram_query(r.pattern), selective(trigram_query(r.pattern))
+        for clause in few:
+            assert all(len(a) <= 2 for a in clause)
+            assert any(all(any(b <= a for b in clause) for a in c) for c in full), r.kind  # some clause of the full query implies it
+        assert bool(full) == bool(few)
+
+
+def test_many_hits_in_one_text(spark):
+    n = 200_000
+    text = "".join(f"token=abcd{i:06d} é{'0' * 24} " for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.time()
+    spans = scan(df).first().spans
+    clean = redact(df).first().text
+    assert time.time() - began < 120
+    assert [(s.start, s.rank, s.end, s.kind) for s in spans] == brute(text)
+    assert clean == "[assign] é[hex] " * n
+
+
+def test_running_totals(spark):
+    for n in (0, 1, 255, 256, 257, 4097, 70_000):
+        x = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i * 7919 % 1009).cast("int")).alias("x")) if n else spark.range(1).select(F.array().cast("array<int>").alias("x"))
+        got = x.select("x", running(F.col("x"), lambda a, b: a + b).alias("sums"), running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("most")).first()
+        assert got.sums == [sum(got.x[:i]) for i in range(n)] if n < 5000 else got.sums == [0, *itertools.accumulate(got.x)][:-1]
+        assert got.most == [0, *itertools.accumulate(got.x, max)][: len(got.x)]
