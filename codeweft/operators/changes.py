@@ -32,8 +32,11 @@ def combined_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     """One edge for each source, target and relationship: the most confident, ties by ``order``. Loops go; confidence is
     held between 0 and 1."""
     sound = edges.where("source_key != target_key").withColumn("confidence", F.least(F.lit(1).cast("decimal(3,2)"), F.greatest(F.lit(0).cast("decimal(3,2)"), F.col("confidence"))))
-    rank = F.row_number().over(Window.partitionBy("source_key", "target_key", "relationship").orderBy(F.desc("confidence"), *order))
-    return sound.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    keys = ["source_key", "target_key", "relationship"]
+    rest = [c for c in edges.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct((-F.col("confidence")).alias("_c"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order))))
+    # combined before the shuffle, so that an edge that many files declare is no hot key
+    return sound.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first.*").select(*edges.columns)
 
 
 def last_of_each(rows: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:

@@ -110,11 +110,41 @@ def templates(files: DataFrame) -> DataFrame:
     )
 
 
+QUOTED = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
+
+
+def without_quoted_parentheses(text: Column) -> Column:
+    """The text with the parentheses within quotes as other characters, so that it keeps its length."""
+    quotes = F.transform(all_of(text, QUOTED, 0), lambda q: F.translate(q, "()", "\x01\x02"))
+    return F.array_join(F.flatten(F.transform(F.split(text, QUOTED, -1), lambda p, i: F.array(p, F.coalesce(F.get(quotes, i), F.lit(""))))), "")
+
+
+def balanced(text: Column) -> Column:
+    """What comes before the parenthesis that closes the one just before ``text``; null if none does. Parentheses may nest to any
+    depth; those in quotes don't count. One fold over the parts between closing parentheses, with a state of three numbers."""
+    depth = lambda part: F.length(part) - F.length(F.replace(part, F.lit("("), F.lit("")))
+
+    def step(s: Column, part: Column) -> Column:
+        inner = s["open"] + depth(part) - 1
+        at = s["at"] + F.length(part) + 1
+        closes = (s["end"] < 0) & (inner == 0)
+        return F.struct(F.when(s["end"] >= 0, s["open"]).otherwise(inner).alias("open"), at.alias("at"), F.when(closes, at - 1).otherwise(s["end"]).alias("end"))
+
+    # the last part has no closing parenthesis after it
+    parts = F.split(without_quoted_parentheses(text), r"\)", -1)
+    start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+    end = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step)["end"]
+    return F.when(end >= 0, F.substring(text, F.lit(1), end))
+
+
 def directives(text: Column) -> Column:
-    """Directives with their arguments, parentheses nested to a depth of three: array of (name, arguments)."""
-    inner = r"(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*"
-    pattern = rf"(?<!@)@(\w+)\s*\(({inner})\)"
-    return F.arrays_zip(all_of(text, pattern, 1).alias("name"), all_of(text, pattern, 2).alias("arguments"))
+    """Directives with their arguments, as they stand between balanced parentheses: array of (name, arguments). One whose
+    parentheses don't close is left out; those within the arguments of another are found, too."""
+    head = r"(?<!@)@(\w+)\s*\("
+    heads, pieces = all_of(text, head, 0), F.split(text, head, -1)
+    rest = lambda i: F.array_join(F.flatten(F.transform(F.sequence(i + 1, F.size(pieces) - 1), lambda k: F.array(F.get(pieces, k), F.coalesce(F.get(heads, k), F.lit(""))))), "")
+    found = F.transform(all_of(text, head, 1), lambda name, i: F.struct(name.alias("name"), balanced(rest(i)).alias("arguments")))
+    return F.filter(found, lambda d: d["arguments"].isNotNull())
 
 
 def routes(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.scoring import CLASS_LIKE, INHERITANCE, STRUCTURAL, finding_confidence, impact_score, risk
+from codeweft.functions.text import class_key
 from codeweft.operators.lineage import cut
 
 HARD_NODES, HARD_DEPTH, HARD_FINDINGS = 1000, 10, 200
@@ -32,9 +33,10 @@ def first_visits(edges: DataFrame, frontier: DataFrame, visited: DataFrame) -> D
     inner = frontier.where(F.col("node_type").isin("file", *CLASS_LIKE))
     reached = back.join(frontier, "node_key").unionByName(down.join(inner, "node_key"))
     reached = reached.join(visited.select(F.col("node_key").alias("far")), "far", "left_anti")
-    order = Window.partitionBy("far").orderBy(F.col("relationship").isin(*INHERITANCE).desc(), F.desc("edge"), "node_key", "relationship")
-    best = reached.withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
-    return best.select(F.col("far").alias("node_key"), "relationship", "direction", F.col("edge"), F.least("confidence", "edge").alias("confidence"), F.concat("path", F.array("far")).alias("path"))
+    # combined before the shuffle, so that no task meets all edges of a hub
+    order = F.struct((~F.col("relationship").isin(*INHERITANCE)).alias("a"), (-F.col("edge")).alias("b"), "node_key", "relationship", "direction")
+    best = reached.groupBy("far").agg(F.min_by(F.struct("relationship", "direction", "edge", "confidence", "path"), order).alias("b"))
+    return best.select(F.col("far").alias("node_key"), "b.relationship", "b.direction", "b.edge", F.least("b.confidence", "b.edge").alias("confidence"), F.concat("b.path", F.array("far")).alias("path"))
 
 
 def impact(edges: DataFrame, nodes: DataFrame, origin: str, depth: int | None = None, most: int | None = None) -> tuple[DataFrame, bool]:
@@ -83,72 +85,145 @@ def module_members(nodes: DataFrame, module_key: str, most: int) -> DataFrame:
     return nodes.where((F.col("module_key") == module_key) & (F.col("node_type") != "file")).orderBy("node_type", "node_key").limit(most + 1)
 
 
-def neighborhood(edges: DataFrame, seeds: DataFrame, most: int = 80) -> DataFrame:
+def finding_reason(direction: Column, relationship: Column, confidence: Column, is_stub: Column) -> Column:
+    unsure, unknown = F.when(confidence < 0.8, " (resolution is uncertain)").otherwise(""), F.when(is_stub, "; declaration is not indexed").otherwise("")
+    return F.concat(F.initcap(direction), F.lit(" "), relationship, F.lit(" relationship"), unsure, unknown, F.lit("."))
+
+
+def neighborhood(edges: DataFrame, seeds: DataFrame, most: int = 80, hard: int = 80) -> DataFrame:
     """Edges that touch a seed and aren't structural, the most confident first; incoming if the target is a seed."""
     keys = seeds.select(F.col("node_key").alias("_seed")).distinct()
     plain = edges.where(~F.col("relationship").isin(*STRUCTURAL))
     into = plain.join(keys.withColumnRenamed("_seed", "target_key"), "target_key", "left_semi").withColumn("incoming", F.lit(True))
     out = plain.join(keys.withColumnRenamed("_seed", "source_key"), "source_key", "left_semi").join(keys.withColumnRenamed("_seed", "target_key"), "target_key", "left_anti").withColumn("incoming", F.lit(False))
     both = into.unionByName(out)
-    return both.orderBy(F.desc("confidence"), "source_key", "target_key", "relationship").limit(min(80, most))
+    return both.orderBy(F.desc("confidence"), "source_key", "target_key", "relationship").limit(min(hard, most))
 
 
-def hops(edges: DataFrame, seeds: DataFrame, relationships: tuple[str, ...], depth: int = 4) -> DataFrame:
-    """(node_key, depth): what is reached forward over the given relationships, at the least depth."""
-    along = edges.where(F.col("relationship").isin(*relationships)).select("source_key", "target_key")
+def hops(edges: DataFrame, seeds: DataFrame, relationships: tuple[str, ...], depth: int = 4, most: int | None = None) -> tuple[DataFrame, bool]:
+    """What is reached forward over the given relationships: ((node_key, relationship, depth), whether a level was cut).
+
+    A node counts at its least depth, by the least relationship that leads to it there. With ``most``, a level follows the
+    first ``most`` edges by their keys alone. Each level is computed once; without ``most`` no count comes to the driver.
+    """
+    along = edges.where(F.col("relationship").isin(*relationships)).select("source_key", "target_key", "relationship")
     frontier = visited = seeds.select("node_key").distinct()
-    found = None
+    found, truncated = None, False
     for level in range(1, depth + 1):
-        new = along.join(frontier, F.col("source_key") == F.col("node_key")).select(F.col("target_key").alias("node_key")).distinct().join(visited, "node_key", "left_anti")
-        step = new.withColumn("depth", F.lit(level))
-        found = step if found is None else found.unionByName(step)
-        frontier, visited = new, visited.union(new)
+        step = along.join(frontier, F.col("source_key") == F.col("node_key")).select("source_key", "target_key", "relationship")
+        if most is not None:
+            step = cut(step.orderBy("source_key", "target_key", "relationship").limit(most + 1))
+            truncated = truncated or step.count() > most
+            step = step.orderBy("source_key", "target_key", "relationship").limit(most)
+        new = step.groupBy(F.col("target_key").alias("node_key")).agg(F.min("relationship").alias("relationship")).join(visited, "node_key", "left_anti")
+        new = cut(new.withColumn("depth", F.lit(level)))
+        found = new if found is None else found.unionByName(new)
+        frontier = new.select("node_key")
+        visited = visited.union(frontier)
+    return found, truncated
+
+
+#: Steps of a target's resolution, in order.
+STEPS = ("key", "symbol", "file", "module", "similar")
+
+
+def resolve_target(nodes: DataFrame, target: str, modules: DataFrame | None = None, most: int = 6, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """Candidates for a name, by the first step that finds any: (step, node_key, node_type, symbol_name, file_path).
+
+    The steps are: its key, class-like prefixes all being ``class:``; a declared symbol, or an undeclared one if there is no
+    declared; a file's path; a module's key or name (node_key is the module's); symbols that contain it in either case, of
+    which there may be ``most``. ``steps`` names those to be tried besides the first two. Every step but the last is an equality, and none is run if one before it has found something.
+    """
+    name = target.strip()
+    key = nodes.sparkSession.range(1).select(class_key(F.lit(name))).first()[0]
+    columns = ["node_key", "node_type", "symbol_name", "file_path"]
+
+    def at(step: str, rows: DataFrame) -> DataFrame:
+        return cut(rows.select(F.lit(step).alias("step"), *columns))
+
+    found = at("key", nodes.where(F.col("node_key") == key))
+    if found.isEmpty():
+        named = cut(nodes.where(F.col("symbol_name") == name).orderBy(F.col("file_path").isNull(), "node_key").limit(most).select(*columns))
+        declared = named.where("file_path is not null")
+        found = at("symbol", named if declared.isEmpty() else declared)
+    if found.isEmpty() and "file" in steps:
+        found = at("file", nodes.where((F.col("node_type") == "file") & (F.col("file_path") == name.replace("\\", "/"))))
+    if found.isEmpty() and "module" in steps and modules is not None:
+        own = modules.where((F.col("module_key") == name) | (F.col("name") == name)).orderBy("module_key").limit(1)
+        found = at("module", own.select(F.col("module_key").alias("node_key"), F.lit("module").alias("node_type"), F.col("name").alias("symbol_name"), F.lit(None).cast("string").alias("file_path")))
+    if found.isEmpty() and "similar" in steps:
+        found = at("similar", nodes.where((F.col("node_type") != "file") & F.contains(F.lower("symbol_name"), F.lit(name.lower()))).orderBy("symbol_name", "node_key").limit(most))
     return found
 
 
-def resolve_target(nodes: DataFrame, target: Column, most: int = 6) -> DataFrame:
-    """Candidates for a name: key matches first, then declared symbols, then symbols that contain it in either case."""
-    name = F.lower(target)
-    step = F.when(F.col("node_key") == target, 0).when(F.col("symbol_name") == target, 1).when(F.contains(F.lower("symbol_name"), name), 2)
-    found = nodes.withColumn("step", step).where("step is not null")
-    first = F.min("step").over(Window.partitionBy(F.lit(0)))
-    return found.orderBy("step", F.col("file_path").isNull(), "node_key").limit(most).withColumn("_first", first).where("step = _first").drop("_first")
+def target_hint(found: DataFrame, target: str) -> str | None:
+    """What to tell of a target that resolve_target() has not found as one node or module; null if it has. Six rows at most are read."""
+    rows = found.select("step", "symbol_name").orderBy("symbol_name").collect()
+    if len(rows) == 1:
+        return None
+    if not rows:
+        return f"No indexed symbol matches [{target.strip()}]. Inspect the source or synchronise the index."
+    if rows[0]["step"] == "similar":
+        return f"Multiple symbols match [{target.strip()}]. Inspect one of: {', '.join(r['symbol_name'] for r in rows[:5])}"
+    return f"Multiple indexed declarations match [{target.strip()}]. Use a node key."
 
 
 def inherited_methods(classes: DataFrame, methods: DataFrame, parents: DataFrame, calls: DataFrame, depth: int = 32) -> DataFrame:
     """Finds where each called method is declared: in the class itself, else in its traits, else in its parents.
 
-    classes(class_key, adapts), methods(class_key, name, method_key, private), parents(class_key, parent_key, kind),
-    calls(class_key, name) -> (class_key, name, method_key, path, state): ``resolved`` with one declaration, ``none`` if no
-    ancestor has it, else ``unknown``: an ancestor isn't indexed or adapts its traits, a private one stands in the way,
-    several differ, or the search ends at ``depth``. Names are compared in lower case. Each round moves all open
-    searches one step up the hierarchy, in joins; traits of a class shadow its parents.
+    classes(class_key, adapts), methods(class_key, name, method_key, private), parents(class_key, parent_key, kind: trait or
+    another), calls(class_key, name) -> (class_key, name, method_key, path, state): ``resolved`` with one declaration, ``none``
+    if no ancestor has it, else ``unknown``: an ancestor isn't indexed or adapts its traits, a private one stands in
+    the way, several differ, ancestors go round in a cycle, or there are ``depth`` of them or more in a row. What the traits of a
+    class have shadows its parents, on every level. Names are compared in lower case; path is from the class to the
+    declaring one, the least of several.
+
+    First the classes that may be asked are collected upwards, then they are settled downwards from those that need no
+    other, a round a level, each class and name once however many paths lead to it. What is never settled is in a cycle.
     """
     low = lambda c: F.lower(F.col(c))
-    known = classes.select(low("class_key").alias("at"), F.col("adapts"))
-    own = methods.select(low("class_key").alias("at"), low("name").alias("name"), "method_key", "private")
-    up = parents.select(low("class_key").alias("at"), low("parent_key").alias("next"), F.when(F.col("kind") == "trait", 0).otherwise(1).alias("order"))
-    asked = calls.select(low("class_key").alias("start"), low("name").alias("name")).distinct()
-    open_ = asked.select("start", "name", F.col("start").alias("at"), F.array("start").alias("path"), F.array().cast("array<int>").alias("rank"))
-    settled = None
-    for level in range(depth):
-        here = open_.join(known, "at", "left").join(own, ["at", "name"], "left")
-        blocked = F.col("adapts").isNull() | (F.col("private") & (F.lit(level) > 0)) | (F.col("method_key").isNull() & F.col("adapts"))
-        outcome = F.when(F.coalesce(blocked, F.lit(False)), "unknown").when(F.col("method_key").isNotNull(), "found")
-        here = here.withColumn("outcome", outcome)
-        done = here.where("outcome is not null").select("start", "name", "path", "rank", "outcome", F.when(F.col("outcome") == "found", F.col("method_key")).alias("method_key"))
-        settled = done if settled is None else settled.unionByName(done)
-        onward = here.where("outcome is null").select("start", "name", "at", "path", "rank").join(up, "at").where(~F.array_contains("path", F.col("next")))
-        open_ = cut(onward.select("start", "name", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), F.concat("rank", F.array("order")).alias("rank")))
-        settled = cut(settled)
-        if open_.isEmpty():
+    known = classes.select(low("class_key").alias("at"), F.coalesce("adapts", F.lit(False)).alias("adapts"))
+    own = methods.select(low("class_key").alias("at"), low("name").alias("name"), "method_key", F.coalesce("private", F.lit(False)).alias("private"))
+    up = cut(parents.select(low("class_key").alias("at"), low("parent_key").alias("next"), (F.col("kind") == "trait").alias("trait")).distinct())
+    asked = cut(calls.select(low("class_key").alias("at"), low("name").alias("name")).distinct())
+
+    reached = frontier = asked
+    for _ in range(depth):
+        frontier = cut(frontier.join(up, "at").select(F.col("next").alias("at"), "name").distinct().join(reached, ["at", "name"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached = cut(reached.unionByName(frontier))
+
+    facts = reached.join(known, "at", "left").join(own, ["at", "name"], "left").join(up.select("at", F.lit(True).alias("has_parents")).distinct(), "at", "left")
+    here = F.when(F.col("adapts").isNull() | F.col("private"), "unknown").when(F.col("method_key").isNotNull(), "resolved").when(F.col("adapts"), "unknown").when(F.col("has_parents").isNull(), "none")
+    facts = cut(facts.select("at", "name", "method_key", here.alias("state")))
+    nothing = F.lit(None).cast("array<string>")
+    settled = cut(facts.where("state is not null").select("at", "name", "state", "method_key", F.when(F.col("state") == "resolved", F.array("at")).otherwise(nothing).alias("path")))
+    waiting = facts.where("state is null").select("at", "name")
+    for _ in range(depth - 1):
+        above = settled.select(F.col("at").alias("next"), "name", "state", "method_key", "path")
+        each = waiting.join(up, "at").join(above, ["next", "name"], "left")
+
+        def of(kind: Column) -> Column:
+            count = lambda state: F.count_if(kind & state)
+            found = F.when(kind & (F.col("state") == "resolved"), F.struct("method_key", "path"))
+            keys = F.collect_set(found["method_key"])
+            outcome = F.when(count(F.col("state") == "unknown") > 0, "unknown").when(count(F.col("state").isNull()) > 0, "open").when(F.size(keys) > 1, "unknown").when(F.size(keys) == 1, "resolved").otherwise("none")
+            return F.struct(outcome.alias("state"), F.min(found).alias("found"))
+
+        both = each.groupBy("at", "name").agg(of(F.col("trait")).alias("t"), of(~F.col("trait")).alias("p"))
+        chosen = F.when(F.col("t.state") == "none", F.col("p")).otherwise(F.col("t"))
+        new = both.select("at", "name", chosen.alias("c")).where("c.state != 'open'")
+        sure = F.col("c.state") == "resolved"
+        new = cut(new.select("at", "name", F.col("c.state").alias("state"), F.when(sure, F.col("c.found.method_key")).alias("method_key"), F.when(sure, F.concat(F.array("at"), "c.found.path")).alias("path")))
+        if new.isEmpty():
             break
-    else:
-        settled = settled.unionByName(open_.select("start", "name", "path", "rank", F.lit("unknown").alias("outcome"), F.lit(None).cast("string").alias("method_key")))
-    # a trait of the class itself shadows its parents: of the settled searches only those with the least order count
-    nearest = settled.withColumn("_low", F.min("rank").over(Window.partitionBy("start", "name"))).where(F.slice("rank", 1, 1) == F.slice("_low", 1, 1))
-    summed = nearest.groupBy("start", "name").agg(F.count_if(F.col("outcome") == "unknown").alias("unknown"), F.collect_set("method_key").alias("keys"), F.min_by("path", F.size("path")).alias("path"))
-    state = F.when((F.col("unknown") > 0) | (F.size("keys") > 1), "unknown").when(F.size("keys") == 1, "resolved").otherwise("none")
-    out = asked.join(summed, ["start", "name"], "left").withColumn("state", F.when(F.col("keys").isNull(), "none").otherwise(state))
-    resolved = F.col("state") == "resolved"
-    return out.select(F.col("start").alias("class_key"), "name", F.when(resolved, F.get("keys", F.lit(0))).alias("method_key"), F.when(resolved, F.col("path")).alias("path"), "state")
+        settled = cut(settled.unionByName(new))
+        waiting = cut(waiting.join(new, ["at", "name"], "left_anti"))
+
+    # a class may call its own private method; as an ancestor's it only stands in the way
+    mine = asked.join(own.where("private").select("at", "name", F.col("method_key").alias("own_key")), ["at", "name"], "left").join(known.select("at", F.lit(True).alias("there")), "at", "left")
+    out = mine.join(settled, ["at", "name"], "left")
+    private = F.col("own_key").isNotNull() & F.col("there").isNotNull()
+    state = F.when(private, "resolved").otherwise(F.coalesce("state", F.lit("unknown")))
+    return out.select(F.col("at").alias("class_key"), "name", F.when(private, F.col("own_key")).otherwise(F.col("method_key")).alias("method_key"), F.when(private, F.array("at")).otherwise(F.col("path")).alias("path"), state.alias("state"))

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes a table once and keeps it in the shared folder named by spark.checkpoint.dir; a folder of our own only if that is unset."""
+    """Computes a table once and keeps it in the shared folder named by spark.checkpoint.dir. Where that is unset, a temporary
+    folder will do for a local session; a cluster's executors don't share one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "codeweft-checkpoints"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "codeweft-checkpoints"))
     return df.checkpoint()

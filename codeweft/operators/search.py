@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import text_fingerprint
+from codeweft.operators.lineage import cut
 
-#: Items of one packet that are ranked; the feature itself is this bound.
+#: Candidates that one question to the graph gathers; what has been gathered is ranked whole.
 CANDIDATES = 160
 WEIGHTS = {"symbol_name": 3, "summary": 2, "file_path": 1}
 
@@ -27,60 +28,78 @@ def lexical_top(rows: DataFrame, words: list[str], weights: dict[str, int], ties
     return rows.withColumn("score", lexical_score(words, weights)).where("score > 0").orderBy(F.desc("score"), *ties).limit(most)
 
 
-def ranked(items: DataFrame, packet: str, most: int = CANDIDATES) -> DataFrame:
-    """The first ``most`` items of each packet by score, then id, numbered from 1."""
+def ranked(items: DataFrame, packet: str) -> DataFrame:
+    """The items of each packet by score, then id, numbered from 1."""
     order = Window.partitionBy(packet).orderBy(F.desc("score"), "id")
-    return items.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
+    return items.withColumn("rn", F.row_number().over(order))
 
 
-def in_order(items: DataFrame, packet: str, *columns: str) -> DataFrame:
-    """One row a packet: its items, bounded by ranked(), as an array in order."""
-    return items.groupBy(packet).agg(F.array_sort(F.collect_list(F.struct("rn", *columns))).alias("items"))
+def deduplicated(items: DataFrame, packet: str) -> DataFrame:
+    """items(packet, id, score, text, ...): in order of rank an item stays unless its id or its text, blanks apart, has been kept
+    before. An item that is dropped blocks no other. Items of the same score, id and text are one; which of their other
+    columns stay is open.
 
-
-def deduplicated(items: DataFrame, packet: str, most: int = CANDIDATES) -> DataFrame:
-    """items(packet, id, score, text): in order of rank an item stays unless its id or its text, blanks apart, has been kept
-    before. An item that is dropped blocks no other."""
-    held = in_order(ranked(items, packet, most).withColumn("fp", text_fingerprint(F.col("text"))), packet, "id", "score", "text", "fp")
-    first = F.struct(F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("fps"), F.array().cast("array<int>").alias("kept"))
-
-    def step(state: Column, x: Column) -> Column:
-        seen = F.array_contains(state["ids"], x["id"].cast("string")) | F.array_contains(state["fps"], x["fp"])
-        more = F.struct(F.concat(state["ids"], F.array(x["id"].cast("string"))).alias("ids"), F.concat(state["fps"], F.array(x["fp"])).alias("fps"), F.concat(state["kept"], F.array(x["rn"])).alias("kept"))
-        return F.when(seen, state).otherwise(more)
-
-    kept = held.withColumn("kept", F.aggregate("items", first, step)["kept"])
-    return kept.select(packet, F.inline(F.filter("items", lambda x: F.array_contains(F.col("kept"), x["rn"])))).drop("fp")
-
-
-def packed(items: DataFrame, packet: str, header: str, budget: int, bytes_a_token: int = 4, most: int = CANDIDATES) -> DataFrame:
-    """items(packet, id, score, text, compact) -> one row a packet: the ids packed, in order, the bytes they take with the
-    header, and how many were omitted or compacted.
-
-    Items are taken greedily while they fit, one byte parting each from what stands before; one that doesn't fit is tried in
-    its compact form, if it has one, and otherwise left out, and later ones may still fit.
+    Round by round: an item that comes first both among those of its id and among those of its text stays, and all others
+    of these go. Both are aggregations, so that no packet is held in one place, and few rounds are needed, as ids seldom recur.
     """
+    text_key = text_fingerprint(F.coalesce("text", F.lit("")))
+    order = F.struct((-F.col("score")).alias("a"), F.col("id").alias("b"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("c"))
+    left = items.withColumns({"_fp": text_key, "_o": order})
+    firsts = [F.first(c).alias(c) for c in items.columns if c not in (packet, "_fp", "_o")]
+    left = cut(left.groupBy(packet, "_fp", "_o").agg(*firsts))
+    kept = None
+    while not left.isEmpty():
+        by_id = left.groupBy(packet, "id").agg(F.min("_o").alias("_i"))
+        by_text = left.groupBy(packet, "_fp").agg(F.min("_o").alias("_t"))
+        new = cut(left.join(by_id, [packet, "id"]).join(by_text, [packet, "_fp"]).where("_o = _i and _o = _t").drop("_i", "_t"))
+        kept = new if kept is None else kept.unionByName(new)
+        left = cut(left.join(new.select(packet, "id"), [packet, "id"], "left_anti").join(new.select(packet, "_fp"), [packet, "_fp"], "left_anti"))
+    return (left if kept is None else kept).select(*items.columns)
+
+
+def _folded(items: DataFrame, packet: str, header: str, budget: int, bytes_a_token: int) -> DataFrame:
     room = max(0, budget) * bytes_a_token
-    held = in_order(ranked(items, packet, most).withColumns({"full": F.octet_length("text"), "small": F.octet_length("compact")}), packet, "id", "full", "small")
+    sized = ranked(items, packet).select(packet, F.struct("rn", "id", F.octet_length("text").alias("full"), F.octet_length("compact").alias("small")).alias("x"))
+    held = sized.groupBy(packet).agg(F.array_sort(F.collect_list("x")).alias("items"))
     start = min(len(header.encode()), room)
-    zero = F.struct(F.lit(start).alias("used"), F.array().cast("array<string>").alias("ids"), F.lit(0).alias("omitted"), F.lit(0).alias("compacted"))
+    kind = "array<struct<id:string,compact:boolean>>"
+    zero = F.struct(F.lit(start).alias("used"), F.array().cast(kind).alias("taken"), F.lit(0).alias("omitted"))
 
     def step(s: Column, x: Column) -> Column:
         gap = F.when(s["used"] > 0, 1).otherwise(0)
-        fits = s["used"] + gap + x["full"] <= room
-        use_small = ~fits & x["small"].isNotNull()
+        use_small = (s["used"] + gap + x["full"] > room) & x["small"].isNotNull()
         size = F.when(use_small, x["small"]).otherwise(x["full"])
         takes = (s["used"] + gap + size <= room) & (size > 0)
+        one = F.array(F.struct(x["id"].cast("string").alias("id"), use_small.alias("compact")))
         return F.struct(
             F.when(takes, s["used"] + gap + size).otherwise(s["used"]).alias("used"),
-            F.when(takes, F.concat(s["ids"], F.array(x["id"].cast("string")))).otherwise(s["ids"]).alias("ids"),
+            F.when(takes, F.concat(s["taken"], one.cast(kind))).otherwise(s["taken"]).alias("taken"),
             (s["omitted"] + F.when(takes, 0).otherwise(1)).alias("omitted"),
-            (s["compacted"] + F.when(takes & use_small, 1).otherwise(0)).alias("compacted"),
         )
 
     return held.select(packet, F.aggregate("items", zero, step).alias("p")).select(packet, "p.*")
 
 
+def packed(items: DataFrame, packet: str, header: str, budget: int, bytes_a_token: int = 4) -> DataFrame:
+    """items(packet, id, score, text, compact) -> one row a packet: the ids packed, in order, the bytes they take with the
+    header, and how many were omitted or compacted.
+
+    Items are taken greedily while they fit, one byte parting each from what stands before; one that doesn't fit is tried in
+    its compact form, if it has one, and otherwise left out, and later ones may still fit. The order makes this a fold: the
+    ids and sizes of one packet, not its texts, meet in one row. A packet is one answer, whose parts are bounded where they are gathered.
+    """
+    out = _folded(items, packet, header, budget, bytes_a_token)
+    return out.select(packet, "used", F.transform("taken", lambda t: t["id"]).alias("ids"), "omitted", F.size(F.filter("taken", lambda t: t["compact"])).alias("compacted"))
+
+
+def shown(items: DataFrame, packet: str, header: str, budget: int, bytes_a_token: int = 4) -> DataFrame:
+    """(packet, body): the texts of the items that packed() takes, full or compact, a line each. Ids are unique within a packet."""
+    taken = _folded(items, packet, header, budget, bytes_a_token).select(packet, F.posexplode("taken").alias("at", "t"))
+    rows = taken.select(packet, "at", F.col("t.id").alias("id"), F.col("t.compact").alias("_small")).join(items.withColumn("id", F.col("id").cast("string")), [packet, "id"])
+    line = F.struct("at", F.when(F.col("_small"), F.col("compact")).otherwise(F.col("text")).alias("line"))
+    return rows.groupBy(packet).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("body"))
+
+
 def limited(rows: DataFrame, order: list[Column | str], most: int) -> DataFrame:
     """The first ``most`` rows in order, with truncated: whether there was at least one more. One row more is read, none is counted."""
     probe = rows.orderBy(*order).limit(most + 1)

@@ -63,7 +63,7 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     log = lambda status: runs.unionByName(spark.createDataFrame([(number, scope, status, counts["scanned"], counts["updated"], counts["skipped"], counts["deleted"], errors)], RUNS))
     if errors:
         if store.version():
-            store.publish({"files": old_files, "nodes": old_nodes, "edges": old_edges, "runs": log("failed")} | ({"knowledge": store.read("knowledge")} if _has(store, "knowledge") else {}))
+            store.publish({"files": old_files, "nodes": old_nodes, "edges": old_edges, "runs": log("failed")} | ({"knowledge": store.read("knowledge")} if store.has("knowledge") else {}))
         return Run("failed", 0, counts["skipped"], 0, tuple(errors))
 
     all_edges = changes.combined_edges(old_edges.join(touched, "file_path", "left_anti").select(*old_edges.columns).unionByName(edges), ["file_path"])
@@ -81,7 +81,7 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     now = live.select("path", "content_hash", F.lit(fingerprint).alias("fingerprint"))
     rest = old_files.join(now, "path", "left_anti").join(missing, "path", "left_anti").select(*old_files.columns)
     tables = {"files": now.unionByName(rest), "nodes": final, "edges": all_edges, "runs": log("completed")}
-    if _has(store, "knowledge"):
+    if store.has("knowledge"):
         delta = changes.difference(old_nodes.where("not stub"), final.where("not stub"), "node_key", "content_hash").where("change in ('changed', 'removed')")
         fresh = delta.join(final.select("node_key", "content_hash"), "node_key", "left").select("node_key", F.when(F.col("change") == "changed", F.col("content_hash")).alias("new_hash"))
         k = store.read("knowledge")
@@ -89,7 +89,3 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
         tables["knowledge"] = k.join(stale, "knowledge_key", "left").withColumn("state", F.coalesce("_state", "state")).select(*k.columns)
     store.publish(tables)
     return Run("completed", counts["updated"], counts["skipped"], counts["deleted"])
-
-
-def _has(store: SnapshotStore, name: str) -> bool:
-    return bool(store.version()) and store._fs().exists(store._path(f"v{store.version()}/{name}"))

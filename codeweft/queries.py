@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import scoring, text
 from codeweft.operators import cache, changes, extract, graph, knowledge, reports, search
+from codeweft.operators.lineage import cut
+from codeweft.plans import retrieve
 from codeweft.plans.demo_graph import EDGES_SQL, NODES_SQL, edges, key, nodes, table
 from codeweft.sources import files
 from codeweft.streaming.incremental import counted_windows, sessions
@@ -132,12 +135,13 @@ def nested_predicates(spark, sf_dir):
     return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") != "P") | F.col("o_totalprice").isNotNull()).select("o_orderkey", kind.alias("kind"))
 
 
-@query("""select p_partkey, case when ends_with(p_name, 'ring') then 'policy' when p_size > 40 then 'job' when ends_with(p_name, 'widget') then 'listener' else 'class' end as role,
+@query("""select p_partkey, case when ends_with(p_name, 'ring') then 'policy' when ends_with(p_name, 'widget') then 'listener' when p_size > 40 then 'job' when ends_with(p_name, 'gear') then 'event' else 'class' end as role,
  case when p_type = 'ECONOMY' then 'economies' when p_type = 'PROMO' then 'promos' else lower(p_type) || 's' end as many from part""")
 def class_role_ladder(spark, sf_dir):
-    name = F.regexp_replace(F.regexp_replace("p_name", "ring$", "Policy"), "widget$", "Listener")
-    # a queued class is a job before it can be a listener by name only if its name says nothing
-    role = F.when(name.endswith("Listener") & (F.col("p_size") > 40), "job").otherwise(scoring.class_role(F.lit("class"), name, F.col("p_size") > 40))
+    name = F.col("p_name")
+    for end, of in (("ring", "Policy"), ("widget", "Listener"), ("gear", "Event")):
+        name = F.regexp_replace(name, f"{end}$", of)
+    role = scoring.class_role(F.lit("class"), name, F.col("p_size") > 40)
     return table(spark, sf_dir, "part").select("p_partkey", role.alias("role"), text.plural(F.lower("p_type")).alias("many"))
 
 
@@ -156,19 +160,20 @@ def template_captures(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", cap('href="([^"]*)"').alias("links"), cap("<([a-z][a-z0-9]*)").alias("tags"))
 
 
-@query("""with c as (select conv_id, turn, trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11)) as t from conversations),
-b as (select *, regexp_matches(t, '(?i)\\b(laravel|eloquent|artisan|fortify|sanctum|middleware|validation|service container|form request|migration|queue|notification|facade)\\b') as fw,
- regexp_matches(t, '(?i)\\b(how do i|how does|what is|documentation|docs|convention|best practice|official)\\b') as doc,
- regexp_matches(t, '\\\\|::') as sym, regexp_matches(t, '(?:^|\\s)(?:app|routes|resources|database)/') as root,
- regexp_matches(t, '(?i)\\b(update|modify|change|refactor|add|fix)\\b') as chg, regexp_matches(t, '\\b[A-Z][A-Za-z0-9_]+') as nm,
- regexp_matches(t, '(?i)\\b(read|inspect|open)\\b.+\\b(source|file)\\b') as insp from c),
-a as (select *, sym or root or (chg and nm) as app, sym or insp as ins from b),
-s as (select *, list_filter([case when app or (not doc and not fw) then 'index' end, case when fw and (doc or app) then 'framework_docs' end, case when ins or app then 'source_inspection' end], lambda x: x is not null) as f from a)
+def _asked(name: str) -> str:
+    return f"regexp_matches(t, '{scoring.TASK_WORDS[name]}') as {name}"
+
+
+@query(f"""with c as (select conv_id, turn, trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11)) as t from conversations),
+b as (select *, {', '.join(map(_asked, scoring.TASK_WORDS))} from c),
+a as (select *, symbol or root or (change and name) as app, symbol or inspect as ins from b),
+s as (select *, app or (not documentation and not framework) as idx, list_filter([case when app or (not documentation and not framework) then 'index' end, case when framework and (documentation or app) then 'laravel_boost' end, case when ins or app then 'source_inspection' end], lambda x: x is not null) as f from a)
 select conv_id, turn, case when len(f) > 0 then array_to_string(f, ',') else 'source_inspection' end as sources,
- case when app and fw then 'application_and_framework' when fw and doc then 'framework_documentation' when app then 'application' else 'default' end as reason from s""")
+ case when not idx then '' else 'index_status' || case when impact then ',impact_analysis' else '' end || case when symbol then ',symbol_lookup' else ',module_context' end || case when symbol and not impact then ',impact_analysis' else '' end end as tools,
+ case when app and framework then '{scoring.REASONS[0]}' when framework and documentation then '{scoring.REASONS[1]}' when app then '{scoring.REASONS[2]}' else '{scoring.REASONS[3]}' end as reason from s""")
 def route_task(spark, sf_dir):
     r = scoring.routed(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(r["sources"], ",").alias("sources"), r["reason"].alias("reason"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(r["sources"], ",").alias("sources"), F.array_join(r["tools"], ",").alias("tools"), r["reason"].alias("reason"))
 
 
 # -- joins
@@ -232,9 +237,12 @@ def unnest_refs_join(spark, sf_dir):
     return seen.groupBy("o_orderkey").agg(F.bool_and(F.col("there").isNotNull()).alias("complete"), F.count("there").alias("n"))
 
 
-@query(f"with {NODES_SQL}, {EDGES_SQL} select node_key from nodes where file_path is null and node_key not in (select source_key from edges) and node_key not in (select target_key from edges)")
+@query(f"""with {NODES_SQL}, {EDGES_SQL}, e as (select * from edges where relationship <> 'uses_model' or target_key like '%7')
+select node_key from nodes where file_path is null and node_key not in (select source_key from e) and node_key not in (select target_key from e)""")
 def orphans(spark, sf_dir):
-    return changes.orphans(nodes(spark, sf_dir), edges(spark, sf_dir)).select("node_key")
+    """Parts without a file lose their last edge if only those to keys that end with 7 are left."""
+    left = edges(spark, sf_dir).where("relationship != 'uses_model' or target_key like '%7'")
+    return changes.orphans(nodes(spark, sf_dir), left).select("node_key")
 
 
 @query(f"""with {NODES_SQL}, {EDGES_SQL}, gone as (select node_key from nodes where node_type in ('table', 'route') and substr(content_hash, 1, 1) in ('0', '1')),
@@ -371,34 +379,42 @@ def lexical_topk(spark, sf_dir):
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("source", F.col("doc_id").alias("id"), (F.col("n_chars") % 97).cast("int").alias("score"), "text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("compact"))
+    """Conversations as packets, their turns as items; what the same role says in the same words is one item's text."""
+    c = table(spark, sf_dir, "conversations")
+    compact = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    return c.select("conv_id", F.concat("role", F.lit("-"), F.length("text").cast("string")).alias("id"), (F.length("text") % 7).cast("int").alias("score"), "text", compact.alias("compact"), "turn")
 
 
-RANKED_SQL = "r as (select source, doc_id as id, cast(n_chars % 97 as int) as score, text, case when doc_id % 2 = 0 then 'doc ' || doc_id end as compact, row_number() over (partition by source order by n_chars % 97 desc, doc_id) as rn from documents qualify rn <= 160)"
+PACKETS_SQL = "p as (select conv_id, role || '-' || length(text) as id, cast(length(text) % 7 as int) as score, text, case when turn % 2 = 0 then 'turn ' || turn end as compact, turn from conversations)"
 
 
-@query(f"""with {RANKED_SQL}, f as (select *, row_number() over (partition by source, sha256(regexp_replace(trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11)), '\\s+', ' ', 'g')) order by rn) as k from r)
-select source, cast(rn as int) as rn, id, score from f where k = 1""")
+@query(f"""with recursive {PACKETS_SQL}, d as (select distinct conv_id, id, score, text, sha256(regexp_replace(trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11)), '\\s+', ' ', 'g')) as fp, sha256(text) as h from p),
+r as (select *, row_number() over (partition by conv_id order by score desc, id, h) as rn from d),
+fold as (select conv_id, 0::bigint as rn, []::varchar[] as ids, []::varchar[] as fps, []::bigint[] as kept from (select distinct conv_id from r)
+  union all
+  select f.conv_id, r.rn, case when seen then f.ids else list_append(f.ids, r.id) end, case when seen then f.fps else list_append(f.fps, r.fp) end, case when seen then f.kept else list_append(f.kept, r.rn) end
+  from (select f.*, r.id, r.fp, r.rn as at, list_contains(f.ids, r.id) or list_contains(f.fps, r.fp) as seen from fold f join r on r.conv_id = f.conv_id and r.rn = f.rn + 1) f join r on r.conv_id = f.conv_id and r.rn = f.at),
+last as (select conv_id, kept from fold qualify row_number() over (partition by conv_id order by rn desc) = 1)
+select r.conv_id, r.id, r.score, r.text from r join last l on l.conv_id = r.conv_id and list_contains(l.kept, r.rn)""")
 def rank_dedupe(spark, sf_dir):
-    return search.deduplicated(packets(spark, sf_dir), "source").select("source", "rn", "id", "score")
+    return search.deduplicated(packets(spark, sf_dir), "conv_id").select("conv_id", "id", "score", "text")
 
 
-@query(f"""with recursive {RANKED_SQL}, i as (select source, rn, id, strlen(text) as full_size, strlen(compact) as small from r),
+@query(f"""with recursive {PACKETS_SQL}, i as (select conv_id, row_number() over (partition by conv_id order by score desc, turn) as rn, turn as id, strlen(text) as full_size, strlen(compact) as small from p),
 fold as (
-  select source, 0::bigint as rn, 6::bigint as used, ''::varchar as ids, 0::bigint as omitted, 0::bigint as compacted from (select distinct source from r)
+  select conv_id, 0::bigint as rn, 6::bigint as used, ''::varchar as ids, 0::bigint as omitted, 0::bigint as compacted from (select distinct conv_id from i)
   union all
-  select f.source, i.rn,
-    case when f.used + 1 + i.full_size <= 20000 then f.used + 1 + i.full_size when i.small is not null and f.used + 1 + i.small <= 20000 then f.used + 1 + i.small else f.used end,
-    case when f.used + 1 + i.full_size <= 20000 or (i.small is not null and f.used + 1 + i.small <= 20000) then f.ids || i.id || ',' else f.ids end,
-    f.omitted + case when f.used + 1 + i.full_size <= 20000 or (i.small is not null and f.used + 1 + i.small <= 20000) then 0 else 1 end,
-    f.compacted + case when f.used + 1 + i.full_size > 20000 and i.small is not null and f.used + 1 + i.small <= 20000 then 1 else 0 end
-  from fold f join i on i.source = f.source and i.rn = f.rn + 1)
-select source, used, ids, omitted, compacted from (select *, row_number() over (partition by source order by rn desc) as last from fold) where last = 1""")
+  select f.conv_id, i.rn,
+    case when f.used + 1 + i.full_size <= 240 then f.used + 1 + i.full_size when i.small is not null and f.used + 1 + i.small <= 240 then f.used + 1 + i.small else f.used end,
+    case when f.used + 1 + i.full_size <= 240 or (i.small is not null and f.used + 1 + i.small <= 240) then f.ids || i.id || ',' else f.ids end,
+    f.omitted + case when f.used + 1 + i.full_size <= 240 or (i.small is not null and f.used + 1 + i.small <= 240) then 0 else 1 end,
+    f.compacted + case when f.used + 1 + i.full_size > 240 and i.small is not null and f.used + 1 + i.small <= 240 then 1 else 0 end
+  from fold f join i on i.conv_id = f.conv_id and i.rn = f.rn + 1)
+select conv_id, used, ids, omitted, compacted from (select *, row_number() over (partition by conv_id order by rn desc) as last from fold) where last = 1""")
 def budget_pack(spark, sf_dir):
-    out = search.packed(packets(spark, sf_dir), "source", "packet", 5000)
+    out = search.packed(packets(spark, sf_dir).withColumn("id", F.col("turn")), "conv_id", "packet", 60)
     ids = F.concat(F.array_join("ids", ","), F.when(F.size("ids") > 0, ",").otherwise(""))
-    return out.select("source", F.col("used").cast("long").alias("used"), ids.alias("ids"), F.col("omitted").cast("long").alias("omitted"), F.col("compacted").cast("long").alias("compacted"))
+    return out.select("conv_id", F.col("used").cast("long").alias("used"), ids.alias("ids"), F.col("omitted").cast("long").alias("omitted"), F.col("compacted").cast("long").alias("compacted"))
 
 
 # -- graph
@@ -421,7 +437,16 @@ def impact_bfs(spark, sf_dir):
     return found.select("node_key", "node_type", "relationship", "direction", "distance", "confidence", "risk", "score")
 
 
-@query()
+@query(f"""with {NODES_SQL}, {EDGES_SQL},
+e as (select target_key as near, source_key as far, relationship, cast(confidence as double) as c from edges where relationship not in ('contains', 'defines')
+  union all select source_key, target_key, relationship, cast(confidence as double) from edges join nodes on node_key = source_key where relationship in ('contains', 'defines') and node_type in ('class', 'listener')),
+v0 as (select 'nation:3' as k, cast(1 as double) as c),
+f1 as (select far as k, relationship, e.c as edge, least(v0.c, e.c) as c from e join v0 on near = v0.k where far not in (select k from v0) qualify row_number() over (partition by far order by e.c desc, near, relationship) = 1),
+l1 as (select * from f1 qualify row_number() over (order by edge desc, k) <= 30),
+f2 as (select far as k, e.relationship, e.c as edge, least(l1.c, e.c) as c from e join l1 on near = l1.k where far not in (select k from v0 union all select k from l1) qualify row_number() over (partition by far order by e.c desc, near, e.relationship) = 1),
+l2 as (select * from f2 qualify row_number() over (order by edge desc, k) <= 30 - (select count(*) from l1)),
+f as (select *, 1 as distance from l1 union all select *, 2 from l2)
+select f.k as node_key, f.relationship, f.distance, least(f.c, f.edge) as confidence from f join nodes on node_key = f.k""")
 def impact_bfs_capped(spark, sf_dir):
     found, _ = graph.impact(edges(spark, sf_dir), nodes(spark, sf_dir), "nation:3", depth=2, most=30)
     return found.select("node_key", "relationship", "distance", "confidence")
@@ -446,17 +471,34 @@ select k as node_key, min(depth) as depth from h where k <> 'c:7' group by 1""")
 def include_hops(spark, sf_dir):
     made = lambda df, s, t: df.select(s.alias("source_key"), t.alias("target_key"), F.lit("renders_view").alias("relationship"))
     e = made(table(spark, sf_dir, "orders"), key("c", "o_custkey"), key("o", "o_orderkey")).union(made(table(spark, sf_dir, "lineitem"), key("o", "l_orderkey"), key("p", "l_partkey"))).union(made(table(spark, sf_dir, "part"), key("p", "p_partkey"), key("b", "p_brand")))
-    return graph.hops(e, spark.range(1).select(F.lit("c:7").alias("node_key")), ("renders_view", "uses_component"))
+    found, _ = graph.hops(e, spark.range(1).select(F.lit("c:7").alias("node_key")), ("renders_view", "uses_component"))
+    return found.select("node_key", "depth")
 
 
-@query(f"with {NODES_SQL} select node_key, node_type, 1 as step from nodes where symbol_name = 'small ring' order by file_path is null, node_key limit 6")
+@query(f"""with {NODES_SQL}, m as (select *, row_number() over (order by node_key) as rn from nodes where symbol_name = 'small ring'),
+c as (select *, row_number() over (order by symbol_name, node_key) as rn from nodes where node_type <> 'file' and contains(lower(symbol_name), 'customer#00000001'))
+select 'Supplier:3' as target, 'similar' as step, null as node_key where false
+union all select 'supplier:3', 'key', node_key from nodes where node_key = 'supplier:3'
+union all select 'small ring', 'symbol', node_key from m where rn <= 6
+union all select 'CUSTOMER#00000001', 'similar', node_key from c where rn <= 6
+union all select 'ASIA', 'module', 'region-' || r_regionkey from region where r_name = 'ASIA'""")
 def resolve_symbol(spark, sf_dir):
-    return graph.resolve_target(nodes(spark, sf_dir), F.lit("small ring")).select("node_key", "node_type", "step")
-
-
-@query()
+    """Targets that different steps find: a key, a symbol that several nodes have, a part of symbols, a module's name, and none."""
+    n = cut(nodes(spark, sf_dir))
+    modules = table(spark, sf_dir, "region").select(F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")).alias("module_key"), F.col("r_name").alias("name"))
+    found = [graph.resolve_target(n, t, modules).select(F.lit(t).alias("target"), "step", "node_key") for t in ("supplier:3", "small ring", "CUSTOMER#00000001", "ASIA", "nobody at all")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""with recursive p as (select p_partkey as k, p_size = 50 as adapts, p_partkey % 5 = 0 as declares, p_size = 3 as private from part),
+w as (select k as start, k as spot, 0 as lvl from p
+  union all select w.start, w.spot // 2, lvl + 1 from w join p on p.k = w.spot where not p.declares and not p.adapts and w.spot > 0),
+l as (select start, max(lvl) as lvl from w group by 1),
+o as (select w.start, w.spot, w.lvl, p.k, p.adapts, p.declares, p.private from l join w using (start, lvl) left join p on p.k = w.spot),
+s as (select start, spot, case when k is null then 'unknown' when declares then case when private and lvl > 0 then 'unknown' else 'resolved' end when adapts then 'unknown' else 'none' end as state from o)
+select 'class:' || start as class_key, case when state = 'resolved' then 'method:' || spot end as method_key, state from s""")
 def inherited_resolution(spark, sf_dir):
-    """Parts as classes: a part of odd key extends the part of half its key, some use a trait; orders ask for methods."""
+    """Parts as classes: each extends the part of half its key or uses it as a trait; every class is asked for a method."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     c = lambda col: F.concat(F.lit("class:"), col.cast("string"))
     classes = p.select(c(F.col("p_partkey")).alias("class_key"), (F.col("p_size") == 50).alias("adapts"))
@@ -465,20 +507,35 @@ def inherited_resolution(spark, sf_dir):
     return graph.inherited_methods(classes, methods, parents, classes.select("class_key", F.lit("Run").alias("name"))).select("class_key", "method_key", "state")
 
 
-@query("""with f as (select o_orderkey, case o_orderkey % 11 when 0 then 'facade_accessor' when 1 then 'container_binding' when 2 then 'unresolved_method' when 3 then 'namespace_fallback' when 4 then 'global_fallback' when 5 then 'framework_type' end as res,
- o_orderstatus = 'F' as stub, o_custkey % 2 = 0 as app, o_custkey % 3 = 0 as cls, o_custkey % 5 = 0 as meth, o_orderpriority = '1-URGENT' as fl from orders),
-c as (select case when res = 'facade_accessor' then 'facade' when res = 'container_binding' then 'service_container' when fl and stub then 'fluent_chain' when res = 'unresolved_method' then 'inheritance_or_trait' when res = 'namespace_fallback' then 'namespace_fallback' when res = 'global_fallback' then 'global_fallback' when res = 'framework_type' then 'external_vendor'
- when not stub then 'resolved' when app and cls then 'missing_scan' when app and meth then 'analyzer_limitation' when app then 'missing_receiver_type' else 'external_vendor' end as category from f)
-select category, count(*) as n from c group by 1""")
+@query("""select * from (values ('a', 'unknown', null), ('b', 'unknown', null), ('c', 'resolved', 't::run'), ('d', 'resolved', 't::run'), ('t', 'resolved', 't::run'), ('e', 'unknown', null), ('f', 'resolved', 'g::run'), ('h', 'unknown', null), ('i', 'resolved', 'g::run')) x(class_key, state, method_key)""")
+def inheritance_cases(spark, sf_dir):
+    """Cycles (a, b), traits above the first level (d extends c, which uses t and extends g), two that differ (e), one declaration
+    by two ways (f), a private one in the way (h), and a cycle that a trait makes irrelevant (i)."""
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    classes = rows([(c, False) for c in "abcdefghitxyz"], "class_key string, adapts boolean")
+    methods = rows([("t", "run", "t::run", False), ("g", "run", "g::run", False), ("x", "run", "x::run", True)], "class_key string, name string, method_key string, private boolean")
+    up = [("a", "b", "extends"), ("b", "a", "extends"), ("c", "t", "trait"), ("c", "g", "extends"), ("d", "c", "extends"), ("e", "t", "trait"), ("e", "g", "trait"), ("f", "y", "trait"), ("f", "z", "trait"), ("y", "g", "extends"), ("z", "g", "extends"), ("h", "x", "extends"), ("i", "g", "trait"), ("i", "a", "extends")]
+    parents = rows(up, "class_key string, parent_key string, kind string")
+    calls = rows([(c, "run") for c in "abcdtefhi"], "class_key string, name string")
+    return graph.inherited_methods(classes, methods, parents, calls).select("class_key", "state", "method_key")
+
+
+@query("""with f as (select o_orderkey, case o_orderkey % 13 when 0 then 'facade_accessor' when 1 then 'container_binding' when 2 then 'unresolved_method' when 3 then 'namespace_fallback' when 4 then 'global_fallback' when 5 then 'framework_type' when 6 then 'eloquent_builder_forward' end as res,
+ case o_orderkey % 7 when 0 then 'ambiguous' when 1 then 'nonsense' end as given, case o_orderkey % 11 when 0 then 'app' when 1 then 'new' end as via,
+ o_orderstatus = 'F' as stub, o_custkey % 2 = 0 as app, o_custkey % 3 = 0 as cls, o_custkey % 5 = 0 as meth, o_custkey % 19 = 0 as facade, o_custkey % 17 = 0 as ext, o_orderpriority = '1-URGENT' as fl from orders),
+c as (select case when facade or res = 'facade_accessor' then 'laravel_facade' when res = 'container_binding' or via = 'app' then 'service_container' when res = 'eloquent_builder_forward' or (fl and stub) then 'fluent_chain' when res = 'unresolved_method' then 'inheritance_or_trait'
+ when res = 'namespace_fallback' then 'php_namespace_fallback' when res = 'global_fallback' then 'php_global_fallback' when res = 'framework_type' or (ext and stub) then 'external_vendor'
+ when not stub then 'resolved' when app and cls then 'missing_scan' when app and meth then 'analyzer_limitation' when app then 'missing_receiver_type' else 'external_vendor' end as category, given from f),
+s as (select category, case when category in ('laravel_facade', 'service_container', 'fluent_chain') then case when given = 'ambiguous' then given else 'partially_resolved' end
+ when category = 'inheritance_or_trait' then case when given = 'ambiguous' then given else 'unresolved' end when category like 'php_%' then 'partially_resolved' when category = 'external_vendor' then 'external' when category = 'resolved' then 'resolved' else 'unresolved' end as state from c)
+select category, state, count(*) as n from s group by 1, 2""")
 def classify_calls(spark, sf_dir):
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 11
-    names = ("facade_accessor", "container_binding", "unresolved_method", "namespace_fallback", "global_fallback", "framework_type")
-    res = F.lit(None).cast("string")
-    for i, n in enumerate(names):
-        res = F.when(k == i, n).otherwise(res)
-    urgent, no = F.col("o_orderpriority") == "1-URGENT", F.lit(False)
-    facts = {"resolution": res, "resolution_state": F.lit(None).cast("string"), "facade": no, "via": F.lit(None).cast("string"), "orm": urgent, "fluent": urgent, "target_stub": F.col("o_orderstatus") == "F", "external_prefix": no, "application": F.col("o_custkey") % 2 == 0, "class_stub": F.col("o_custkey") % 3 == 0, "method_indexed": F.col("o_custkey") % 5 == 0}
-    return o.select(scoring.call_category(facts)["category"].alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf_dir, "orders")
+    one_of = lambda column, names: reduce(lambda a, b: a.when(*b), [(column == i, n) for i, n in list(enumerate(names))[1:]], F.when(column == 0, names[0]))
+    res = one_of(F.col("o_orderkey") % 13, ("facade_accessor", "container_binding", "unresolved_method", "namespace_fallback", "global_fallback", "framework_type", "eloquent_builder_forward"))
+    urgent, customer = F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")
+    facts = {"resolution": res, "resolution_state": one_of(F.col("o_orderkey") % 7, ("ambiguous", "nonsense")), "via": one_of(F.col("o_orderkey") % 11, ("app", "new")), "facade": customer % 19 == 0, "eloquent": urgent, "fluent": urgent, "target_stub": F.col("o_orderstatus") == "F", "external_prefix": customer % 17 == 0, "application": customer % 2 == 0, "class_stub": customer % 3 == 0, "method_indexed": customer % 5 == 0}
+    return o.select(scoring.call_category(facts).alias("c")).groupBy("c.category", "c.state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {EDGES_SQL} select source_key, target_key, 70 + cast(round(20 * confidence) as int) + case when source_key = 'order:7' then 40 else 0 end + case when relationship = 'uses_model' then 15 else 0 end as score from edges where relationship not in ('contains')""")
@@ -549,18 +606,84 @@ def evaluate_retrieval(spark, sf_dir):
     return reports.evaluated(retrieved, expected)
 
 
-@query(f"""with {NODES_SQL} select 'counts' as id, 180 as score, count(*) || ' nodes' as text from nodes union all select 'module:' || module_key, 80, module_key || ' (' || count(*) || ' symbols)' from nodes where module_key is not null group by module_key""")
-def module_overview(spark, sf_dir):
+# -- retrieval: the items that each public operation gathers
+
+
+def memory(spark: SparkSession, sf_dir: str) -> retrieve.Memory:
+    """The demo graph, regions as modules, suppliers as rules about themselves and conversations as changes."""
     n = nodes(spark, sf_dir)
-    total = n.agg(F.count(F.lit(1)).alias("n")).select(F.lit("counts").alias("id"), F.lit(180).alias("score"), F.format_string("%d nodes", "n").alias("text"))
-    by = n.where("module_key is not null").groupBy("module_key").agg(F.count(F.lit(1)).alias("n"))
-    return total.unionByName(by.select(F.concat(F.lit("module:"), "module_key").alias("id"), F.lit(80).alias("score"), F.format_string("%s (%d symbols)", "module_key", "n").alias("text")))
+    modules = table(spark, sf_dir, "region").select(F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")).alias("module_key"), F.col("r_name").alias("name"), F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")).alias("root_path"))
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    held = s.join(n.select("node_key", "content_hash"), key("supplier", "s_suppkey") == F.col("node_key"))
+    rules = held.select(
+        F.concat(F.lit("rule-"), F.lpad(k.cast("string"), 9, "0")).alias("knowledge_key"), F.lit("architectural_rule").alias("kind"), F.col("s_name").alias("title"), F.lit("stays where it is").alias("body"),
+        F.when(k % 3 == 0, "draft").otherwise("active").alias("state"), ((k % 11) / 10).alias("confidence"), F.when(k % 7 == 0, F.lit("2020-01-01").cast("timestamp")).alias("expires_at"),
+        F.array("node_key").alias("source_refs"), F.create_map("node_key", F.when(k % 5 == 0, F.lit("old")).otherwise(F.col("content_hash"))).alias("source_hashes"),
+    )
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("intent"), F.max_by("role", "turn").alias("validation"), F.lit(None).cast("string").alias("lessons"))
+    return retrieve.Memory(n, edges(spark, sf_dir), modules, rules, c)
+
+
+def gathered(spark: SparkSession, sf_dir: str, operation: str, **asked) -> DataFrame:  # noqa: ANN003
+    return retrieve.gather(memory(spark, sf_dir), operation, **asked).items.select("id", "score", "text")
+
 
+RULES_SQL = """rules as (select 'rule-' || lpad(cast(s_suppkey as varchar), 9, '0') as k, s_suppkey, s_name, least(1.0, (s_suppkey % 11) / 10.0) as confidence, 'region-' || n_regionkey as module_key from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 <> 0 and s_suppkey % 7 <> 0),
+top_rules as (select * from rules order by k limit 160),
+rule_items as (select 'knowledge:' || k as id, cast(120 + round(10 * confidence) as int) as score, 'Rule [active] architectural_rule: ' || s_name || '. stays where it is' as text from top_rules where s_suppkey % 5 <> 0)"""
 
-@query("""select conv_id, turn, 70 as score, role || ': ' || left(text, 80) as text from conversations where role <> 'system' order by conv_id desc, turn desc limit 10""")
+
+@query(f"""with {NODES_SQL}, {EDGES_SQL}, {RULES_SQL},
+c as (select (select count(*) from nodes) as n, (select count(*) from edges) as e, (select count(*) from region) as m, (select count(*) from supplier where s_suppkey % 3 <> 0) as r)
+select 'overview-counts' as id, 180 as score, 'Nodes: ' || n || '. Edges: ' || e || '. Modules: ' || m || '. Active stored rules: ' || r || '. Last run: never.' as text from c
+union all select 'module:region-' || r_regionkey, 80, 'Module region-' || r_regionkey || ' (' || r_name || ') root region-' || r_regionkey || ' symbols ' || coalesce(n, 0) || '.' from region left join (select module_key, count(*) as n from nodes where node_type <> 'file' group by 1) on module_key = 'region-' || r_regionkey
+union all select * from rule_items""")
+def project_overview(spark, sf_dir):
+    return gathered(spark, sf_dir, "project_overview")
+
+
+@query(f"with {RULES_SQL} select * from rule_items")
+def architecture_rules(spark, sf_dir):
+    return gathered(spark, sf_dir, "architecture_rules")
+
+
+@query("""select 'change:' || conv_id as id, 70 as score, trim('Change #' || conv_id || ' ' || arg_min(text, turn) || ' validation ' || arg_max(role, turn) || ' lessons none') as text from conversations group by conv_id order by conv_id desc limit 10""")
 def change_history(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role != 'system'").orderBy(F.desc("conv_id"), F.desc("turn")).limit(10)
-    return c.select("conv_id", "turn", F.lit(70).alias("score"), F.concat("role", F.lit(": "), F.substring("text", 1, 80)).alias("text"))
+    return gathered(spark, sf_dir, "change_history")
+
+
+def _edge_items_sql(seeds: str, owned: str = "false") -> str:
+    return f"""near as (select *, target_key in (select node_key from {seeds}) as incoming from edges where relationship not in ('contains', 'defines') and (target_key in (select node_key from {seeds}) or source_key in (select node_key from {seeds})) order by confidence desc, source_key, target_key, relationship limit 80),
+edge_items as (select 'edge:' || source_key || '>' || relationship || '>' || target_key as id, 70 + cast(round(20 * confidence) as int) + case when {owned} then 40 else 0 end + case when relationship = 'uses_model' then 15 else 0 end as score,
+  case when incoming then 'incoming ' else 'outgoing ' end || relationship || ' ' || case when incoming then s.symbol_name else t.symbol_name end || ' confidence ' || confidence || ' file ' || coalesce(case when incoming then s.file_path else t.file_path end, 'unresolved') as text
+  from near join nodes s on s.node_key = source_key join nodes t on t.node_key = target_key)"""
+
+
+@query(f"""with {NODES_SQL}, {EDGES_SQL}, own as (select * from nodes where module_key = 'region-1' and (contains(lower(symbol_name), 'customer') or contains(lower(file_path), 'customer'))),
+top as (select * from own order by case when contains(lower(symbol_name), 'customer') then 3 else 0 end + case when contains(lower(file_path), 'customer') then 1 else 0 end desc, node_type, symbol_name, node_key limit 160),
+seeds as (select node_key from top order by node_type, symbol_name, node_key limit 8), {_edge_items_sql('seeds')}, {RULES_SQL},
+own_rules as (select * from rules where module_key = 'region-1' order by k limit 160)
+select 'module-header:region-1' as id, 180 as score, 'Module region-1 ' || r_name || ' root region-1. No stored summary.' as text from region where r_regionkey = 1
+union all select node_key, case when node_type = 'method' then 140 else 150 end, node_type || ' ' || symbol_name || ' at ' || file_path || ':?. ' || node_type from top
+union all select * from edge_items
+union all select 'knowledge:' || k, cast(110 + round(10 * confidence) as int), 'Rule [active] architectural_rule: ' || s_name || '. stays where it is' from own_rules where s_suppkey % 5 <> 0""")
+def module_context(spark, sf_dir):
+    return gathered(spark, sf_dir, "module_context", module="region-1", query="Customer")
+
+
+@query(f"""with {NODES_SQL}, {EDGES_SQL}, found as (select * from nodes where node_key = 'customer:7'), {_edge_items_sql('found', "source_key = 'customer:7' or target_key = 'customer:7'")}
+select node_key as id, 180 as score, node_type || ' ' || symbol_name || ' at ' || file_path || ':?. ' || node_type as text from found union all select * from edge_items""")
+def symbol_lookup(spark, sf_dir):
+    return gathered(spark, sf_dir, "symbol_lookup", symbol="customer:7")
+
+
+@query(f"""with {NODES_SQL}, {EDGES_SQL},
+e as (select target_key as near, source_key as far, relationship, cast(confidence as double) as c from edges where relationship not in ('contains', 'defines')),
+l1 as (select far as k, relationship, c as edge, c from e where near = 'customer:7' qualify row_number() over (partition by far order by c desc, relationship) = 1)
+select 'impact-subject' as id, 180 as score, 'Subject ' || node_type || ' ' || symbol_name || ' ' || node_key as text from nodes where node_key = 'customer:7'
+union all select k || ':' || relationship || ':incoming', 85, 'd1 incoming ' || relationship || ' ' || symbol_name || ' confidence ' || printf('%.2f', c) || ' risk high file ' || file_path || '. Incoming ' || relationship || ' relationship.' from (select * from l1 order by edge desc, k limit 30) join nodes on k = node_key""")
+def impact_analysis(spark, sf_dir):
+    return gathered(spark, sf_dir, "impact_analysis", target="customer:7", depth=1)
 
 
 # -- cache, versions, overlays

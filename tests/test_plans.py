@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from test_operators import SERVICE
 
 from codeweft.plans import retrieve
@@ -37,16 +38,40 @@ def test_sync(spark, tmp_path):
 
 def test_retrieval(spark):
     n, e = nodes(spark, SF).cache(), edges(spark, SF).cache()
-    top = retrieve.packet(retrieve.overview(n), "overview", 100).first()
-    assert top.ids[0] == "counts" and top.used <= 400
-    m = retrieve.packet(retrieve.module_context(n, e, "region-1", "Customer"), "module").first()
-    assert m.ids[0] == "module:region-1" and len(m.ids) > 5
-    s = retrieve.packet(retrieve.symbol_lookup(n, e, "nation:3"), "symbol").first()
+    modules = spark.createDataFrame([("region-1", "AMERICA", "region-1")], "module_key string, name string, root_path string")
+    changes = spark.createDataFrame([(j, f"change {j}", None, None) for j in range(15)], "id int, intent string, validation string, lessons string")
+    runs = spark.createDataFrame([(1, "completed"), (2, "failed")], "run int, status string")
+    moved = n.where("file_path is not null").select(F.col("file_path").alias("path"), F.when(F.col("node_key") == "customer:7", "new").otherwise(F.col("content_hash")).alias("live_hash"))
+    rules = spark.createDataFrame([("r", "architectural_rule", "t", "b" * 50, "active", 0.9, None, [], None), ("s", "architectural_rule", "u", "c", "active", 0.5, None, ["gone"], None)], retrieve.KNOWLEDGE)
+    m = retrieve.Memory(n, e, modules, rules, changes, runs, moved)
+    top = retrieve.retrieve(m, "project_overview", 100).first()
+    assert top.ids[0] == "overview-counts" and top.used <= 400 and top.estimated_tokens <= 100 and any("did not complete" in w for w in top.warnings) and top.truncated
+    assert len(top.text.encode()) == top.used and top.text.startswith("project overview\n")
+    mod = retrieve.retrieve(m, "module_context", module="AMERICA", query="Customer").first()
+    assert mod.ids[0] == "module-header:region-1" and len(mod.ids) > 5 and mod.stale is False and mod.candidate_limit == 160
+    assert retrieve.retrieve(m, "module_context", module="nowhere").first().warnings[0].startswith("No indexed module")
+    s = retrieve.retrieve(m, "symbol_lookup", symbol="nation:3").first()
     assert s.ids[0] == "nation:3" and len(s.ids) > 1
-    i = retrieve.packet(retrieve.impact_analysis(n, e, "nation:3"), "impact").first()
-    assert i.ids[0] == "nation:3" and 1 < len(i.ids) <= 31
-    rules = spark.createDataFrame([("r", "t", "b" * 50, 0.9, True), ("s", "u", "c", 0.5, False)], "knowledge_key string, title string, body string, confidence double, valid boolean")
-    r = retrieve.packet(retrieve.architecture_rules(rules), "rules", 10).first()
-    assert r.ids == ["rule:r", "rule:s"] and r.compacted == 1
-    c = spark.createDataFrame([(j, f"change {j}", ["a"]) for j in range(15)], "id int, intent string, files array<string>")
-    assert sorted(retrieve.packet(retrieve.change_history(c), "history").first().ids) == sorted(f"change:{j}" for j in range(5, 15))
+    old = retrieve.retrieve(m, "symbol_lookup", symbol="customer:7").first()
+    assert old.stale and old.ids == ["customer:7"] and "stale or unresolved" in old.text and any("withheld" in w for w in old.warnings)
+    both = retrieve.retrieve(m, "symbol_lookup", symbol="customer:7", include_stale=True).first()
+    assert len(both.ids) > 1 and "[stale graph]" in both.text
+    i = retrieve.retrieve(m, "impact_analysis", target="nation:3").first()
+    assert i.ids[0] == "impact-subject" and 1 < len(i.ids) <= 31
+    whole = retrieve.retrieve(m, "impact_analysis", target="AMERICA", max_nodes=3).first()
+    assert len(whole.ids) == 4 and "impact_traversal" in whole.truncation_reasons
+    assert "Multiple symbols match" in retrieve.retrieve(m, "impact_analysis", target="CUSTOMER#").first().warnings[0]
+    r = retrieve.retrieve(m, "architecture_rules").first()
+    assert r.ids == ["knowledge:r"] and any("withheld" in w for w in r.warnings)
+    c = retrieve.retrieve(m, "change_history", limit=5)
+    assert sorted(c.first().ids) == sorted(f"change:{j}" for j in range(10, 15))
+    assert retrieve.retrieve(m, "poetry").first().warnings == ["Unknown context operation [poetry]."]
+    log = retrieve.telemetry(c, 12, F.lit("2024-01-01").cast("timestamp"), reported={"input": 5}).first()
+    assert (log.operation, log.latency_ms, log.reported_input_tokens, log.token_basis) == ("change_history", 12, 5, "mixed")
+
+
+def test_nested_views(spark):
+    n = spark.createDataFrame([(f"view:{c}", "blade_view", c, f"v/{c}", None, "h") for c in "abcd"], "node_key string, node_type string, symbol_name string, file_path string, module_key string, content_hash string")
+    e = spark.createDataFrame([("view:a", "view:b", "renders_view", 0.9), ("view:b", "view:c", "renders_view", 0.9), ("view:c", "view:a", "uses_component", 0.9)] + [("view:a", f"view:x{i:02d}", "renders_view", 0.9) for i in range(40)], "source_key string, target_key string, relationship string, confidence double")
+    got = retrieve.view_hops(retrieve.Memory(n, e), n.where("node_key = 'view:a'"), False)
+    assert {r.id: r.score for r in got.items.collect()} == {"view-hop:view:b": 162, "view-hop:view:c": 154} and got.limits == ["blade_include_hops"]
