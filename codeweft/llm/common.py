@@ -52,6 +52,22 @@ def text_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(7), t).alias("k2")]
 
 
+def labelled(labels: DataFrame, doc_id: str, label: str, fit_rows: int) -> DataFrame:
+    """(_id, _label) of about ``fit_rows`` ids at most, picked by a hash: one row for each id whose labels are 0 or 1, null ones aside, and
+    agree. Other ids are left out, null ids, too."""
+    rows = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_label"), F.max(label).alias("_other"))
+    rows = rows.where("_label = _other").select("_id", "_label")
+    share = fit_rows / max(rows.count(), 1)
+    return rows.where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+
+
+def one_text_each(documents: DataFrame, usable: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_id, _label, _text): the texts of labelled() ids, of several with one id the least, null last, so that an id which many rows
+    share counts once."""
+    rows = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(usable), "_id")
+    return rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,8 +79,12 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder inside the one that the cluster shares (spark.checkpoint.dir); a temporary one only if that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "codeweft-shared")
+    """A new folder inside the one that the cluster shares (spark.checkpoint.dir). Where that is unset, a temporary one will do for
+    a local session; a cluster's executors don't share one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    top = top or os.path.join(tempfile.gettempdir(), "codeweft-shared")
     return f"{top.rstrip('/')}/codeweft-{uuid.uuid4().hex}"
 
 

@@ -106,11 +106,14 @@ def mix(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "
 
 
 def mixed_rows(documents: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The mix itself: the rows of ``documents`` with all their columns, each as often as mix() takes it (a row without
-    words as often as its source is taken whole, and once more by the same cut)."""
+    """The mix itself: the rows of ``documents`` with all their columns, whatever their names, each as often as mix() takes it (a
+    row without words as often as its source is taken whole, and once more by the same cut)."""
     plan = plan_of(written(documents.select(*(c.alias(n) for n, c in sized(documents, text, source, doc_id).items()))))
-    out = copies(documents.withColumns({"_source": F.col(source), "_hash": row_hash(doc_id, text)}), plan)
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*documents.columns)
+    own = {c: f"_{i}" for i, c in enumerate(documents.columns)}
+    named = documents.select(*(documents[c].alias(n) for c, n in own.items()))
+    out = copies(named.withColumns({"_source": F.col(own[source]), "_hash": row_hash(own[doc_id], own[text])}), plan)
+    out = out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return out.select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 ORACLE = """

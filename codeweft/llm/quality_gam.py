@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import map_texts
+from codeweft.llm.common import labelled, map_texts, one_text_each
 
 #: At most about so many labelled rows are used to fit; they are picked by a hash, and all of them if there are fewer.
 FIT_ROWS = 20_000
@@ -177,14 +177,11 @@ def with_features(documents: DataFrame, text: str, keep: tuple[str | Column, ...
 def fit_quality(documents: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> Gam:
     """Learns from the labelled rows for which ``learn`` (a condition on the id) is true.
 
-    Labels other than 0 and 1, null labels and null ids are left out. About ``fit_rows`` labels at most, picked by a hash of
-    the id, are broadcast to the scan of the texts, and only their features come back: both are of bounded size.
+    About ``fit_rows`` labelled() ids at most are broadcast to the scan of the texts, and only their features come back, one row an
+    id: both are of bounded size.
     """
-    usable = labels.where(learn & F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_label"))
-    share = fit_rows / max(usable.count(), 1)
-    if share < 1:
-        usable = usable.where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(usable), "_id")
+    usable = labelled(labels.where(learn), doc_id, label, fit_rows).withColumn("_label", F.col("_label").cast("double"))
+    rows = one_text_each(documents, usable, doc_id, text)
     got = sorted((r["_id"], r["_label"], r["features"]) for r in with_features(rows, "_text", ("_id", "_label")).collect())
     return fit_gam(np.array([f for _, _, f in got]).reshape(len(got), len(FEATURES)), np.array([y for _, y, _ in got]))
 

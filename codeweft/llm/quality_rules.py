@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import WORD, written
+from codeweft.llm.common import WORD, labelled, one_text_each, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -119,15 +119,12 @@ def decision(rules: list[Rule]) -> Column:
 
 
 def fit_rules(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> list[Rule]:
-    """Learns rules for label 0. Labels other than 0 and 1, null labels and null ids are left out.
+    """Learns rules for label 0 from labelled() rows. Of conditions that gain equally the first by FEATURES, then the least cut, then
+    the one above it is taken.
 
     About ``fit_rows`` labels at most are broadcast to the scan of the texts; the driver sees counts by feature and bin.
     """
-    usable = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"))
-    share = fit_rows / max(usable.count(), 1)
-    if share < 1:
-        usable = usable.where(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = counted(documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(usable), "_id"), "_text")
+    rows = counted(one_text_each(documents, labelled(labels, doc_id, label, fit_rows), doc_id, text), "_text")
     seen = written(rows.select((F.crc32(F.col("_id").cast("string")) % 3 == 0).alias("prune"), (F.col("_label") == 0).alias("bad"), *COUNTS))
     names = [*FEATURES]
     got = seen.agg(*(F.percentile_approx(feature(f), [i / BINS for i in range(1, BINS)], 10_000) for f in names)).first()

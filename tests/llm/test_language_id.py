@@ -69,3 +69,21 @@ def test_labels_of_held_out_rows_have_no_influence(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     other = docs.withColumn("lang", F.when(held_out(), F.lit("xx")).otherwise(F.col("lang")))
     assert fit_profiles(docs, ~held_out()) == fit_profiles(other, ~held_out())
+
+
+def plain_best(text, profiles):
+    grams = sorted(plain_ngrams(text or "").items(), key=lambda x: (-x[1], key(x[0])))[:PROFILE]
+    if not grams or not profiles:
+        return "und", 0.0
+    far = {k: sum(abs(p.index(key(g)) - i) if key(g) in p else PROFILE for i, (g, _) in enumerate(grams)) for k, p in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (PROFILE * len(grams))
+
+
+def test_whole_table_matches_a_plain_ranking(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    profiles = fit_profiles(docs, ~held_out())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op1_language_id(spark, SF).collect():
+        best, score = plain_best(texts[r.doc_id], profiles)
+        assert r.lang_pred == best and abs(r.score - score) < 1e-12, r

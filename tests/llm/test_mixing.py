@@ -77,3 +77,15 @@ def test_odd_rows(spark):
         want[i, s] = want.get((i, s), 0) + n
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in want.items() if v}
     assert mixed_rows(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c", "s", "keeps", 7, 8), (2, "d", "t", "too", 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _source string, _hash int, _copies int")
+    got = mixed_rows(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 0
+
+
+def test_no_python_in_the_plan(spark):
+    plan = mix(spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -1,10 +1,11 @@
+import bisect
 import math
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import held_out
+from codeweft.llm.common import held_out, labelled, one_text_each
 from codeweft.llm.queries import op10_quality_gam
 from codeweft.llm.quality_gam import FEATURES, classify, features, fit_gam, fit_quality
 
@@ -45,3 +46,22 @@ def test_odd_rows(spark):
     assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
     assert [r.score for r in classify(docs, fit_quality(docs, labels.limit(0), ~held_out())).collect()] == [0.5] * 4
     assert classify(docs.limit(0), m).count() == 0
+
+
+def test_whole_table_matches_plain_additions(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    m = fit_quality(docs, labels, ~held_out())
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert m.pairs and len(m.tables) == len(FEATURES)
+    for r in op10_quality_gam(spark, SF).collect():
+        x = features(texts[r.doc_id])
+        z = m.base + sum(t[bisect.bisect_right(e.tolist(), v)] for e, t, v in zip(m.edges, m.tables, x))
+        z += sum(t[bisect.bisect_right(m.coarse[a].tolist(), x[a]), bisect.bisect_right(m.coarse[b].tolist(), x[b])] for (a, b), t in m.pairs.items())
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_an_id_of_many_rows_counts_once(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 50 + [(2, "c # d"), (3, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(2, 0), (3, 0), (3, 1)], "doc_id long, quality int")
+    usable = labelled(labels, "doc_id", "quality", 20_000)
+    assert sorted(map(tuple, one_text_each(docs, usable, "doc_id", "text").collect())) == [(1, 1, "a b"), (2, 0, "c # d")]

@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from codeweft.llm.common import held_out
 from codeweft.llm.queries import op7_quality_rules
 from codeweft.llm.quality_rules import counted, fit_rules, judge, kept_rows
 
@@ -68,3 +69,36 @@ def test_a_rule_of_two_conditions(spark):
 def test_no_python_in_the_plan(spark):
     plan = judge(spark.range(1).select(F.lit("a").alias("text")), [])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and counted(spark.range(1).select(F.lit("a").alias("text"))).count() == 1
+
+
+def plain_features(text):
+    text = text or ""
+    n, chars, symbols, dup_lines, repeated, _ = base(text)
+    lines = sum(1 for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+    share = lambda a, b: a / b if b else 0.0
+    return {
+        "chars_a_word": share(chars, n), "symbols_a_word": share(symbols, n), "repeated_lines": share(dup_lines, lines), "repeated_words": share(repeated, n),
+        "upper_case": share(len(re.findall("[A-Z]", text)), chars), "marks_a_word": share(len(re.findall(r"[!?;:()\[\]{}_=+~^@/\\-]", text)), n),
+    }
+
+
+def test_verdicts_match_plain_rules(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rules = fit_rules(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rules
+    for r in op7_quality_rules(spark, SF).collect():
+        x = plain_features(texts[r.doc_id])
+        met = [str(rule) for rule in rules if all((x[c.feature] > c.cut) == c.above for c in rule.conditions)]
+        assert r.rule == (met[0] if met else None)
+        assert r.kept == (not base(texts[r.doc_id])[-1] and not met)
+
+
+def test_held_out_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rules = fit_rules(docs, labels.where(~held_out()))
+    judged = {r.doc_id: r for r in judge(docs.where(held_out()), rules).collect()}
+    held = [(judged[r.doc_id], r.quality) for r in labels.where(held_out()).collect() if r.doc_id in judged and not judged[r.doc_id].base_failed]
+    bad, good = [r for r, y in held if y == 0], [r for r, y in held if y == 1]
+    print("held out: rejected", sum(not r.kept for r in bad), "of", len(bad), "bad ones and", sum(not r.kept for r in good), "of", len(good), "good ones")
+    assert sum(not r.kept for r in bad) >= 0.8 * len(bad) and sum(r.kept for r in good) >= 0.95 * len(good)
