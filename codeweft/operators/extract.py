@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.scoring import class_role
-from codeweft.functions.text import normalized_key, plural, singular, view_name
+from codeweft.functions.text import normalized_key, plural, singular, snake, view_name
 
-NODE = "node_key string, node_type string, symbol_name string, file_path string, content_hash string"
+NODE = "node_key string, node_type string, symbol_name string, file_path string, content_hash string, signature string, visibility string, adapts boolean"
 DECLARED = r"(?m)^\s*(?:(?:abstract|final|readonly)\s+)*(class|interface|trait|enum)\s+(\w+)(?:\s*:\s*\w+)?(?:\s+extends\s+([\w\\, ]+?))?(?:\s+implements\s+([\w\\,\s]+?))?\s*\{"
-METHOD = r"(?m)^\s*(?:(?:public|protected|private|static|abstract|final)\s+)*function\s+&?(\w+)\s*\("
+#: Modifiers and name of a method, up to the parenthesis that opens its parameters.
+METHOD = r"(?m)^\s*((?:(?:public|protected|private|static|abstract|final)\s+)*)function\s+&?(\w+)\s*\("
+PARAMETER = r"(?:^|,)\s*(?:(?:public|protected|private|readonly)\s+)*(\??[\w\\|&]+)\s+&?(?:\.\.\.)?\$\w+"
+PROPERTY = r"(?m)^\s*(?:(?:public|protected|private|static|readonly|var)\s+)+(\??[\w\\|&]+)\s+\$\w+\s*(?:=[^;]*)?;"
 #: The actions of a resource with their verbs and paths.
 RESOURCE = (("index", "GET", ""), ("create", "GET", "/create"), ("store", "POST", ""), ("show", "GET", "/{id}"), ("edit", "GET", "/{id}/edit"), ("update", "PUT", "/{id}"), ("destroy", "DELETE", "/{id}"))
 FORMS = ("create", "edit")
@@ -36,17 +39,42 @@ def full_name(name: Column, namespace: Column, imports: Column) -> Column:
     """A class name in full: absolute, imported by its last segment, or of the namespace."""
     own = F.when(namespace == "", name).otherwise(F.concat(namespace, F.lit("\\"), name))
     first = F.get(F.split(name, r"\\"), F.lit(0))
-    imported = F.get(F.filter(imports, lambda i: F.element_at(F.split(i, r"\\"), -1) == first), F.lit(0))
+    imported = F.get(F.filter(imports, lambda i: F.lower(i["alias"]) == F.lower(first)), F.lit(0))["name"]
     rest = F.substring(name, F.length(first) + 1, F.lit(1 << 20))
     return F.when(name.startswith("\\"), F.substring(name, 2, 1 << 20)).when(imported.isNotNull(), F.concat(imported, rest)).otherwise(own)
 
 
+def imports_of(code: Column) -> Column:
+    """Imports as (alias, name): single ones, with or without an alias, and those in groups; functions and constants aside."""
+    statement = r"(?m)^use\s+(?!function\b|const\b)\\?([\w\\]+(?:\\\{[^}]*\})?(?:\s+as\s+\w+)?)\s*;"
+    last = lambda name: F.element_at(F.split(name, r"\\"), -1)
+
+    def one(prefix: Column, entry: Column) -> Column:
+        name = F.concat(prefix, F.regexp_extract(entry, r"^\s*([\w\\]+)", 1))
+        alias = F.regexp_extract(entry, r"\s+as\s+(\w+)", 1)
+        return F.struct(F.when(alias != "", alias).otherwise(last(name)).alias("alias"), name.alias("name"))
+
+    def each(use: Column) -> Column:
+        prefix, group = F.regexp_extract(use, r"^([\w\\]*\\)\{", 1), F.regexp_extract(use, r"\{([^}]*)\}", 1)
+        entries = F.filter(F.split(group, ","), lambda e: F.trim(e) != "")
+        return F.when(use.contains("{"), F.transform(entries, lambda e: one(prefix, e))).otherwise(F.array(one(F.lit(""), use)))
+
+    return F.flatten(F.transform(all_of(code, statement), each))
+
+
+def class_types(declared_type: Column, namespace: Column, imports: Column, own: Column) -> Column:
+    """The classes that a type names, in full: parts of unions and intersections, nullable or not; built-in types aside."""
+    parts = F.split(F.regexp_replace(declared_type, r"[?\s]", ""), r"[|&]")
+    named = F.filter(parts, lambda t: t.rlike(r"^\\?[A-Z]") | t.isin("self", "static"))
+    return F.transform(named, lambda t: F.when(t.isin("self", "static"), own).otherwise(full_name(t, namespace, imports)))
+
+
 def declared(files: DataFrame) -> DataFrame:
     """files(path, text) -> one row for each class-like declaration: path, namespace, imports, kind, name, class_key, parents,
     interfaces, traits and the text of its body up to the next declaration."""
     code = without_comments(F.col("text"))
     rows = files.select("path", F.sha2("text", 256).alias("content_hash"), code.alias("code"))
-    rows = rows.withColumns({"namespace": F.regexp_extract("code", r"(?m)^\s*namespace\s+([\w\\]+)\s*;", 1), "imports": all_of(F.col("code"), r"(?m)^use\s+\\?([\w\\]+)\s*;")})
+    rows = rows.withColumns({"namespace": F.regexp_extract("code", r"(?m)^\s*namespace\s+([\w\\]+)\s*;", 1), "imports": imports_of(F.col("code"))})
     heads = F.arrays_zip(*(all_of(F.col("code"), DECLARED, g).alias(n) for g, n in ((1, "kind"), (2, "name"), (3, "extends"), (4, "implements"))))
     rows = rows.withColumns({"bodies": F.split("code", DECLARED), "heads": heads})
     rows = rows.select("path", "content_hash", "namespace", "imports", "bodies", F.posexplode("heads").alias("i", "h")).withColumn("body", F.get("bodies", F.col("i") + 1))
@@ -62,18 +90,28 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files: nodes as in NODE; edges(source_key, target_key, relationship, confidence, file_path)."""
     found = declared(files)
     file_key = F.concat(F.lit("file:"), F.col("path"))
-    methods = found.select("*", F.explode(F.array_distinct(all_of(F.col("body"), METHOD))).alias("method"))
+    # what a method declares and does is read from the text between its head and the next one's
+    spans = found.withColumn("parts", F.split("body", METHOD)).withColumn("heads", F.arrays_zip(all_of(F.col("body"), METHOD, 2).alias("method"), all_of(F.col("body"), METHOD, 1).alias("modifiers")))
+    spans = spans.select("*", F.posexplode("heads").alias("m", "head")).select("*", "head.method", "head.modifiers").withColumn("inner", F.get("parts", F.col("m") + 1))
+    spans = spans.withColumn("parameters", F.coalesce(balanced(F.col("inner")), F.lit("")))
+    spans = spans.withColumn("returns", F.regexp_extract(F.substring("inner", F.length("parameters") + 2, F.lit(1 << 20)), r"^\s*:\s*([?\w\\|&\s]+?)\s*[{;]", 1))
+    visibility = F.regexp_extract("modifiers", r"(private|protected)", 1)
+    signature = F.concat(F.col("method"), F.lit("("), F.regexp_replace(F.trim("parameters"), r"\s+", " "), F.lit(")"), F.when(F.col("returns") != "", F.concat(F.lit(": "), F.col("returns"))).otherwise(""))
+    methods = spans.withColumns({"signature": signature, "visibility": F.when(visibility == "", "public").otherwise(visibility)}).dropDuplicates(["path", "class_key", "method"])
     method_symbol = F.concat("fqcn", F.lit("::"), F.col("method"))
     method_key = normalized_key(F.concat(F.lit("method:"), method_symbol))
-    node = lambda df, key, kind, symbol: df.select(key.alias("node_key"), kind.alias("node_type"), symbol.alias("symbol_name"), F.col("path").alias("file_path"), "content_hash")
+    unset = {"signature": F.lit(None).cast("string"), "visibility": F.lit(None).cast("string"), "adapts": F.lit(None).cast("boolean")}
+    more = lambda df: [F.col(n) if n in df.columns else c.alias(n) for n, c in unset.items()]
+    node = lambda df, key, kind, symbol: df.select(key.alias("node_key"), kind.alias("node_type"), symbol.alias("symbol_name"), F.col("path").alias("file_path"), "content_hash", *more(df))
     role = class_role(F.col("kind"), F.col("name"), F.exists("interfaces", lambda i: i.endswith("ShouldQueue")))
     own_files = files.select("path", F.sha2("text", 256).alias("content_hash"))
-    nodes = node(own_files, file_key, F.lit("file"), F.lit(None).cast("string")).unionByName(node(found, F.col("class_key"), role, F.col("fqcn"))).unionByName(node(methods, method_key, F.lit("method"), method_symbol))
+    nodes = node(own_files, file_key, F.lit("file"), F.lit(None).cast("string")).unionByName(node(found.withColumn("adapts", F.col("body").rlike(r"(?m)^\s+use\s+[\w\\,\s]+\{")), F.col("class_key"), role, F.col("fqcn"))).unionByName(node(methods, method_key, F.lit("method"), method_symbol))
 
     edge = lambda df, source, target, rel, sure: df.select(source.alias("source_key"), target.alias("target_key"), F.lit(rel).alias("relationship"), F.lit(sure).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"))
     to_class = lambda name: normalized_key(F.concat(F.lit("class:"), name))
-    # what a method does is read from the text between its head and the next one's
-    spans = found.withColumn("parts", F.split("body", METHOD)).select("*", F.posexplode(all_of(F.col("body"), METHOD)).alias("m", "method")).withColumn("inner", F.get("parts", F.col("m") + 1))
+    typed = lambda df, types: df.select("*", F.explode(F.array_distinct(F.flatten(F.transform(types, lambda t: class_types(t, F.col("namespace"), F.col("imports"), F.col("fqcn")))))).alias("x"))
+    model = found.where(F.exists("parents", lambda c: c.rlike(r"(^|\\)(Model|Authenticatable|Pivot)$"))).withColumn("named", F.regexp_extract("body", r"\$table\s*=\s*['\"]([A-Za-z_]\w*)['\"]", 1))
+    of_model = lambda name: normalized_key(F.concat(F.lit("table:"), name))
     full = lambda c: full_name(c, F.col("namespace"), F.col("imports"))
     made = spans.select("*", F.explode(distinct_captures(F.col("inner"), r"\bnew\s+(\\?[A-Z][\w\\]*)")).alias("x"))
     called = spans.select("*", F.explode(F.array_distinct(F.arrays_zip(all_of(F.col("inner"), r"(\\?\b[A-Z][\w\\]*)::(\w+)\s*\(", 1).alias("c"), all_of(F.col("inner"), r"(\\?\b[A-Z][\w\\]*)::(\w+)\s*\(", 2).alias("f")))).alias("x"))
@@ -87,6 +125,10 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(edge(found.select("*", F.explode("parents").alias("x")), F.col("class_key"), to_class(F.col("x")), "extends", 0.95))
         .unionByName(edge(found.select("*", F.explode("interfaces").alias("x")), F.col("class_key"), to_class(F.col("x")), "implements", 0.95))
         .unionByName(edge(found.select("*", F.explode("traits").alias("x")), F.col("class_key"), to_class(F.col("x")), "uses_trait", 0.95))
+        .unionByName(edge(typed(found, all_of(F.col("body"), PROPERTY)), F.col("class_key"), to_class(F.col("x")), "depends_on", 0.95))
+        .unionByName(edge(typed(spans, F.concat(all_of(F.col("parameters"), PARAMETER), F.array("returns"))), method_key, to_class(F.col("x")), "depends_on", 0.95))
+        .unionByName(edge(model.where("named != ''"), F.col("class_key"), of_model(F.col("named")), "uses_table", 0.9))
+        .unionByName(edge(model.where("named = ''"), F.col("class_key"), of_model(snake(plural(F.col("name")))), "uses_table", 0.7))
         .unionByName(edge(made, method_key, to_class(full(F.col("x"))), "depends_on", 0.9))
         .unionByName(edge(called, method_key, normalized_key(F.concat(F.lit("method:"), full(F.col("x.c")), F.lit("::"), F.col("x.f"))), "calls", 0.85))
         .unionByName(edge(selfs, method_key, normalized_key(F.concat(F.lit("method:"), F.col("fqcn"), F.lit("::"), F.col("x"))), "calls", 0.85))
@@ -167,13 +209,31 @@ def resource_routes(resources: DataFrame, name: str, api: bool = False) -> DataF
     return rows.select(name, "a.action", "a.verb", F.concat(base, F.replace(F.col("a.tail"), F.lit("{id}"), parameter)).alias("uri"), F.concat(base, F.lit("."), F.col("a.action")).alias("route"))
 
 
+#: The calls that define a column, with its name as their argument.
+COLUMN_TYPES = (
+    "id", "increments", "tinyIncrements", "smallIncrements", "mediumIncrements", "bigIncrements", "char", "string", "tinyText", "text", "mediumText", "longText", "integer", "tinyInteger", "smallInteger",
+    "mediumInteger", "bigInteger", "unsignedInteger", "unsignedTinyInteger", "unsignedSmallInteger", "unsignedMediumInteger", "unsignedBigInteger", "float", "double", "decimal", "unsignedDecimal", "boolean",
+    "enum", "set", "json", "jsonb", "date", "dateTime", "dateTimeTz", "time", "timeTz", "timestamp", "timestampTz", "year", "binary", "uuid", "ulid", "ipAddress", "macAddress", "foreignId", "foreignUuid",
+    "foreignUlid", "geometry", "geography", "softDeletes", "softDeletesTz", "softDeletesDatetime", "rememberToken",
+)
+#: The columns that calls without a name stand for, with their types.
+IMPLIED = {
+    **{t: ((t, t),) for t in ("id", "uuid", "ulid")},
+    **{t: (("deleted_at", t),) for t in ("softDeletes", "softDeletesTz", "softDeletesDatetime")},
+    "rememberToken": (("remember_token", "rememberToken"),),
+    "timestamps": (("created_at", "timestamp"), ("updated_at", "timestamp")),
+    "timestampsTz": (("created_at", "timestampTz"), ("updated_at", "timestampTz")),
+}
+
+
 def migrations(files: DataFrame) -> DataFrame:
     """files(path, text) -> (path, operation, table, columns): tables that the forward part of a migration defines."""
     forward = F.regexp_replace(without_comments(F.col("text")), r"(?s)function\s+down\b.*", "")
     pattern = r"Schema::(create|table|drop|dropIfExists)\(\s*['\"](\w+)['\"]"
     rows = files.select("path", F.split(forward, pattern).alias("bodies"), F.posexplode(F.arrays_zip(all_of(forward, pattern, 1).alias("operation"), all_of(forward, pattern, 2).alias("table"))).alias("i", "s"))
     body = F.get("bodies", F.col("i") + 1)
-    column = r"\$\w+->(\w+)\(\s*['\"](\w+)['\"]"
+    column = rf"\$\w+->({"|".join(COLUMN_TYPES)})\(\s*['\"](\w+)['\"]"
     own = F.arrays_zip(all_of(body, column, 2).alias("name"), all_of(body, column, 1).alias("type"))
-    stamps = F.when(body.contains("->timestamps("), F.array(*(F.struct(F.lit(n).alias("name"), F.lit("timestamp").alias("type")) for n in ("created_at", "updated_at")))).otherwise(F.array().cast("array<struct<name:string,type:string>>"))
-    return rows.select("path", F.col("s.operation").alias("operation"), F.col("s.table").alias("table"), F.concat(own, stamps).alias("columns"))
+    none = F.array().cast("array<struct<name:string,type:string>>")
+    given = [F.when(body.rlike(rf"->{call}\(\s*\)"), F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in made))).otherwise(none) for call, made in IMPLIED.items()]
+    return rows.select("path", F.col("s.operation").alias("operation"), F.col("s.table").alias("table"), F.concat(own, *given).alias("columns"))

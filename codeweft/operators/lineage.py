@@ -5,16 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a temporary folder will do for a local session; a
+    cluster's executors don't share one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (shared or os.path.join(tempfile.gettempdir(), "codeweft-checkpoints")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes a table once and keeps it in the shared folder named by spark.checkpoint.dir. Where that is unset, a temporary
-    folder will do for a local session; a cluster's executors don't share one."""
+    """Computes a table once and keeps it in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "codeweft-checkpoints"))
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.operators import changes, extract, knowledge
+from codeweft.operators import changes, extract, graph, knowledge
 from codeweft.operators.lineage import cut
 from codeweft.sources.files import unchanged
 from codeweft.store import SnapshotStore
 
-FINGERPRINT = "regex-1"
-NODES = "node_key string, node_type string, symbol_name string, file_path string, content_hash string, stub boolean"
-EDGES = "source_key string, target_key string, relationship string, confidence decimal(3,2), file_path string"
+#: Names the extractor as it is: when it changes, stored files count as changed.
+FINGERPRINT = hashlib.sha256(inspect.getsource(extract).encode()).hexdigest()[:16]
+NODES = f"{extract.NODE}, stub boolean"
+EDGES = "source_key string, target_key string, relationship string, confidence decimal(3,2), file_path string, resolution string, original_target string"
+META = "identity string"
 FILES = "path string, content_hash string, fingerprint string"
 RUNS = "run int, scope string, status string, scanned long, updated long, skipped long, deleted long, errors array<string>"
 
@@ -28,22 +32,26 @@ class Run:
     errors: tuple[str, ...] = ()
 
 
-def sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str = "incremental", force: bool = False, fingerprint: str = FINGERPRINT, as_of: Column | None = None) -> Run:
+def sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str = "incremental", force: bool = False, fingerprint: str = FINGERPRINT, as_of: Column | None = None, identity: str | None = None) -> Run:
     """files(path, text): all admitted files of now. Files of equal hash and fingerprint are skipped unless ``force``.
 
     A declaration that two files make is an error, and any error leaves the stored version as it is. Nodes that a changed or
     deleted file no longer declares become stubs while an edge leads to them and go otherwise; unknown ends of edges
-    become stubs. Stored knowledge that rests on what changed is invalidated in the same version.
+    become stubs. Calls of methods that a class inherits lead to the declaring one. Stored knowledge that rests on what
+    changed is invalidated in the same version. A store that was made for another ``identity`` is left alone.
     """
     if not store.lock():
         return Run("locked")
     try:
-        return _sync(store, files, roots, scope, force, fingerprint, as_of)
+        held = store.read("meta").first()["identity"] if store.has("meta") else None
+        if held is not None and identity is not None and held != identity:
+            return Run("refused", errors=(f"the store belongs to {held}",))
+        return _sync(store, files, roots, scope, force, fingerprint, as_of, identity or held)
     finally:
         store.unlock()
 
 
-def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str, force: bool, fingerprint: str, as_of) -> Run:  # noqa: ANN001
+def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str, force: bool, fingerprint: str, as_of, identity: str | None) -> Run:  # noqa: ANN001
     spark = store.spark
     stored = lambda name, schema: (d if (d := store.read(name)) is not None else spark.createDataFrame([], schema))
     old_files, old_nodes, old_edges, runs = stored("files", FILES), stored("nodes", NODES), stored("edges", EDGES), stored("runs", RUNS)
@@ -54,7 +62,8 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     counts["skipped"] = counts["scanned"] - counts["updated"]
 
     nodes, edges = extract.graph_of(todo.select("path", "text"))
-    nodes, edges = cut(nodes.withColumn("stub", F.lit(False))), cut(edges)
+    nodes, edges = cut(nodes.withColumn("stub", F.lit(False))), cut(edges.withColumns({"resolution": F.lit(None).cast("string"), "original_target": F.lit(None).cast("string")}))
+    meta = {"meta": spark.createDataFrame([(identity,)], META)} if identity else {}
     touched = todo.select(F.col("path").alias("file_path")).union(missing.select(F.col("path").alias("file_path")))
     kept = old_nodes.join(touched, "file_path", "left_anti").select(*old_nodes.columns)
     declared = kept.where("not stub").select("node_key", "file_path").union(nodes.select("node_key", "file_path"))
@@ -63,14 +72,16 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     log = lambda status: runs.unionByName(spark.createDataFrame([(number, scope, status, counts["scanned"], counts["updated"], counts["skipped"], counts["deleted"], errors)], RUNS))
     if errors:
         if store.version():
-            store.publish({"files": old_files, "nodes": old_nodes, "edges": old_edges, "runs": log("failed")} | ({"knowledge": store.read("knowledge")} if store.has("knowledge") else {}))
+            store.publish({"files": old_files, "nodes": old_nodes, "edges": old_edges, "runs": log("failed")} | meta | ({"knowledge": store.read("knowledge")} if store.has("knowledge") else {}))
         return Run("failed", 0, counts["skipped"], 0, tuple(errors))
 
-    all_edges = changes.combined_edges(old_edges.join(touched, "file_path", "left_anti").select(*old_edges.columns).unionByName(edges), ["file_path"])
+    every = old_edges.join(touched, "file_path", "left_anti").select(*old_edges.columns).unionByName(edges)
+    all_edges = cut(linked(every, kept.where("not stub").unionByName(nodes.select(*kept.columns))))
     gone = old_nodes.join(touched, "file_path", "left_semi").join(nodes.select("node_key"), "node_key", "left_anti")
     outcome = cut(changes.retired(gone, all_edges))
     to_stub = gone.join(outcome.where("outcome = 'stub'"), "node_key", "left_semi").where("node_type != 'file'")
-    as_stub = lambda df: df.select("node_key", "node_type", "symbol_name", F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("content_hash"), F.lit(True).alias("stub"))
+    gone_with = ("file_path", "content_hash", "signature", "visibility")
+    as_stub = lambda df: df.select("node_key", "node_type", "symbol_name", *(F.lit(None).cast("string").alias(c) for c in gone_with), F.lit(None).cast("boolean").alias("adapts"), F.lit(True).alias("stub"))
     merged = changes.inserted(kept.where("not stub").unionByName(nodes).select(*old_nodes.columns), kept.where("stub").unionByName(as_stub(to_stub)).select(*old_nodes.columns), "node_key")
     kind = F.get(F.split("node_key", ":"), F.lit(0))
     ends = all_edges.select(F.col("source_key").alias("node_key")).union(all_edges.select(F.col("target_key").alias("node_key"))).distinct()
@@ -80,7 +91,7 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
 
     now = live.select("path", "content_hash", F.lit(fingerprint).alias("fingerprint"))
     rest = old_files.join(now, "path", "left_anti").join(missing, "path", "left_anti").select(*old_files.columns)
-    tables = {"files": now.unionByName(rest), "nodes": final, "edges": all_edges, "runs": log("completed")}
+    tables = {"files": now.unionByName(rest), "nodes": final, "edges": all_edges, "runs": log("completed")} | meta
     if store.has("knowledge"):
         delta = changes.difference(old_nodes.where("not stub"), final.where("not stub"), "node_key", "content_hash").where("change in ('changed', 'removed')")
         fresh = delta.join(final.select("node_key", "content_hash"), "node_key", "left").select("node_key", F.when(F.col("change") == "changed", F.col("content_hash")).alias("new_hash"))
@@ -89,3 +100,29 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
         tables["knowledge"] = k.join(stale, "knowledge_key", "left").withColumn("state", F.coalesce("_state", "state")).select(*k.columns)
     store.publish(tables)
     return Run("completed", counts["updated"], counts["skipped"], counts["deleted"])
+
+
+def linked(edges: DataFrame, declared: DataFrame) -> DataFrame:
+    """Edges of which calls lead to the method that a class inherits: what they named is kept in original_target, so that the next
+    run can judge anew, and resolution tells what was found. An inherited method is no surer than 0.85."""
+    named = edges.withColumns({"target_key": F.coalesce("original_target", "target_key"), "resolution": F.lit(None).cast("string"), "original_target": F.lit(None).cast("string")})
+    calls = (F.col("relationship") == "calls") & F.col("target_key").startswith("method:")
+    known = declared.where("node_type = 'method'").select("node_key", "visibility")
+    owner = lambda key: F.concat(F.lit("class:"), F.regexp_extract(key, r"^method:(.*)::[^:]*$", 1))
+    name = lambda key: F.regexp_extract(key, r"::([^:]*)$", 1)
+    asked = named.where(calls).select("target_key").distinct().join(known.select(F.col("node_key").alias("target_key")), "target_key", "left_anti")
+    classes = declared.where(F.col("node_key").startswith("class:")).select(F.col("node_key").alias("class_key"), "adapts")
+    methods = known.select(owner(F.col("node_key")).alias("class_key"), name(F.col("node_key")).alias("name"), F.col("node_key").alias("method_key"), (F.col("visibility") == "private").alias("private"))
+    parents = named.where(F.col("relationship").isin("extends", "uses_trait")).select(F.col("source_key").alias("class_key"), F.col("target_key").alias("parent_key"), F.when(F.col("relationship") == "uses_trait", "trait").otherwise("extends").alias("kind"))
+    found = graph.inherited_methods(classes, methods, parents, asked.select(owner(F.col("target_key")).alias("class_key"), name(F.col("target_key")).alias("name")))
+    by_key = asked.select("target_key", F.lower(owner(F.col("target_key"))).alias("class_key"), F.lower(name(F.col("target_key"))).alias("name")).join(found, ["class_key", "name"])
+    by_key = by_key.where("state = 'resolved'").select("target_key", F.col("method_key").alias("_to"))
+    rows = named.join(by_key, "target_key", "left")
+    moved = F.col("_to").isNotNull() & calls
+    same = F.lower("_to") == F.lower("target_key")
+    rows = rows.withColumns({
+        "resolution": F.when(moved, F.when(same, "declared_method").otherwise("inherited_method")),
+        "original_target": F.when(moved, F.col("target_key")),
+        "confidence": F.when(moved & ~same, F.least(F.col("confidence"), F.lit(0.85).cast("decimal(3,2)"))).otherwise(F.col("confidence")),
+    })
+    return changes.combined_edges(rows.withColumn("target_key", F.when(moved, F.col("_to")).otherwise(F.col("target_key"))).select(*edges.columns), ["file_path"])

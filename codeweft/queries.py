@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import scoring, text
 from codeweft.operators import cache, changes, extract, graph, knowledge, reports, search
-from codeweft.operators.lineage import cut
+from codeweft.operators.lineage import checkpoint_dir, cut
 from codeweft.plans import retrieve
 from codeweft.plans.demo_graph import EDGES_SQL, NODES_SQL, edges, key, nodes, table
+from codeweft.plans.sync import sync
 from codeweft.sources import files
+from codeweft.store import SnapshotStore
 from codeweft.streaming.incremental import counted_windows, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -739,3 +742,84 @@ def facade_bindings(spark, sf_dir):
     bound = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("k")).agg(F.collect_set("p_brand").alias("concretes"))
     state = F.when(F.col("concretes").isNull(), "external").when(F.size("concretes") > 1, "ambiguous").otherwise("partially_resolved")
     return o.join(bound, "k", "left").select("o_orderkey", state.alias("state"))
+
+
+# -- extraction and synchronisation, over literal sources
+
+ORDER_PHP = r"""<?php
+namespace App\Models;
+
+use Illuminate\Database\Eloquent\Model;
+use App\Support\{Money as Cash, Tax};
+use App\Contracts\Billable as Bills;
+
+class Order extends Model implements Bills
+{
+    use Logs;
+    protected $table = 'orders_v2';
+    private ?Cash $total;
+
+    public function __construct(private Tax $tax, array $n = array(1, 2)) { }
+
+    private function owner(): User|null { return new User(); }
+
+    public function close(self $other) { $this->note(); return $this->missing(); }
+}
+"""
+LOGS_PHP = r"""<?php
+namespace App\Models;
+
+trait Logs
+{
+    public function note() { return Audit::write(1); }
+}
+"""
+M = "App\\Models\\"
+
+
+def literal_sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("app/Models/Order.php", ORDER_PHP), ("app/Models/Logs.php", LOGS_PHP)], "path string, text string")
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+ORDER, LOGS, IN_ORDER, IN_LOGS = f"class:{M}Order", f"class:{M}Logs", "file:app/Models/Order.php", "file:app/Models/Logs.php"
+EXTRACTED = [
+    *((IN_ORDER, t, "defines", 1.0) for t in (ORDER, *(f"method:{M}Order::{m}" for m in ("__construct", "owner", "close")))),
+    *((ORDER, f"method:{M}Order::{m}", "contains", 1.0) for m in ("__construct", "owner", "close")),
+    (IN_LOGS, LOGS, "defines", 1.0), (IN_LOGS, f"method:{M}Logs::note", "defines", 1.0), (LOGS, f"method:{M}Logs::note", "contains", 1.0),
+    (ORDER, "class:Illuminate\\Database\\Eloquent\\Model", "extends", 0.95), (ORDER, "class:App\\Contracts\\Billable", "implements", 0.95), (ORDER, LOGS, "uses_trait", 0.95),
+    (ORDER, "table:orders_v2", "uses_table", 0.9), (ORDER, "class:App\\Support\\Money", "depends_on", 0.95),
+    (f"method:{M}Order::__construct", "class:App\\Support\\Tax", "depends_on", 0.95), (f"method:{M}Order::owner", f"class:{M}User", "depends_on", 0.95), (f"method:{M}Order::close", ORDER, "depends_on", 0.95),
+    (f"method:{M}Order::close", f"method:{M}Order::note", "calls", 0.85), (f"method:{M}Order::close", f"method:{M}Order::missing", "calls", 0.85), (f"method:{M}Logs::note", f"method:{M}Audit::write", "calls", 0.85),
+]
+
+
+@query(f"select * from (values {_values(EXTRACTED)}) x(source_key, target_key, relationship, confidence)")
+def extracted_edges(spark, sf_dir):
+    """Aliased and grouped imports, property, promoted, parameter and return types, traits, tables, calls."""
+    _, e = extract.graph_of(literal_sources(spark))
+    return changes.combined_edges(e, ["file_path"]).select("source_key", "target_key", "relationship", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query(f"""select * from (values {_values([(f"method:{M}Order::__construct", "__construct(private Tax $tax, array $n = array(1, 2))", "public"), (f"method:{M}Order::owner", "owner(): User|null", "private"), (f"method:{M}Order::close", "close(self $other)", "public"), (f"method:{M}Logs::note", "note()", "public")])}) x(node_key, signature, visibility)""")
+def method_signatures(spark, sf_dir):
+    n, _ = extract.graph_of(literal_sources(spark))
+    return n.where("node_type = 'method'").select("node_key", "signature", "visibility")
+
+
+LINKED = [(f"method:{M}Order::close", f"method:{M}Logs::note", "inherited_method", f"method:{M}Order::note"), (f"method:{M}Order::close", f"method:{M}Order::missing", None, None), (f"method:{M}Logs::note", f"method:{M}Audit::write", None, None)]
+
+
+@query(f"""select * from (values {_values([(*r, 'second') for r in LINKED])}) x(source_key, target_key, resolution, original_target, run)
+union all select 'completed', 'updated', '1', 'skipped', '1'""")
+def sync_incremental(spark, sf_dir):
+    """A full run, then one in which a single file has changed: calls as they are linked at the end, and what the last run did."""
+    store = SnapshotStore(spark, f"{checkpoint_dir(spark)}/sync-{uuid.uuid4().hex}")
+    sync(store, literal_sources(spark), ["app"], "full")
+    again = literal_sources(spark).withColumn("text", F.when(F.col("path").endswith("Logs.php"), F.concat("text", F.lit("// changed"))).otherwise(F.col("text")))
+    done = sync(store, again, ["app"])
+    calls = store.read("edges").where("relationship = 'calls'").select("source_key", "target_key", "resolution", "original_target", F.lit("second").alias("run"))
+    return calls.unionByName(spark.createDataFrame([(done.status, "updated", str(done.updated), "skipped", str(done.skipped))], "source_key string, target_key string, resolution string, original_target string, run string"))

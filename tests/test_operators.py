@@ -155,9 +155,9 @@ def test_templates_routes_migrations(spark):
     assert [(d["name"], d["arguments"]) for d in value(spark, extract.directives(F.lit(deep)))] == [("php", "(" * 50 + "1" + ")" * 50), ("include", "'a)b(', [\"c\\\")\"]")]
     w = spark.createDataFrame([("routes/web.php", "Route::get('/a/{id}', [AController::class, 'show'])->name('a.show');\n// Route::get('/no', 'X@y');\nRoute::post('/b', 'B@store');")], "path string, text string")
     assert [(x.verb, x.uri, x.name, x.action) for x in extract.routes(w).collect()] == [("GET", "/a/{id}", "a.show", "AController::show"), ("POST", "/b", None, "B@store")]
-    m = spark.createDataFrame([("m.php", "function up() { Schema::create('orders', function ($t) { $t->id(); $t->string('name'); $t->timestamps(); }); }\nfunction down() { Schema::drop('orders'); }")], "path string, text string")
+    m = spark.createDataFrame([("m.php", "function up() { Schema::create('orders', function ($t) { $t->id(); $t->string('name'); $t->index('name'); $t->timestamps(); $t->softDeletes(); }); }\nfunction down() { Schema::drop('orders'); }")], "path string, text string")
     got = extract.migrations(m).collect()
-    assert [(x.operation, x.table, [c["name"] for c in x.columns]) for x in got] == [("create", "orders", ["name", "created_at", "updated_at"])]
+    assert [(x.operation, x.table, [c["name"] for c in x.columns]) for x in got] == [("create", "orders", ["name", "id", "deleted_at", "created_at", "updated_at"])]
 
 
 def test_files_and_modules(spark, tmp_path):

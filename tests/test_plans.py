@@ -36,6 +36,20 @@ def test_sync(spark, tmp_path):
     assert store.lock() and sync(store, tree(service), ["app"]).status == "locked"
 
 
+def test_identity_and_inherited_calls(spark, tmp_path):
+    store = SnapshotStore(spark, f"file:{tmp_path}/i")
+    source = lambda name, rest: (f"app/{name}.php", f"<?php\nnamespace App;\nclass {name} {rest}\n")
+    child = source("Child", "extends Base { public function go() { return $this->run(); } }".replace("{ public", "{\n public"))
+    base, other = source("Base", "{\n public function run() { return 1; }\n}"), source("Base", "{\n}")
+    tree = lambda *f: spark.createDataFrame(list(f), "path string, text string")
+    call = lambda: [(r.target_key, r.resolution) for r in store.read("edges").where("relationship = 'calls'").collect()]
+    assert sync(store, tree(child, base), ["app"], "full", identity="here").status == "completed"
+    assert call() == [("method:App\\Base::run", "inherited_method")]
+    assert sync(store, tree(child), ["app"], identity="elsewhere").status == "refused" and store.version() == 1
+    assert sync(store, tree(child, other), ["app"], identity="here").updated == 1  # the declaration goes, the call stays as it was written
+    assert call() == [("method:App\\Child::run", None)]
+
+
 def test_retrieval(spark):
     n, e = nodes(spark, SF).cache(), edges(spark, SF).cache()
     modules = spark.createDataFrame([("region-1", "AMERICA", "region-1")], "module_key string, name string, root_path string")
