@@ -56,6 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: doc_id, n_tokens, token_bytes, decoded_sha256, one for each time that the mix takes a document.
+
+    A null text counts as empty and goes with the first stage, as all texts of fewer than 50 words do. Repeated rows and near
+    copies leave one row, that of the least id, null after all others. Further columns of documents, whatever their names, go
+    along up to the last stage and have no influence. An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
