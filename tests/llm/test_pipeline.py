@@ -56,3 +56,15 @@ def test_run_matches_a_plain_version(spark):
         ids = LIB.encode(clean[r.doc_id].text, add_special_tokens=False).ids
         assert array("I", bytes(r.token_bytes)).tolist() == ids and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(LIB.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_odd_tables(spark, tmp_path):
+    good = " ".join(f"word{i} of text." for i in range(40))
+    rows = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, good, "en", None, 9), (3, good, "en", None, 9), (None, good + " more", "en", "s", 9), (4, f"{good} token=abcdef123 {good[::-1]}", None, "s", 9)]
+    df = spark.createDataFrame([(*r, "keep", "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _source string, _0 string")
+    for name, docs in (("full", df), ("empty", df.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert out and {r.doc_id for r in out} <= {3, 4} and all(r.n_tokens > 0 for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
