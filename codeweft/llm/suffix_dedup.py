@@ -28,6 +28,9 @@ LENGTH, GRAM = 200, 32
 PIECE = 1 << 20
 #: Contexts of one anchor compared in one place; those of a more frequent anchor are dealt into cells.
 BLOCK_ROWS = 4096
+#: Places of one anchor in a text count as so many contexts at most, if they are more than its contexts: a passage that texts repeat
+#: is dealt into more cells. A cell is never sized for fewer contexts than there are.
+SPREAD = 64
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -206,7 +209,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, text: str = "tex
     ship_package(documents.sparkSession)
     table = anchor_table(documents, length, text)
     text_of = F.xxhash64("k1", "k2")
-    seen = table.groupBy("h").agg(F.min(text_of).alias("first"), F.max(text_of).alias("last"), F.max(F.size("at")).alias("most"), F.sum("contexts").alias("group_rows"))
+    seen = table.groupBy("h").agg(F.min(text_of).alias("first"), F.max(text_of).alias("last"), F.max(F.size("at")).alias("most"), F.sum(F.greatest("contexts", F.least(F.size("at"), F.lit(SPREAD)))).alias("group_rows"))
     whole_blocks = (F.ceil(F.col("group_rows") / BLOCK_ROWS) * BLOCK_ROWS).alias("group_rows")  # few different values, which shuffles compress
     seen = seen.where("first < last or most > 1").select("h", whole_blocks)
     found = table.join(dealt(seen), "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "group_rows", "at")).alias("found"))
