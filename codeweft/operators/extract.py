@@ -18,6 +18,8 @@ DECLARED = r"(?m)^\s*(?:(?:abstract|final|readonly)\s+)*(class|interface|trait|e
 METHOD = r"(?m)^\s*((?:(?:public|protected|private|static|abstract|final)\s+)*)function\s+&?(\w+)\s*\("
 PARAMETER = r"(?:^|,)\s*(?:(?:public|protected|private|readonly)\s+)*(\??[\w\\|&]+)\s+&?(?:\.\.\.)?\$\w+"
 PROPERTY = r"(?m)^\s*(?:(?:public|protected|private|static|readonly|var)\s+)+(\??[\w\\|&]+)\s+\$\w+\s*(?:=[^;]*)?;"
+#: Attributes at the end of a text, that is, just before what follows it.
+ATTRIBUTES = r"(?s)((?:#\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]\s*+)++)$"
 #: The actions of a resource with their verbs and paths.
 RESOURCE = (("index", "GET", ""), ("create", "GET", "/create"), ("store", "POST", ""), ("show", "GET", "/{id}"), ("edit", "GET", "/{id}/edit"), ("update", "PUT", "/{id}"), ("destroy", "DELETE", "/{id}"))
 FORMS = ("create", "edit")
@@ -71,30 +73,35 @@ def class_types(declared_type: Column, namespace: Column, imports: Column, own:
 
 def declared(files: DataFrame) -> DataFrame:
     """files(path, text) -> one row for each class-like declaration: path, namespace, imports, kind, name, class_key, parents,
-    interfaces, traits and the text of its body up to the next declaration."""
+    interfaces, traits, the text of the attributes before it and that of its body up to the next declaration."""
     code = without_comments(F.col("text"))
     rows = files.select("path", F.sha2("text", 256).alias("content_hash"), code.alias("code"))
     rows = rows.withColumns({"namespace": F.regexp_extract("code", r"(?m)^\s*namespace\s+([\w\\]+)\s*;", 1), "imports": imports_of(F.col("code"))})
     heads = F.arrays_zip(*(all_of(F.col("code"), DECLARED, g).alias(n) for g, n in ((1, "kind"), (2, "name"), (3, "extends"), (4, "implements"))))
     rows = rows.withColumns({"bodies": F.split("code", DECLARED), "heads": heads})
-    rows = rows.select("path", "content_hash", "namespace", "imports", "bodies", F.posexplode("heads").alias("i", "h")).withColumn("body", F.get("bodies", F.col("i") + 1))
+    rows = rows.select("path", "content_hash", "namespace", "imports", "bodies", F.posexplode("heads").alias("i", "h")).withColumns({"body": F.get("bodies", F.col("i") + 1), "attributes": F.regexp_extract(F.get("bodies", F.col("i")), ATTRIBUTES, 1)})
     names = lambda c: F.transform(F.filter(F.split(c, r"\s*,\s*"), lambda x: F.trim(x) != ""), lambda x: full_name(F.trim(x), F.col("namespace"), F.col("imports")))
     name = F.col("h.name")
     fqcn = F.when(F.col("namespace") == "", name).otherwise(F.concat("namespace", F.lit("\\"), name))
     traits = F.flatten(F.transform(all_of(F.col("body"), r"(?m)^\s+use\s+([\w\\,\s]+?)\s*[;{]"), lambda t: F.split(t, r"\s*,\s*")))
     resolve = lambda a: F.transform(a, lambda x: full_name(x, F.col("namespace"), F.col("imports")))
-    return rows.select("path", "content_hash", "namespace", "imports", F.col("h.kind").alias("kind"), name.alias("name"), fqcn.alias("fqcn"), normalized_key(F.concat(F.lit("class:"), fqcn)).alias("class_key"), names(F.col("h.extends")).alias("parents"), names(F.col("h.implements")).alias("interfaces"), resolve(traits).alias("traits"), "body")
+    return rows.select("path", "content_hash", "namespace", "imports", F.col("h.kind").alias("kind"), name.alias("name"), fqcn.alias("fqcn"), normalized_key(F.concat(F.lit("class:"), fqcn)).alias("class_key"), names(F.col("h.extends")).alias("parents"), names(F.col("h.implements")).alias("interfaces"), resolve(traits).alias("traits"), "attributes", "body")
+
+
+def methods_of(found: DataFrame) -> DataFrame:
+    """Declarations, one row for each of their methods: its name, modifiers, parameters, return type, and in ``inner`` the text between
+    its head and the next one's."""
+    rows = found.withColumn("parts", F.split("body", METHOD)).withColumn("heads", F.arrays_zip(all_of(F.col("body"), METHOD, 2).alias("method"), all_of(F.col("body"), METHOD, 1).alias("modifiers")))
+    rows = rows.select("*", F.posexplode("heads").alias("m", "head")).select("*", "head.method", "head.modifiers").withColumn("inner", F.get("parts", F.col("m") + 1))
+    rows = rows.withColumn("parameters", F.coalesce(balanced(F.col("inner")), F.lit("")))
+    return rows.withColumn("returns", F.regexp_extract(F.substring("inner", F.length("parameters") + 2, F.lit(1 << 20)), r"^\s*:\s*([?\w\\|&\s]+?)\s*[{;]", 1))
 
 
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files: nodes as in NODE; edges(source_key, target_key, relationship, confidence, file_path)."""
     found = declared(files)
     file_key = F.concat(F.lit("file:"), F.col("path"))
-    # what a method declares and does is read from the text between its head and the next one's
-    spans = found.withColumn("parts", F.split("body", METHOD)).withColumn("heads", F.arrays_zip(all_of(F.col("body"), METHOD, 2).alias("method"), all_of(F.col("body"), METHOD, 1).alias("modifiers")))
-    spans = spans.select("*", F.posexplode("heads").alias("m", "head")).select("*", "head.method", "head.modifiers").withColumn("inner", F.get("parts", F.col("m") + 1))
-    spans = spans.withColumn("parameters", F.coalesce(balanced(F.col("inner")), F.lit("")))
-    spans = spans.withColumn("returns", F.regexp_extract(F.substring("inner", F.length("parameters") + 2, F.lit(1 << 20)), r"^\s*:\s*([?\w\\|&\s]+?)\s*[{;]", 1))
+    spans = methods_of(found)
     visibility = F.regexp_extract("modifiers", r"(private|protected)", 1)
     signature = F.concat(F.col("method"), F.lit("("), F.regexp_replace(F.trim("parameters"), r"\s+", " "), F.lit(")"), F.when(F.col("returns") != "", F.concat(F.lit(": "), F.col("returns"))).otherwise(""))
     methods = spans.withColumns({"signature": signature, "visibility": F.when(visibility == "", "public").otherwise(visibility)}).dropDuplicates(["path", "class_key", "method"])

@@ -9,13 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.operators import changes, extract, graph, knowledge
+from codeweft.operators import changes, extract, graph, knowledge, routing, semantics
 from codeweft.operators.lineage import cut
+from codeweft.plans import source_graph
 from codeweft.sources.files import unchanged
 from codeweft.store import SnapshotStore
 
-#: Names the extractor as it is: when it changes, stored files count as changed.
-FINGERPRINT = hashlib.sha256(inspect.getsource(extract).encode()).hexdigest()[:16]
+#: Names the extractors as they are: when one changes, stored files count as changed.
+FINGERPRINT = hashlib.sha256("".join(map(inspect.getsource, (extract, routing, semantics, source_graph))).encode()).hexdigest()[:16]
 NODES = f"{extract.NODE}, stub boolean"
 EDGES = "source_key string, target_key string, relationship string, confidence decimal(3,2), file_path string, resolution string, original_target string"
 META = "identity string"
@@ -61,13 +62,13 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     counts = {"updated": todo.count(), "scanned": live.count(), "deleted": missing.count()}
     counts["skipped"] = counts["scanned"] - counts["updated"]
 
-    nodes, edges = extract.graph_of(todo.select("path", "text"))
+    nodes, edges = source_graph.source_graph(todo.select("path", "text"))
     nodes, edges = cut(nodes.withColumn("stub", F.lit(False))), cut(edges.withColumns({"resolution": F.lit(None).cast("string"), "original_target": F.lit(None).cast("string")}))
     meta = {"meta": spark.createDataFrame([(identity,)], META)} if identity else {}
     touched = todo.select(F.col("path").alias("file_path")).union(missing.select(F.col("path").alias("file_path")))
     kept = old_nodes.join(touched, "file_path", "left_anti").select(*old_nodes.columns)
     declared = kept.where("not stub").select("node_key", "file_path").union(nodes.select("node_key", "file_path"))
-    errors = [r["identity"] for r in changes.duplicate_declarations(declared, F.lower("node_key"), "file_path").orderBy("identity").limit(20).collect()]
+    errors = [r["identity"] for r in changes.duplicate_declarations(declared, identity_of(F.col("node_key")), "file_path").orderBy("identity").limit(20).collect()]
     number = runs.count() + 1
     log = lambda status: runs.unionByName(spark.createDataFrame([(number, scope, status, counts["scanned"], counts["updated"], counts["skipped"], counts["deleted"], errors)], RUNS))
     if errors:
@@ -85,7 +86,7 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     merged = changes.inserted(kept.where("not stub").unionByName(nodes).select(*old_nodes.columns), kept.where("stub").unionByName(as_stub(to_stub)).select(*old_nodes.columns), "node_key")
     kind = F.get(F.split("node_key", ":"), F.lit(0))
     ends = all_edges.select(F.col("source_key").alias("node_key")).union(all_edges.select(F.col("target_key").alias("node_key"))).distinct()
-    unknown = as_stub(ends.select("node_key", F.when(kind == "view", "blade_view").otherwise(kind).alias("node_type"), F.substring("node_key", F.length(kind) + 2, F.lit(1 << 20)).alias("symbol_name")))
+    unknown = as_stub(ends.select("node_key", F.when(kind.isin("view", "component"), F.concat(F.lit("blade_"), kind)).otherwise(kind).alias("node_type"), F.substring("node_key", F.length(kind) + 2, F.lit(1 << 20)).alias("symbol_name")))
     merged = cut(changes.inserted(merged, unknown, "node_key"))
     final = merged.join(changes.orphans(merged, all_edges).select("node_key"), "node_key", "left_anti").select(*old_nodes.columns)
 
@@ -102,6 +103,11 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     return Run("completed", counts["updated"], counts["skipped"], counts["deleted"])
 
 
+def identity_of(key: Column) -> Column:
+    """Names of classes, methods and functions are one in any case; paths, templates and routes are not."""
+    return F.when(key.rlike("^(class|method|function):"), F.lower(key)).otherwise(key)
+
+
 def linked(edges: DataFrame, declared: DataFrame) -> DataFrame:
     """Edges of which calls lead to the method that a class inherits: what they named is kept in original_target, so that the next
     run can judge anew, and resolution tells what was found. An inherited method is no surer than 0.85."""

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import scoring, text
-from codeweft.operators import cache, changes, extract, graph, knowledge, reports, search
+from codeweft.operators import cache, changes, extract, graph, knowledge, reports, routing, search, semantics
 from codeweft.operators.lineage import checkpoint_dir, cut
-from codeweft.plans import retrieve
+from codeweft.plans import retrieve, sample_sources
 from codeweft.plans.demo_graph import EDGES_SQL, NODES_SQL, edges, key, nodes, table
+from codeweft.plans.source_graph import template_graph
 from codeweft.plans.sync import sync
 from codeweft.sources import files
 from codeweft.store import SnapshotStore
@@ -823,3 +824,81 @@ def sync_incremental(spark, sf_dir):
     done = sync(store, again, ["app"])
     calls = store.read("edges").where("relationship = 'calls'").select("source_key", "target_key", "resolution", "original_target", F.lit("second").alias("run"))
     return calls.unionByName(spark.createDataFrame([(done.status, "updated", str(done.updated), "skipped", str(done.skipped))], "source_key string, target_key string, resolution string, original_target string, run string"))
+
+
+# -- routes, templates and what classes say of each other, over literal sources
+
+
+def _literal_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sample_sources.FILES, "path string, text string")
+
+
+ORDERS, AUDIT, P, A = "App\\Http\\Controllers\\OrderController", "App\\Http\\Middleware\\Audit", "App\\Providers\\", "admin."
+EVERY_VERB = "GET HEAD POST PUT PATCH DELETE OPTIONS"
+ROUTES = [
+    ("route:home", "home", "GET HEAD", "", "App\\Http\\Controllers\\HomeController::__invoke", 0.9, None, "", ""),
+    (f"route:{A}orders.show", f"{A}orders.show", "GET HEAD", "admin/orders/{id}", f"{ORDERS}::show", 0.9, None, AUDIT, "can:view auth"),
+    ("route:GET|POST:admin/deep/x", None, "GET POST", "admin/deep/x", "Legacy::go", 0.75, None, AUDIT, "auth throttle:(60)"),
+    (f"route:{A}deep.y", f"{A}deep.y", "POST", "admin/deep/y", None, 0.55, None, AUDIT, "auth throttle:(60)"),
+    ("route:DELETE:admin/z", None, "DELETE", "admin/z", f"{ORDERS}::remove", 0.9, None, AUDIT, "auth"),
+    (f"route:{A}photos.comments.index", f"{A}photos.comments.index", "GET HEAD", "admin/photos/{photo}/comments", f"{ORDERS}::index", 0.8, None, AUDIT, "auth"),
+    (f"route:{A}comments.show", f"{A}comments.show", "GET HEAD", "admin/comments/{comment}", f"{ORDERS}::show", 0.8, None, AUDIT, "auth"),
+    ("route:all", "all", "GET HEAD", "people-lists", "App\\Plain::index", 0.8, None, "", ""),
+    ("route:people-lists.store", "people-lists.store", "POST", "people-lists", "App\\Plain::store", 0.8, None, "", ""),
+    ("route:people-lists.show", "people-lists.show", "GET HEAD", "people-lists/{who}", "App\\Plain::show", 0.8, None, "", ""),
+    ("route:people-lists.update", "people-lists.update", "PUT PATCH", "people-lists/{who}", "App\\Plain::update", 0.8, None, "", ""),
+    ("route:VIEW:about", None, "GET HEAD", "about", None, 0.5, "pages.about", "", ""),
+    ("route:REDIRECT:old", None, EVERY_VERB, "old", None, 0.5, None, "", ""),
+]
+
+
+@query(f"select * from (values {_values(ROUTES)}) x(route_key, name, methods, uri, target, confidence, view, classes, aliases)")
+def route_table(spark, sf_dir):
+    """Nested groups by call and by array, resources with options, all forms of actions, middleware by class and by alias."""
+    r = routing.route_table(_literal_files(spark))
+    joined = lambda c: F.array_join(c, " ")
+    return r.select("route_key", "name", joined("methods").alias("methods"), "uri", "target", F.col("confidence").cast("double").alias("confidence"), "view", joined("middleware_classes").alias("classes"), joined("middleware_aliases").alias("aliases"))
+
+
+C, REGISTER = "class:", f"method:{P}AppProvider::register"
+SAID = [
+    (f"{C}{P}UserObserver", f"{C}{M}User", "observes", 0.9), (f"{C}{M}OrderObserver", ORDER, "observes", 0.9), (f"{C}App\\Audit", ORDER, "observes", 0.9),
+    (f"{C}{P}Notify", f"{C}{P}Shipped", "listens_to_event", 0.9), (f"{C}{P}SendMail", f"{C}{P}Placed", "listens_to_event", 0.9), (f"{C}{P}Log\\Write", f"{C}{P}Placed", "listens_to_event", 0.9),
+    (f"{C}{P}UserPolicy", f"{C}{M}User", "depends_on", 0.9), (f"{C}{P}OrderPolicy", ORDER, "depends_on", 0.9), (REGISTER, f"{C}{P}CardPay", "contextual_binding", 0.85),
+    (f"method:{M}Order::lines", f"{C}{M}Line", "uses_model", 0.85), (f"method:{M}Order::tags", f"{C}{M}Tag", "uses_model", 0.85), (f"method:{M}Order::tags", "table:order_tag", "uses_table", 0.9),
+    (REGISTER, f"{C}{P}StripePay", "binds", 0.85), (f"{C}App\\Contracts\\Pay", f"{C}{P}StripePay", "binds", 0.85), (REGISTER, f"{C}App\\Cart", "binds", 0.95),
+    (REGISTER, f"{C}{P}Clock", "binds", 0.9), (REGISTER, f"{C}App\\New", "binds", 0.8), (f"{C}App\\Old", f"{C}App\\New", "binds", 0.8),
+]
+
+
+@query(f"select * from (values {_values(SAID)}) x(source_key, target_key, relationship, confidence)")
+def semantic_edges(spark, sf_dir):
+    """Observers, listeners, policies, bindings, relations and pivots."""
+    return semantics.semantic_edges(_literal_files(spark)).select("source_key", "target_key", "relationship", F.col("confidence").cast("double").alias("confidence"))
+
+
+FACTS = [
+    (f"{C}{P}AppProvider", "", "", "", "", None, None, ""),
+    (ORDER, f"a=bool b={M}Money d=date", "Total fullName", "openOnes", f"lines={M}Line owner=Illuminate\\Database\\Eloquent\\Relations\\Relation tags={M}Tag", None, None, ""),
+    (f"{C}App\\Facades\\Cart", "", "", "", "", "cart", "container_key", ""),
+    (f"{C}App\\Facades\\Web", "", "", "", "", None, None, "auth can:x"),
+]
+
+
+@query(f"select * from (values {_values(FACTS)}) x(class_key, casts, accessors, scopes, relations, facade_accessor, accessor_kind, middleware_aliases)")
+def class_facts(spark, sf_dir):
+    """Casts by property and by method, accessors of both forms, scopes, relations, what a facade stands for."""
+    f = semantics.class_facts(_literal_files(spark))
+    shown = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ").alias(m)
+    joined = lambda a: F.array_join(a, " ").alias(a)
+    return f.select("class_key", shown("casts"), joined("accessors"), joined("scopes"), shown("relations"), "facade_accessor", "accessor_kind", joined("middleware_aliases"))
+
+
+ABOUT = "view:pages.about"
+TEMPLATE_ENDS = [*((ABOUT, f"view:{v}", "renders_view") for v in ("layouts.app", "parts.list", "parts.own", "parts.shared")), (ABOUT, "component:alert", "uses_component"), (ABOUT, "component:forms.field", "uses_component"), (ABOUT, "route:home", "references_route")]
+
+
+@query(f"select * from (values {_values(TEMPLATE_ENDS)}) x(source_key, target_key, relationship)")
+def template_edges(spark, sf_dir):
+    _, e = template_graph(_literal_files(spark).where("path like '%.blade.php'"))
+    return e.select("source_key", "target_key", "relationship")

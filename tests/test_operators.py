@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweft.functions import scoring, text
-from codeweft.operators import changes, extract, graph, knowledge, search
+from codeweft.operators import changes, extract, graph, knowledge, routing, search, semantics
+from codeweft.plans import sample_sources
+from codeweft.plans.source_graph import source_graph
 from codeweft.sources import files
 from codeweft.store import SnapshotStore
 from codeweft.streaming.incremental import counted_windows, each_new, file_stream
@@ -251,3 +253,25 @@ def test_cache_and_versions(spark):
     assert got == {"a": ("active", {"n": "new"}), "b": ("stale", None)}
     some = search.limited(spark.range(3), ["id"], 5).collect()
     assert [r.truncated for r in some] == [False] * 3
+
+
+def test_routes_and_semantics_of_odd_files(spark):
+    odd = [("a.php", None), ("b.php", ""), ("c.php", "Route::"), ("d.php", "<?php Route::get('/x'"), ("e.php", "<?php\n// Route::get('/no', X::class);\nMyRoute::get('/no', X::class);\nRoute::get('/yes', X::class);Route::get('/yes', X::class);"), ("f.php", "<?php Route::prefix('a')->group(function () { Route::get('/open', [X::class, 'y']);")]
+    files = spark.createDataFrame(odd, "path string, text string")
+    # the same statement twice stays twice; one that isn't closed has no arguments to read, a group that isn't holds all that follows
+    assert sorted((r.path, r.uri, r.target) for r in routing.route_table(files).collect()) == [("e.php", "yes", "X::__invoke")] * 2 + [("f.php", "a/open", "X::y")]
+    nodes, edges = routing.route_graph(files)
+    assert nodes.count() == 2 and edges.count() == 3
+    assert semantics.semantic_edges(files).count() == 0 and semantics.class_facts(files).count() == 0
+    twice = "<?php\nclass A extends \\Illuminate\\Database\\Eloquent\\Model\n{\n public function r() { return $this->hasOne(B::class); }\n public function r() { return $this->hasOne(C::class); }\n}\n"
+    one = semantics.class_facts(spark.createDataFrame([("a.php", twice)], "path string, text string")).first()
+    assert one.relations == {"r": "C"} and one.accessors == [] and one.casts == {}
+
+
+def test_source_graph_dispatch(spark):
+    nodes, edges = source_graph(spark.createDataFrame(sample_sources.FILES, "path string, text string"))
+    kinds = {(r.node_type, r.node_key) for r in nodes.select("node_type", "node_key").collect()}
+    assert {("route", "route:home"), ("blade_view", "view:pages.about"), ("blade_component", "component:forms.field"), ("file", "file:empty.php")} <= kinds
+    assert not any(k.startswith("file:resources/") for _, k in kinds)
+    relationships = {r.relationship for r in edges.select("relationship").distinct().collect()}
+    assert {"binds", "observes", "listens_to_event", "uses_middleware", "renders_view", "uses_component", "references_route", "uses_model", "calls", "contains"} <= relationships
