@@ -88,3 +88,14 @@ def versions(rows: DataFrame, lineage: str, order: str, key: str) -> DataFrame:
     """Version numbers within each lineage, with the keys of the version before and the one after."""
     w = Window.partitionBy(lineage).orderBy(order)
     return rows.withColumns({"version": F.row_number().over(w), "previous_key": F.lag(key).over(w), "superseded_by": F.lead(key).over(w)})
+
+
+def modules_ensured(old: DataFrame, assigned: DataFrame) -> DataFrame:
+    """old and assigned(module_key, name, root_path, metadata: map of strings): name and root as assigned, entries of the metadata that is
+    there kept unless the new one has them, too. A key that is assigned more than once counts once, with its least name and root."""
+    new = assigned.groupBy("module_key").agg(F.min(F.struct("name", "root_path")).alias("_at"), F.max_by("metadata", F.struct("name", "root_path")).alias("_new"))
+    both = old.join(new, "module_key", "full_outer")
+    pick = lambda c: F.coalesce(F.col(f"_at.{c}"), F.col(c)).alias(c)
+    empty = F.create_map().cast("map<string,string>")
+    under, over = F.coalesce("metadata", empty), F.coalesce("_new", empty)
+    return both.select("module_key", pick("name"), pick("root_path"), F.map_concat(F.map_filter(under, lambda k, _: ~F.map_contains_key(over, k)), over).alias("metadata"))

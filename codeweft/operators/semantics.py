@@ -161,3 +161,25 @@ def class_facts(files: DataFrame) -> DataFrame:
         named.alias("facade_accessor"), kind.alias("accessor_kind"),
         F.array_distinct(all_of(F.col("body"), r"\$this->middleware\(\s*['\"]([^'\"]+)['\"]")).alias("middleware_aliases"),
     )
+
+
+def facade_calls(edges: DataFrame, accessors: DataFrame, bound: DataFrame, classes: DataFrame) -> DataFrame:
+    """edges(target_key, resolution, ...) with what their static calls through a facade are known to reach.
+
+    accessors(class_key, facade_accessor, accessor_kind), bound(abstract, concrete), classes(class_key) of those declared. Adds resolution_state,
+    facade_accessor, accessor_kind and bound_concrete, the one class that is bound, if it is one. Several make the call ambiguous;
+    an accessor that is a class nobody declares makes it external, unless one class is bound to it. Calls that have been
+    resolved to a declared or inherited method, and all other edges, stay as they are, with nulls.
+    """
+    owner = F.lower(F.concat(F.lit("class:"), F.regexp_extract("target_key", r"^method:(.*)::[^:]*$", 1)))
+    by = bound.groupBy(F.col("abstract").alias("facade_accessor")).agg(F.count_distinct("concrete").alias("_n"), F.min("concrete").alias("_one"))
+    there = classes.select(F.lower("class_key").alias("_named"), F.lit(True).alias("_there")).distinct()
+    fronts = accessors.where("facade_accessor != ''").groupBy(F.lower("class_key").alias("_owner")).agg(F.min(F.struct("facade_accessor", "accessor_kind")).alias("a")).select("_owner", "a.*")
+    known = fronts.join(by, "facade_accessor", "left").withColumn("_named", F.lower(normalized_key(F.concat(F.lit("class:"), "facade_accessor")))).join(there, "_named", "left")
+    one = F.coalesce(F.col("_n"), F.lit(0)) == 1
+    missing = (F.col("accessor_kind") == "class") & F.col("_there").isNull()
+    state = F.when(missing, F.when(one, "partially_resolved").otherwise("external")).when(F.col("_n") > 1, "ambiguous").otherwise("partially_resolved")
+    known = known.select("_owner", state.alias("resolution_state"), "facade_accessor", "accessor_kind", F.when(one, F.col("_one")).alias("bound_concrete"))
+    settled = F.coalesce(F.col("resolution").isin("declared_method", "inherited_method"), F.lit(False))
+    rows = edges.withColumn("_call", F.when(~settled & F.col("target_key").startswith("method:"), owner)).join(known, F.col("_call") == F.col("_owner"), "left")
+    return rows.withColumn("resolution", F.when(F.col("_owner").isNotNull(), F.coalesce("resolution", F.lit("facade_accessor"))).otherwise(F.col("resolution"))).drop("_call", "_owner")

@@ -902,3 +902,33 @@ TEMPLATE_ENDS = [*((ABOUT, f"view:{v}", "renders_view") for v in ("layouts.app",
 def template_edges(spark, sf_dir):
     _, e = template_graph(_literal_files(spark).where("path like '%.blade.php'"))
     return e.select("source_key", "target_key", "relationship")
+
+
+@query("""with b as (select p_type as accessor, count(distinct p_brand) as n, min(p_brand) as one from part group by 1),
+a as (select distinct p_type as accessor, length(p_type) % 2 = 0 as is_class from part union all select 'NOWHERE', true union all select 'CART', false),
+s as (select accessor, is_class, coalesce(n, 0) as n, one, case when is_class then case when n = 1 then 'partially_resolved' else 'external' end when n > 1 then 'ambiguous' else 'partially_resolved' end as state from a left join b using (accessor)),
+c as (select o_orderkey, case o_orderkey % 4 when 0 then 'NOWHERE' when 1 then 'CART' when 2 then 'OTHER' else (select min(p_type) from part) end as f, case when o_orderkey % 3 = 0 then 'declared_method' end as r from orders)
+select o_orderkey, case when r is null and accessor is not null then 'facade_accessor' else r end as resolution, case when r is null then state end as resolution_state, case when r is null then accessor end as facade_accessor, case when r is null and n = 1 then one end as bound_concrete from c left join s on f = accessor""")
+def facade_calls(spark, sf_dir):
+    """Static calls through facades: by what is bound to their accessors, whether those are declared, and what is settled already."""
+    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    least = p.agg(F.min("p_type")).first()[0]
+    named = F.when(F.col("o_orderkey") % 4 == 0, "NOWHERE").when(F.col("o_orderkey") % 4 == 1, "CART").when(F.col("o_orderkey") % 4 == 2, "OTHER").otherwise(F.lit(least))
+    calls = o.select("o_orderkey", F.concat(F.lit("method:Front\\"), named, F.lit("::go")).alias("target_key"), F.when(F.col("o_orderkey") % 3 == 0, "declared_method").alias("resolution"))
+    types = p.select("p_type").distinct().select("p_type", F.when(F.length("p_type") % 2 == 0, "class").otherwise("container_key").alias("kind"))
+    types = types.union(spark.createDataFrame([("NOWHERE", "class"), ("CART", "container_key")], "p_type string, kind string"))
+    accessors = types.select(F.concat(F.lit("class:front\\"), "p_type").alias("class_key"), F.col("p_type").alias("facade_accessor"), F.col("kind").alias("accessor_kind"))
+    out = semantics.facade_calls(calls, accessors, p.select(F.col("p_type").alias("abstract"), F.col("p_brand").alias("concrete")), spark.createDataFrame([], "class_key string"))
+    return out.select("o_orderkey", "resolution", "resolution_state", "facade_accessor", "bound_concrete")
+
+
+@query("""select 'm' || n_nationkey as module_key, case when n_nationkey % 2 = 0 then n_name else 'old' end as name, case when n_nationkey % 2 = 0 then 'src/' || n_nationkey else 'was' end as root_path,
+  case when n_nationkey % 2 = 0 then 'note=kept paths=src/' || n_nationkey else 'note=kept paths=was' end as metadata from nation where n_nationkey < 20
+union all select 'm' || n_nationkey, n_name, 'src/' || n_nationkey, 'paths=src/' || n_nationkey from nation where n_nationkey >= 20 and n_nationkey % 2 = 0""")
+def modules_ensured(spark, sf_dir):
+    n, name = table(spark, sf_dir, "nation"), F.concat(F.lit("m"), F.col("n_nationkey").cast("string"))
+    old = n.where("n_nationkey < 20").select(name.alias("module_key"), F.lit("old").alias("name"), F.lit("was").alias("root_path"), F.create_map(F.lit("note"), F.lit("kept"), F.lit("paths"), F.lit("was")).alias("metadata"))
+    root = F.concat(F.lit("src/"), F.col("n_nationkey").cast("string"))
+    new = n.where("n_nationkey % 2 = 0").select(name.alias("module_key"), F.col("n_name").alias("name"), root.alias("root_path"), F.create_map(F.lit("paths"), root).alias("metadata"))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ")
+    return changes.modules_ensured(old, new.union(new)).select("module_key", "name", "root_path", shown.alias("metadata"))
