@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm import mixing
+from codeweft.llm import lexical_search, mixing
 from codeweft.llm.common import held_out, table
 
 
@@ -89,6 +89,25 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents, model, keep=("doc_id", held_out().alias("held_out")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.lexical_search import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.whitening import whiten
+
+    out = whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codeweft.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pq_dedup": op2_pq_dedup,
@@ -100,5 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_quality_gam": op10_quality_gam,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_whitening": op12_whitening,
+    "op13_fingerprints": op13_fingerprints,
 }
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op11_lexical_search": lexical_search.ORACLE}
