@@ -6,12 +6,16 @@ table definitions. It infers no types of local variables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.scoring import class_role
 from codeweft.functions.text import normalized_key, plural, singular, snake, view_name
 
+#: What migrations say of a table: one row for each file and table.
+SHARED = "node_key string, file_path string, operation string, columns array<struct<name:string,type:string>>"
 NODE = "node_key string, node_type string, symbol_name string, file_path string, content_hash string, signature string, visibility string, adapts boolean"
 DECLARED = r"(?m)^\s*(?:(?:abstract|final|readonly)\s+)*(class|interface|trait|enum)\s+(\w+)(?:\s*:\s*\w+)?(?:\s+extends\s+([\w\\, ]+?))?(?:\s+implements\s+([\w\\,\s]+?))?\s*\{"
 #: Modifiers and name of a method, up to the parenthesis that opens its parameters.
@@ -25,8 +29,19 @@ RESOURCE = (("index", "GET", ""), ("create", "GET", "/create"), ("store", "POST"
 FORMS = ("create", "edit")
 
 
+#: Strings in either quotes and comments, told from each other by where they start; what isn't closed goes on to the end.
+QUOTED = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
+COMMENT = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/)?+|//[^\n]*+|#(?!\[)[^\n]*+"
+
+
 def without_comments(code: Column) -> Column:
-    return F.regexp_replace(code, r"(?s)/\*.*?\*/|(?m)(?<![:'\"])//[^\n]*$|(?m)^\s*#(?!\[)[^\n]*$", "")
+    """Code without its comments, by one scan in which strings stay as they are."""
+    return F.regexp_replace(code, rf"(?s)({QUOTED})|{COMMENT}", "$1")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:
@@ -159,9 +174,6 @@ def templates(files: DataFrame) -> DataFrame:
     )
 
 
-QUOTED = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
-
-
 def without_quoted_parentheses(text: Column) -> Column:
     """The text with the parentheses within quotes as other characters, so that it keeps its length."""
     quotes = F.transform(all_of(text, QUOTED, 0), lambda q: F.translate(q, "()", "\x01\x02"))
@@ -186,14 +198,31 @@ def balanced(text: Column) -> Column:
     return F.when(end >= 0, F.substring(text, F.lit(1), end))
 
 
+#: Parentheses within arguments, quotes aside, to the depth that one scan follows.
+DEPTH = 24
+_INNER = rf"(?:[^()'\"]++|{QUOTED})*+"
+for _ in range(DEPTH):
+    _INNER = rf"(?:[^()'\"]++|{QUOTED}|\({_INNER}\))*+"
+
+
 def directives(text: Column) -> Column:
     """Directives with their arguments, as they stand between balanced parentheses: array of (name, arguments). One whose
-    parentheses don't close is left out; those within the arguments of another are found, too."""
+    parentheses don't close is left out; those within the arguments of another are found, too.
+
+    One scan finds the heads and looks ahead over the arguments of each; only where these nest beyond DEPTH, or don't close, are they
+    looked for once more, by a fold over the rest of the text."""
     head = r"(?<!@)@(\w+)\s*\("
-    heads, pieces = all_of(text, head, 0), F.split(text, head, -1)
-    rest = lambda i: F.array_join(F.flatten(F.transform(F.sequence(i + 1, F.size(pieces) - 1), lambda k: F.array(F.get(pieces, k), F.coalesce(F.get(heads, k), F.lit(""))))), "")
-    found = F.transform(all_of(text, head, 1), lambda name, i: F.struct(name.alias("name"), balanced(rest(i)).alias("arguments")))
-    return F.filter(found, lambda d: d["arguments"].isNotNull())
+    seen = rf"(?s){head}(?:(?=({_INNER})\))|)"
+
+    def each(m: Column) -> Column:
+        after = lambda i: F.array_join(F.flatten(F.transform(F.sequence(i + 1, F.size(m["pieces"]) - 1), lambda k: F.array(F.get(m["pieces"], k), F.coalesce(F.get(m["heads"], k), F.lit(""))))), "")
+        closed = lambda i: F.substring(F.get(m["pieces"], i + 1), F.length(F.get(m["found"], i)) + 1, F.lit(1)) == ")"
+        # arguments without any parenthesis or directive of their own are plain to see; an empty capture may also stand for none
+        arguments = lambda i: F.when((F.get(m["found"], i) != "") | closed(i), F.get(m["found"], i)).otherwise(balanced(after(i)))
+        return F.transform(m["names"], lambda name, i: F.struct(name.alias("name"), arguments(i).alias("arguments")))
+
+    parts = F.struct(all_of(text, seen, 1).alias("names"), all_of(text, seen, 2).alias("found"), all_of(text, head, 0).alias("heads"), F.split(text, head, -1).alias("pieces"))
+    return F.filter(bound(parts, each), lambda d: d["arguments"].isNotNull())
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -234,13 +263,45 @@ IMPLIED = {
 
 
 def migrations(files: DataFrame) -> DataFrame:
-    """files(path, text) -> (path, operation, table, columns): tables that the forward part of a migration defines."""
-    forward = F.regexp_replace(without_comments(F.col("text")), r"(?s)function\s+down\b.*", "")
-    pattern = r"Schema::(create|table|drop|dropIfExists)\(\s*['\"](\w+)['\"]"
-    rows = files.select("path", F.split(forward, pattern).alias("bodies"), F.posexplode(F.arrays_zip(all_of(forward, pattern, 1).alias("operation"), all_of(forward, pattern, 2).alias("table"))).alias("i", "s"))
+    """files(path, text) -> (path, i, operation, table, columns): tables that the forward part of a migration defines, statement by
+    statement. That part is its method ``up``, and what stands before the first method."""
+    code = without_comments(F.col("text"))
+    forward = lambda m: F.array_join(F.concat(F.slice(m["pieces"], 1, 1), F.array_compact(F.transform(m["names"], lambda n, i: F.when(F.lower(n) == "up", F.get(m["pieces"], i + 1))))), "\n")
+    rows = files.select("path", bound(F.struct(F.split(code, METHOD, -1).alias("pieces"), all_of(code, METHOD, 2).alias("names")), forward).alias("code"))
+    pattern = r"(?<![\w\\])\\?(?:Illuminate\\Support\\Facades\\)?Schema::(create|table|drop|dropIfExists)\(\s*['\"](\w+)['\"]"
+    rows = rows.select("path", F.split("code", pattern).alias("bodies"), F.posexplode(F.arrays_zip(all_of(F.col("code"), pattern, 1).alias("operation"), all_of(F.col("code"), pattern, 2).alias("table"))).alias("i", "s"))
     body = F.get("bodies", F.col("i") + 1)
     column = rf"\$\w+->({"|".join(COLUMN_TYPES)})\(\s*['\"](\w+)['\"]"
     own = F.arrays_zip(all_of(body, column, 2).alias("name"), all_of(body, column, 1).alias("type"))
     none = F.array().cast("array<struct<name:string,type:string>>")
     given = [F.when(body.rlike(rf"->{call}\(\s*\)"), F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in made))).otherwise(none) for call, made in IMPLIED.items()]
-    return rows.select("path", F.col("s.operation").alias("operation"), F.col("s.table").alias("table"), F.concat(own, *given).alias("columns"))
+    return rows.select("path", "i", F.col("s.operation").alias("operation"), F.col("s.table").alias("table"), F.concat(own, *given).alias("columns"))
+
+
+def contributions(files: DataFrame) -> DataFrame:
+    """What each migration says of each table, in the columns of SHARED: its columns by name, of several statements the last one of a name,
+    and the last operation."""
+    rows = migrations(files).withColumn("node_key", normalized_key(F.concat(F.lit("table:"), "table")))
+    # bounded by the statements of one file
+    said = rows.groupBy("node_key", F.col("path").alias("file_path")).agg(F.max_by("operation", "i").alias("operation"), F.array_sort(F.collect_list(F.struct("i", "columns"))).alias("all"))
+    every = F.flatten(F.transform("all", lambda s: s["columns"]))
+    last = lambda cs: F.filter(cs, lambda c, i: ~F.exists(F.slice(cs, i + 2, F.size(cs)), lambda d: d["name"] == c["name"]))
+    return said.select("node_key", "file_path", "operation", bound(every, last).alias("columns"))
+
+
+def shared_nodes(said: DataFrame) -> DataFrame:
+    """contributions of all files -> one node for each table, in the columns of NODE, with a hash of its columns and sources."""
+    members = F.flatten(F.collect_list(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"], F.col("file_path")))))
+    rows = said.groupBy("node_key").agg(F.array_sort(F.collect_set("file_path")).alias("sources"), F.array_sort(members).alias("members"))
+    name, none = F.substring("node_key", 7, 1 << 20), F.lit(None).cast("string")
+    seal = F.sha2(F.concat_ws("|", F.array_join("members", ","), F.array_join("sources", ",")), 256)
+    return rows.select("node_key", F.lit("table").alias("node_type"), name.alias("symbol_name"), none.alias("file_path"), seal.alias("content_hash"), F.concat(F.lit("table "), name).alias("signature"), none.alias("visibility"), F.lit(None).cast("boolean").alias("adapts"))
+
+
+def migration_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of migrations, in the columns of graph_of: each one, and the tables that it defines."""
+    key = lambda path: normalized_key(F.concat(F.lit("migration:"), path))
+    none = F.lit(None).cast("string")
+    nodes = files.select(key("path").alias("node_key"), F.lit("migration").alias("node_type"), F.col("path").alias("symbol_name"), F.col("path").alias("file_path"), F.sha2("text", 256).alias("content_hash"), F.concat(F.lit("migration "), "path").alias("signature"), none.alias("visibility"), F.lit(None).cast("boolean").alias("adapts"))
+    edges = contributions(files).select(key("file_path").alias("source_key"), F.col("node_key").alias("target_key"), F.lit("defines_table").alias("relationship"), F.lit(0.9).cast("decimal(3,2)").alias("confidence"), "file_path")
+    return nodes, edges

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +43,20 @@ def template_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def migration_files(files: DataFrame) -> DataFrame:
+    return files.where(unified_path(F.col("path")).rlike(r"(^|/)migrations/[^/]+\.php$"))
+
+
+def shared_tables(files: DataFrame) -> DataFrame:
+    """What migrations among the files say of tables, in the columns of ``extract.SHARED``."""
+    return extract.contributions(migration_files(files))
+
+
 def source_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files(path, text) -> (nodes, edges) of all: templates by their ending, everything else as code, with its routes and what its classes
-    say of each other. Edges may come more than once: ``changes.combined_edges`` takes the surest."""
+    """files(path, text) -> (nodes, edges) of all: templates by their ending, everything else as code, with its routes, what its classes
+    say of each other, and the tables that migrations define. Edges may come more than once: ``changes.combined_edges`` takes the surest."""
     is_template = F.col("path").endswith(".blade.php")
     code = files.where(~is_template)
-    parts = [extract.graph_of(code), routing.route_graph(code), template_graph(files.where(is_template))]
-    nodes = parts[0][0].unionByName(parts[1][0]).unionByName(parts[2][0])
-    edges = parts[0][1].unionByName(parts[1][1]).unionByName(parts[2][1]).unionByName(semantics.semantic_edges(code))
-    return nodes, edges
+    parts = [extract.graph_of(code), routing.route_graph(code), template_graph(files.where(is_template)), extract.migration_graph(migration_files(code))]
+    nodes, edges = (reduce(DataFrame.unionByName, (p[k] for p in parts)) for k in (0, 1))
+    return nodes, edges.unionByName(semantics.semantic_edges(code))
