@@ -21,16 +21,20 @@ from codeweft.llm.trigrams import Clause, selective, trigram_query
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches are leftmost and don't overlap; those whose ``group`` is shorter than ``least`` are dropped."""
+    """A kind of secret: matches are leftmost and don't overlap; those whose ``group`` is shorter than ``least`` are dropped.
+
+    ``plain`` says what is looked for where ``pattern`` also matches what is to be dropped, so as not to look at it again from
+    every place within; the rule's trigrams are derived from it."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    plain: str = ""
 
     @property
     def query(self) -> tuple[Clause, ...]:
-        return selective(trigram_query(self.pattern))
+        return selective(trigram_query(self.plain or self.pattern))
 
 
 #: The base kinds, in their order, then others whose formats are public.
@@ -39,12 +43,13 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}", least=24),  # shorter runs are dropped anyway
 )
+JWT = r"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
 MORE = (
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", least=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", least=24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
+    Rule("jwt", rf"({JWT})|eyJ[A-Za-z0-9_-]++", group=1, least=40, plain=JWT.replace("++", "+")),  # a run that is none is passed over at once
     Rule("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
