@@ -36,8 +36,8 @@ def plain(rows):
                 by.setdefault(h[j], []).append(j)
         for x in sorted(by):
             n = sum(size[j] for j in by[x])
-            for j in by[x]:
-                taken[j] = size[j] * (whole + (before + n / 2 <= budget))
+            for k_th, j in enumerate(by[x]):
+                taken[j] = size[j] * (whole + (before + (k_th + 0.5) * size[j] <= budget))
             before += n
     for j, (i, _, s) in enumerate(rows):
         out.append((i, size[j], own[s], round(target[s], 6), taken.get(j, 0)))
@@ -79,6 +79,24 @@ def test_odd_rows(spark):
     assert mixed_rows(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_taken_one_by_one(spark):
+    rows = [(1, "w " * 10, "a")] * 100 + [(i, "w " * (i % 7 + 1), "b") for i in range(200)] + [(5, "x y", "c")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mix(df, keep=("doc_id", "source")).collect()
+    assert sorted(((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got), key=str) == sorted(plain(rows), key=str)
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2
+    mixed = mixed_rows(df).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in got)
+
+
+def test_many_sources_are_ranked_in_ranges(spark):
+    rows = [(i, "w " * (i % 13), f"s{i % 977:04d}") for i in range(3000)] + [(9, "a b", None)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert result(out) == sorted(plain(rows), key=str)
+
+
 def test_columns_of_any_name(spark):
     rows = [(1, "a b c", "s", "keeps", 7, 8), (2, "d", "t", "too", 9, 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _source string, _hash int, _copies int")
