@@ -113,7 +113,7 @@ def methods_of(found: DataFrame) -> DataFrame:
 
 
 def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of source files: nodes as in NODE; edges(source_key, target_key, relationship, confidence, file_path)."""
+    """(nodes, edges) of source files: nodes as in NODE; edges(source_key, target_key, relationship, confidence, file_path, via)."""
     found = declared(files)
     file_key = F.concat(F.lit("file:"), F.col("path"))
     spans = methods_of(found)
@@ -129,7 +129,7 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     own_files = files.select("path", F.sha2("text", 256).alias("content_hash"))
     nodes = node(own_files, file_key, F.lit("file"), F.lit(None).cast("string")).unionByName(node(found.withColumn("adapts", F.col("body").rlike(r"(?m)^\s+use\s+[\w\\,\s]+\{")), F.col("class_key"), role, F.col("fqcn"))).unionByName(node(methods, method_key, F.lit("method"), method_symbol))
 
-    edge = lambda df, source, target, rel, sure: df.select(source.alias("source_key"), target.alias("target_key"), F.lit(rel).alias("relationship"), F.lit(sure).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"))
+    edge = lambda df, source, target, rel, sure, via=None: df.select(source.alias("source_key"), target.alias("target_key"), F.lit(rel).alias("relationship"), F.lit(sure).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"), F.lit(via).cast("string").alias("via"))
     to_class = lambda name: normalized_key(F.concat(F.lit("class:"), name))
     typed = lambda df, types: df.select("*", F.explode(F.array_distinct(F.flatten(F.transform(types, lambda t: class_types(t, F.col("namespace"), F.col("imports"), F.col("fqcn")))))).alias("x"))
     model = found.where(F.exists("parents", lambda c: c.rlike(r"(^|\\)(Model|Authenticatable|Pivot)$"))).withColumn("named", F.regexp_extract("body", r"\$table\s*=\s*['\"]([A-Za-z_]\w*)['\"]", 1))
@@ -147,13 +147,14 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(edge(found.select("*", F.explode("parents").alias("x")), F.col("class_key"), to_class(F.col("x")), "extends", 0.95))
         .unionByName(edge(found.select("*", F.explode("interfaces").alias("x")), F.col("class_key"), to_class(F.col("x")), "implements", 0.95))
         .unionByName(edge(found.select("*", F.explode("traits").alias("x")), F.col("class_key"), to_class(F.col("x")), "uses_trait", 0.95))
-        .unionByName(edge(typed(found, all_of(F.col("body"), PROPERTY)), F.col("class_key"), to_class(F.col("x")), "depends_on", 0.95))
-        .unionByName(edge(typed(spans, F.concat(all_of(F.col("parameters"), PARAMETER), F.array("returns"))), method_key, to_class(F.col("x")), "depends_on", 0.95))
+        .unionByName(edge(typed(found, all_of(F.col("body"), PROPERTY)), F.col("class_key"), to_class(F.col("x")), "depends_on", 0.95, "property"))
+        .unionByName(edge(typed(spans, all_of(F.col("parameters"), PARAMETER)), method_key, to_class(F.col("x")), "depends_on", 0.95, "parameter"))
+        .unionByName(edge(typed(spans, F.array("returns")), method_key, to_class(F.col("x")), "depends_on", 0.95, "return_type"))
         .unionByName(edge(model.where("named != ''"), F.col("class_key"), of_model(F.col("named")), "uses_table", 0.9))
         .unionByName(edge(model.where("named = ''"), F.col("class_key"), of_model(snake(plural(F.col("name")))), "uses_table", 0.7))
-        .unionByName(edge(made, method_key, to_class(full(F.col("x"))), "depends_on", 0.9))
+        .unionByName(edge(made, method_key, to_class(full(F.col("x"))), "depends_on", 0.9, "new"))
         .unionByName(edge(called, method_key, normalized_key(F.concat(F.lit("method:"), full(F.col("x.c")), F.lit("::"), F.col("x.f"))), "calls", 0.85))
-        .unionByName(edge(selfs, method_key, normalized_key(F.concat(F.lit("method:"), F.col("fqcn"), F.lit("::"), F.col("x"))), "calls", 0.85))
+        .unionByName(edge(selfs, method_key, normalized_key(F.concat(F.lit("method:"), F.col("fqcn"), F.lit("::"), F.col("x"))), "calls", 0.75))
         .unionByName(edge(viewed, method_key, normalized_key(F.concat(F.lit("view:"), F.col("x"))), "renders_view", 0.9))
         .unionByName(edge(routed, method_key, normalized_key(F.concat(F.lit("route:"), F.col("x"))), "references_route", 0.8))
     )

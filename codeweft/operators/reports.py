@@ -55,3 +55,11 @@ def fresh_nodes(nodes: DataFrame, live: DataFrame, paths: Column) -> DataFrame:
     each = nodes.select("node_key", "content_hash", F.explode_outer(paths).alias("path")).join(live, "path", "left")
     same = F.coalesce(F.col("live_hash") == F.col("content_hash"), F.lit(False))
     return nodes.join(each.groupBy("node_key").agg(F.bool_and(same).alias("fresh")), "node_key", "left")
+
+
+def unresolved_sites(methods: DataFrame, most: int = 3) -> DataFrame:
+    """methods(method_key, unresolved) -> one row: calls that lead nowhere known, the methods that have any, and the first ``most`` of these by key."""
+    some = methods.where("unresolved > 0").select(F.concat(F.regexp_replace("method_key", "^method:", ""), F.lit(" ("), F.col("unresolved").cast("string"), F.lit(")")).alias("shown"), "unresolved")
+    first = some.orderBy("shown").limit(most).agg(F.array_join(F.array_sort(F.collect_list("shown")), " ").alias("examples"))
+    total = some.agg(F.coalesce(F.sum("unresolved"), F.lit(0)).alias("unresolved"), F.count(F.lit(1)).alias("methods"))
+    return total.join(F.broadcast(first))  # one row each

@@ -183,3 +183,32 @@ def facade_calls(edges: DataFrame, accessors: DataFrame, bound: DataFrame, class
     settled = F.coalesce(F.col("resolution").isin("declared_method", "inherited_method"), F.lit(False))
     rows = edges.withColumn("_call", F.when(~settled & F.col("target_key").startswith("method:"), owner)).join(known, F.col("_call") == F.col("_owner"), "left")
     return rows.withColumn("resolution", F.when(F.col("_owner").isNotNull(), F.coalesce("resolution", F.lit("facade_accessor"))).otherwise(F.col("resolution"))).drop("_call", "_owner")
+
+
+def class_marks(files: DataFrame) -> DataFrame:
+    """files(path, text) -> (class_key, file_path, facade_accessor, accessor_kind, model, form_request): what calls and types are annotated by."""
+    form = declared(files).select("class_key", "path", is_model().alias("model"), F.exists("parents", lambda p: p.endswith("FormRequest")).alias("form_request"))
+    facts = class_facts(files).select("class_key", "path", "facade_accessor", "accessor_kind")
+    return form.join(facts, ["class_key", "path"], "left").select("class_key", F.col("path").alias("file_path"), "facade_accessor", "accessor_kind", "model", "form_request")
+
+
+def builder_forwards(edges: DataFrame, models: DataFrame, calls: tuple[str, ...]) -> DataFrame:
+    """edges(target_key, resolution, resolution_state, ...) of which calls that a model, models(class_key), hands on to its query, by the names ``calls``, are
+    marked: resolution eloquent_builder_forward, state partially_resolved, and the model in forward_receiver. What is resolved already stays."""
+    owner = F.regexp_extract("target_key", r"^method:(.*)::[^:]*$", 1)
+    known = models.select(F.lower("class_key").alias("_model")).distinct().withColumn("_is", F.lit(True))
+    rows = edges.withColumn("_owner", F.when(F.col("target_key").startswith("method:"), owner))
+    rows = rows.join(known, F.lower(F.concat(F.lit("class:"), "_owner")) == F.col("_model"), "left")
+    forwards = F.coalesce(F.col("_is"), F.lit(False)) & F.col("resolution").isNull() & F.regexp_extract("target_key", r"::([^:]*)$", 1).isin(*calls)
+    set_to = lambda name, value: F.when(forwards, value).otherwise(F.col(name)).alias(name)
+    kept = [F.col(c) for c in edges.columns if c not in ("resolution", "resolution_state")]
+    return rows.select(*kept, set_to("resolution", F.lit("eloquent_builder_forward")), set_to("resolution_state", F.lit("partially_resolved")), F.when(forwards, F.col("_owner")).alias("forward_receiver"))
+
+
+def form_requests(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """edges(relationship, target_key, via, resolution, resolution_state, ...) of which parameters of a class in requests(class_key) are marked as form requests."""
+    known = requests.select(F.lower("class_key").alias("_request")).distinct().withColumn("_is", F.lit(True))
+    rows = edges.join(known, F.lower("target_key") == F.col("_request"), "left")
+    asked = F.coalesce(F.col("_is"), F.lit(False)) & (F.col("relationship") == "depends_on") & F.coalesce(F.col("via").isin("parameter", "form_request"), F.lit(False))
+    given = {"via": "form_request", "resolution": "form_request", "resolution_state": "resolved"}
+    return rows.select(*(F.when(asked, F.lit(given[c])).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in edges.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import normalized_key, unified_path, view_name
-from codeweft.operators import extract, routing, semantics
+from codeweft.operators import extract, receivers, routing, semantics
 
 #: The directives that name another template, in their first argument or, those under a condition, in their second.
 FIRST, SECOND = ("extends", "include", "includeIf", "includeFirst", "each", "component"), ("includeWhen", "includeUnless")
@@ -52,11 +52,20 @@ def shared_tables(files: DataFrame) -> DataFrame:
     return extract.contributions(migration_files(files))
 
 
+def marks_and_bindings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``semantics.class_marks`` of the code among the files, and (file_path, abstract, concrete) of what it binds in the container."""
+    code = files.where(~F.col("path").endswith(".blade.php"))
+    bound = semantics.bindings(extract.methods_of(extract.declared(code)))
+    return semantics.class_marks(code), bound.select(F.col("path").alias("file_path"), "abstract", "concrete").distinct()
+
+
 def source_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files(path, text) -> (nodes, edges) of all: templates by their ending, everything else as code, with its routes, what its classes
-    say of each other, and the tables that migrations define. Edges may come more than once: ``changes.combined_edges`` takes the surest."""
+    say of each other, the calls that
+    its receivers lead to, and the tables that migrations define. Edges may come more than once: ``changes.combined_edges`` takes the surest."""
     is_template = F.col("path").endswith(".blade.php")
     code = files.where(~is_template)
     parts = [extract.graph_of(code), routing.route_graph(code), template_graph(files.where(is_template)), extract.migration_graph(migration_files(code))]
-    nodes, edges = (reduce(DataFrame.unionByName, (p[k] for p in parts)) for k in (0, 1))
-    return nodes, edges.unionByName(semantics.semantic_edges(code))
+    nodes = reduce(DataFrame.unionByName, (n for n, _ in parts))
+    said = [*(e for _, e in parts), semantics.semantic_edges(code), receivers.receiver_edges(code)]
+    return nodes, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), said)

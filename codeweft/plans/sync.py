@@ -15,16 +15,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweft.operators import changes, extract, graph, knowledge, routing, semantics
+from codeweft.operators import changes, extract, graph, knowledge, receivers, routing, semantics, tokens
 from codeweft.operators.lineage import cut
 from codeweft.plans import source_graph
 from codeweft.sources.files import unchanged
 from codeweft.store import LeaseLost, Part, SnapshotStore, bucket_of
 
 #: Names the extractors as they are: when one changes, stored files count as changed.
-FINGERPRINT = hashlib.sha256("".join(map(inspect.getsource, (extract, routing, semantics, source_graph))).encode()).hexdigest()[:16]
+FINGERPRINT = hashlib.sha256("".join(map(inspect.getsource, (extract, receivers, routing, semantics, source_graph, tokens))).encode()).hexdigest()[:16]
 NODES = f"{extract.NODE}, stub boolean"
-EDGES = "source_key string, target_key string, relationship string, confidence decimal(3,2), file_path string, resolution string, original_target string"
+EDGES = "source_key string, target_key string, relationship string, confidence decimal(3,2), file_path string, resolution string, original_target string, via string"
+MARKS = "class_key string, file_path string, facade_accessor string, accessor_kind string, model boolean, form_request boolean"
+BINDINGS = "file_path string, abstract string, concrete string"
 META = "identity string"
 FILES = "path string, content_hash string, fingerprint string"
 RUNS = "run int, scope string, status string, scanned long, updated long, skipped long, deleted long, errors array<string>"
@@ -68,6 +70,20 @@ def graph_edges(store: SnapshotStore) -> DataFrame:
     return changes.combined_edges(store.read("edges"), ["file_path", "original_target"])
 
 
+def annotated_edges(store: SnapshotStore) -> DataFrame:
+    """graph_edges() with what is known of calls through facades, calls that models hand on to their query, and form requests: resolution,
+    resolution_state, facade_accessor, accessor_kind, bound_concrete, forward_receiver. Derived on reading, so it is never behind."""
+    marks, bound = store.read("marks"), store.read("bindings")
+    classes = store.read("nodes").where("node_key like 'class:%'").select(F.col("node_key").alias("class_key"))
+    rows = graph_edges(store)
+    is_call = F.col("relationship") == "calls"
+    calls = semantics.facade_calls(rows.where(is_call), marks.select("class_key", "facade_accessor", "accessor_kind"), bound.select("abstract", "concrete"), classes)
+    calls = semantics.builder_forwards(calls, marks.where("model").select("class_key"), receivers.QUERY_CALLS + receivers.COLLECTION_CALLS + receivers.MODEL_CALLS)
+    calls = calls.withColumn("resolution_state", F.when(F.col("resolution") == "framework_type", "external").otherwise(F.col("resolution_state")))
+    others = rows.where(~is_call).withColumn("resolution_state", F.lit(None).cast("string"))
+    return calls.unionByName(semantics.form_requests(others, marks.where("form_request").select("class_key")), allowMissingColumns=True)
+
+
 def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str, force: bool, fingerprint: str, as_of, identity: str | None) -> Run:  # noqa: ANN001
     spark, base = store.spark, store.version()
     stored = lambda name, schema: (d if (d := store.read(name)) is not None else spark.createDataFrame([], schema))
@@ -85,6 +101,7 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     nodes = cut(found[0].withColumn("stub", F.lit(False)).select(*old_nodes.columns))
     said = cut(per_file(found[1]))
     contributed = cut(source_graph.shared_tables(todo.select("path", "text")))
+    marks, bound = source_graph.marks_and_bindings(todo.select("path", "text"))
     before, said_before = cut(in_touched(old_nodes)), cut(in_touched(old_edges))
     kept = beside(old_nodes)
     meta = {"meta": spark.createDataFrame([(identity,)], META)} if identity else {}
@@ -152,6 +169,8 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
         "nodes": part(nodes_now, F.coalesce("file_path", "node_key"), paths.union(outdated).union(stubs.select("node_key"))),
         "edges": part(edges_now, F.col("file_path"), paths.union(stale.select("file_path"))),
         "shared": part(contributions, F.col("file_path"), paths),
+        "marks": part(beside(stored("marks", MARKS)).unionByName(marks), F.col("file_path"), paths),
+        "bindings": part(beside(stored("bindings", BINDINGS)).unionByName(bound), F.col("file_path"), paths),
         "runs": log("completed"),
     } | meta
     if store.has("knowledge"):
@@ -172,12 +191,13 @@ def _buckets(keys: DataFrame, buckets: int) -> tuple[int, ...]:
 
 
 def per_file(edges: DataFrame) -> DataFrame:
-    """What each file states, once: of equal edges of a file the surest, loops aside, in the columns of EDGES."""
+    """What each file states, once: of equal edges of a file the surest, loops aside, in the columns of EDGES. Of equally sure ones a
+    parameter's comes first."""
     dec = lambda x: F.lit(x).cast("decimal(3,2)")
     sure = F.least(dec(1), F.greatest(dec(0), F.col("confidence")))
-    rows = edges.where("source_key != target_key").groupBy("source_key", "target_key", "relationship", "file_path").agg(F.max(sure).alias("confidence"))
-    none = F.lit(None).cast("string")
-    return rows.select("source_key", "target_key", "relationship", "confidence", "file_path", none.alias("resolution"), none.alias("original_target"))
+    best = F.max(F.struct(sure.alias("confidence"), F.coalesce(F.col("via") == "parameter", F.lit(False)).alias("p"), "via", "resolution")).alias("b")
+    rows = edges.where("source_key != target_key").groupBy("source_key", "target_key", "relationship", "file_path").agg(best)
+    return rows.select("source_key", "target_key", "relationship", "b.confidence", "file_path", "b.resolution", F.lit(None).cast("string").alias("original_target"), "b.via")
 
 
 def identity_of(key: Column) -> Column:
@@ -206,7 +226,7 @@ def linked(calls: DataFrame, declared: DataFrame, parents: DataFrame) -> DataFra
     """Calls that lead to the method that a class inherits: what they named is kept in original_target, so that a later run can judge
     anew, and resolution tells what was found. An inherited method is no surer than 0.85. Two calls of a file that meet in one
     method by different names stay two; those that are equal become one."""
-    named = calls.withColumns({"target_key": F.coalesce("original_target", "target_key"), "resolution": F.lit(None).cast("string"), "original_target": F.lit(None).cast("string")})
+    named = calls.withColumns({"target_key": F.coalesce("original_target", "target_key"), "resolution": F.when(F.col("resolution") == "framework_type", F.col("resolution")), "original_target": F.lit(None).cast("string")})
     known = declared.where("node_type = 'method'").select("node_key", "visibility")
     owner = lambda key: F.concat(F.lit("class:"), F.regexp_extract(key, r"^method:(.*)::[^:]*$", 1))
     name = lambda key: F.regexp_extract(key, r"::([^:]*)$", 1)
@@ -221,7 +241,7 @@ def linked(calls: DataFrame, declared: DataFrame, parents: DataFrame) -> DataFra
     moved = F.col("_to").isNotNull()
     same = F.lower("_to") == F.lower("target_key")
     rows = rows.withColumns({
-        "resolution": F.when(moved, F.when(same, "declared_method").otherwise("inherited_method")),
+        "resolution": F.when(moved, F.when(same, "declared_method").otherwise("inherited_method")).otherwise(F.col("resolution")),
         "original_target": F.when(moved, F.col("target_key")),
         "confidence": F.when(moved & ~same, F.least(F.col("confidence"), F.lit(0.85).cast("decimal(3,2)"))).otherwise(F.col("confidence")),
     })

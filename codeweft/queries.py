@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,14 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import scoring, text
-from codeweft.operators import cache, changes, extract, graph, knowledge, reports, routing, search, semantics
-from codeweft.operators.lineage import checkpoint_dir, cut
-from codeweft.plans import retrieve, sample_sources
+from codeweft.operators import cache, changes, extract, graph, knowledge, reports, search, semantics
+from codeweft.operators.lineage import cut
+from codeweft.plans import retrieve
 from codeweft.plans.demo_graph import EDGES_SQL, NODES_SQL, edges, key, nodes, table
-from codeweft.plans.source_graph import template_graph
-from codeweft.plans.sync import sync
 from codeweft.sources import files
-from codeweft.store import SnapshotStore
 from codeweft.streaming.incremental import counted_windows, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -511,19 +507,6 @@ def inherited_resolution(spark, sf_dir):
     return graph.inherited_methods(classes, methods, parents, classes.select("class_key", F.lit("Run").alias("name"))).select("class_key", "method_key", "state")
 
 
-@query("""select * from (values ('a', 'unknown', null), ('b', 'unknown', null), ('c', 'resolved', 't::run'), ('d', 'resolved', 't::run'), ('t', 'resolved', 't::run'), ('e', 'unknown', null), ('f', 'resolved', 'g::run'), ('h', 'unknown', null), ('i', 'resolved', 'g::run')) x(class_key, state, method_key)""")
-def inheritance_cases(spark, sf_dir):
-    """Cycles (a, b), traits above the first level (d extends c, which uses t and extends g), two that differ (e), one declaration
-    by two ways (f), a private one in the way (h), and a cycle that a trait makes irrelevant (i)."""
-    rows = lambda data, schema: spark.createDataFrame(data, schema)
-    classes = rows([(c, False) for c in "abcdefghitxyz"], "class_key string, adapts boolean")
-    methods = rows([("t", "run", "t::run", False), ("g", "run", "g::run", False), ("x", "run", "x::run", True)], "class_key string, name string, method_key string, private boolean")
-    up = [("a", "b", "extends"), ("b", "a", "extends"), ("c", "t", "trait"), ("c", "g", "extends"), ("d", "c", "extends"), ("e", "t", "trait"), ("e", "g", "trait"), ("f", "y", "trait"), ("f", "z", "trait"), ("y", "g", "extends"), ("z", "g", "extends"), ("h", "x", "extends"), ("i", "g", "trait"), ("i", "a", "extends")]
-    parents = rows(up, "class_key string, parent_key string, kind string")
-    calls = rows([(c, "run") for c in "abcdtefhi"], "class_key string, name string")
-    return graph.inherited_methods(classes, methods, parents, calls).select("class_key", "state", "method_key")
-
-
 @query("""with f as (select o_orderkey, case o_orderkey % 13 when 0 then 'facade_accessor' when 1 then 'container_binding' when 2 then 'unresolved_method' when 3 then 'namespace_fallback' when 4 then 'global_fallback' when 5 then 'framework_type' when 6 then 'eloquent_builder_forward' end as res,
  case o_orderkey % 7 when 0 then 'ambiguous' when 1 then 'nonsense' end as given, case o_orderkey % 11 when 0 then 'app' when 1 then 'new' end as via,
  o_orderstatus = 'F' as stub, o_custkey % 2 = 0 as app, o_custkey % 3 = 0 as cls, o_custkey % 5 = 0 as meth, o_custkey % 19 = 0 as facade, o_custkey % 17 = 0 as ext, o_orderpriority = '1-URGENT' as fl from orders),
@@ -745,165 +728,6 @@ def facade_bindings(spark, sf_dir):
     return o.join(bound, "k", "left").select("o_orderkey", state.alias("state"))
 
 
-# -- extraction and synchronisation, over literal sources
-
-ORDER_PHP = r"""<?php
-namespace App\Models;
-
-use Illuminate\Database\Eloquent\Model;
-use App\Support\{Money as Cash, Tax};
-use App\Contracts\Billable as Bills;
-
-class Order extends Model implements Bills
-{
-    use Logs;
-    protected $table = 'orders_v2';
-    private ?Cash $total;
-
-    public function __construct(private Tax $tax, array $n = array(1, 2)) { }
-
-    private function owner(): User|null { return new User(); }
-
-    public function close(self $other) { $this->note(); return $this->missing(); }
-}
-"""
-LOGS_PHP = r"""<?php
-namespace App\Models;
-
-trait Logs
-{
-    public function note() { return Audit::write(1); }
-}
-"""
-M = "App\\Models\\"
-
-
-def literal_sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("app/Models/Order.php", ORDER_PHP), ("app/Models/Logs.php", LOGS_PHP)], "path string, text string")
-
-
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
-
-
-ORDER, LOGS, IN_ORDER, IN_LOGS = f"class:{M}Order", f"class:{M}Logs", "file:app/Models/Order.php", "file:app/Models/Logs.php"
-EXTRACTED = [
-    *((IN_ORDER, t, "defines", 1.0) for t in (ORDER, *(f"method:{M}Order::{m}" for m in ("__construct", "owner", "close")))),
-    *((ORDER, f"method:{M}Order::{m}", "contains", 1.0) for m in ("__construct", "owner", "close")),
-    (IN_LOGS, LOGS, "defines", 1.0), (IN_LOGS, f"method:{M}Logs::note", "defines", 1.0), (LOGS, f"method:{M}Logs::note", "contains", 1.0),
-    (ORDER, "class:Illuminate\\Database\\Eloquent\\Model", "extends", 0.95), (ORDER, "class:App\\Contracts\\Billable", "implements", 0.95), (ORDER, LOGS, "uses_trait", 0.95),
-    (ORDER, "table:orders_v2", "uses_table", 0.9), (ORDER, "class:App\\Support\\Money", "depends_on", 0.95),
-    (f"method:{M}Order::__construct", "class:App\\Support\\Tax", "depends_on", 0.95), (f"method:{M}Order::owner", f"class:{M}User", "depends_on", 0.95), (f"method:{M}Order::close", ORDER, "depends_on", 0.95),
-    (f"method:{M}Order::close", f"method:{M}Order::note", "calls", 0.85), (f"method:{M}Order::close", f"method:{M}Order::missing", "calls", 0.85), (f"method:{M}Logs::note", f"method:{M}Audit::write", "calls", 0.85),
-]
-
-
-@query(f"select * from (values {_values(EXTRACTED)}) x(source_key, target_key, relationship, confidence)")
-def extracted_edges(spark, sf_dir):
-    """Aliased and grouped imports, property, promoted, parameter and return types, traits, tables, calls."""
-    _, e = extract.graph_of(literal_sources(spark))
-    return changes.combined_edges(e, ["file_path"]).select("source_key", "target_key", "relationship", F.col("confidence").cast("double").alias("confidence"))
-
-
-@query(f"""select * from (values {_values([(f"method:{M}Order::__construct", "__construct(private Tax $tax, array $n = array(1, 2))", "public"), (f"method:{M}Order::owner", "owner(): User|null", "private"), (f"method:{M}Order::close", "close(self $other)", "public"), (f"method:{M}Logs::note", "note()", "public")])}) x(node_key, signature, visibility)""")
-def method_signatures(spark, sf_dir):
-    n, _ = extract.graph_of(literal_sources(spark))
-    return n.where("node_type = 'method'").select("node_key", "signature", "visibility")
-
-
-LINKED = [(f"method:{M}Order::close", f"method:{M}Logs::note", "inherited_method", f"method:{M}Order::note"), (f"method:{M}Order::close", f"method:{M}Order::missing", None, None), (f"method:{M}Logs::note", f"method:{M}Audit::write", None, None)]
-
-
-@query(f"""select * from (values {_values([(*r, 'second') for r in LINKED])}) x(source_key, target_key, resolution, original_target, run)
-union all select 'completed', 'updated', '1', 'skipped', '1'""")
-def sync_incremental(spark, sf_dir):
-    """A full run, then one in which a single file has changed: calls as they are linked at the end, and what the last run did."""
-    store = SnapshotStore(spark, f"{checkpoint_dir(spark)}/sync-{uuid.uuid4().hex}")
-    sync(store, literal_sources(spark), ["app"], "full")
-    again = literal_sources(spark).withColumn("text", F.when(F.col("path").endswith("Logs.php"), F.concat("text", F.lit("// changed"))).otherwise(F.col("text")))
-    done = sync(store, again, ["app"])
-    calls = store.read("edges").where("relationship = 'calls'").select("source_key", "target_key", "resolution", "original_target", F.lit("second").alias("run"))
-    return calls.unionByName(spark.createDataFrame([(done.status, "updated", str(done.updated), "skipped", str(done.skipped))], "source_key string, target_key string, resolution string, original_target string, run string"))
-
-
-# -- routes, templates and what classes say of each other, over literal sources
-
-
-def _literal_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sample_sources.FILES, "path string, text string")
-
-
-ORDERS, AUDIT, P, A = "App\\Http\\Controllers\\OrderController", "App\\Http\\Middleware\\Audit", "App\\Providers\\", "admin."
-EVERY_VERB = "GET HEAD POST PUT PATCH DELETE OPTIONS"
-ROUTES = [
-    ("route:home", "home", "GET HEAD", "", "App\\Http\\Controllers\\HomeController::__invoke", 0.9, None, "", ""),
-    (f"route:{A}orders.show", f"{A}orders.show", "GET HEAD", "admin/orders/{id}", f"{ORDERS}::show", 0.9, None, AUDIT, "can:view auth"),
-    ("route:GET|POST:admin/deep/x", None, "GET POST", "admin/deep/x", "Legacy::go", 0.75, None, AUDIT, "auth throttle:(60)"),
-    (f"route:{A}deep.y", f"{A}deep.y", "POST", "admin/deep/y", None, 0.55, None, AUDIT, "auth throttle:(60)"),
-    ("route:DELETE:admin/z", None, "DELETE", "admin/z", f"{ORDERS}::remove", 0.9, None, AUDIT, "auth"),
-    (f"route:{A}photos.comments.index", f"{A}photos.comments.index", "GET HEAD", "admin/photos/{photo}/comments", f"{ORDERS}::index", 0.8, None, AUDIT, "auth"),
-    (f"route:{A}comments.show", f"{A}comments.show", "GET HEAD", "admin/comments/{comment}", f"{ORDERS}::show", 0.8, None, AUDIT, "auth"),
-    ("route:all", "all", "GET HEAD", "people-lists", "App\\Plain::index", 0.8, None, "", ""),
-    ("route:people-lists.store", "people-lists.store", "POST", "people-lists", "App\\Plain::store", 0.8, None, "", ""),
-    ("route:people-lists.show", "people-lists.show", "GET HEAD", "people-lists/{who}", "App\\Plain::show", 0.8, None, "", ""),
-    ("route:people-lists.update", "people-lists.update", "PUT PATCH", "people-lists/{who}", "App\\Plain::update", 0.8, None, "", ""),
-    ("route:VIEW:about", None, "GET HEAD", "about", None, 0.5, "pages.about", "", ""),
-    ("route:REDIRECT:old", None, EVERY_VERB, "old", None, 0.5, None, "", ""),
-]
-
-
-@query(f"select * from (values {_values(ROUTES)}) x(route_key, name, methods, uri, target, confidence, view, classes, aliases)")
-def route_table(spark, sf_dir):
-    """Nested groups by call and by array, resources with options, all forms of actions, middleware by class and by alias."""
-    r = routing.route_table(_literal_files(spark))
-    joined = lambda c: F.array_join(c, " ")
-    return r.select("route_key", "name", joined("methods").alias("methods"), "uri", "target", F.col("confidence").cast("double").alias("confidence"), "view", joined("middleware_classes").alias("classes"), joined("middleware_aliases").alias("aliases"))
-
-
-C, REGISTER = "class:", f"method:{P}AppProvider::register"
-SAID = [
-    (f"{C}{P}UserObserver", f"{C}{M}User", "observes", 0.9), (f"{C}{M}OrderObserver", ORDER, "observes", 0.9), (f"{C}App\\Audit", ORDER, "observes", 0.9),
-    (f"{C}{P}Notify", f"{C}{P}Shipped", "listens_to_event", 0.9), (f"{C}{P}SendMail", f"{C}{P}Placed", "listens_to_event", 0.9), (f"{C}{P}Log\\Write", f"{C}{P}Placed", "listens_to_event", 0.9),
-    (f"{C}{P}UserPolicy", f"{C}{M}User", "depends_on", 0.9), (f"{C}{P}OrderPolicy", ORDER, "depends_on", 0.9), (REGISTER, f"{C}{P}CardPay", "contextual_binding", 0.85),
-    (f"method:{M}Order::lines", f"{C}{M}Line", "uses_model", 0.85), (f"method:{M}Order::tags", f"{C}{M}Tag", "uses_model", 0.85), (f"method:{M}Order::tags", "table:order_tag", "uses_table", 0.9),
-    (REGISTER, f"{C}{P}StripePay", "binds", 0.85), (f"{C}App\\Contracts\\Pay", f"{C}{P}StripePay", "binds", 0.85), (REGISTER, f"{C}App\\Cart", "binds", 0.95),
-    (REGISTER, f"{C}{P}Clock", "binds", 0.9), (REGISTER, f"{C}App\\New", "binds", 0.8), (f"{C}App\\Old", f"{C}App\\New", "binds", 0.8),
-]
-
-
-@query(f"select * from (values {_values(SAID)}) x(source_key, target_key, relationship, confidence)")
-def semantic_edges(spark, sf_dir):
-    """Observers, listeners, policies, bindings, relations and pivots."""
-    return semantics.semantic_edges(_literal_files(spark)).select("source_key", "target_key", "relationship", F.col("confidence").cast("double").alias("confidence"))
-
-
-FACTS = [
-    (f"{C}{P}AppProvider", "", "", "", "", None, None, ""),
-    (ORDER, f"a=bool b={M}Money d=date", "Total fullName", "openOnes", f"lines={M}Line owner=Illuminate\\Database\\Eloquent\\Relations\\Relation tags={M}Tag", None, None, ""),
-    (f"{C}App\\Facades\\Cart", "", "", "", "", "cart", "container_key", ""),
-    (f"{C}App\\Facades\\Web", "", "", "", "", None, None, "auth can:x"),
-]
-
-
-@query(f"select * from (values {_values(FACTS)}) x(class_key, casts, accessors, scopes, relations, facade_accessor, accessor_kind, middleware_aliases)")
-def class_facts(spark, sf_dir):
-    """Casts by property and by method, accessors of both forms, scopes, relations, what a facade stands for."""
-    f = semantics.class_facts(_literal_files(spark))
-    shown = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ").alias(m)
-    joined = lambda a: F.array_join(a, " ").alias(a)
-    return f.select("class_key", shown("casts"), joined("accessors"), joined("scopes"), shown("relations"), "facade_accessor", "accessor_kind", joined("middleware_aliases"))
-
-
-ABOUT = "view:pages.about"
-TEMPLATE_ENDS = [*((ABOUT, f"view:{v}", "renders_view") for v in ("layouts.app", "parts.list", "parts.own", "parts.shared")), (ABOUT, "component:alert", "uses_component"), (ABOUT, "component:forms.field", "uses_component"), (ABOUT, "route:home", "references_route")]
-
-
-@query(f"select * from (values {_values(TEMPLATE_ENDS)}) x(source_key, target_key, relationship)")
-def template_edges(spark, sf_dir):
-    _, e = template_graph(_literal_files(spark).where("path like '%.blade.php'"))
-    return e.select("source_key", "target_key", "relationship")
-
-
 @query("""with b as (select p_type as accessor, count(distinct p_brand) as n, min(p_brand) as one from part group by 1),
 a as (select distinct p_type as accessor, length(p_type) % 2 = 0 as is_class from part union all select 'NOWHERE', true union all select 'CART', false),
 s as (select accessor, is_class, coalesce(n, 0) as n, one, case when is_class then case when n = 1 then 'partially_resolved' else 'external' end when n > 1 then 'ambiguous' else 'partially_resolved' end as state from a left join b using (accessor)),
