@@ -148,3 +148,10 @@ def overlaid(under_: Column, over: Column) -> Column:
     """Two maps in one; where both have a key, ``over`` counts."""
     rest = F.map_filter(under_, lambda k, _: ~F.map_contains_key(over, k))
     return F.map_concat(rest, over)
+
+
+def module_paths(paths: Column, root: Column) -> Column:
+    """Where a module lies: its paths with slashes unified and none at the end, each once, empty ones aside; its root where it names no path."""
+    named = F.when(F.size(F.coalesce(paths, F.array().cast("array<string>"))) > 0, paths).otherwise(F.array_compact(F.array(root)))
+    plain = F.transform(named, lambda p: F.rtrim(unified_path(F.coalesce(p, F.lit(""))), F.lit("/")))
+    return F.array_distinct(F.filter(plain, lambda p: p != ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.operators.lineage import cut
+
 
 def difference(old: DataFrame, new: DataFrame, key: str, content_hash: str) -> DataFrame:
     """(key, change) for each key on one side or both: added, removed, changed or same."""
@@ -99,3 +101,15 @@ def modules_ensured(old: DataFrame, assigned: DataFrame) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     under, over = F.coalesce("metadata", empty), F.coalesce("_new", empty)
     return both.select("module_key", pick("name"), pick("root_path"), F.map_concat(F.map_filter(under, lambda k, _: ~F.map_contains_key(over, k)), over).alias("metadata"))
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their number in an order, from 1: sorted in ranges, each of which counts on from those before it. Equal rows get numbers of their own."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # a row a range
+    joined = ranged.withColumn("_part", part).join(F.broadcast(ahead), "_part")
+    return joined.withColumn("number", F.col("_ahead") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_ahead")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.scoring import class_role
 from codeweft.functions.text import normalized_key, plural, singular, snake, view_name
+from codeweft.operators.lineage import cut
 
 #: What migrations say of a table: one row for each file and table.
 SHARED = "node_key string, file_path string, operation string, columns array<struct<name:string,type:string>>"
@@ -112,11 +113,17 @@ def methods_of(found: DataFrame) -> DataFrame:
     return rows.withColumn("returns", F.regexp_extract(F.substring("inner", F.length("parameters") + 2, F.lit(1 << 20)), r"^\s*:\s*([?\w\\|&\s]+?)\s*[{;]", 1))
 
 
-def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of source files: nodes as in NODE; edges(source_key, target_key, relationship, confidence, file_path, via)."""
-    found = declared(files)
+def read_once(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(declared(), methods_of()) of files, each computed once for all that is read from them."""
+    found = cut(declared(files))
+    return found, cut(methods_of(found))
+
+
+def graph_of(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of source files: nodes as in NODE; edges(source_key, target_key, relationship, confidence, file_path, via). ``read`` is
+    read_once() of the files, where it is known."""
+    found, spans = read or read_once(files)
     file_key = F.concat(F.lit("file:"), F.col("path"))
-    spans = methods_of(found)
     visibility = F.regexp_extract("modifiers", r"(private|protected)", 1)
     signature = F.concat(F.col("method"), F.lit("("), F.regexp_replace(F.trim("parameters"), r"\s+", " "), F.lit(")"), F.when(F.col("returns") != "", F.concat(F.lit(": "), F.col("returns"))).otherwise(""))
     methods = spans.withColumns({"signature": signature, "visibility": F.when(visibility == "", "public").otherwise(visibility)}).dropDuplicates(["path", "class_key", "method"])

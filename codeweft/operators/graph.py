@@ -227,3 +227,9 @@ def inherited_methods(classes: DataFrame, methods: DataFrame, parents: DataFrame
     private = F.col("own_key").isNotNull() & F.col("there").isNotNull()
     state = F.when(private, "resolved").otherwise(F.coalesce("state", F.lit("unknown")))
     return out.select(F.col("at").alias("class_key"), "name", F.when(private, F.col("own_key")).otherwise(F.col("method_key")).alias("method_key"), F.when(private, F.array("at")).otherwise(F.col("path")).alias("path"), state.alias("state"))
+
+
+def declaring_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges(file_path, ...) with declared_in, the node of the file that states them: null where that file isn't indexed, or edges name none."""
+    files = nodes.where("node_type = 'file' and file_path is not null").select("file_path", F.col("node_key").alias("declared_in"))
+    return edges.join(files, "file_path", "left")

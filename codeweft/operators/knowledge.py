@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import content_fingerprint
+from codeweft.operators.changes import numbered
 
 STATES = ("draft", "active", "stale", "rejected", "archived")
 
@@ -91,3 +92,22 @@ def reaffirmed(knowledge: DataFrame, nodes: DataFrame, keys: list[str]) -> DataF
     proved = found.groupBy("knowledge_key").agg(F.bool_and(F.col("content_hash").isNotNull()).alias("_all"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("node_key", "content_hash")))).alias("_hashes")).where("_all")
     joined = knowledge.join(proved, "knowledge_key", "left")
     return joined.withColumns({"state": F.when(F.col("_all"), "active").otherwise(F.col("state")), "source_hashes": F.coalesce("_hashes", "source_hashes")}).select(*knowledge.columns)
+
+
+def last_verified(knowledge: DataFrame, most: int = 160) -> tuple[DataFrame, bool]:
+    """The ``most`` entries that were verified last, those that never were at the end, equals by id; and whether there are more."""
+    top = knowledge.orderBy(F.desc_nulls_last("verified_at"), "id").limit(most + 1)
+    more = top.count() > most
+    return top.orderBy(F.desc_nulls_last("verified_at"), "id").limit(most), more
+
+
+def change_sets(log: DataFrame, drafts: DataFrame) -> DataFrame:
+    """The log(id, intent, git_commit, changed_files, changed_symbols, expected_impact, actual_impact, validation_outcome, lessons) with drafts appended, numbered
+    on from the last in order of intent. Lists that a draft leaves out are empty, other things that it leaves out null."""
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first()["n"]
+    empty = F.array().cast("array<string>")
+    lists = ("changed_files", "changed_symbols")
+    rows = numbered(drafts, [F.col("intent")]).withColumn("id", F.col("number") + last)
+    given = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    rows = rows.select(*((F.coalesce(given(c).cast("array<string>"), empty) if c in lists else given(c)).cast(log.schema[c].dataType).alias(c) for c in log.columns))
+    return log.unionByName(rows)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.text import normalized_key
 from codeweft.operators import tokens as tk
-from codeweft.operators.extract import all_of, declared, full_name, methods_of
+from codeweft.operators.extract import all_of, full_name, read_once
 from codeweft.operators.lineage import cut
 from codeweft.operators.semantics import RELATION, is_model
 
@@ -45,11 +45,11 @@ PROMOTED = r"(?:^|[(,])\s*(?:(?:public|protected|private|readonly)\s+)+\??(\\?[A
 CLASS_NAME = rf"^({tk.NAME})$"
 
 
-def units_of(files: DataFrame) -> DataFrame:
+def units_of(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """files(path, text) -> one row a method: unit, method_key, its class with parents and typed properties, the class's relations, and its text."""
-    found = declared(files)
+    read = read or read_once(files)
     entries = lambda text, pattern: F.arrays_zip(all_of(text, pattern, 2).alias("key"), all_of(text, pattern, 1).alias("value"))
-    methods = methods_of(found).withColumn("model", is_model())
+    methods = read[1].withColumn("model", is_model())
     promoted = F.flatten(F.collect_list(F.when(F.lower("method") == "__construct", entries(F.col("parameters"), PROMOTED)).otherwise(F.array().cast("array<struct<key:string,value:string>>"))))
     # bounded by the methods of one class
     of_class = methods.groupBy("path", "class_key").agg(promoted.alias("promoted"), F.collect_set(F.when(F.col("model") & F.col("inner").rlike(RELATION), F.col("method"))).alias("relations"))
@@ -258,19 +258,23 @@ def receivers(units: DataFrame, models: DataFrame | None = None) -> DataFrame:
     return known.select(*out).unionByName(by_var.select(*out))
 
 
-def receiver_edges(files: DataFrame) -> DataFrame:
+def models_of(read: tuple[DataFrame, DataFrame]) -> DataFrame:
+    return read[0].where(is_model()).select("fqcn").distinct()
+
+
+def receiver_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """files(path, text) -> calls on what receivers hold, in the columns of ``extract.graph_of``, with ``resolution``: framework_type for those of the
     framework, else null."""
-    units = cut(units_of(files))
-    models = declared(files).where(is_model()).select("fqcn").distinct()
-    rows = receivers(units, models).where("type is not null").join(units.select("unit", "path", "method_key"), "unit")
+    read = read or read_once(files)
+    units = cut(units_of(files, read))
+    rows = receivers(units, models_of(read)).where("type is not null").join(units.select("unit", "path", "method_key"), "unit")
     target = normalized_key(F.concat(F.lit("method:"), "type", F.lit("::"), "name"))
     return rows.select(F.col("method_key").alias("source_key"), target.alias("target_key"), F.lit("calls").alias("relationship"), F.lit(0.75).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"), F.when(F.col("type").startswith("Illuminate\\"), "framework_type").alias("resolution"))
 
 
 def unresolved_calls(files: DataFrame) -> DataFrame:
     """(method_key, unresolved) of each method: its calls on what isn't known, and those whose name is computed."""
-    units = cut(units_of(files))
-    models = declared(files).where(is_model()).select("fqcn").distinct()
-    open_ = receivers(units, models).groupBy("unit").agg(F.count_if(F.col("type").isNull()).alias("n"))
+    read = read_once(files)
+    units = cut(units_of(files, read))
+    open_ = receivers(units, models_of(read)).groupBy("unit").agg(F.count_if(F.col("type").isNull()).alias("n"))
     return units.join(open_, "unit", "left").groupBy("method_key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unresolved"))

@@ -63,3 +63,11 @@ def unresolved_sites(methods: DataFrame, most: int = 3) -> DataFrame:
     first = some.orderBy("shown").limit(most).agg(F.array_join(F.array_sort(F.collect_list("shown")), " ").alias("examples"))
     total = some.agg(F.coalesce(F.sum("unresolved"), F.lit(0)).alias("unresolved"), F.count(F.lit(1)).alias("methods"))
     return total.join(F.broadcast(first))  # one row each
+
+
+def compared(results: DataFrame) -> DataFrame:
+    """results(full_source_estimated_tokens, estimated_context_tokens) of an evaluation -> one row of their sums, and what providers reported, which is
+    nothing here."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    unknown = ("provider_reported_input_tokens", "provider_reported_output_tokens", "cached_tokens")
+    return results.agg(total("full_source_estimated_tokens").alias("full_source_estimated_tokens"), total("estimated_context_tokens").alias("project_memory_estimated_tokens")).select("*", *(F.lit(None).cast("long").alias(c) for c in unknown))

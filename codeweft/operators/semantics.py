@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import normalized_key
-from codeweft.operators.extract import all_of, balanced, declared, full_name, methods_of
+from codeweft.operators.extract import all_of, balanced, full_name, read_once
 
 NAME = r"(\\?[A-Za-z_][\w\\]*)"
 CLASS = rf"{NAME}::class"
@@ -80,11 +80,10 @@ def bindings(methods: DataFrame) -> DataFrame:
     return rows.select("path", source.alias("source_key"), "abstract", "abstract_kind", F.col("c.name").alias("concrete"), "lifetime", F.col("c.via").alias("via"), F.col("c.sure").alias("confidence"))
 
 
-def semantic_edges(files: DataFrame) -> DataFrame:
+def semantic_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """files(path, text) -> edges in the columns of ``extract.graph_of``: observes, listens_to_event, depends_on of policies, binds,
-    contextual_binding, uses_model of relations and uses_table of pivots."""
-    found = declared(files)
-    methods = methods_of(found)
+    contextual_binding, uses_model of relations and uses_table of pivots. ``read`` as in ``extract.graph_of``."""
+    found, methods = read or read_once(files)
     body = F.col("body")
     facade = lambda name: rf"(?<![\w\\])\\?(?:[\w\\]*\\)?{name}"
     turned = lambda pairs, rel: F.transform(pairs, lambda p: _edge(_class(_full(p["b"])), _class(_full(p["a"])), rel, 0.9))
@@ -114,19 +113,19 @@ def semantic_edges(files: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("e.*", F.col("path").alias("file_path"))
 
 
-def class_facts(files: DataFrame) -> DataFrame:
+def class_facts(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """files(path, text) -> (class_key, path, casts, accessors, scopes, relations, facade_accessor, accessor_kind, middleware_aliases) of each class:
     casts, accessors, scopes and relations of models alone, the accessor of classes whose parent is a facade, aliases that a class gives to ``$this->middleware``.
 
     A later cast or relation of a name takes the place of an earlier one. What a class doesn't state is empty, or null for the accessor.
     """
-    found = declared(files)
+    found, spans = read or read_once(files)
     entry = rf"['\"]([^'\"]+)['\"]\s*=>\s*(?:['\"]([^'\"]+)['\"]|{CLASS})"
     returned = r"(?s)function\s+casts\s*\([^)]*\)[^{]*\{\s*return\s*\[(.*?)\]\s*;"
     maps = F.concat_ws(",", F.regexp_extract("body", r"(?s)\$casts\s*=\s*\[(.*?)\]\s*;", 1), F.regexp_extract("body", returned, 1))
     zipped = F.arrays_zip(all_of(maps, entry, 1).alias("k"), all_of(maps, entry, 2).alias("s"), all_of(maps, entry, 3).alias("c"))
     casts = F.transform(zipped, lambda z: F.struct(z["k"].alias("key"), F.when(z["s"] != "", z["s"]).otherwise(_full(z["c"])).alias("value")))
-    methods = methods_of(found).withColumn("at", F.struct("m", "method"))
+    methods = spans.withColumn("at", F.struct("m", "method"))
     by_name = F.regexp_extract("method", r"^(?:get|set)(.+)Attribute$", 1)
     typed = _full(F.trim("returns")).endswith("\\Attribute")
     scope = F.regexp_extract("method", r"^scope([A-Z].*)$", 1)
@@ -185,10 +184,11 @@ def facade_calls(edges: DataFrame, accessors: DataFrame, bound: DataFrame, class
     return rows.withColumn("resolution", F.when(F.col("_owner").isNotNull(), F.coalesce("resolution", F.lit("facade_accessor"))).otherwise(F.col("resolution"))).drop("_call", "_owner")
 
 
-def class_marks(files: DataFrame) -> DataFrame:
+def class_marks(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """files(path, text) -> (class_key, file_path, facade_accessor, accessor_kind, model, form_request): what calls and types are annotated by."""
-    form = declared(files).select("class_key", "path", is_model().alias("model"), F.exists("parents", lambda p: p.endswith("FormRequest")).alias("form_request"))
-    facts = class_facts(files).select("class_key", "path", "facade_accessor", "accessor_kind")
+    read = read or read_once(files)
+    form = read[0].select("class_key", "path", is_model().alias("model"), F.exists("parents", lambda p: p.endswith("FormRequest")).alias("form_request"))
+    facts = class_facts(files, read).select("class_key", "path", "facade_accessor", "accessor_kind")
     return form.join(facts, ["class_key", "path"], "left").select("class_key", F.col("path").alias("file_path"), "facade_accessor", "accessor_kind", "model", "form_request")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,20 +53,33 @@ def shared_tables(files: DataFrame) -> DataFrame:
     return extract.contributions(migration_files(files))
 
 
-def marks_and_bindings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``semantics.class_marks`` of the code among the files, and (file_path, abstract, concrete) of what it binds in the container."""
-    code = files.where(~F.col("path").endswith(".blade.php"))
-    bound = semantics.bindings(extract.methods_of(extract.declared(code)))
-    return semantics.class_marks(code), bound.select(F.col("path").alias("file_path"), "abstract", "concrete").distinct()
+@dataclass(frozen=True)
+class Reading:
+    """What files say: nodes and edges, contributions to shared tables, marks of classes, and bindings (file_path, abstract, concrete)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    shared: DataFrame
+    marks: DataFrame
+    bindings: DataFrame
 
 
 def source_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files(path, text) -> (nodes, edges) of all: templates by their ending, everything else as code, with its routes, what its classes
-    say of each other, the calls that
-    its receivers lead to, and the tables that migrations define. Edges may come more than once: ``changes.combined_edges`` takes the surest."""
+    """(nodes, edges) of read_files()."""
+    found = read_files(files)
+    return found.nodes, found.edges
+
+
+def read_files(files: DataFrame) -> Reading:
+    """files(path, text): templates by their ending, everything else as code, with its routes, what its classes
+    say of each other, the calls that its receivers lead to, and the tables that migrations define. Edges may come more than once:
+    ``changes.combined_edges`` takes the surest. Declarations and methods are read once for all of these."""
     is_template = F.col("path").endswith(".blade.php")
     code = files.where(~is_template)
-    parts = [extract.graph_of(code), routing.route_graph(code), template_graph(files.where(is_template)), extract.migration_graph(migration_files(code))]
+    read = extract.read_once(code)
+    parts = [extract.graph_of(code, read), routing.route_graph(code), template_graph(files.where(is_template)), extract.migration_graph(migration_files(code))]
     nodes = reduce(DataFrame.unionByName, (n for n, _ in parts))
-    said = [*(e for _, e in parts), semantics.semantic_edges(code), receivers.receiver_edges(code)]
-    return nodes, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), said)
+    said = [*(e for _, e in parts), semantics.semantic_edges(code, read), receivers.receiver_edges(code, read)]
+    edges = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), said)
+    bound = semantics.bindings(read[1]).select(F.col("path").alias("file_path"), "abstract", "concrete").distinct()
+    return Reading(nodes, edges, shared_tables(code), semantics.class_marks(code, read), bound)

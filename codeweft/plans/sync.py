@@ -93,25 +93,30 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     missing = cut(changes.missing_files(old_files.withColumnRenamed("path", "file_path"), live.select(F.col("path").alias("file_path")), roots).select(F.col("file_path").alias("path")))
     counts = {"updated": todo.count(), "scanned": live.count(), "deleted": missing.count()}
     counts["skipped"] = counts["scanned"] - counts["updated"]
+    number = runs.count() + 1
+    errors: list[str] = []
+    log = lambda status: runs.unionByName(spark.createDataFrame([(number, scope, status, counts["scanned"], counts["updated"], counts["skipped"], counts["deleted"], errors)], RUNS))
+    meta = {"meta": spark.createDataFrame([(identity,)], META)} if identity else {}
+    if base and not counts["updated"] and not counts["deleted"]:
+        store.publish({"runs": log("completed")} | meta, base)
+        return Run("completed", 0, counts["skipped"], 0)
     touched = cut(todo.select(F.col("path").alias("file_path")).union(missing.select(F.col("path").alias("file_path"))).distinct())
     in_touched = lambda df: df.join(touched, "file_path", "left_semi").select(*df.columns)
     beside = lambda df: df.join(touched, "file_path", "left_anti").select(*df.columns)
 
-    found = source_graph.source_graph(todo.select("path", "text"))
-    nodes = cut(found[0].withColumn("stub", F.lit(False)).select(*old_nodes.columns))
-    said = cut(per_file(found[1]))
-    contributed = cut(source_graph.shared_tables(todo.select("path", "text")))
-    marks, bound = source_graph.marks_and_bindings(todo.select("path", "text"))
+    if counts["updated"]:
+        found = source_graph.read_files(todo.select("path", "text"))
+    else:
+        found = source_graph.Reading(*(spark.createDataFrame([], x) for x in (extract.NODE, EDGES, extract.SHARED, MARKS, BINDINGS)))
+    nodes = cut(found.nodes.withColumn("stub", F.lit(False)).select(*old_nodes.columns))
+    said, contributed = cut(per_file(found.edges)), cut(found.shared)
     before, said_before = cut(in_touched(old_nodes)), cut(in_touched(old_edges))
     kept = beside(old_nodes)
-    meta = {"meta": spark.createDataFrame([(identity,)], META)} if identity else {}
 
     # a declaration of the edited files that another one makes, too
     new_names = nodes.select(identity_of(F.col("node_key")).alias("identity"), "file_path")
     others = kept.where("not stub and file_path is not null").select(identity_of(F.col("node_key")).alias("identity"), "file_path").join(new_names.select("identity").distinct(), "identity", "left_semi")
     errors = [r["identity"] for r in changes.duplicate_declarations(new_names.unionByName(others), F.col("identity"), "file_path").orderBy("identity").limit(20).collect()]
-    number = runs.count() + 1
-    log = lambda status: runs.unionByName(spark.createDataFrame([(number, scope, status, counts["scanned"], counts["updated"], counts["skipped"], counts["deleted"], errors)], RUNS))
     if errors:
         if base:
             store.publish({"runs": log("failed")} | meta, base)
@@ -169,8 +174,8 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
         "nodes": part(nodes_now, F.coalesce("file_path", "node_key"), paths.union(outdated).union(stubs.select("node_key"))),
         "edges": part(edges_now, F.col("file_path"), paths.union(stale.select("file_path"))),
         "shared": part(contributions, F.col("file_path"), paths),
-        "marks": part(beside(stored("marks", MARKS)).unionByName(marks), F.col("file_path"), paths),
-        "bindings": part(beside(stored("bindings", BINDINGS)).unionByName(bound), F.col("file_path"), paths),
+        "marks": part(beside(stored("marks", MARKS)).unionByName(found.marks), F.col("file_path"), paths),
+        "bindings": part(beside(stored("bindings", BINDINGS)).unionByName(found.bindings), F.col("file_path"), paths),
         "runs": log("completed"),
     } | meta
     if store.has("knowledge"):

@@ -5,16 +5,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.operators import changes, extract, graph, receivers, reports, routing, semantics
+from codeweft.functions import text
+from codeweft.operators import changes, extract, graph, knowledge, receivers, reports, routing, semantics
 from codeweft.operators.lineage import checkpoint_dir, cut
 from codeweft.plans import sample_sources
 from codeweft.plans.demo_graph import table
 from codeweft.plans.source_graph import template_graph
 from codeweft.plans.sync import annotated_edges, graph_edges, sync
 from codeweft.queries import query
+from codeweft.sources import files
 from codeweft.store import SnapshotStore
 
 ORDER_PHP = r"""<?php
@@ -205,12 +207,12 @@ def _text(*parts: str) -> Column:
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class for each part, whose method takes, makes, copies and merges objects of classes named by the part's brand, size and price."""
     p = table(spark, sf_dir, "part").withColumns({"brand": F.replace("p_brand", F.lit("#"), F.lit("")), "other": F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("T"), F.col("p_size").cast("string"))).otherwise("U"), "twice": F.when(F.col("p_size") % 2 == 0, "$x").otherwise("helper()")})
-    text = _text(
+    code = _text(
         "<?php\nnamespace App;\nclass P", "@p_partkey", " extends Base\n{\n    private ?K", "@p_size", " $kept;\n    public function go(B", "@brand", " $b, $free)\n    {\n        // $b->no('it')\n        $x = new T", "@p_size",
         "(1, ['a' => ')']); $x->make(); $y = $x; $y->copied();\n        if ($free->is('x // y')) { $y = new W; $y->inside(); $x = new ", "@other", "(); } else { $x->other(); }\n        $x->merged(); $y->lost(); $b->given(); $this->kept->held();\n        $z = ", "@twice",
         "; $z->last();\n        $f = function (T", "@p_size", " $b) use ($x) { $b->inner(); $y->lost(); };\n    }\n}\n",
     )
-    return p.select(_text("app/P", "@p_partkey", ".php").alias("path"), text.alias("text"))
+    return p.select(_text("app/P", "@p_partkey", ".php").alias("path"), code.alias("text"))
 
 
 PART_SQL = """p as (select p_partkey, p_size, replace(p_brand, '#', '') as brand, p_size % 3 = 0 as same, p_size % 2 = 0 as twice from part)"""
@@ -235,11 +237,11 @@ def unresolved_sites(spark, sf_dir):
 
 def fluent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").withColumns({"first": F.when(F.col("s_suppkey") % 3 == 0, "where").when(F.col("s_suppkey") % 3 == 1, "with").otherwise("make"), "then": F.when(F.col("s_suppkey") % 2 == 0, "get").otherwise("take")})
-    text = _text(
+    code = _text(
         "<?php\nnamespace App;\nclass M", "@s_suppkey", " extends \\Illuminate\\Database\\Eloquent\\Model\n{\n    public function notes() { return $this->hasMany(Note::class); }\n    public function go()\n    {\n        $q = M", "@s_suppkey", "::", "@first",
         "('a', [1, ')'])->orderBy('b'); $q->limit(2); $r = $q->", "@then", "(); $r->map();\n        $this->notes()->where('c')->lazy()->each();\n    }\n}\n",
     )
-    return s.select(_text("app/M", "@s_suppkey", ".php").alias("path"), text.alias("text"))
+    return s.select(_text("app/M", "@s_suppkey", ".php").alias("path"), code.alias("text"))
 
 
 @query("""with s as (select s_suppkey as k, s_suppkey % 3 < 2 as known, s_suppkey % 2 = 0 as gets from supplier),
@@ -287,11 +289,11 @@ LINKED = [(f"method:{M}Order::close", f"method:{M}Logs::note", "inherited_method
 @query(f"""{expected(LINKED, 'source_key target_key resolution original_target')} union all select 'completed', 'updated', count(*) filter (s_suppkey % 2 = 0)::varchar, 'skipped ' || (2 * count(*) - count(*) filter (s_suppkey % 2 = 0)) from supplier""")
 def sync_incremental(spark, sf_dir):
     """A full run, then one in which a file of every other supplier has changed: calls as they are linked at the end, and what the last run did."""
-    store, files = _store(spark), cut(suppliers(spark, sf_dir, LITERAL))
-    sync(store, files, ["s1"], "full")
+    store, tree = _store(spark), cut(suppliers(spark, sf_dir, LITERAL))
+    sync(store, tree, ["s1"], "full")
     number = F.regexp_extract("path", "^s([0-9]+)/", 1).cast("int")
     edited = F.col("path").endswith("Logs.php") & (number % 2 == 0)
-    done = sync(store, files.withColumn("text", F.when(edited, F.concat("text", F.lit("// changed"))).otherwise(F.col("text"))), ["s1"])
+    done = sync(store, tree.withColumn("text", F.when(edited, F.concat("text", F.lit("// changed"))).otherwise(F.col("text"))), ["s1"])
     calls = graph_edges(store).where("relationship = 'calls'").select("source_key", "target_key", "resolution", "original_target")
     return calls.unionByName(spark.createDataFrame([(done.status, "updated", str(done.updated), f"skipped {done.skipped}")], calls.schema))
 
@@ -301,19 +303,19 @@ def nation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     provider = _text("<?php\nnamespace App;\nclass Provider", "@n_nationkey", " extends Base\n{\n    public function boot() { Event::listen(Shipped", "@n_regionkey", "::class, Notify::class); }\n}\n")
     migration = _text("<?php\nreturn new class {\n    public function down() { Schema::drop('gone'); }\n    public function up()\n    {\n        Schema::table('t", "@n_regionkey", "', function ($t) { $t->string('c", "@n_nationkey", "'); $t->id(); });\n    }\n};\n")
-    files = F.array(F.struct(_text("app/Provider", "@n_nationkey", ".php").alias("path"), provider.alias("text")), F.struct(_text("database/migrations/m", "@n_nationkey", ".php").alias("path"), migration.alias("text")))
-    return n.select("n_nationkey", "n_regionkey", F.explode(files).alias("f")).select("n_nationkey", "n_regionkey", "f.*")
+    both = F.array(F.struct(_text("app/Provider", "@n_nationkey", ".php").alias("path"), provider.alias("text")), F.struct(_text("database/migrations/m", "@n_nationkey", ".php").alias("path"), migration.alias("text")))
+    return n.select("n_nationkey", "n_regionkey", F.explode(both).alias("f")).select("n_nationkey", "n_regionkey", "f.*")
 
 
-@query("""with n as (select n_regionkey as r, count(*) filter (n_nationkey % 2 = 0) as n, string_agg('c' || n_nationkey || ':string', ' ' order by 'c' || n_nationkey) filter (n_nationkey % 2 = 0) as cols from nation where n_regionkey < 3 or n_nationkey % 2 = 1 group by 1)
+@query("""with n as (select n_regionkey as r, count(*) filter (n_nationkey % 2 = 0) as n, string_agg('c' || n_nationkey || ':string', ' ' order by 'c' || n_nationkey || ':string') filter (n_nationkey % 2 = 0) as cols from nation where n_regionkey < 3 or n_nationkey % 2 = 1 group by 1)
 select 'class:App\\Notify' as source_key, 'class:App\\Shipped' || r as target_key, 'listens_to_event' as relationship, null as columns from n where n > 0
 union all select 'table:t' || r, n::varchar, 'sources', cols from n where n > 0""")
 def sync_shared_statements(spark, sf_dir):
     """Several files state one edge and one table. After a full run the odd nations' files go, and so do all of regions 3 and 4: what the
     others still state stays, what nobody states any more goes."""
-    store, files = _store(spark), cut(nation_sources(spark, sf_dir))
-    sync(store, files.select("path", "text"), ["app", "database"], "full")
-    sync(store, files.where("n_nationkey % 2 = 0 and n_regionkey < 3").select("path", "text"), ["app", "database"])
+    store, tree = _store(spark), cut(nation_sources(spark, sf_dir))
+    sync(store, tree.select("path", "text"), ["app", "database"], "full")
+    sync(store, tree.where("n_nationkey % 2 = 0 and n_regionkey < 3").select("path", "text"), ["app", "database"])
     edges = graph_edges(store).where("relationship = 'listens_to_event'").select("source_key", "target_key", "relationship", F.lit(None).cast("string").alias("columns"))
     shown = F.array_join(F.array_sort(F.filter(F.flatten(F.collect_list(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"])))), lambda c: c != "id:id")), " ")
     tables = store.read("shared").groupBy("node_key").agg(F.count(F.lit(1)).cast("string").alias("target_key"), shown.alias("columns"))
@@ -330,3 +332,65 @@ def sync_annotations(spark, sf_dir):
     sync(store, fluent_sources(spark, sf_dir), ["app"], "full")
     e = annotated_edges(store).where("relationship = 'calls' and source_key like '%::go' and target_key rlike '::(where|with|make)$' and target_key like 'method:App%'")
     return e.groupBy("target_key", "resolution", "resolution_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- orders, appends and joins of the graph's upkeep
+
+
+@query("""with f as (select p_partkey, 'f' || p_partkey as file_path from part where p_size % 2 = 0)
+select o_orderkey, 'file:' || p_partkey as declared_in from orders left join f on file_path = case when o_orderkey % 7 > 0 then 'f' || (o_custkey % 3000) end""")
+def edge_declarations(spark, sf_dir):
+    """Edges with the file that states them: some files are indexed as something else, some not at all, and some edges name none."""
+    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    edges = o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 > 0, F.concat(F.lit("f"), (F.col("o_custkey") % 3000).cast("string"))).alias("file_path"))
+    nodes = p.select(_text("file:", "@p_partkey").alias("node_key"), F.when(F.col("p_size") % 2 == 0, "file").otherwise("class").alias("node_type"), _text("f", "@p_partkey").alias("file_path"))
+    return graph.declaring_files(edges, nodes).select("o_orderkey", "declared_in")
+
+
+@query("""select o_orderkey as id, verified_at, row_number() over (order by verified_at desc nulls last, o_orderkey) as place, true as more from (
+select o_orderkey, case when o_custkey % 3 > 0 then o_orderdate end as verified_at from orders where o_orderstatus = 'P') qualify place <= 160""")
+def last_verified(spark, sf_dir):
+    """Entries by when they were verified, never at the end, as many as one question reads."""
+    k = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderdate")).alias("verified_at"))
+    top, more = knowledge.last_verified(k)
+    by = Window.orderBy(F.desc_nulls_last("verified_at"), "id")  # 160 rows
+    return top.withColumn("place", F.row_number().over(by).cast("long")).withColumn("more", F.lit(more))
+
+
+@query("""with files as (select 'src/' || lang || '/' || source || '/' || doc_id || '.txt' as path from documents) select path, row_number() over (order by path) as number from files""")
+def path_order(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("src/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return files.in_path_order(d.select(path.alias("path")))
+
+
+@query("""select cast(sum(ceil(strlen(text) / 4.0)) as bigint) as full_source_estimated_tokens, cast(sum(least(ceil(strlen(text) / 4.0), 625)) as bigint) as project_memory_estimated_tokens,
+cast(null as bigint) as provider_reported_input_tokens, cast(null as bigint) as provider_reported_output_tokens, cast(null as bigint) as cached_tokens from documents""")
+def evaluation_totals(spark, sf_dir):
+    full = text.token_estimate(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(full.alias("full_source_estimated_tokens"), F.least(full, F.lit(625)).alias("estimated_context_tokens"))
+    return reports.compared(rows)
+
+
+@query("""with l as (select n_nationkey::bigint as id, n_name as intent, ['a', n_name] as f, null::varchar as outcome from nation),
+d as (select (select max(n_nationkey) from nation) + row_number() over (order by s_name) as id, s_name as intent, case when s_suppkey % 2 = 0 then [s_name, 'x'] else [] end as f, case when s_suppkey % 3 = 0 then 'passed' end as outcome from supplier)
+select id, intent, array_to_string(f, ' ') as files, 0::bigint as symbols, outcome from (select * from l union all select * from d)""")
+def change_sets(spark, sf_dir):
+    """A log of changes, and drafts that are appended to it."""
+    none = F.lit(None).cast("string")
+    log = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("intent"), none.alias("git_commit"), F.array(F.lit("a"), "n_name").alias("changed_files"), F.array().cast("array<string>").alias("changed_symbols"),
+        *(none.alias(c) for c in ("expected_impact", "actual_impact", "validation_outcome", "lessons")),
+    )
+    drafts = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("intent"), F.when(F.col("s_suppkey") % 2 == 0, F.array("s_name", F.lit("x"))).alias("changed_files"), F.when(F.col("s_suppkey") % 3 == 0, "passed").alias("validation_outcome"))
+    out = knowledge.change_sets(log, drafts)
+    return out.select("id", "intent", F.array_join("changed_files", " ").alias("files"), F.size("changed_symbols").cast("long").alias("symbols"), F.col("validation_outcome").alias("outcome"))
+
+
+@query("""select s_suppkey, case s_suppkey % 4 when 0 then 'app/' || s_suppkey || ' lib' when 1 then 'root/' || s_suppkey when 2 then 'x' else '' end as paths from supplier""")
+def module_paths(spark, sf_dir):
+    s, n = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    kind = F.col("s_suppkey") % 4
+    none = F.lit(None).cast("string")
+    paths = F.when(kind == 0, F.array(F.concat(F.lit("app\\"), n, F.lit("\\")), F.lit("lib//"), F.concat(F.lit("app/"), n), F.lit("/"))).when(kind == 2, F.array(F.lit("x"), none, F.lit("x/")))
+    return s.select("s_suppkey", F.array_join(text.module_paths(paths, F.when(kind == 1, F.concat(F.lit("root/"), n, F.lit("/")))), " ").alias("paths"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import relative_path, safe_relative_path, under
+from codeweft.operators.changes import numbered
 
 MOST_BYTES = 512_000
 
@@ -68,3 +69,8 @@ def module_of_rows(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     best = steps.join(prefixes, "prefix").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select("path", "module_key")
     default = F.when(F.size(parts) > 1, F.concat(F.get(parts, F.lit(0)), F.lit("-"), F.get(parts, F.lit(1)))).otherwise(F.get(parts, F.lit(0)))
     return paths.join(best, "path", "left").withColumn("module_key", F.coalesce("module_key", default))
+
+
+def in_path_order(files: DataFrame) -> DataFrame:
+    """Files with their number in order of their paths' code points."""
+    return numbered(files, [F.col("path")])

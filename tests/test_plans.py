@@ -1,10 +1,14 @@
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 from test_operators import SERVICE
 
 from codeweft.plans import retrieve
 from codeweft.plans.demo_graph import edges, nodes
-from codeweft.plans.sync import sync
-from codeweft.store import SnapshotStore
+from codeweft.plans.sync import annotated_edges, graph_edges, sync
+from codeweft.store import LeaseLost, Part, SnapshotStore
 
 SF = "/root/testdata/sf0.001"
 ORDER = "<?php\nnamespace App\\Models;\nclass Order\n{\n    public function total() { return 1; }\n}\n"
@@ -89,3 +93,89 @@ def test_nested_views(spark):
     e = spark.createDataFrame([("view:a", "view:b", "renders_view", 0.9), ("view:b", "view:c", "renders_view", 0.9), ("view:c", "view:a", "uses_component", 0.9)] + [("view:a", f"view:x{i:02d}", "renders_view", 0.9) for i in range(40)], "source_key string, target_key string, relationship string, confidence double")
     got = retrieve.view_hops(retrieve.Memory(n, e), n.where("node_key = 'view:a'"), False)
     assert {r.id: r.score for r in got.items.collect()} == {"view-hop:view:b": 162, "view-hop:view:c": 154} and got.limits == ["blade_include_hops"]
+
+
+def random_tree(dice):
+    """Sources whose parts hang together: classes below others, traits, calls of what they inherit, listeners that several state, tables that several
+    migrations add to, models and facades."""
+    out = {}
+    for k in range(5):
+        if dice.random() < 0.85:
+            up = f" extends C{k - 1}" if k and dice.random() < 0.7 else ""
+            trait = f"    use T{dice.randint(0, 1)};\n" if dice.random() < 0.4 else ""
+            methods = "".join(f"    {dice.choice(['public', 'private'])} function m{j}() {{ $this->m{dice.randint(0, 3)}(); $x = new C{dice.randint(0, 5)}; $x->m{dice.randint(0, 3)}(); }}\n" for j in range(4) if dice.random() < 0.5)
+            out[f"app/C{k}.php"] = f"<?php\nnamespace App;\nclass C{k}{up}\n{{\n{trait}{methods}}}\n"
+    for k in range(2):
+        if dice.random() < 0.8:
+            out[f"app/T{k}.php"] = f"<?php\nnamespace App;\ntrait T{k}\n{{\n    public function m{dice.randint(0, 3)}() {{ return 1; }}\n}}\n"
+        listen = "Event::listen(Shipped::class, Notify::class);" if dice.random() < 0.5 else ""
+        out[f"app/P{k}.php"] = f"<?php\nnamespace App;\nclass P{k} extends Base\n{{\n    public function boot() {{ {listen} }}\n}}\n"
+        if dice.random() < 0.7:
+            out[f"database/migrations/m{k}.php"] = f"<?php\nreturn new class {{\n    public function up()\n    {{\n        Schema::table('t{dice.randint(0, 1)}', function ($t) {{ $t->string('c{dice.randint(0, 5)}'); }});\n    }}\n}};\n"
+    return out
+
+
+def content(store):
+    nodes = {(r.node_key, None if r.stub else r.node_type, r.file_path, r.content_hash, r.stub) for r in store.read("nodes").collect()}
+    edges = {(r.source_key, r.target_key, r.relationship, r.confidence, r.file_path, r.resolution, r.original_target) for r in graph_edges(store).collect()}
+    others = [sorted(map(repr, store.read(t).collect())) for t in ("shared", "marks", "bindings", "files")]
+    return nodes, edges, others
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_edits_one_by_one_equal_a_full_run(spark, tmp_path, seed):
+    dice = random.Random(seed)
+    tree, store = {}, SnapshotStore(spark, f"file:{tmp_path}/inc", buckets=4)
+    frame = lambda t: spark.createDataFrame(sorted(t.items()), "path string, text string")
+    for step in range(4):
+        new = random_tree(dice)
+        # a few files change, come or go at a time
+        for path in set(new) | set(tree):
+            if step == 0 or dice.random() < 0.4:
+                tree.pop(path, None)
+                if path in new:
+                    tree[path] = new[path]
+        assert sync(store, frame(tree), ["app", "database"]).status == "completed"
+    whole = SnapshotStore(spark, f"file:{tmp_path}/full", buckets=4)
+    sync(whole, frame(tree), ["app", "database"], "full")
+    got, want = content(store), content(whole)
+    assert got[0] == want[0] and got[1] == want[1] and got[2] == want[2]
+    assert any(e[5] == "inherited_method" for e in got[1])
+    assert annotated_edges(store).count() == len(got[1])
+
+
+def test_an_edit_writes_the_buckets_that_it_touches(spark, tmp_path):
+    store = SnapshotStore(spark, f"file:{tmp_path}/b", buckets=8)
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("v"))
+    store.publish({"t": Part(rows, F.col("k"), ())})
+    before = store.manifest()["t"]["parts"]
+    bucket = int(next(iter(before)))
+    changed = rows.withColumn("v", F.when(F.pmod(F.xxhash64("k"), F.lit(8)) == bucket, 1).otherwise(0))
+    store.publish({"t": Part(changed, F.col("k"), (bucket,))})
+    after = store.manifest()["t"]["parts"]
+    assert {b for b in after if after[b] != before[b]} == {str(bucket)} and len(after) == 8
+    assert store.read("t").count() == 1000 and store.read("t", (bucket,)).where("v = 1").count() == store.read("t").where("v = 1").count() > 0
+    other = SnapshotStore(spark, f"file:{tmp_path}/b", buckets=5)  # another number of buckets: written whole
+    other.publish({"t": Part(other.read("t"), F.col("k"), (0,))})
+    assert other.read("t").count() == 1000 and len(other.manifest()["t"]["parts"]) == 5
+
+
+def test_a_lease_that_was_taken_over_neither_commits_nor_unlocks(spark, tmp_path):
+    one, two = (SnapshotStore(spark, f"file:{tmp_path}/l", lease_seconds=1) for _ in range(2))
+    t = spark.createDataFrame([(1,)], "k int")
+    assert one.lock() and not two.lock()
+    time.sleep(1.5)
+    assert two.lock() and not one.holds()
+    with pytest.raises(LeaseLost):
+        one.publish({"t": t})
+    one.unlock()
+    assert one.version() == 0 and two._fs().exists(two._path("LOCK"))
+    two.unlock()
+    assert not two._fs().exists(two._path("LOCK"))
+    slow = SnapshotStore(spark, f"file:{tmp_path}/l")
+    assert slow.lock()
+    other = SnapshotStore(spark, f"file:{tmp_path}/l")
+    other.publish({"t": t}, base=0)
+    with pytest.raises(RuntimeError):  # what was read as version 0 is no longer the latest
+        slow.publish({"t": t}, base=0)
+    assert slow._made("claims/2", "a writer that died") and slow.publish({"t": t}) == 3 and slow.read("t").count() == 1
