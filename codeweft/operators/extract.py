@@ -123,7 +123,7 @@ def graph_of(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None)
     """(nodes, edges) of source files: nodes as in NODE; edges(source_key, target_key, relationship, confidence, file_path, via). ``read`` is
     read_once() of the files, where it is known."""
     found, spans = read or read_once(files)
-    file_key = F.concat(F.lit("file:"), F.col("path"))
+    file_key = normalized_key(F.concat(F.lit("file:"), F.col("path")))
     visibility = F.regexp_extract("modifiers", r"(private|protected)", 1)
     signature = F.concat(F.col("method"), F.lit("("), F.regexp_replace(F.trim("parameters"), r"\s+", " "), F.lit(")"), F.when(F.col("returns") != "", F.concat(F.lit(": "), F.col("returns"))).otherwise(""))
     methods = spans.withColumns({"signature": signature, "visibility": F.when(visibility == "", "public").otherwise(visibility)}).dropDuplicates(["path", "class_key", "method"])
@@ -136,35 +136,36 @@ def graph_of(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None)
     own_files = files.select("path", F.sha2("text", 256).alias("content_hash"))
     nodes = node(own_files, file_key, F.lit("file"), F.lit(None).cast("string")).unionByName(node(found.withColumn("adapts", F.col("body").rlike(r"(?m)^\s+use\s+[\w\\,\s]+\{")), F.col("class_key"), role, F.col("fqcn"))).unionByName(node(methods, method_key, F.lit("method"), method_symbol))
 
-    edge = lambda df, source, target, rel, sure, via=None: df.select(source.alias("source_key"), target.alias("target_key"), F.lit(rel).alias("relationship"), F.lit(sure).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"), F.lit(via).cast("string").alias("via"))
-    to_class = lambda name: normalized_key(F.concat(F.lit("class:"), name))
-    typed = lambda df, types: df.select("*", F.explode(F.array_distinct(F.flatten(F.transform(types, lambda t: class_types(t, F.col("namespace"), F.col("imports"), F.col("fqcn")))))).alias("x"))
-    model = found.where(F.exists("parents", lambda c: c.rlike(r"(^|\\)(Model|Authenticatable|Pivot)$"))).withColumn("named", F.regexp_extract("body", r"\$table\s*=\s*['\"]([A-Za-z_]\w*)['\"]", 1))
-    of_model = lambda name: normalized_key(F.concat(F.lit("table:"), name))
+    # all that a class, or a method, states is one array, so that each is passed over once; keys are brought to length at the end
+    def said(source: Column, prefix: str, targets: Column, rel: str, sure: float, via: str | None = None) -> Column:
+        given = lambda t: F.struct(source.alias("source_key"), F.concat(F.lit(prefix), t).alias("target_key"), F.lit(rel).alias("relationship"), F.lit(sure).cast("decimal(3,2)").alias("confidence"), F.lit(via).cast("string").alias("via"))
+        return F.transform(targets, given)
+
     full = lambda c: full_name(c, F.col("namespace"), F.col("imports"))
-    made = spans.select("*", F.explode(distinct_captures(F.col("inner"), r"\bnew\s+(\\?[A-Z][\w\\]*)")).alias("x"))
-    called = spans.select("*", F.explode(F.array_distinct(F.arrays_zip(all_of(F.col("inner"), r"(\\?\b[A-Z][\w\\]*)::(\w+)\s*\(", 1).alias("c"), all_of(F.col("inner"), r"(\\?\b[A-Z][\w\\]*)::(\w+)\s*\(", 2).alias("f")))).alias("x"))
-    selfs = spans.select("*", F.explode(distinct_captures(F.col("inner"), r"\$this->(\w+)\s*\(")).alias("x"))
-    viewed = spans.select("*", F.explode(distinct_captures(F.col("inner"), r"\bview\(\s*['\"]([\w.\-/]+)['\"]")).alias("x"))
-    routed = spans.select("*", F.explode(distinct_captures(F.col("inner"), r"\broute\(\s*['\"]([\w.\-]+)['\"]")).alias("x"))
-    edges = (
-        edge(found, file_key, F.col("class_key"), "defines", 1)
-        .unionByName(edge(methods, file_key, method_key, "defines", 1))
-        .unionByName(edge(methods, F.col("class_key"), method_key, "contains", 1))
-        .unionByName(edge(found.select("*", F.explode("parents").alias("x")), F.col("class_key"), to_class(F.col("x")), "extends", 0.95))
-        .unionByName(edge(found.select("*", F.explode("interfaces").alias("x")), F.col("class_key"), to_class(F.col("x")), "implements", 0.95))
-        .unionByName(edge(found.select("*", F.explode("traits").alias("x")), F.col("class_key"), to_class(F.col("x")), "uses_trait", 0.95))
-        .unionByName(edge(typed(found, all_of(F.col("body"), PROPERTY)), F.col("class_key"), to_class(F.col("x")), "depends_on", 0.95, "property"))
-        .unionByName(edge(typed(spans, all_of(F.col("parameters"), PARAMETER)), method_key, to_class(F.col("x")), "depends_on", 0.95, "parameter"))
-        .unionByName(edge(typed(spans, F.array("returns")), method_key, to_class(F.col("x")), "depends_on", 0.95, "return_type"))
-        .unionByName(edge(model.where("named != ''"), F.col("class_key"), of_model(F.col("named")), "uses_table", 0.9))
-        .unionByName(edge(model.where("named = ''"), F.col("class_key"), of_model(snake(plural(F.col("name")))), "uses_table", 0.7))
-        .unionByName(edge(made, method_key, to_class(full(F.col("x"))), "depends_on", 0.9, "new"))
-        .unionByName(edge(called, method_key, normalized_key(F.concat(F.lit("method:"), full(F.col("x.c")), F.lit("::"), F.col("x.f"))), "calls", 0.85))
-        .unionByName(edge(selfs, method_key, normalized_key(F.concat(F.lit("method:"), F.col("fqcn"), F.lit("::"), F.col("x"))), "calls", 0.75))
-        .unionByName(edge(viewed, method_key, normalized_key(F.concat(F.lit("view:"), F.col("x"))), "renders_view", 0.9))
-        .unionByName(edge(routed, method_key, normalized_key(F.concat(F.lit("route:"), F.col("x"))), "references_route", 0.8))
-    )
+    typed = lambda types: F.array_distinct(F.flatten(F.transform(types, lambda t: class_types(t, F.col("namespace"), F.col("imports"), F.col("fqcn")))))
+    none = F.array().cast("array<string>")
+    is_model = F.exists("parents", lambda c: c.rlike(r"(^|\\)(Model|Authenticatable|Pivot)$"))
+    table = F.regexp_extract("body", r"\$table\s*=\s*['\"]([A-Za-z_]\w*)['\"]", 1)
+    file, of_class, of_method = F.concat(F.lit("file:"), F.col("path")), F.col("class_key"), F.concat(F.lit("method:"), method_symbol)
+    by_class = F.concat(
+        said(file, "", F.array(of_class), "defines", 1), said(of_class, "class:", F.col("parents"), "extends", 0.95), said(of_class, "class:", F.col("interfaces"), "implements", 0.95),
+        said(of_class, "class:", F.col("traits"), "uses_trait", 0.95), said(of_class, "class:", typed(all_of(F.col("body"), PROPERTY)), "depends_on", 0.95, "property"),
+        said(of_class, "table:", F.when(is_model & (table != ""), F.array(table)).otherwise(none), "uses_table", 0.9),
+        said(of_class, "table:", F.when(is_model & (table == ""), F.array(snake(plural(F.col("name"))))).otherwise(none), "uses_table", 0.7),
+    )
+    static = r"(\\?\b[A-Z][\w\\]*)::(\w+)\s*\("
+    inner = F.col("inner")
+    pairs = F.filter(F.array_distinct(F.arrays_zip(all_of(inner, static, 1).alias("c"), all_of(inner, static, 2).alias("f"))), lambda x: x["f"] != "dispatch")
+    called = F.transform(pairs, lambda x: F.concat(full(x["c"]), F.lit("::"), x["f"]))
+    by_method = F.concat(
+        said(file, "", F.array(of_method), "defines", 1), said(of_class, "", F.array(of_method), "contains", 1),
+        said(of_method, "class:", typed(all_of(F.col("parameters"), PARAMETER)), "depends_on", 0.95, "parameter"), said(of_method, "class:", typed(F.array("returns")), "depends_on", 0.95, "return_type"),
+        said(of_method, "class:", F.transform(distinct_captures(inner, r"\bnew\s+(\\?[A-Z][\w\\]*)"), full), "depends_on", 0.9, "new"), said(of_method, "method:", called, "calls", 0.85),
+        said(of_method, "method:", F.transform(distinct_captures(inner, r"\$this->(\w+)\s*\("), lambda m: F.concat("fqcn", F.lit("::"), m)), "calls", 0.75),
+        said(of_method, "view:", distinct_captures(inner, r"\bview\(\s*['\"]([\w.\-/]+)['\"]"), "renders_view", 0.9), said(of_method, "route:", distinct_captures(inner, r"\broute\(\s*['\"]([\w.\-]+)['\"]"), "references_route", 0.8),
+    )
+    edges = found.select("path", F.explode(by_class).alias("e")).unionByName(spans.select("path", F.explode(by_method).alias("e")))
+    edges = edges.select(normalized_key(F.col("e.source_key")).alias("source_key"), normalized_key(F.col("e.target_key")).alias("target_key"), "e.relationship", "e.confidence", F.col("path").alias("file_path"), "e.via")
     return nodes, edges
 
 

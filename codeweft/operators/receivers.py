@@ -247,7 +247,10 @@ def types_of(own: DataFrame, rests: DataFrame) -> DataFrame:
 
 def receivers(units: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """units_of() -> (unit, place, name, type) of each call on something: the class of what it is called on, null where that isn't known."""
-    found = events_of(units, models)
+    return _typed_calls(events_of(units, models))
+
+
+def _typed_calls(found: dict[str, DataFrame]) -> DataFrame:
     types = types_of(found["definitions"], found["rests"])
     calls = found["chains"].where("size(calls) > 0").select("unit", "scope", "first", "base", "start_var", F.posexplode("calls").alias("j", "c"), "modes", "fqcn")
     calls = calls.select("unit", "scope", (F.col("first") * 4).cast("long").alias("at"), "base", F.col("start_var").alias("var"), F.col("c.name").alias("name"), F.col("c.place").alias("place"), F.get("modes", F.col("j")).alias("mode"), "fqcn")
@@ -258,18 +261,52 @@ def receivers(units: DataFrame, models: DataFrame | None = None) -> DataFrame:
     return known.select(*out).unionByName(by_var.select(*out))
 
 
+def _plain_calls(chains: DataFrame) -> DataFrame:
+    """What chains call without a receiver: own and inherited static calls, dispatches, events, what the container gives, and functions. A function
+    of a namespace may be its own or the global one, so both are named, neither for sure; those at the root by a leading backslash are left out,
+    as most are the language's own."""
+    head, held = F.col("head"), F.coalesce("held", F.lit(""))
+    first = F.regexp_extract("head", rf"^({tk.NAME}) (?:::|\()", 1)
+    low = F.lower(first)
+    edge = lambda prefix, to, rel, sure, via=None, how=None: F.struct(F.concat(F.lit(prefix), to).alias("target"), F.lit(rel).alias("relationship"), (sure if isinstance(sure, Column) else F.lit(sure)).cast("decimal(3,2)").alias("confidence"), (via if isinstance(via, Column) else F.lit(via)).cast("string").alias("via"), F.lit(how).cast("string").alias("resolution"))
+    to, call = F.col("static_class"), F.col("static_call")
+    own = low.isin("self", "static", "parent")
+    dispatches = (call == "dispatch") & ~own
+    function = head.rlike(rf"^{tk.NAME} \( \)$") & ~low.isin(*tk.WORDS, "new")
+    at_root, spaced = first.startswith("\\"), F.col("namespace") != ""
+    plain = F.regexp_replace(first, r"^\\+", "")
+    said = F.array_compact(F.array(
+        F.when(own & to.isNotNull() & call.isNotNull(), edge("method:", F.concat(to, F.lit("::"), call), "calls", F.when(low == "static", 0.4).otherwise(0.85))),
+        F.when(dispatches & to.endswith("Event"), edge("class:", to, "dispatches_event", 0.7)).when(dispatches & to.isNotNull(), edge("class:", to, "depends_on", 0.75, "dispatch")),
+        F.when(function & (low == "event") & held.startswith("new ") & F.col("held_class").isNotNull(), edge("class:", F.col("held_class"), "dispatches_event", 0.7)),
+        F.when(function & low.isin("app", "resolve") & held.endswith(" :: class") & F.col("held_class").isNotNull(), edge("class:", F.col("held_class"), "depends_on", 0.8, low)),
+        F.when(function & ~at_root & spaced, edge("function:", F.concat("namespace", F.lit("\\"), first), "calls", 0.65, None, "namespace_fallback")),
+        F.when(function & ~at_root & spaced, edge("function:", first, "calls", 0.5, None, "global_fallback")),
+        F.when(function & ((at_root & plain.contains("\\")) | (~at_root & ~spaced)), edge("function:", plain, "calls", 0.95, None, "resolved_name")),
+    ))
+    rows = chains.select("path", "method_key", F.explode(said).alias("e"))
+    return rows.select(F.col("method_key").alias("source_key"), normalized_key(F.col("e.target")).alias("target_key"), "e.relationship", "e.confidence", F.col("path").alias("file_path"), "e.resolution", "e.via")
+
+
 def models_of(read: tuple[DataFrame, DataFrame]) -> DataFrame:
     return read[0].where(is_model()).select("fqcn").distinct()
 
 
-def receiver_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """files(path, text) -> calls on what receivers hold, in the columns of ``extract.graph_of``, with ``resolution``: framework_type for those of the
-    framework, else null."""
+def body_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """files(path, text) -> (calls on what receivers hold, other calls of bodies), in the columns of ``extract.graph_of`` with ``resolution``: framework_type for
+    receivers of the framework, how a function's name was understood, else null."""
     read = read or read_once(files)
     units = cut(units_of(files, read))
-    rows = receivers(units, models_of(read)).where("type is not null").join(units.select("unit", "path", "method_key"), "unit")
+    found = events_of(units, models_of(read))
+    rows = _typed_calls(found).where("type is not null").join(units.select("unit", "path", "method_key"), "unit")
     target = normalized_key(F.concat(F.lit("method:"), "type", F.lit("::"), "name"))
-    return rows.select(F.col("method_key").alias("source_key"), target.alias("target_key"), F.lit("calls").alias("relationship"), F.lit(0.75).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"), F.when(F.col("type").startswith("Illuminate\\"), "framework_type").alias("resolution"))
+    on_types = rows.select(F.col("method_key").alias("source_key"), target.alias("target_key"), F.lit("calls").alias("relationship"), F.lit(0.75).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"), F.when(F.col("type").startswith("Illuminate\\"), "framework_type").alias("resolution"))
+    return on_types, _plain_calls(found["chains"])
+
+
+def receiver_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The first of body_edges()."""
+    return body_edges(files, read)[0]
 
 
 def unresolved_calls(files: DataFrame) -> DataFrame:

@@ -77,9 +77,20 @@ def read_files(files: DataFrame) -> Reading:
     is_template = F.col("path").endswith(".blade.php")
     code = files.where(~is_template)
     read = extract.read_once(code)
-    parts = [extract.graph_of(code, read), routing.route_graph(code), template_graph(files.where(is_template)), extract.migration_graph(migration_files(code))]
+    parts = [extract.graph_of(code, read)]
+    # what no file holds needs no plan: one look over the texts tells
+    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    there = files.agg(has(is_template).alias("templates"), has(~is_template & F.col("text").contains("Route::")).alias("routes"), has(~is_template & F.col("text").rlike(r"->|\w\s*\(")).alias("calls")).first()
+    if there["routes"]:
+        parts.append(routing.route_graph(code))
+    if there["templates"]:
+        parts.append(template_graph(files.where(is_template)))
+    if not migration_files(code).isEmpty():
+        parts.append(extract.migration_graph(migration_files(code)))
     nodes = reduce(DataFrame.unionByName, (n for n, _ in parts))
-    said = [*(e for _, e in parts), semantics.semantic_edges(code, read), receivers.receiver_edges(code, read)]
+    said = [*(e for _, e in parts), semantics.semantic_edges(code, read), *(receivers.body_edges(code, read) if there["calls"] else [])]
     edges = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), said)
+    if "resolution" not in edges.columns:
+        edges = edges.withColumn("resolution", F.lit(None).cast("string"))
     bound = semantics.bindings(read[1]).select(F.col("path").alias("file_path"), "abstract", "concrete").distinct()
     return Reading(nodes, edges, shared_tables(code), semantics.class_marks(code, read), bound)

@@ -231,7 +231,7 @@ def linked(calls: DataFrame, declared: DataFrame, parents: DataFrame) -> DataFra
     """Calls that lead to the method that a class inherits: what they named is kept in original_target, so that a later run can judge
     anew, and resolution tells what was found. An inherited method is no surer than 0.85. Two calls of a file that meet in one
     method by different names stay two; those that are equal become one."""
-    named = calls.withColumns({"target_key": F.coalesce("original_target", "target_key"), "resolution": F.when(F.col("resolution") == "framework_type", F.col("resolution")), "original_target": F.lit(None).cast("string")})
+    named = calls.withColumns({"target_key": F.coalesce("original_target", "target_key"), "resolution": F.when(F.col("resolution").isin("framework_type", "namespace_fallback", "global_fallback", "resolved_name"), F.col("resolution")), "original_target": F.lit(None).cast("string")})
     known = declared.where("node_type = 'method'").select("node_key", "visibility")
     owner = lambda key: F.concat(F.lit("class:"), F.regexp_extract(key, r"^method:(.*)::[^:]*$", 1))
     name = lambda key: F.regexp_extract(key, r"::([^:]*)$", 1)

@@ -235,6 +235,24 @@ def unresolved_sites(spark, sf_dir):
     return reports.unresolved_sites(receivers.unresolved_calls(part_sources(spark, sf_dir)))
 
 
+@query("""with n as (select n_nationkey as k, n_regionkey as r, n_nationkey % 2 = 0 as even from nation), c as (
+select k, 'class:App\\E' || r as t, 'dispatches_event' as rel, 0.7 as c, null as via, null as res from n union all select k, case when even then 'class:App\\J' || r || 'Event' else 'class:App\\J' || r end, case when even then 'dispatches_event' else 'depends_on' end, case when even then 0.7 else 0.75 end, case when not even then 'dispatch' end, null from n
+union all select k, 'class:App\\S' || r, 'depends_on', 0.8, 'app', null from n union all select k, 'method:App\\N' || k || '::own', 'calls', 0.85, null, null from n union all select k, 'method:App\\N' || k || '::late', 'calls', 0.4, null, null from n
+union all select k, 'method:App\\Up' || r || '::above', 'calls', 0.85, null, null from n
+union all select k, 'function:App\\' || f, 'calls', 0.65, null, 'namespace_fallback' from n, unnest(['event', 'app', 'help' || k]) u(f) union all select k, 'function:' || f, 'calls', 0.5, null, 'global_fallback' from n, unnest(['event', 'app', 'help' || k]) u(f)
+union all select k, 'function:Lib\\go', 'calls', 0.95, null, 'resolved_name' from n)
+select 'method:App\\N' || k || '::run' as source_key, t as target_key, rel as relationship, c as confidence, via, res as resolution from c""")
+def body_calls(spark, sf_dir):
+    """Events, dispatches, the container, own, late and inherited static calls, functions of a namespace and of others."""
+    n = table(spark, sf_dir, "nation").withColumn("job", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("J"), F.col("n_regionkey").cast("string"), F.lit("Event"))).otherwise(F.concat(F.lit("J"), F.col("n_regionkey").cast("string"))))
+    code = _text(
+        "<?php\nnamespace App;\nclass N", "@n_nationkey", " extends Up", "@n_regionkey", "\n{\n    public function run()\n    {\n        event(new E", "@n_regionkey", "(1)); event($e); // event(new No)\n        ", "@job", "::dispatch('x'); app(S", "@n_regionkey",
+        "::class); self::own(); static::late(); parent::above(1); if (1) { return \\strlen('help()'); }\n        help", "@n_nationkey", "(\\Lib\\go());\n    }\n}\n",
+    )
+    _, other = receivers.body_edges(n.select(_text("app/N", "@n_nationkey", ".php").alias("path"), code.alias("text")))
+    return other.select("source_key", "target_key", "relationship", F.col("confidence").cast("double").alias("confidence"), "via", "resolution").distinct()
+
+
 def fluent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").withColumns({"first": F.when(F.col("s_suppkey") % 3 == 0, "where").when(F.col("s_suppkey") % 3 == 1, "with").otherwise("make"), "then": F.when(F.col("s_suppkey") % 2 == 0, "get").otherwise("take")})
     code = _text(
