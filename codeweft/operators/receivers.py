@@ -139,7 +139,7 @@ def events_of(units: DataFrame, models: DataFrame | None = None) -> dict[str, Da
     closures = cut(makers.join(braces, ["unit", "brace"]).join(used, ["unit", "brace"], "left").select("unit", F.col("brace").alias("open"), "close", "takes", "uses"))
     arrows = here(F.lower("text") == "fn").select("unit", "g", F.col("first").alias("open"), plain("first").alias("takes"), F.col("comma").alias("close"))
     ends = chained.where("pair is not null").select("unit", F.col("first").alias("g"), F.col("pair").alias("_close"))
-    arrows = arrows.join(ends, ["unit", "g"], "left").select("unit", "open", F.coalesce("close", "_close", F.lit(1 << 30)).alias("close"), "takes")
+    arrows = arrows.join(ends, ["unit", "g"], "left").select("unit", "open", F.coalesce("close", "_close", F.lit(1 << 28)).alias("close"), "takes")
 
     inside = closures.select("unit", F.col("open").alias("_open"), F.col("close").alias("_close"))
 

@@ -143,7 +143,7 @@ def test_chains_of_query_calls(spark):
     assert ("method:Illuminate\\Database\\Eloquent\\Builder::limit", "framework_type") in edges and ("method:App\\Models\\Post::notes", None) in edges
 
 
-@pytest.mark.parametrize("text", ["", "<?php", "<?php class A { function f() { ((( $x->y( } }", "<?php class A { function f() { if else } ] ) $x = ; $x->y(); } }"])
+@pytest.mark.parametrize("text", ["", "<?php\nclass A {\n function f() { $h = fn ($x) => $x->y(1", "<?php\nclass A {\n function f() { $h = function ($x) use (", "<?php", "<?php class A { function f() { ((( $x->y( } }", "<?php class A { function f() { if else } ] ) $x = ; $x->y(); } }"])
 def test_odd_sources(spark, text):
     files = spark.createDataFrame([("a.php", text), ("b.php", None)], "path string, text string")
     assert receiver_edges(files).count() == 0
