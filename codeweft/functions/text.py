@@ -144,6 +144,12 @@ def canonical_json(values: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
 
 
+def canonical_text(json: Column) -> Column:
+    """JSON with the keys of its objects in order at every depth, blanks gone and numbers in their shortest form; arrays stay in order. Null for what
+    isn't JSON, or names a key twice. A VARIANT keeps the fields of an object by name, so that nothing has to be sorted here."""
+    return F.to_json(F.try_parse_json(json))
+
+
 def overlaid(under_: Column, over: Column) -> Column:
     """Two maps in one; where both have a key, ``over`` counts."""
     rest = F.map_filter(under_, lambda k, _: ~F.map_contains_key(over, k))

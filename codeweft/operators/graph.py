@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from codeweft.functions.scoring import CLASS_LIKE, INHERITANCE, STRUCTURAL, finding_confidence, impact_score, risk
 from codeweft.functions.text import class_key
 from codeweft.operators.lineage import cut
+from codeweft.operators.postings import containing
+from codeweft.operators.search import leading
 
 HARD_NODES, HARD_DEPTH, HARD_FINDINGS = 1000, 10, 200
 
@@ -22,21 +24,22 @@ def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(side("source"), "source_key", "left").join(side("target"), "target_key", "left")
 
 
-def first_visits(edges: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataFrame:
+def first_visits(edges: DataFrame, frontier: DataFrame, visited: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """One row for each node that a level reaches: against dependencies, and along containment out of files and classes.
 
     frontier(node_key, node_type, confidence, path), visited(node_key). Of several edges to a node, inheritance goes
-    first, then the most confident, then the least keys.
+    first, then the most confident, then the least keys. ``per`` names further columns of both, such as a question: traversals that
+    differ in them go side by side and don't see each other.
     """
     back = edges.where(~F.col("relationship").isin(*STRUCTURAL)).select(F.col("target_key").alias("node_key"), F.col("source_key").alias("far"), "relationship", F.col("confidence").cast("double").alias("edge"), F.lit("incoming").alias("direction"))
     down = edges.where(F.col("relationship").isin(*STRUCTURAL)).select(F.col("source_key").alias("node_key"), F.col("target_key").alias("far"), "relationship", F.col("confidence").cast("double").alias("edge"), F.lit("outgoing").alias("direction"))
     inner = frontier.where(F.col("node_type").isin("file", *CLASS_LIKE))
     reached = back.join(frontier, "node_key").unionByName(down.join(inner, "node_key"))
-    reached = reached.join(visited.select(F.col("node_key").alias("far")), "far", "left_anti")
+    reached = reached.join(visited.select(*per, F.col("node_key").alias("far")), [*per, "far"], "left_anti")
     # combined before the shuffle, so that no task meets all edges of a hub
     order = F.struct((~F.col("relationship").isin(*INHERITANCE)).alias("a"), (-F.col("edge")).alias("b"), "node_key", "relationship", "direction")
-    best = reached.groupBy("far").agg(F.min_by(F.struct("relationship", "direction", "edge", "confidence", "path"), order).alias("b"))
-    return best.select(F.col("far").alias("node_key"), "b.relationship", "b.direction", "b.edge", F.least("b.confidence", "b.edge").alias("confidence"), F.concat("b.path", F.array("far")).alias("path"))
+    best = reached.groupBy(*per, "far").agg(F.min_by(F.struct("relationship", "direction", "edge", "confidence", "path"), order).alias("b"))
+    return best.select(*per, F.col("far").alias("node_key"), "b.relationship", "b.direction", "b.edge", F.least("b.confidence", "b.edge").alias("confidence"), F.concat("b.path", F.array("far")).alias("path"))
 
 
 def impact(edges: DataFrame, nodes: DataFrame, origin: str, depth: int | None = None, most: int | None = None) -> tuple[DataFrame, bool]:
@@ -80,6 +83,35 @@ def impact(edges: DataFrame, nodes: DataFrame, origin: str, depth: int | None =
     return shown.withColumns({"risk": risk(F.coalesce("node_type", F.lit("")), F.col("relationship")), "score": impact_score(F.col("distance"), F.col("relationship"))}), truncated
 
 
+def impact_of_each(edges: DataFrame, nodes: DataFrame, origins: DataFrame, depth: int | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """impact(), with ``most``, of many origins at once: origins(question, node_key), one node a question -> (findings with their question,
+    (question, truncated)). The frontier carries the question, so that a level is the same few jobs for any number of them."""
+    depth, cap = clamp(depth, 2, 0, HARD_DEPTH), clamp(most, 30, 0, HARD_NODES)
+    named, per = nodes.select("node_key", "node_type", "symbol_name"), ("question",)
+    frontier = cut(origins.join(named.select("node_key", "node_type"), "node_key").select("question", "node_key", "node_type", F.lit(1.0).alias("confidence"), F.array("node_key").alias("path")))
+    visited, found = frontier.select("question", "node_key"), None
+    state = frontier.select("question", F.lit(0).cast("long").alias("total"), F.lit(False).alias("truncated"))
+    inherits = F.col("relationship").isin(*INHERITANCE)
+    for level in range(1, depth + 1):
+        first = leading(first_visits(edges, frontier, visited, per), "question", [inherits.desc(), F.desc("edge"), "node_key"], HARD_FINDINGS + 1).join(state.select("question", "total"), "question")
+        room = F.when(inherits, HARD_FINDINGS - F.col("total")).otherwise(min(cap, HARD_FINDINGS) - F.col("total"))
+        level_rows = cut(first.withColumn("taken", F.col("_n") <= room).drop("_n", "total").join(named, "node_key", "left").withColumn("distance", F.lit(level)))
+        counts = level_rows.groupBy("question").agg(F.count(F.lit(1)).alias("seen"), F.count_if("taken").alias("more"))
+        both = state.join(counts, "question", "left").withColumns({"seen": F.coalesce("seen", F.lit(0)), "more": F.coalesce("more", F.lit(0))})
+        total = F.col("total") + F.col("more")
+        state = cut(both.select("question", total.alias("total"), (F.col("truncated") | (F.col("more") < F.col("seen")) | (total >= cap)).alias("truncated")))
+        new = level_rows.where("taken").drop("taken")
+        found = new if found is None else found.unionByName(new)
+        # a question with all that it may have goes no further
+        frontier = new.join(state.where(F.col("total") < HARD_FINDINGS).select("question"), "question", "left_semi").select("question", "node_key", "node_type", "confidence", "path")
+        visited = visited.union(new.select("question", "node_key"))
+    if found is None:
+        found = first_visits(edges, frontier, visited, per).join(named, "node_key", "left").withColumn("distance", F.lit(0)).limit(0)
+    sure = finding_confidence(F.col("confidence"), F.col("edge"), F.col("node_type").isNull())
+    shown = found.select("question", "node_key", "node_type", "symbol_name", "relationship", "direction", "distance", sure.alias("confidence"), "path")
+    return shown.withColumns({"risk": risk(F.coalesce("node_type", F.lit("")), F.col("relationship")), "score": impact_score(F.col("distance"), F.col("relationship"))}), state.select("question", "truncated")
+
+
 def module_members(nodes: DataFrame, module_key: str, most: int) -> DataFrame:
     """The first ``most`` nodes of a module but its files, by type and key; one more row tells that there are more."""
     return nodes.where((F.col("module_key") == module_key) & (F.col("node_type") != "file")).orderBy("node_type", "node_key").limit(most + 1)
@@ -100,6 +132,34 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, most: int = 80, hard: int =
     return both.orderBy(F.desc("confidence"), "source_key", "target_key", "relationship").limit(min(hard, most))
 
 
+def neighborhood_of_each(edges: DataFrame, seeds: DataFrame, most: int = 80) -> DataFrame:
+    """neighborhood() of many questions at once: seeds(question, node_key) -> the first ``most`` edges of each question, numbered in _n."""
+    keys = seeds.select("question", F.col("node_key").alias("_seed")).distinct()
+    plain = edges.where(~F.col("relationship").isin(*STRUCTURAL))
+    at = lambda column: keys.withColumnRenamed("_seed", column)
+    into = plain.join(at("target_key"), "target_key").withColumn("incoming", F.lit(True))
+    out = plain.join(at("source_key"), "source_key").join(at("target_key"), ["question", "target_key"], "left_anti").withColumn("incoming", F.lit(False))
+    return leading(into.unionByName(out), "question", [F.desc("confidence"), "source_key", "target_key", "relationship"], most)
+
+
+def hops_of_each(edges: DataFrame, seeds: DataFrame, relationships: tuple[str, ...], depth: int = 4, most: int = 32) -> tuple[DataFrame, DataFrame]:
+    """hops(), with ``most``, of many questions at once: seeds(question, node_key) -> ((question, node_key, relationship, depth), the
+    questions of which a level was cut)."""
+    along = edges.where(F.col("relationship").isin(*relationships)).select("source_key", "target_key", "relationship")
+    frontier = visited = seeds.select("question", "node_key").distinct()
+    found = over = None
+    for level in range(1, depth + 1):
+        step = along.join(frontier, F.col("source_key") == F.col("node_key")).select("question", "source_key", "target_key", "relationship")
+        step = cut(leading(step, "question", ["source_key", "target_key", "relationship"], most + 1))
+        cut_here = step.where(F.col("_n") > most).select("question")
+        new = step.where(F.col("_n") <= most).groupBy("question", F.col("target_key").alias("node_key")).agg(F.min("relationship").alias("relationship")).join(visited, ["question", "node_key"], "left_anti")
+        new = cut(new.withColumn("depth", F.lit(level)))
+        found, over = (new, cut_here) if found is None else (found.unionByName(new), over.union(cut_here))
+        frontier = new.select("question", "node_key")
+        visited = visited.union(frontier)
+    return found, over.distinct()
+
+
 def hops(edges: DataFrame, seeds: DataFrame, relationships: tuple[str, ...], depth: int = 4, most: int | None = None) -> tuple[DataFrame, bool]:
     """What is reached forward over the given relationships: ((node_key, relationship, depth), whether a level was cut).
 
@@ -156,6 +216,36 @@ def resolve_target(nodes: DataFrame, target: str, modules: DataFrame | None = No
     return found
 
 
+def resolve_each(nodes: DataFrame, asked: DataFrame, modules: DataFrame | None = None, index: DataFrame | None = None, most: int = 6, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """resolve_target() of many questions at once: asked(question, asked) -> (question, step, node_key, node_type, symbol_name, file_path).
+
+    All steps are equalities, the last one between grams of an ``index`` of the nodes (see postings); without one it finds nothing.
+    Every step runs for all questions, and each question keeps those candidates that its first fruitful step gives.
+    """
+    name = F.trim("asked")
+    q = asked.select("question", name.alias("_name"), class_key(name).alias("_key"), F.translate(name, "\\", "/").alias("_path"), F.lower(name).alias("_word"))
+    columns = ["node_key", "node_type", "symbol_name", "file_path"]
+    own = nodes.select(*columns)
+    # the step, whether a candidate is but a mention, and the order within the step
+    shape = lambda rows, step, n, late=F.lit(False), by=F.lit(""): rows.select("question", F.lit(step).alias("step"), *columns, F.lit(n).alias("_at"), late.alias("_late"), by.alias("_by"))
+    found = shape(q.join(own, q["_key"] == own["node_key"]), "key", 0)
+    found = found.unionByName(shape(q.join(own, q["_name"] == own["symbol_name"]), "symbol", 1, F.col("file_path").isNull()))
+    if "file" in steps:
+        found = found.unionByName(shape(q.join(own.where("node_type = 'file'"), q["_path"] == own["file_path"]), "file", 2))
+    if "module" in steps and modules is not None:
+        called = modules.select(F.explode(F.array_distinct(F.array("module_key", "name"))).alias("_called"), F.col("module_key").alias("node_key"), F.lit("module").alias("node_type"), F.col("name").alias("symbol_name"), F.lit(None).cast("string").alias("file_path"))
+        first = leading(q.join(called, F.col("_name") == F.col("_called")), "question", ["node_key"], 1)
+        found = found.unionByName(shape(first, "module", 3))
+    if "similar" in steps and index is not None:
+        held = containing(index.where("field = 'symbol_name'"), q.select(F.col("_word").alias("word"))).select(F.col("word").alias("_word"), "node_key")
+        near = q.join(held, "_word").join(own.where("node_type != 'file'"), "node_key")
+        found = found.unionByName(shape(near, "similar", 4, by=F.col("symbol_name")))
+    top = leading(found, "question", ["_at", "_late", "_by", "node_key"], most)
+    whole = Window.partitionBy("question")
+    best = F.struct("_at", "_late")
+    return top.withColumn("_best", F.min(best).over(whole)).where(best == F.col("_best")).select("question", "step", *columns)
+
+
 def target_hint(found: DataFrame, target: str) -> str | None:
     """What to tell of a target that resolve_target() has not found as one node or module; null if it has. Six rows at most are read."""
     rows = found.select("step", "symbol_name").orderBy("symbol_name").collect()

@@ -23,6 +23,13 @@ def lexical_score(words: list[str], weights: dict[str, int]) -> Column:
     return reduce(lambda a, b: a + b, (F.when(F.contains(F.lower(F.col(c)), F.lit(w)), n).otherwise(0) for w in words for c, n in weights.items()))
 
 
+def leading(rows: DataFrame, per: str | list[str], order: list[Column | str], most: int) -> DataFrame:
+    """The first ``most`` rows of each value of ``per``, numbered in _n. Tasks drop what can't be among them before the shuffle, so a
+    value that very many rows have is met by one task in few."""
+    keys = [per] if isinstance(per, str) else per
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most)
+
+
 def lexical_top(rows: DataFrame, words: list[str], weights: dict[str, int], ties: list[str], most: int) -> DataFrame:
     """The ``most`` rows with the greatest score, ranked before they are cut; rows without any word are left out."""
     return rows.withColumn("score", lexical_score(words, weights)).where("score > 0").orderBy(F.desc("score"), *ties).limit(most)
@@ -57,13 +64,13 @@ def deduplicated(items: DataFrame, packet: str) -> DataFrame:
     return (left if kept is None else kept).select(*items.columns)
 
 
-def _folded(items: DataFrame, packet: str, header: str, budget: int, bytes_a_token: int) -> DataFrame:
+def _folded(items: DataFrame, packet: str, header: str | Column, budget: int, bytes_a_token: int) -> DataFrame:
     room = max(0, budget) * bytes_a_token
-    sized = ranked(items, packet).select(packet, F.struct("rn", "id", F.octet_length("text").alias("full"), F.octet_length("compact").alias("small")).alias("x"))
-    held = sized.groupBy(packet).agg(F.array_sort(F.collect_list("x")).alias("items"))
-    start = min(len(header.encode()), room)
+    text = F.lit(header) if isinstance(header, str) else header
+    sized = ranked(items, packet).select(packet, F.least(F.octet_length(text), F.lit(room)).alias("start"), F.struct("rn", "id", F.octet_length("text").alias("full"), F.octet_length("compact").alias("small")).alias("x"))
+    held = sized.groupBy(packet).agg(F.max("start").alias("start"), F.array_sort(F.collect_list("x")).alias("items"))
     kind = "array<struct<id:string,compact:boolean>>"
-    zero = F.struct(F.lit(start).alias("used"), F.array().cast(kind).alias("taken"), F.lit(0).alias("omitted"))
+    zero = F.struct(F.col("start").alias("used"), F.array().cast(kind).alias("taken"), F.lit(0).alias("omitted"))
 
     def step(s: Column, x: Column) -> Column:
         gap = F.when(s["used"] > 0, 1).otherwise(0)
@@ -80,19 +87,20 @@ def _folded(items: DataFrame, packet: str, header: str, budget: int, bytes_a_tok
     return held.select(packet, F.aggregate("items", zero, step).alias("p")).select(packet, "p.*")
 
 
-def packed(items: DataFrame, packet: str, header: str, budget: int, bytes_a_token: int = 4) -> DataFrame:
+def packed(items: DataFrame, packet: str, header: str | Column, budget: int, bytes_a_token: int = 4) -> DataFrame:
     """items(packet, id, score, text, compact) -> one row a packet: the ids packed, in order, the bytes they take with the
     header, and how many were omitted or compacted.
 
     Items are taken greedily while they fit, one byte parting each from what stands before; one that doesn't fit is tried in
     its compact form, if it has one, and otherwise left out, and later ones may still fit. The order makes this a fold: the
     ids and sizes of one packet, not its texts, meet in one row. A packet is one answer, whose parts are bounded where they are gathered.
+    The header is one for all packets, or a column of the items that is the same throughout a packet.
     """
     out = _folded(items, packet, header, budget, bytes_a_token)
     return out.select(packet, "used", F.transform("taken", lambda t: t["id"]).alias("ids"), "omitted", F.size(F.filter("taken", lambda t: t["compact"])).alias("compacted"))
 
 
-def shown(items: DataFrame, packet: str, header: str, budget: int, bytes_a_token: int = 4) -> DataFrame:
+def shown(items: DataFrame, packet: str, header: str | Column, budget: int, bytes_a_token: int = 4) -> DataFrame:
     """(packet, body): the texts of the items that packed() takes, full or compact, a line each. Ids are unique within a packet."""
     taken = _folded(items, packet, header, budget, bytes_a_token).select(packet, F.posexplode("taken").alias("at", "t"))
     rows = taken.select(packet, "at", F.col("t.id").alias("id"), F.col("t.compact").alias("_small")).join(items.withColumn("id", F.col("id").cast("string")), [packet, "id"])

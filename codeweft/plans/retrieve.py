@@ -19,6 +19,9 @@ EDGES, HOPS, HOP_EDGES, SEEDS, HISTORY = 80, 4, 32, 8, 100
 FIELDS = {"symbol_name": 3, "summary": 2, "file_path": 1}
 ITEM = "id string, score int, text string, compact string"
 KNOWLEDGE = "knowledge_key string, kind string, title string, body string, state string, confidence double, expires_at timestamp, source_refs array<string>, source_hashes map<string,string>"
+#: Sentences of headers.
+IMPACT_NOTE = "Impact follows indexed dependents and container members to depth {}. Dynamic calls, inheritance overrides and runtime container bindings may be absent. Risk labels are heuristics; verify live source before acting."
+BOUNDED = "Candidate retrieval was bounded; refine the query or request a larger budget for more context."
 ADVICE = "Memory is advisory; live source is authoritative. Token estimates use UTF-8 bytes/4 for context text."
 
 
@@ -67,9 +70,9 @@ class Gathered:
         return Gathered(self.items.unionByName(other.items), self.warnings + other.warnings, self.limits + other.limits, self.stale or other.stale)
 
 
-def items(rows: DataFrame, id_: Column, score: Column, text: Column, compact: Column | None = None) -> DataFrame:
+def items(rows: DataFrame, id_: Column, score: Column, text: Column, compact: Column | None = None, per: tuple[str | Column, ...] = ()) -> DataFrame:
     nothing = F.lit(None).cast("string")
-    return rows.select(id_.alias("id"), score.cast("int").alias("score"), text.alias("text"), (nothing if compact is None else compact).alias("compact"))
+    return rows.select(*per, id_.alias("id"), score.cast("int").alias("score"), text.alias("text"), (nothing if compact is None else compact).alias("compact"))
 
 
 def nothing(memory: Memory, *warnings: str) -> Gathered:
@@ -86,12 +89,51 @@ def kept_fresh(rows: DataFrame, include_stale: bool, what: str) -> tuple[DataFra
     return rows.where("fresh"), [f"{old} {what} were withheld because their source changed; synchronise the index."], True
 
 
-def node_items(nodes: DataFrame, score: Column) -> DataFrame:
+def node_items(nodes: DataFrame, score: Column, per: tuple[str | Column, ...] = ()) -> DataFrame:
     """Items of judged nodes: a stale one shows where to read, and not what was stored."""
     place = F.coalesce(F.concat("file_path", F.lit(":?")), F.lit("unresolved"))
     lead = F.concat(F.concat_ws(" ", "node_type", "symbol_name"), F.lit(" at "), place, F.lit("."))
     shown = F.when(F.col("fresh"), F.concat(lead, F.lit(" "), F.coalesce("summary", "node_type"))).otherwise(F.concat(lead, F.lit(" Indexed source is stale or unresolved. Read the source; the stored summary was withheld.")))
-    return items(nodes, F.col("node_key"), score, shown, F.when(F.col("fresh"), lead))
+    return items(nodes, F.col("node_key"), score, shown, F.when(F.col("fresh"), lead), per)
+
+
+def with_ends(near: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges with what is known of their ends, and whether they are fresh."""
+    side = lambda s: known.select(F.col("node_key").alias(f"{s}_key"), *(F.col(c).alias(f"{s}_{c}") for c in ("symbol_name", "file_path", "stub", "fresh")))
+    rows = near.join(side("source"), "source_key").join(side("target"), "target_key")
+    return rows.withColumn("fresh", F.col("source_fresh") & (F.col("target_stub") | F.col("target_fresh")))
+
+
+def other_end(column: str) -> Column:
+    return F.when(F.col("incoming"), F.col(f"source_{column}")).otherwise(F.col(f"target_{column}"))
+
+
+def edge_lines(rows: DataFrame, owned: Column, per: tuple[str | Column, ...] = ()) -> DataFrame:
+    """Items of edges as with_ends() gives them."""
+    text = F.concat(
+        F.when(F.col("fresh"), "").otherwise("[stale graph] "),
+        F.concat_ws(" ", F.when(F.col("incoming"), "incoming").otherwise("outgoing"), "relationship", other_end("symbol_name"), F.lit("confidence"), F.col("confidence").cast("string"), F.lit("file"), F.coalesce(other_end("file_path"), F.lit("unresolved"))),
+        F.when(F.col("target_stub"), " (declaration unresolved)").otherwise(""),
+    )
+    key = F.concat(F.lit("edge:"), F.concat_ws(">", "source_key", "relationship", "target_key"))
+    return items(rows, key, edge_score(F.col("confidence"), owned, F.col("relationship"), F.col("fresh")), text, per=per)
+
+
+def finding_lines(rows: DataFrame, per: tuple[str | Column, ...] = ()) -> DataFrame:
+    """Items of impact findings (fresh, distance, direction, relationship, reason and so on)."""
+    text = F.concat(F.when(F.col("fresh"), "").otherwise("[stale graph] "), F.format_string("d%d %s %s %s confidence %.2f risk %s file %s. %s", "distance", "direction", "relationship", F.coalesce("symbol_name", "node_key"), F.col("confidence").cast("double"), "risk", F.coalesce("file_path", F.lit("unresolved")), "reason"))
+    return items(rows, F.concat_ws(":", "node_key", "relationship", "direction"), F.when(F.col("fresh"), F.col("score")).otherwise(20), text, per=per)
+
+
+def hop_lines(rows: DataFrame, per: tuple[str | Column, ...] = ()) -> DataFrame:
+    text = F.concat(F.when(F.col("fresh"), "").otherwise("[stale graph] "), F.concat_ws(" ", F.lit("nested"), "relationship", "symbol_name", F.lit("depth"), F.col("depth").cast("string"), F.lit("file"), F.coalesce("file_path", F.lit("unresolved"))))
+    return items(rows, F.concat(F.lit("view-hop:"), "node_key"), include_score(F.col("depth"), F.col("fresh")), text, per=per)
+
+
+def member_rows(members: DataFrame, module: Column, per: tuple[str, ...] = ()) -> DataFrame:
+    """Members of a module as impact findings."""
+    rows = members.select(*per, "node_key", "node_type", "symbol_name", "file_path", F.lit("contains").alias("relationship"), F.lit("outgoing").alias("direction"), F.lit(1).alias("distance"), F.lit(1.0).alias("confidence"), F.lit(100 - 15).alias("score"), "fresh", F.concat(F.lit("Symbol belongs to module "), module, F.lit(".")).alias("reason"))
+    return rows.withColumn("risk", graph.risk(F.col("node_type"), F.col("relationship")))
 
 
 def edge_items(memory: Memory, seeds: DataFrame, most: int, include_stale: bool, primary: str | None = None) -> Gathered:
@@ -102,19 +144,10 @@ def edge_items(memory: Memory, seeds: DataFrame, most: int, include_stale: bool,
     near = near.orderBy(F.desc("confidence"), "source_key", "target_key", "relationship").limit(limit)
     ends = near.select(F.col("source_key").alias("node_key")).union(near.select(F.col("target_key").alias("node_key"))).distinct()
     known = memory.judged(memory.nodes.join(F.broadcast(ends), "node_key", "left_semi"))  # two nodes an edge, 160 at most
-    side = lambda s: known.select(F.col("node_key").alias(f"{s}_key"), *(F.col(c).alias(f"{s}_{c}") for c in ("symbol_name", "file_path", "stub", "fresh")))
-    rows = near.join(side("source"), "source_key").join(side("target"), "target_key")
-    rows = rows.withColumn("fresh", F.col("source_fresh") & (F.col("target_stub") | F.col("target_fresh")))
+    rows = with_ends(near, known)
     rows, warnings, stale = kept_fresh(rows, include_stale, "graph relationships")
-    other = lambda c: F.when(F.col("incoming"), F.col(f"source_{c}")).otherwise(F.col(f"target_{c}"))
-    text = F.concat(
-        F.when(F.col("fresh"), "").otherwise("[stale graph] "),
-        F.concat_ws(" ", F.when(F.col("incoming"), "incoming").otherwise("outgoing"), "relationship", other("symbol_name"), F.lit("confidence"), F.col("confidence").cast("string"), F.lit("file"), F.coalesce(other("file_path"), F.lit("unresolved"))),
-        F.when(F.col("target_stub"), " (declaration unresolved)").otherwise(""),
-    )
     owned = F.lit(False) if primary is None else (F.col("source_key") == primary) | (F.col("target_key") == primary)
-    key = F.concat(F.lit("edge:"), F.concat_ws(">", "source_key", "relationship", "target_key"))
-    return Gathered(items(rows, key, edge_score(F.col("confidence"), owned, F.col("relationship"), F.col("fresh")), text), warnings, limits, stale)
+    return Gathered(edge_lines(rows, owned), warnings, limits, stale)
 
 
 def view_hops(memory: Memory, seeds: DataFrame, include_stale: bool) -> Gathered:
@@ -124,8 +157,7 @@ def view_hops(memory: Memory, seeds: DataFrame, include_stale: bool) -> Gathered
         return nothing(memory)
     found, truncated = graph.hops(memory.edges, views, ("renders_view", "uses_component"), HOPS, HOP_EDGES)
     rows, warnings, stale = kept_fresh(memory.judged(memory.nodes.join(F.broadcast(found), "node_key")), include_stale, "nested includes")
-    text = F.concat(F.when(F.col("fresh"), "").otherwise("[stale graph] "), F.concat_ws(" ", F.lit("nested"), "relationship", "symbol_name", F.lit("depth"), F.col("depth").cast("string"), F.lit("file"), F.coalesce("file_path", F.lit("unresolved"))))
-    return Gathered(items(rows, F.concat(F.lit("view-hop:"), "node_key"), include_score(F.col("depth"), F.col("fresh")), text), warnings, ["blade_include_hops"] if truncated else [], stale)
+    return Gathered(hop_lines(rows), warnings, ["blade_include_hops"] if truncated else [], stale)
 
 
 def rules_of(memory: Memory, base: Column, most: int, include_stale: bool, module: dict | None = None) -> Gathered:
@@ -239,8 +271,7 @@ def impact_analysis(memory: Memory, most: int, include_stale: bool, target: str,
         members = cut(graph.module_members(memory.nodes, subject["node_key"], cap))
         truncated = members.count() > cap
         rows = memory.judged(members.orderBy("node_type", "node_key").limit(cap))
-        rows = rows.select("node_key", "node_type", "symbol_name", "file_path", F.lit("contains").alias("relationship"), F.lit("outgoing").alias("direction"), F.lit(1).alias("distance"), F.lit(1.0).alias("confidence"), F.lit(100 - 15).alias("score"), "fresh")
-        rows = rows.withColumns({"risk": graph.risk(F.col("node_type"), F.col("relationship")), "reason": F.lit(f"Symbol belongs to module {subject['node_key']}.")})
+        rows = member_rows(rows, F.lit(subject["node_key"]))
         origin_fresh = True
     else:
         reached, truncated = graph.impact(memory.edges, memory.nodes, subject["node_key"], depth, cap)
@@ -253,12 +284,11 @@ def impact_analysis(memory: Memory, most: int, include_stale: bool, target: str,
         rows = reached.join(sound, "node_key").join(state.select("node_key", "file_path"), "node_key", "left").withColumn("fresh", F.col("fresh") & F.lit(origin_fresh))
         rows = rows.withColumn("reason", graph.finding_reason(F.col("direction"), F.col("relationship"), F.col("confidence"), F.col("node_type").isNull()))
     rows, warnings, stale = kept_fresh(rows, include_stale, "impact findings")
-    text = F.concat(F.when(F.col("fresh"), "").otherwise("[stale graph] "), F.format_string("d%d %s %s %s confidence %.2f risk %s file %s. %s", "distance", "direction", "relationship", F.coalesce("symbol_name", "node_key"), F.col("confidence").cast("double"), "risk", F.coalesce("file_path", F.lit("unresolved")), "reason"))
     reach = graph.clamp(depth, 2, 0, graph.HARD_DEPTH)
-    first = f"Impact follows indexed dependents and container members to depth {reach}. Dynamic calls, inheritance overrides and runtime container bindings may be absent. Risk labels are heuristics; verify live source before acting."
+    first = IMPACT_NOTE.format(reach)
     warnings = [first, *warnings] + ([] if origin_fresh else ["The indexed impact subject changed; stored summaries and dependent relationships require source verification."])
     head = items(found, F.lit("impact-subject"), F.lit(180), F.concat_ws(" ", F.lit("Subject"), "node_type", F.coalesce("symbol_name", "node_key"), F.col("node_key")))
-    body = items(rows, F.concat_ws(":", "node_key", "relationship", "direction"), F.when(F.col("fresh"), F.col("score")).otherwise(20), text)
+    body = finding_lines(rows)
     return Gathered(head.unionByName(body), warnings, ["impact_traversal"] if truncated else [], stale or not origin_fresh)
 
 
@@ -316,7 +346,7 @@ def retrieve(memory: Memory, operation: str, budget: int | None = None, include_
     found = gather(memory, operation, budget, include_stale, **asked)
     warnings = list(dict.fromkeys(found.warnings))
     if found.limits:
-        warnings.append("Candidate retrieval was bounded; refine the query or request a larger budget for more context.")
+        warnings.append(BOUNDED)
     header = "\n".join([operation.replace("_", " "), ADVICE, *(f"Warning: {w}" for w in warnings)])
     every = cut(found.items.withColumn("packet", F.lit(operation)))
     once = cut(search.deduplicated(every, "packet"))

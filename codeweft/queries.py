@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import scoring, text
-from codeweft.operators import cache, changes, extract, graph, knowledge, reports, search, semantics
+from codeweft.operators import cache, changes, extract, graph, knowledge, postings, reports, search, semantics
 from codeweft.operators.lineage import cut
-from codeweft.plans import retrieve
+from codeweft.plans import questions, retrieve
 from codeweft.plans.demo_graph import EDGES_SQL, NODES_SQL, edges, key, nodes, table
 from codeweft.sources import files
 from codeweft.streaming.incremental import counted_windows, sessions
@@ -756,3 +756,47 @@ def modules_ensured(spark, sf_dir):
     new = n.where("n_nationkey % 2 = 0").select(name.alias("module_key"), F.col("n_name").alias("name"), root.alias("root_path"), F.create_map(F.lit("paths"), root).alias("metadata"))
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ")
     return changes.modules_ensured(old, new.union(new)).select("module_key", "name", "root_path", shown.alias("metadata"))
+
+
+# -- many questions at once, the index over symbols, nested JSON
+
+
+@query("""with a as (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by 'order:' || o_orderkey) as n, unnest([2, 1]) as before from customer join orders on o_custkey = c_custkey),
+s as (select case when before = 2 then 'lookup-' else 'impact-' end || c_custkey as scenario, o_orderkey, n + before as position, n + before <= 8 as top, before from a),
+x as (select *, o_orderkey % 3 = 0 as wanted from s),
+r as (select scenario, any_value(before) as before, count(*) as n, avg(case when top then 1.0 else 0.0 end) filter (where wanted) as recall, sum(case when top and wanted then 1 else 0 end) as hits, min(position) filter (where wanted and top) as first from x group by 1 having bool_or(wanted))
+select scenario, round(recall, 4) as recall_at_k, cast(1 as double) as recall_in_packet, round(hits / cast(least(8, n + before) as double), 4) as precision_at_k, case when first is null then 0.0 else round(1.0 / first, 4) end as reciprocal_rank, true as within_budget, false as truncated from r""")
+def evaluate_by_retrieval(spark, sf_dir):
+    """For each customer a lookup and an impact analysis, answered together and judged by how many of the customer's orders they show."""
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.create_map(F.lit("lookup"), F.lit("symbol_lookup"), F.lit("impact"), F.lit("impact_analysis"))).alias("kind", "operation"))
+    asked = asked.select(F.concat_ws("-", "kind", F.col("c_custkey").cast("string")).alias("question"), "operation", key("customer", "c_custkey").alias("asked"), "c_custkey")
+    wanted = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("item"))
+    m = memory(spark, sf_dir)
+    # each level of a traversal reads the edges: written once
+    m = retrieve.Memory(cut(m.nodes), cut(m.edges), m.modules)
+    out = questions.evaluated(m, asked.drop("c_custkey"), asked.join(wanted, "c_custkey").select("question", "item"), budget=8000, max_nodes=200)
+    return out.drop("estimated_context_tokens")
+
+
+@query(f"""with {NODES_SQL}, w as (select distinct lower(unnest([n_name, n_name[2:5], n_name[1:2], n_name[3:3]])) as word from nation union select distinct lower(p_name) from part),
+h as (select node_key, unnest([struct_pack(field := 'symbol_name', t := lower(symbol_name)), struct_pack(field := 'file_path', t := lower(file_path))]) as f from nodes)
+select word, f.field as field, count(*) as n, min(node_key) as first from h join w on contains(f.t, word) group by 1, 2""")
+def symbols_containing(spark, sf_dir):
+    """Words of all lengths out of the tables, each in all symbols and paths that contain it."""
+    names = table(spark, sf_dir, "nation").select(F.explode(F.array("n_name", F.substring("n_name", 2, 4), F.substring("n_name", 1, 2), F.substring("n_name", 3, 1))).alias("w"))
+    words = names.union(table(spark, sf_dir, "part").select("p_name")).select(F.lower("w").alias("word"))
+    found = postings.containing(postings.postings(nodes(spark, sf_dir)), words)
+    return found.groupBy("word", "field").agg(F.count(F.lit(1)).alias("n"), F.min("node_key").alias("first"))
+
+
+@query(f"""with {NODES_SQL}, s as (select node_key, list_sum([3 * contains(lower(symbol_name), w)::int + coalesce(contains(lower(file_path), w)::int, 0) for w in ['ring', 'red', 'customer', '7']]) as score from nodes)
+select node_key, cast(score as bigint) as score from s where score > 0 order by score desc, node_key limit 200""")
+def indexed_topk(spark, sf_dir):
+    return postings.indexed_top(postings.postings(nodes(spark, sf_dir)), ["ring", "red", "customer", "7"], 200)
+
+
+@query("""select event_id, '{"a":{"b":[' || event_id || ',{"x":"' || event_type || '","y":' || props || '}],"c":null},"z":true}' as canonical, sha256('{"a":{"b":[' || event_id || ',{"x":"' || event_type || '","y":' || props || '}],"c":null},"z":true}') as artifact_hash from events""")
+def nested_canonical_json(spark, sf_dir):
+    written = F.format_string('{ "z": true, "a": {"c": null, "b": [%d, {"y": %s, "x": "%s"}]}}', "event_id", "props", "event_type")
+    rows = table(spark, sf_dir, "events").select("event_id", text.canonical_text(written).alias("canonical"))
+    return rows.withColumn("artifact_hash", F.sha2("canonical", 256))
