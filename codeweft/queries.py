@@ -761,7 +761,7 @@ def modules_ensured(spark, sf_dir):
 # -- many questions at once, the index over symbols, nested JSON
 
 
-@query("""with a as (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by 'order:' || o_orderkey) as n, unnest([2, 1]) as before from customer join orders on o_custkey = c_custkey),
+@query("""with a as (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by 'order:' || o_orderkey || ':') as n, unnest([2, 1]) as before from customer join orders on o_custkey = c_custkey),
 s as (select case when before = 2 then 'lookup-' else 'impact-' end || c_custkey as scenario, o_orderkey, n + before as position, n + before <= 8 as top, before from a),
 x as (select *, o_orderkey % 3 = 0 as wanted from s),
 r as (select scenario, any_value(before) as before, count(*) as n, avg(case when top then 1.0 else 0.0 end) filter (where wanted) as recall, sum(case when top and wanted then 1 else 0 end) as hits, min(position) filter (where wanted and top) as first from x group by 1 having bool_or(wanted))
@@ -795,7 +795,7 @@ def indexed_topk(spark, sf_dir):
     return postings.indexed_top(postings.postings(nodes(spark, sf_dir)), ["ring", "red", "customer", "7"], 200)
 
 
-@query("""select event_id, '{"a":{"b":[' || event_id || ',{"x":"' || event_type || '","y":' || props || '}],"c":null},"z":true}' as canonical, sha256('{"a":{"b":[' || event_id || ',{"x":"' || event_type || '","y":' || props || '}],"c":null},"z":true}') as artifact_hash from events""")
+@query("""select event_id, '{"a":{"b":[' || event_id || ',{"x":"' || event_type || '","y":' || json(props)::varchar || '}],"c":null},"z":true}' as canonical, sha256('{"a":{"b":[' || event_id || ',{"x":"' || event_type || '","y":' || json(props)::varchar || '}],"c":null},"z":true}') as artifact_hash from events""")
 def nested_canonical_json(spark, sf_dir):
     written = F.format_string('{ "z": true, "a": {"c": null, "b": [%d, {"y": %s, "x": "%s"}]}}', "event_id", "props", "event_type")
     rows = table(spark, sf_dir, "events").select("event_id", text.canonical_text(written).alias("canonical"))
