@@ -55,11 +55,15 @@ def distinct_captures(text: Column, pattern: str, group: int = 1) -> Column:
 
 def full_name(name: Column, namespace: Column, imports: Column) -> Column:
     """A class name in full: absolute, imported by its last segment, or of the namespace."""
-    own = F.when(namespace == "", name).otherwise(F.concat(namespace, F.lit("\\"), name))
-    first = F.get(F.split(name, r"\\"), F.lit(0))
-    imported = F.get(F.filter(imports, lambda i: F.lower(i["alias"]) == F.lower(first)), F.lit(0))["name"]
-    rest = F.substring(name, F.length(first) + 1, F.lit(1 << 20))
-    return F.when(name.startswith("\\"), F.substring(name, 2, 1 << 20)).when(imported.isNotNull(), F.concat(imported, rest)).otherwise(own)
+
+    def told(n: Column) -> Column:
+        own = F.when(namespace == "", n).otherwise(F.concat(namespace, F.lit("\\"), n))
+        first = F.get(F.split(n, r"\\"), F.lit(0))
+        imported = F.get(F.filter(imports, lambda i: F.lower(i["alias"]) == F.lower(first)), F.lit(0))["name"]
+        rest = F.substring(n, F.length(first) + 1, F.lit(1 << 20))
+        return bound(imported, lambda of: F.when(n.startswith("\\"), F.substring(n, 2, 1 << 20)).when(of.isNotNull(), F.concat(of, rest)).otherwise(own))
+
+    return bound(name, told)
 
 
 def imports_of(code: Column) -> Column:
@@ -184,9 +188,11 @@ def templates(files: DataFrame) -> DataFrame:
 
 
 def without_quoted_parentheses(text: Column) -> Column:
-    """The text with the parentheses within quotes as other characters, so that it keeps its length."""
-    quotes = F.transform(all_of(text, QUOTED, 0), lambda q: F.translate(q, "()", "\x01\x02"))
-    return F.array_join(F.flatten(F.transform(F.split(text, QUOTED, -1), lambda p, i: F.array(p, F.coalesce(F.get(quotes, i), F.lit(""))))), "")
+    """The text with the parentheses within quotes as other characters, so that it keeps its length. Each text is split once, however many quotes
+    it holds."""
+    parts = lambda t: F.struct(F.split(t, QUOTED, -1).alias("plain"), F.transform(all_of(t, QUOTED, 0), lambda q: F.translate(q, "()", "\x01\x02")).alias("quotes"))
+    joined = lambda m: F.array_join(F.flatten(F.transform(m["plain"], lambda p, i: F.array(p, F.coalesce(F.get(m["quotes"], i), F.lit(""))))), "")
+    return bound(text, lambda t: bound(parts(t), joined))
 
 
 def balanced(text: Column) -> Column:
@@ -201,10 +207,10 @@ def balanced(text: Column) -> Column:
         return F.struct(F.when(s["end"] >= 0, s["open"]).otherwise(inner).alias("open"), at.alias("at"), F.when(closes, at - 1).otherwise(s["end"]).alias("end"))
 
     # the last part has no closing parenthesis after it
-    parts = F.split(without_quoted_parentheses(text), r"\)", -1)
     start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
-    end = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step)["end"]
-    return F.when(end >= 0, F.substring(text, F.lit(1), end))
+    end = lambda parts: F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step)["end"]
+    before = lambda t, e: F.when(e >= 0, F.substring(t, F.lit(1), e))
+    return bound(text, lambda t: bound(F.split(without_quoted_parentheses(t), r"\)", -1), lambda parts: bound(end(parts), lambda e: before(t, e))))
 
 
 #: Parentheses within arguments, quotes aside, to the depth that one scan follows.

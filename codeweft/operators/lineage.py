@@ -18,6 +18,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return (shared or os.path.join(tempfile.gettempdir(), "codeweft-checkpoints")).rstrip("/")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows evenly to as many tasks as a shuffle has: small tables are read by one task, and what is composed or read out of each of their rows
+    may take long. It is put where rows are still narrow."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes a table once and keeps it in the shared folder, as Parquet: what reads it knows its size, and a lost executor costs no more
     than its own tasks. The folder's owner clears it."""

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import normalized_key, singular
-from codeweft.operators.extract import FORMS, RESOURCE, all_of, balanced, full_name, imports_of, without_comments, without_quoted_parentheses
+from codeweft.operators.extract import FORMS, RESOURCE, all_of, balanced, bound, full_name, imports_of, without_comments, without_quoted_parentheses
+from codeweft.operators.lineage import cut
 
 #: The calls that declare a route.
 VERBS = ("get", "post", "put", "patch", "delete", "options", "any", "match", "view", "resource", "apiResource", "redirect", "permanentRedirect")
@@ -26,8 +27,7 @@ COLUMNS = ("path", "route_key", "name", "verb", "methods", "uri", "action", "tar
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     """What the group has matched; null where nothing did."""
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def _argument(chain: Column, call: str) -> Column:
@@ -70,22 +70,29 @@ def _middleware_aliases(value: Column) -> Column:
 
 def _group(piece: Column, i: Column) -> Column:
     """What a group gives to the routes in it, and the statements, first to last, that it holds."""
-    chain = F.regexp_extract(piece, HEAD, 1)
-    rest = F.substring(piece, F.length(F.regexp_extract(piece, HEAD, 0)) + 1, F.lit(MANY))
-    after = F.array_join(F.concat(F.array(rest), F.slice("pieces", i + 2, F.greatest(F.size("pieces") - i - 1, F.lit(0)))), "Route::")
-    inner = F.coalesce(balanced(after), after)
-    given = F.regexp_extract(rest, r"(?s)^\s*\[(.*?)\]\s*,\s*(?:static\s+)?(?:function|fn)\b", 1)
-    by_option, by_call = _option(given, "middleware"), _argument(chain, "middleware")
-    own = F.coalesce(_first(_argument(chain, "controller"), CLASS), _first(_option(given, "controller"), CLASS))
-    return F.struct(
-        F.btrim(F.concat(_joined(chain, "prefix"), F.lit("/"), F.coalesce(F.get(_strings(_option(given, "prefix")), F.lit(0)), F.lit(""))), F.lit("/")).alias("prefix"),
-        F.concat(_joined(chain, "name"), F.coalesce(F.get(_strings(_option(given, "as")), F.lit(0)), F.lit(""))).alias("name"),
-        F.when(own.isNotNull(), _full(own)).alias("controller"),
-        F.array_union(_middleware_classes(by_option), _middleware_classes(by_call)).alias("classes"),
-        F.array_union(_middleware_aliases(by_option), _middleware_aliases(by_call)).alias("aliases"),
-        (i + 1).alias("first"),
-        (i + F.size(F.split(inner, "Route::", -1)) - 1).alias("last"),
-    )
+    head = F.struct(F.regexp_extract(piece, HEAD, 1).alias("chain"), F.substring(piece, F.length(F.regexp_extract(piece, HEAD, 0)) + 1, F.lit(MANY)).alias("rest"))
+
+    def said(h: Column) -> Column:
+        given = F.regexp_extract(h["rest"], r"(?s)^\s*\[(.*?)\]\s*,\s*(?:static\s+)?(?:function|fn)\b", 1)
+        after = F.array_join(F.concat(F.array(h["rest"]), F.slice("pieces", i + 2, F.greatest(F.size("pieces") - i - 1, F.lit(0)))), "Route::")
+        inner = bound(after, lambda a: F.coalesce(balanced(a), a))
+        return bound(F.struct(h["chain"].alias("chain"), given.alias("given"), F.size(F.split(inner, "Route::", -1)).alias("holds")), options)
+
+    def options(g: Column) -> Column:
+        chain, given = g["chain"], g["given"]
+        own = F.coalesce(_first(_argument(chain, "controller"), CLASS), _first(_option(given, "controller"), CLASS))
+        both = F.struct(_option(given, "middleware").alias("by_option"), _argument(chain, "middleware").alias("by_call"))
+        return bound(both, lambda m: F.struct(
+            F.btrim(F.concat(_joined(chain, "prefix"), F.lit("/"), F.coalesce(F.get(_strings(_option(given, "prefix")), F.lit(0)), F.lit(""))), F.lit("/")).alias("prefix"),
+            F.concat(_joined(chain, "name"), F.coalesce(F.get(_strings(_option(given, "as")), F.lit(0)), F.lit(""))).alias("name"),
+            bound(own, lambda c: F.when(c.isNotNull(), _full(c))).alias("controller"),
+            F.array_union(_middleware_classes(m["by_option"]), _middleware_classes(m["by_call"])).alias("classes"),
+            F.array_union(_middleware_aliases(m["by_option"]), _middleware_aliases(m["by_call"])).alias("aliases"),
+            (i + 1).alias("first"),
+            (i + g["holds"] - 1).alias("last"),
+        ))
+
+    return bound(head, said)
 
 
 def statements(files: DataFrame) -> DataFrame:
@@ -211,7 +218,7 @@ def _resources(rows: DataFrame) -> DataFrame:
 def route_table(files: DataFrame) -> DataFrame:
     """files(path, text) -> one row a route, with COLUMNS: target is the method that answers, as class::method, as surely as confidence
     tells; middleware that is named by an alias stays apart from that named by its class. Null texts have none."""
-    rows = _inherited(statements(files))
+    rows = cut(_inherited(statements(files)))  # both kinds of routes are read out of them
     return _hash(_single(rows)).unionByName(_hash(_resources(rows)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import text
 from codeweft.operators import changes, extract, graph, knowledge, receivers, reports, routing, semantics
-from codeweft.operators.lineage import checkpoint_dir, cut
+from codeweft.operators.lineage import checkpoint_dir, cut, spread
 from codeweft.plans import sample_sources
 from codeweft.plans.demo_graph import table
 from codeweft.plans.source_graph import template_graph
@@ -54,7 +54,7 @@ LITERAL = [("app/Models/Order.php", ORDER_PHP), ("app/Models/Logs.php", LOGS_PHP
 def for_each(rows: DataFrame, key: str, files: list[tuple[str, str]]) -> DataFrame:
     """The files once for each row: in a namespace and a folder of its own, named by ``key``."""
     each = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in files))
-    rows = rows.select(F.col(key).cast("string").alias("k"), F.explode(each).alias("f"))
+    rows = spread(rows.select(F.col(key).cast("string").alias("k"))).select("k", F.explode(each).alias("f"))
     views = "resources/views/"
     folder = F.concat(F.lit("s"), "k", F.lit("/"))
     path = F.when(F.col("f.path").startswith(views), F.concat(F.lit(views), folder, F.substring("f.path", len(views) + 1, 1 << 20))).otherwise(F.concat(folder, "f.path"))
@@ -206,7 +206,7 @@ def _text(*parts: str) -> Column:
 
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class for each part, whose method takes, makes, copies and merges objects of classes named by the part's brand, size and price."""
-    p = table(spark, sf_dir, "part").withColumns({"brand": F.replace("p_brand", F.lit("#"), F.lit("")), "other": F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("T"), F.col("p_size").cast("string"))).otherwise("U"), "twice": F.when(F.col("p_size") % 2 == 0, "$x").otherwise("helper()")})
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")).withColumns({"brand": F.replace("p_brand", F.lit("#"), F.lit("")), "other": F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("T"), F.col("p_size").cast("string"))).otherwise("U"), "twice": F.when(F.col("p_size") % 2 == 0, "$x").otherwise("helper()")})
     code = _text(
         "<?php\nnamespace App;\nclass P", "@p_partkey", " extends Base\n{\n    private ?K", "@p_size", " $kept;\n    public function go(B", "@brand", " $b, $free)\n    {\n        // $b->no('it')\n        $x = new T", "@p_size",
         "(1, ['a' => ')']); $x->make(); $y = $x; $y->copied();\n        if ($free->is('x // y')) { $y = new W; $y->inside(); $x = new ", "@other", "(); } else { $x->other(); }\n        $x->merged(); $y->lost(); $b->given(); $this->kept->held();\n        $z = ", "@twice",
@@ -254,7 +254,7 @@ def body_calls(spark, sf_dir):
 
 
 def fluent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").withColumns({"first": F.when(F.col("s_suppkey") % 3 == 0, "where").when(F.col("s_suppkey") % 3 == 1, "with").otherwise("make"), "then": F.when(F.col("s_suppkey") % 2 == 0, "get").otherwise("take")})
+    s = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).withColumns({"first": F.when(F.col("s_suppkey") % 3 == 0, "where").when(F.col("s_suppkey") % 3 == 1, "with").otherwise("make"), "then": F.when(F.col("s_suppkey") % 2 == 0, "get").otherwise("take")})
     code = _text(
         "<?php\nnamespace App;\nclass M", "@s_suppkey", " extends \\Illuminate\\Database\\Eloquent\\Model\n{\n    public function notes() { return $this->hasMany(Note::class); }\n    public function go()\n    {\n        $q = M", "@s_suppkey", "::", "@first",
         "('a', [1, ')'])->orderBy('b'); $q->limit(2); $r = $q->", "@then", "(); $r->map();\n        $this->notes()->where('c')->lazy()->each();\n    }\n}\n",

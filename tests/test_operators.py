@@ -1,12 +1,13 @@
 import datetime
 import hashlib
 import random
+import time
 
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from codeweft import queries
+from codeweft import queries, source_queries
 from codeweft.functions import scoring, text
 from codeweft.operators import changes, extract, graph, knowledge, routing, search, semantics
 from codeweft.plans import sample_sources
@@ -283,3 +284,15 @@ def test_task_words_end_where_sql_ends_them(spark, tmp_path):
     odd = ["ñdocs x", "theó docs", "mañadd Xéa", "a\x0bapp/x", "Fix ñName", "read a\rsource b", "read a\nsource b", "open   the file", "addY Xé", "éAdd Orderé", " \x0b fix Order", "ñapp/é", None, ""]
     spark.createDataFrame([(i, 0, t) for i, t in enumerate(odd)], "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     assert same(spark, str(tmp_path), queries.QUERIES["route_task"], queries.ORACLES["route_task"]) == len(odd)
+
+
+def test_quotes_and_groups_are_looked_at_once(spark):
+    many = "f('(' . 'x') " * 20000
+    start = time.monotonic()
+    got = spark.createDataFrame([(many,)], "t string").select(extract.without_quoted_parentheses(F.col("t")).alias("t")).first().t
+    assert got == many.replace("'('", "'\x01'") and time.monotonic() - start < 20
+    rows = spark.range(3).select(F.col("id").alias("s_suppkey")).coalesce(1)
+    assert source_queries.for_each(rows, "s_suppkey", sample_sources.FILES).rdd.getNumPartitions() == 8
+    group = "<?php\nuse App\\A;\n" + "Route::prefix('a')->group(function () {\n" * 3 + "Route::get('/x(', [A::class, 'y']);\n" + "});\n" * 3 + "Route::get('/z', 'A@y');\n"
+    found = routing.route_table(spark.createDataFrame([("r.php", group)], "path string, text string")).collect()
+    assert sorted((r.uri, r.target) for r in found) == [("a/a/a/x(", "App\\A::y"), ("z", "A::y")]
