@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.text import normalized_key
 from codeweft.operators import tokens as tk
 from codeweft.operators.extract import all_of, full_name, read_once
-from codeweft.operators.lineage import cut
+from codeweft.operators.lineage import cut as cut_plain
 from codeweft.operators.semantics import RELATION, is_model
 
 MODEL, BUILDER = "Illuminate\\Database\\Eloquent\\Model", "Illuminate\\Database\\Eloquent\\Builder"
@@ -45,6 +45,11 @@ PROMOTED = r"(?:^|[(,])\s*(?:(?:public|protected|private|readonly)\s+)+\??(\\?[A
 CLASS_NAME = rf"^({tk.NAME})$"
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """All that is kept here is made of tokens: alike from method to method, so that files say little of its size."""
+    return cut_plain(rows, compact=True)
+
+
 def units_of(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """files(path, text) -> one row a method: unit, method_key, its class with parents and typed properties, the class's relations, and its text."""
     read = read or read_once(files)

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codeweft.operators import receivers as module
 from codeweft.operators import tokens
+from codeweft.operators.lineage import cut
 from codeweft.operators.receivers import receiver_edges, receivers, units_of, unresolved_calls
 
 FLOW = r"""<?php
@@ -153,3 +155,11 @@ def test_a_long_method(spark):
     body = "".join(f"$v{i % 50} = {'new A' if i % 7 == 0 else f'$v{(i - 1) % 50}'}; if ($v{i % 50}->go{i}()) {{ $v{i % 50}->in{i}(); }}\n" for i in range(3000))
     files = spark.createDataFrame([("a.php", f"<?php\nclass B {{\n public function f() {{ {body} }}\n}}\n")], "path string, text string")
     assert receivers(units_of(files)).where(F.col("type") == "A").count() == 6000
+
+
+def test_compact_tables_are_not_broadcast(spark):
+    alike = spark.range(5000).select("id", F.repeat(F.lit("x"), 500).alias("text"))  # some KB as files
+    joined = lambda t: spark.range(1 << 20).join(t, "id")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" in joined(cut(alike)) and "Broadcast" not in joined(cut(alike, compact=True))
+    assert "BroadcastHashJoin" in joined(cut(alike.limit(5), compact=True))
+    assert "hint" in module.cut(alike)._jdf.queryExecution().analyzed().toString().lower()
