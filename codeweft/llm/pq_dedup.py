@@ -1,9 +1,10 @@
 """Near-duplicate vectors through a product-quantised inverted index.
 
 A coarse k-means deals unit vectors into lists. What is left of a vector after its list's centre, the residual, is cut into
-subspaces and coded by the nearest of each subspace's centres. A query visits its own list and each list that could hold
-a partner: those whose boundary with its own lies no further off than partners are apart. A partner beyond that boundary
-is at least as far away as the boundary is, whatever its direction. In a list, one table of distances from the query's residual to
+subspaces and coded by the nearest of each subspace's centres. A query visits its own list and each list whose boundary with
+its own lies no further off than half of what partners are apart at most: of two partners on both sides of a boundary, one is
+so near it, whatever the direction, as their distances from it add up to no more than that between them. Where both are, the
+pair counts in the earlier list. In a list, one table of distances from the query's residual to
 all subspace centres turns each stored code into a distance by additions alone; with the stored length of the coding
 error this bounds the true distance from below, so that no partner in a visited list is lost. What remains is compared
 exactly, as cosines in double precision.
@@ -72,7 +73,7 @@ class Index:
         own = d.argmin(1)
         apart = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse) ** 2).sum(2), 1e-18))
         to_boundary = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart[own])
-        return own, to_boundary <= self.reach
+        return own, to_boundary <= self.reach / 2
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -113,7 +114,10 @@ def links_in(t: pa.Table, index: Index, cosine: float) -> tuple[np.ndarray, np.n
     vectors = scaled(matrix(t.column("vector").chunk(0), width))
     x = unit(vectors)
     home, side = t.column("home").to_numpy(), t.column("side").to_numpy()
-    centre = index.coarse[t.column("list")[0].as_py()]
+    here = t.column("list")[0].as_py()
+    centre = index.coarse[here]
+    own = t.column("own").to_numpy()
+    seen = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint8).reshape(len(own), -1)
     stored = np.flatnonzero(home)
     codes, left = index.code(x[stored] - centre)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -128,6 +132,8 @@ def links_in(t: pa.Table, index: Index, cosine: float) -> tuple[np.ndarray, np.n
         i, j = q[i], stored[j]
         # a pair within one block comes once: a visitor with a stored row, or the earlier of two stored rows with the later
         ok = (home[i] & (i < j) | ~home[i]) if side[0] < 0 else (side[i] != side[j]) & (~home[i] | (side[i] < side[j]))
+        # a pair of two lists each of whose rows visits the other's comes once, in the earlier list
+        ok &= home[i] | (own[i] > here) | (seen[j, own[i] // 8] >> (7 - own[i] % 8) & 1 == 0)
         i, j = i[ok], j[ok]
         for k in range(0, len(i), PAIRS_AT_ONCE):
             a, b = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
@@ -173,12 +179,12 @@ def partial_links(classes: DataFrame, index: Index, cosine: float) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 own, to = index.visits(unit(matrix(part.column("vector"), index.coarse.shape[1])))
-                # of two lists that are near each other, the later one gets the visit
-                row, at_list = np.nonzero(to & (np.arange(to.shape[1]) >= own[:, None]))
+                row, at_list = np.nonzero(to)
+                seen = np.packbits(to, axis=1)
                 for k in range(0, len(row), 2048):
                     r, li = row[k : k + 2048], at_list[k : k + 2048]
                     taken = part.take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(li.astype(np.int32)), pa.array(li == own[r])], names=[*taken.schema.names, "list", "home"])
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(li.astype(np.int32)), pa.array(li == own[r]), pa.array(own[r].astype(np.int32)), pa.array([x.tobytes() for x in seen[r]], pa.binary())], names=[*taken.schema.names, "list", "home", "own", "seen"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in cells_of(batches):
@@ -194,7 +200,7 @@ def partial_links(classes: DataFrame, index: Index, cosine: float) -> DataFrame:
 
     ship_package(classes.sparkSession)
     kind, numbers = (classes.schema[c].dataType.simpleString() for c in ("label", "vector"))
-    visiting = classes.select("k1", "k2", "label", "n", F.col("vector")).mapInArrow(visits, f"k1 long, k2 long, label {kind}, n long, vector {numbers}, list int, home boolean")
+    visiting = classes.select("k1", "k2", "label", "n", F.col("vector")).mapInArrow(visits, f"k1 long, k2 long, label {kind}, n long, vector {numbers}, list int, home boolean, own int, seen binary")
     visiting = written(visiting.withColumn("width", F.size("vector")))
     group = ["label", "width", "list"]
     return written(in_cells(with_group_rows(visiting, group), group, F.col("k1"), BLOCK_ROWS).mapInArrow(compare, PARTIAL))

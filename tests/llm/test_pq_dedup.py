@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from codeweft.llm import pq_dedup
 from codeweft.llm.components import connected_components
 from codeweft.llm.pq_dedup import near_duplicates
 from codeweft.llm.queries import op2_pq_dedup
@@ -125,3 +126,19 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 300: 300, 301: 300, 302: 300}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_over_boundaries_come_once_by_half_the_reach(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(2500, 64))
+    x = np.concatenate([base, base[:600] + rng.normal(size=(600, 64)) * 0.17, base[:300] + rng.normal(size=(300, 64)) * 0.17])
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    assert near.sum() > len(x) + 1000 and got == {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+    index = pq_dedup.fit_index(u[:2500], 2500, 0.98)
+    own, to = index.visits(u)
+    i, j = np.nonzero(near)
+    across = own[i] != own[j]
+    assert across.sum() > 40 and (to[i, own[j]] | to[j, own[i]]).all()
+    assert to.sum() < 5 * len(u)
