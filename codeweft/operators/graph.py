@@ -24,6 +24,20 @@ def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(side("source"), "source_key", "left").join(side("target"), "target_key", "left")
 
 
+#: Bits that tell which keys are looked for; a power of two.
+KEY_BITS = 1 << 26
+
+
+def touching(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``column`` is among the keys, and few others: keys are bits at the places of their hashes, in words of 64 that every task gets.
+    They take no more than KEY_BITS however many keys there are, so that of a large table only what a join needs goes through its shuffle."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(KEY_BITS))
+    word = lambda c: F.shiftright(place(c), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(c), F.lit(64)).cast("int"))
+    words = keys.where(F.col(key).isNotNull()).groupBy(word(F.col(key)).alias("_word")).agg(F.bit_or(bit(F.col(key))).alias("_bits"))
+    return rows.join(F.broadcast(words), word(F.col(column)) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit(F.col(column))) != 0).select(*rows.columns)
+
+
 def first_visits(edges: DataFrame, frontier: DataFrame, visited: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """One row for each node that a level reaches: against dependencies, and along containment out of files and classes.
 
@@ -34,6 +48,8 @@ def first_visits(edges: DataFrame, frontier: DataFrame, visited: DataFrame, per:
     back = edges.where(~F.col("relationship").isin(*STRUCTURAL)).select(F.col("target_key").alias("node_key"), F.col("source_key").alias("far"), "relationship", F.col("confidence").cast("double").alias("edge"), F.lit("incoming").alias("direction"))
     down = edges.where(F.col("relationship").isin(*STRUCTURAL)).select(F.col("source_key").alias("node_key"), F.col("target_key").alias("far"), "relationship", F.col("confidence").cast("double").alias("edge"), F.lit("outgoing").alias("direction"))
     inner = frontier.where(F.col("node_type").isin("file", *CLASS_LIKE))
+    if per:  # the frontiers of many traversals may be large
+        back, down = touching(back, "node_key", frontier, "node_key"), touching(down, "node_key", inner, "node_key")
     reached = back.join(frontier, "node_key").unionByName(down.join(inner, "node_key"))
     reached = reached.join(visited.select(*per, F.col("node_key").alias("far")), [*per, "far"], "left_anti")
     # combined before the shuffle, so that no task meets all edges of a hub
@@ -137,8 +153,8 @@ def neighborhood_of_each(edges: DataFrame, seeds: DataFrame, most: int = 80) ->
     keys = seeds.select("question", F.col("node_key").alias("_seed")).distinct()
     plain = edges.where(~F.col("relationship").isin(*STRUCTURAL))
     at = lambda column: keys.withColumnRenamed("_seed", column)
-    into = plain.join(at("target_key"), "target_key").withColumn("incoming", F.lit(True))
-    out = plain.join(at("source_key"), "source_key").join(at("target_key"), ["question", "target_key"], "left_anti").withColumn("incoming", F.lit(False))
+    into = touching(plain, "target_key", keys, "_seed").join(at("target_key"), "target_key").withColumn("incoming", F.lit(True))
+    out = touching(plain, "source_key", keys, "_seed").join(at("source_key"), "source_key").join(at("target_key"), ["question", "target_key"], "left_anti").withColumn("incoming", F.lit(False))
     return leading(into.unionByName(out), "question", [F.desc("confidence"), "source_key", "target_key", "relationship"], most)
 
 
@@ -228,10 +244,11 @@ def resolve_each(nodes: DataFrame, asked: DataFrame, modules: DataFrame | None =
     own = nodes.select(*columns)
     # the step, whether a candidate is but a mention, and the order within the step
     shape = lambda rows, step, n, late=F.lit(False), by=F.lit(""): rows.select("question", F.lit(step).alias("step"), *columns, F.lit(n).alias("_at"), late.alias("_late"), by.alias("_by"))
-    found = shape(q.join(own, q["_key"] == own["node_key"]), "key", 0)
-    found = found.unionByName(shape(q.join(own, q["_name"] == own["symbol_name"]), "symbol", 1, F.col("file_path").isNull()))
+    equal = lambda rows, asked_as, column: q.join(touching(rows, column, q, asked_as), F.col(asked_as) == F.col(column))
+    found = shape(equal(own, "_key", "node_key"), "key", 0)
+    found = found.unionByName(shape(equal(own, "_name", "symbol_name"), "symbol", 1, F.col("file_path").isNull()))
     if "file" in steps:
-        found = found.unionByName(shape(q.join(own.where("node_type = 'file'"), q["_path"] == own["file_path"]), "file", 2))
+        found = found.unionByName(shape(equal(own.where("node_type = 'file'"), "_path", "file_path"), "file", 2))
     if "module" in steps and modules is not None:
         called = modules.select(F.explode(F.array_distinct(F.array("module_key", "name"))).alias("_called"), F.col("module_key").alias("node_key"), F.lit("module").alias("node_type"), F.col("name").alias("symbol_name"), F.lit(None).cast("string").alias("file_path"))
         first = leading(q.join(called, F.col("_name") == F.col("_called")), "question", ["node_key"], 1)

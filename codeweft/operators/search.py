@@ -44,12 +44,24 @@ def ranked(items: DataFrame, packet: str) -> DataFrame:
 def deduplicated(items: DataFrame, packet: str) -> DataFrame:
     """items(packet, id, score, text, ...): in order of rank an item stays unless its id or its text, blanks apart, has been kept
     before. An item that is dropped blocks no other. Items of the same score, id and text are one; which of their other
-    columns stay is open.
+    columns stay is open. ``items`` are read more than once: a table that is written.
 
-    Round by round: an item that comes first both among those of its id and among those of its text stays, and all others
-    of these go. Both are aggregations, so that no packet is held in one place, and few rounds are needed, as ids seldom recur.
+    Items whose id and text are each alone in their packet stay. Numbers of 64 bits tell of the others, of which they may only name too many;
+    these are settled round by round: an item that comes first both among those of its id and among those of its text stays, and all others
+    of these go. All are aggregations, so that no packet is held in one place, and few rounds are needed, as ids seldom recur.
     """
     text_key = text_fingerprint(F.coalesce("text", F.lit("")))
+    own = F.array(F.xxhash64(packet, F.lit("id"), "id"), F.xxhash64(packet, F.lit("text"), text_key))
+    again = cut(items.select(F.explode(own).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
+    if again.isEmpty():
+        return items
+    marked = items.withColumns({"_a": own[0], "_b": own[1]})
+    alone = marked.join(again, F.col("_a") == F.col("_h"), "left_anti").join(again, F.col("_b") == F.col("_h"), "left_anti").select(*items.columns)
+    many = marked.join(again.withColumnRenamed("_h", "_a"), "_a", "left_semi").unionByName(marked.join(again.withColumnRenamed("_h", "_a"), "_a", "left_anti").join(again.withColumnRenamed("_h", "_b"), "_b", "left_semi"))
+    return alone.unionByName(_settled(many.select(*items.columns), packet, text_key))
+
+
+def _settled(items: DataFrame, packet: str, text_key: Column) -> DataFrame:
     order = F.struct((-F.col("score")).alias("a"), F.col("id").alias("b"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("c"))
     left = items.withColumns({"_fp": text_key, "_o": order})
     firsts = [F.first(c).alias(c) for c in items.columns if c not in (packet, "_fp", "_o")]
@@ -64,12 +76,15 @@ def deduplicated(items: DataFrame, packet: str) -> DataFrame:
     return (left if kept is None else kept).select(*items.columns)
 
 
-def _folded(items: DataFrame, packet: str, header: str | Column, budget: int, bytes_a_token: int) -> DataFrame:
+def folded(items: DataFrame, packet: str, header: str | Column, budget: int, bytes_a_token: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(packet, used, taken, omitted): what packed() and shown() are made of. taken(id, compact, ...) has the ``carried`` columns of the items, too."""
     room = max(0, budget) * bytes_a_token
     text = F.lit(header) if isinstance(header, str) else header
-    sized = ranked(items, packet).select(packet, F.least(F.octet_length(text), F.lit(room)).alias("start"), F.struct("rn", "id", F.octet_length("text").alias("full"), F.octet_length("compact").alias("small")).alias("x"))
+    # sizes instead of texts go through the shuffle
+    narrow = items.select(packet, "id", "score", *carried, F.least(F.octet_length(text), F.lit(room)).alias("start"), F.octet_length("text").alias("full"), F.octet_length("compact").alias("small"))
+    sized = ranked(narrow, packet).select(packet, "start", F.struct("rn", "id", "full", "small", *carried).alias("x"))
     held = sized.groupBy(packet).agg(F.max("start").alias("start"), F.array_sort(F.collect_list("x")).alias("items"))
-    kind = "array<struct<id:string,compact:boolean>>"
+    kind = f"array<struct<id:string,compact:boolean{''.join(f',{c}:{items.schema[c].dataType.simpleString()}' for c in carried)}>>"
     zero = F.struct(F.col("start").alias("used"), F.array().cast(kind).alias("taken"), F.lit(0).alias("omitted"))
 
     def step(s: Column, x: Column) -> Column:
@@ -77,7 +92,7 @@ def _folded(items: DataFrame, packet: str, header: str | Column, budget: int, by
         use_small = (s["used"] + gap + x["full"] > room) & x["small"].isNotNull()
         size = F.when(use_small, x["small"]).otherwise(x["full"])
         takes = (s["used"] + gap + size <= room) & (size > 0)
-        one = F.array(F.struct(x["id"].cast("string").alias("id"), use_small.alias("compact")))
+        one = F.array(F.struct(x["id"].cast("string").alias("id"), use_small.alias("compact"), *(x[c].alias(c) for c in carried)))
         return F.struct(
             F.when(takes, s["used"] + gap + size).otherwise(s["used"]).alias("used"),
             F.when(takes, F.concat(s["taken"], one.cast(kind))).otherwise(s["taken"]).alias("taken"),
@@ -96,13 +111,20 @@ def packed(items: DataFrame, packet: str, header: str | Column, budget: int, byt
     ids and sizes of one packet, not its texts, meet in one row. A packet is one answer, whose parts are bounded where they are gathered.
     The header is one for all packets, or a column of the items that is the same throughout a packet.
     """
-    out = _folded(items, packet, header, budget, bytes_a_token)
+    return of_folded(folded(items, packet, header, budget, bytes_a_token), packet)
+
+
+def of_folded(out: DataFrame, packet: str) -> DataFrame:
     return out.select(packet, "used", F.transform("taken", lambda t: t["id"]).alias("ids"), "omitted", F.size(F.filter("taken", lambda t: t["compact"])).alias("compacted"))
 
 
 def shown(items: DataFrame, packet: str, header: str | Column, budget: int, bytes_a_token: int = 4) -> DataFrame:
     """(packet, body): the texts of the items that packed() takes, full or compact, a line each. Ids are unique within a packet."""
-    taken = _folded(items, packet, header, budget, bytes_a_token).select(packet, F.posexplode("taken").alias("at", "t"))
+    return texts_of(folded(items, packet, header, budget, bytes_a_token), items, packet)
+
+
+def texts_of(out: DataFrame, items: DataFrame, packet: str) -> DataFrame:
+    taken = out.select(packet, F.posexplode("taken").alias("at", "t"))
     rows = taken.select(packet, "at", F.col("t.id").alias("id"), F.col("t.compact").alias("_small")).join(items.withColumn("id", F.col("id").cast("string")), [packet, "id"])
     line = F.struct("at", F.when(F.col("_small"), F.col("compact")).otherwise(F.col("text")).alias("line"))
     return rows.groupBy(packet).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("body"))

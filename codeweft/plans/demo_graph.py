@@ -58,8 +58,10 @@ def edges(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
     )
     if lines:
         sure = F.lit(1) - F.col("l_discount")
-        both = made(t("lineitem"), key("order", "l_orderkey"), key("part", "l_partkey"), "uses_model", sure).union(made(t("lineitem"), key("order", "l_orderkey"), key("supplier", "l_suppkey"), "depends_on", sure))
-        out = out.union(both.groupBy("source_key", "target_key", "relationship").agg(F.max("confidence").alias("confidence")))
+        # combined while the keys are numbers, which take less room in the shuffle than their texts
+        for kind, column, relationship in (("part", "l_partkey", "uses_model"), ("supplier", "l_suppkey", "depends_on")):
+            most = t("lineitem").groupBy("l_orderkey", column).agg(F.max(sure.cast(dec)).alias("sure"))
+            out = out.union(made(most, key("order", "l_orderkey"), key(kind, column), relationship, F.col("sure")))
     return out
 
 

@@ -139,12 +139,13 @@ def _impacts(memory: Memory, index: DataFrame | None, asked: DataFrame, include_
     out.warn(moved, 2, F.lit("The indexed impact subject changed; stored summaries and dependent relationships require source verification."))
 
 
-def answered(memory: Memory, questions: DataFrame, budget: int | None = None, include_stale: bool = False, depth: int | None = None, max_nodes: int | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def answered(memory: Memory, questions: DataFrame, budget: int | None = None, include_stale: bool = False, depth: int | None = None, max_nodes: int | None = None, index: DataFrame | None = None, texts: bool = True) -> tuple[DataFrame, DataFrame]:
     """questions as QUESTION says, one row each -> (packets, sources).
 
     packets: question, operation, header, ids, text, used, estimated_tokens, warnings, stale, truncated, candidate_count, selected_count,
     omitted_count, compacted_count, truncation_reasons. sources(question, position, id, identities): what a packet shows, in order.
-    ``index`` (see postings) lets names that match nothing whole find symbols that contain them.
+    ``index`` (see postings) lets names that match nothing whole find symbols that contain them. Without ``texts`` packets have no text, which need not be
+    put together then.
     """
     most, room, out = retrieve.candidates(budget), retrieve.room(budget), Gathered()
     spark = memory.spark
@@ -166,30 +167,33 @@ def answered(memory: Memory, questions: DataFrame, budget: int | None = None, in
     stale = union(out.stale, "question string").distinct().withColumn("stale", F.lit(True))
     head = cut(head.withColumn("header", F.array_join(lines, "\n")).join(stale, "question", "left"))
     every = cut(union(out.items, f"question string, {retrieve.ITEM}, identities array<string>"))
-    once = cut(search.deduplicated(every, "question").join(head.select("question", "header"), "question"))
-    packed = cut(search.packed(once, "question", F.col("header"), room))
-    shown = search.shown(once, "question", F.col("header"), room)
+    once = search.deduplicated(every, "question")
+    # what a packet shows goes through the fold with the ids, which is written: nothing is looked up by ids afterwards but texts
+    folds = cut(search.folded(once.join(head.select("question", "header"), "question"), "question", F.col("header"), room, carried=("identities",)))
+    packed = search.of_folded(folds, "question")
     counts = every.groupBy("question").agg(F.count(F.lit(1)).alias("candidate_count"))
-    rows = head.join(packed, "question", "left").join(shown, "question", "left").join(counts, "question", "left")
+    rows = head.join(packed, "question", "left").join(counts, "question", "left")
+    if texts:
+        rows = rows.join(search.texts_of(folds, once, "question"), "question", "left")
     size = F.least(F.octet_length("header"), F.lit(room * 4))
     zero = {"used": size, "ids": none, "omitted": F.lit(0), "compacted": F.lit(0), "candidate_count": F.lit(0), "stale": F.lit(False)}
     rows = rows.withColumns({k: F.coalesce(k, v) for k, v in zero.items()})
     short = F.col("omitted") + F.col("compacted") > 0
     packets = rows.select(
-        "question", "operation", "header", "ids", F.concat_ws("\n", F.substring("header", F.lit(1), size), "body").alias("text"), "used", F.ceil(F.col("used") / 4).alias("estimated_tokens"), "warnings", "stale",
+        "question", "operation", "header", "ids", *([F.concat_ws("\n", F.substring("header", F.lit(1), size), "body").alias("text")] if texts else []), "used", F.ceil(F.col("used") / 4).alias("estimated_tokens"), "warnings", "stale",
         (short | (F.size("limits") > 0)).alias("truncated"), "candidate_count", F.size("ids").alias("selected_count"), F.col("omitted").alias("omitted_count"), F.col("compacted").alias("compacted_count"),
         F.array_compact(F.concat("limits", F.array(F.when(short, "token_budget")))).alias("truncation_reasons"),
     )
-    order = packed.select("question", F.posexplode("ids").alias("at", "id"))
-    sources = order.join(once.select("question", "id", "identities"), ["question", "id"]).select("question", (F.col("at") + 1).alias("position"), "id", "identities")
+    order = folds.select("question", F.posexplode("taken").alias("at", "t"))
+    sources = order.select("question", (F.col("at") + 1).alias("position"), "t.id", "t.identities")
     return packets, sources
 
 
 def evaluated(memory: Memory, questions: DataFrame, expected: DataFrame, k: int = 8, budget: int = 2500, **asked) -> DataFrame:  # noqa: ANN003
     """expected(question, item): what each question should find -> a row for each question that expects something, with what its own
     packet shows judged as in ``reports.evaluated``, and the packet's estimated_context_tokens, within_budget and truncated."""
-    packets, sources = answered(memory, questions, budget, **asked)
+    packets, sources = answered(memory, questions, budget, texts=False, **asked)
     shown = sources.select(F.col("question").alias("scenario"), "position", F.explode("identities").alias("identity"))
-    judged = reports.evaluated(cut(shown), expected.withColumnRenamed("question", "scenario"), k)
+    judged = reports.evaluated(shown, expected.withColumnRenamed("question", "scenario"), k)
     cost = packets.select(F.col("question").alias("scenario"), F.col("estimated_tokens").alias("estimated_context_tokens"), (F.col("estimated_tokens") <= budget).alias("within_budget"), "truncated")
     return judged.join(cost, "scenario")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import canonical_text
-from codeweft.operators import postings, search
+from codeweft.operators import graph, postings, search
 from codeweft.operators.lineage import cut
 from codeweft.plans import questions, retrieve
 from codeweft.queries import memory
@@ -94,3 +94,27 @@ def test_canonical_text(spark):
     rows = [('{"b": 1.50, "a": {"d": [3, {"z": null, "y": "ü"}], "c": true}}', '{"a":{"c":true,"d":[3,{"y":"ü","z":null}]},"b":1.5}'), ("[ ]", "[]"), ('{"a":1,"a":2}', None), ("{", None), (None, None), ('"x"', '"x"')]
     got = spark.createDataFrame(rows, "j string, want string").select(canonical_text(F.col("j")).alias("got"), "want").collect()
     assert all(r["got"] == r["want"] for r in got), got
+
+
+def test_items_that_occur_once_are_not_written_again(spark, monkeypatch):
+    written = []
+
+    def noted(df, *more):
+        out = cut(df, *more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "cut", noted)
+    items = cut(spark.range(2000).select((F.col("id") % 50).alias("packet"), F.col("id").cast("string").alias("id"), F.lit(1).alias("score"), F.concat(F.lit("text "), F.col("id")).alias("text")))
+    assert search.deduplicated(items, "packet").count() == 2000 and sum(written) == 0
+    twice = cut(items.union(items.where("packet = 7")).union(items.where("packet = 8").withColumn("id", F.lit("x"))))
+    once = search.deduplicated(twice, "packet")
+    assert once.count() == 2000 and once.where("packet = 7").count() == 40 and once.where("packet = 8").select("text").distinct().count() == 40
+
+
+def test_rows_that_touch_keys(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("k"))
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("at"), "id")
+    near = graph.touching(rows, "at", keys, "k")
+    assert near.columns == ["at", "id"] and {r.id for r in near.where("id % 3 = 0").collect()} == set(range(0, 3000, 3)) and near.count() < 1020
+    assert graph.touching(rows, "at", keys.limit(0), "k").isEmpty()
