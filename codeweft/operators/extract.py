@@ -99,7 +99,8 @@ def declared(files: DataFrame) -> DataFrame:
     rows = rows.withColumns({"namespace": F.regexp_extract("code", r"(?m)^\s*namespace\s+([\w\\]+)\s*;", 1), "imports": imports_of(F.col("code"))})
     heads = F.arrays_zip(*(all_of(F.col("code"), DECLARED, g).alias(n) for g, n in ((1, "kind"), (2, "name"), (3, "extends"), (4, "implements"))))
     rows = rows.withColumns({"bodies": F.split("code", DECLARED), "heads": heads})
-    rows = rows.select("path", "content_hash", "namespace", "imports", "bodies", F.posexplode("heads").alias("i", "h")).withColumns({"body": F.get("bodies", F.col("i") + 1), "attributes": F.regexp_extract(F.get("bodies", F.col("i")), ATTRIBUTES, 1)})
+    # outer, then without what is empty: else Spark looks for empty ones beforehand, by all these patterns once more, and even before a shuffle
+    rows = rows.select("path", "content_hash", "namespace", "imports", "bodies", F.posexplode_outer("heads").alias("i", "h")).where("i is not null").withColumns({"body": F.get("bodies", F.col("i") + 1), "attributes": F.regexp_extract(F.get("bodies", F.col("i")), ATTRIBUTES, 1)})
     names = lambda c: F.transform(F.filter(F.split(c, r"\s*,\s*"), lambda x: F.trim(x) != ""), lambda x: full_name(F.trim(x), F.col("namespace"), F.col("imports")))
     name = F.col("h.name")
     fqcn = F.when(F.col("namespace") == "", name).otherwise(F.concat("namespace", F.lit("\\"), name))
@@ -112,7 +113,7 @@ def methods_of(found: DataFrame) -> DataFrame:
     """Declarations, one row for each of their methods: its name, modifiers, parameters, return type, and in ``inner`` the text between
     its head and the next one's."""
     rows = found.withColumn("parts", F.split("body", METHOD)).withColumn("heads", F.arrays_zip(all_of(F.col("body"), METHOD, 2).alias("method"), all_of(F.col("body"), METHOD, 1).alias("modifiers")))
-    rows = rows.select("*", F.posexplode("heads").alias("m", "head")).select("*", "head.method", "head.modifiers").withColumn("inner", F.get("parts", F.col("m") + 1))
+    rows = rows.select("*", F.posexplode_outer("heads").alias("m", "head")).where("m is not null").select("*", "head.method", "head.modifiers").withColumn("inner", F.get("parts", F.col("m") + 1))
     rows = rows.withColumn("parameters", F.coalesce(balanced(F.col("inner")), F.lit("")))
     return rows.withColumn("returns", F.regexp_extract(F.substring("inner", F.length("parameters") + 2, F.lit(1 << 20)), r"^\s*:\s*([?\w\\|&\s]+?)\s*[{;]", 1))
 

@@ -20,8 +20,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def spread(rows: DataFrame) -> DataFrame:
     """Deals rows evenly to as many tasks as a shuffle has: small tables are read by one task, and what is composed or read out of each of their rows
-    may take long. It is put where rows are still narrow."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    may take long. It is put where rows are still narrow. They are kept: Spark takes filters, and all that these compute, to the other side of a
+    shuffle, where one task would do it."""
+    return cut(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 #: Tables of so many rows may be sent whole to all executors.

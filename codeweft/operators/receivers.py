@@ -54,18 +54,24 @@ def units_of(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None)
     """files(path, text) -> one row a method: unit, method_key, its class with parents and typed properties, the class's relations, and its text."""
     read = read or read_once(files)
     entries = lambda text, pattern: F.arrays_zip(all_of(text, pattern, 2).alias("key"), all_of(text, pattern, 1).alias("value"))
-    methods = read[1].withColumn("model", is_model())
+    # patterns go over a body before the shuffles: their rows are few bytes, so that few tasks take what comes after
+    methods = read[1].select("path", "class_key", "m", "method", "fqcn", "namespace", "imports", "parents", "parameters", "inner", is_model().alias("model"), entries(F.col("body"), OWNED).alias("owned"))
     promoted = F.flatten(F.collect_list(F.when(F.lower("method") == "__construct", entries(F.col("parameters"), PROMOTED)).otherwise(F.array().cast("array<struct<key:string,value:string>>"))))
     # bounded by the methods of one class
     of_class = methods.groupBy("path", "class_key").agg(promoted.alias("promoted"), F.collect_set(F.when(F.col("model") & F.col("inner").rlike(RELATION), F.col("method"))).alias("relations"))
     key = normalized_key(F.concat(F.lit("method:"), "fqcn", F.lit("::"), "method"))
     rows = methods.join(of_class, ["path", "class_key"])
-    typed = F.concat(entries(F.col("body"), OWNED), F.col("promoted"))
+    typed = F.concat("owned", "promoted")
     properties = F.map_from_entries(F.filter(typed, lambda p, i: ~F.exists(F.slice(typed, i + 2, F.size(typed)), lambda q: q["key"] == p["key"])))
     unit = F.concat_ws("\x00", "path", "class_key", F.col("m").cast("string"))
     return rows.select(unit.alias("unit"), "path", key.alias("method_key"), "method", "fqcn", "namespace", "imports", F.get("parents", F.lit(0)).alias("parent"), properties.alias("properties"), "relations", F.concat(F.lit("("), "inner").alias("text"))
 
 
+def numbered(files: DataFrame, read: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """units_of(), kept, with a number as their unit: tokens are sorted and joined by it many times, and names are long."""
+    return cut(units_of(files, read).withColumn("unit", F.monotonically_increasing_id()))
+
+
 def class_name(name: Column) -> Column:
     """A class as a row of units_of() means it; null for names of no class."""
     low = F.lower(name)
@@ -88,6 +94,10 @@ def applied(mode: Column, base: Column) -> Column:
     return F.when(mode == "same", base).when(mode == "query", query).when((mode == "collection") & (relation | builder), F.lit(COLLECTION))
 
 
+#: What later steps take of _heads().
+HEADS = ("calls", "modes", "base", "start_var", "fqcn", "head", "held", "static_class", "static_call", "held_class", "namespace")
+
+
 def _heads(rows: DataFrame, units: DataFrame, inner: DataFrame, models: DataFrame | None) -> DataFrame:
     """Chains with their calls (name, place), and what they start from: a type that is known, or a variable. ``modes`` has a way to fold for each call,
     and one more for the whole chain."""
@@ -96,7 +106,7 @@ def _heads(rows: DataFrame, units: DataFrame, inner: DataFrame, models: DataFram
     at = F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), is_call)
     rows = rows.withColumn("at", at).withColumn("calls", F.transform("at", lambda i: F.struct(F.get(parts, i + 1)["t"].alias("name"), F.get(parts, i + 1)["i"].alias("place"))))
     end = F.when(F.size("at") > 0, F.get("at", F.lit(0))).otherwise(size)
-    rows = rows.withColumn("head", F.array_join(F.transform(F.slice(parts, F.lit(1), end), lambda p: p["t"]), " "))
+    rows = rows.withColumn("head", F.array_join(F.slice("parts.t", F.lit(1), end), " "))
     first_in = inner.where("n = 1").select("unit", F.col("g").alias("opened"), F.col("text").alias("held"), F.col("alone"))
     opened = F.filter(F.slice(parts, F.lit(1), end), lambda p: p["t"] == "(")
     rows = rows.withColumn("opened", F.get(opened, F.lit(0))["i"]).join(first_in, ["unit", "opened"], "left").join(units.drop("text"), "unit")
@@ -116,7 +126,7 @@ def _heads(rows: DataFrame, units: DataFrame, inner: DataFrame, models: DataFram
         rows = rows.join(models.select(F.col("fqcn").alias("static_class"), F.lit(True).alias("is_model")), "static_class", "left")
     else:
         rows = rows.withColumn("is_model", F.lit(None).cast("boolean"))
-    names = F.transform("calls", lambda c: c["name"])
+    names = F.col("calls.name")
     related = (head == "$this") & F.array_contains("relations", F.coalesce(F.get(names, F.lit(0)), F.lit("")))
     on_model = F.coalesce(F.col("is_model"), F.lit(False))
     # calls that are folded over come after a relation's own call, and a model's static call comes before them
@@ -125,13 +135,14 @@ def _heads(rows: DataFrame, units: DataFrame, inner: DataFrame, models: DataFram
     skip = F.when(related, 1).otherwise(0)
     count = lambda j: F.when(on_model, j + 1).otherwise(F.greatest(j - skip, F.lit(0)))
     modes = F.transform(F.sequence(F.lit(0), F.size("calls")), lambda j: F.when(related & (j == 0), "own").otherwise(folded(base, F.slice(over, skip + 1, count(j)))))
+    modes = F.when((F.size("calls") == 0) & ~on_model, F.array(F.lit("same"))).otherwise(modes)  # most chains call nothing
     return rows.withColumns({"base": base, "modes": modes, "start_var": take(head, r"^\$(\w+)$")})
 
 
 def events_of(units: DataFrame, models: DataFrame | None = None) -> dict[str, DataFrame]:
     """units_of() -> ``chains`` with heads and calls, ``definitions`` of variables that are known or unknown by themselves, ``rests`` of
     definitions on what others are at some place, and ``closures``."""
-    chained = cut(tk.around(tk.chains(tk.nested(tk.tokens(units)))))
+    chained = cut(tk.around(tk.chains(tk.nested(tk.tokens(tk.dealt(units))))))
     here = lambda which: chained.where(which)
     pairs = chained.where("text in ('{', '( )', '(', '[ ]') or pair is not null").select("unit", "first", "last", "pair")
 
@@ -159,7 +170,8 @@ def events_of(units: DataFrame, models: DataFrame | None = None) -> dict[str, Da
     rows = cut(chained.join(parameters, ["unit", "g"], "left").withColumn("takes", F.coalesce("_takes", F.lit(False))).drop("_takes"))
     body = rows.where("not takes")
     alone = rows.withColumn("alone", F.col("next1").isNull())
-    operands = cut(scoped(_heads(body.where(F.col("text").rlike(r"^[$\w\\(]")), units, alone, models), "first"))
+    operands = _heads(body.where(F.col("text").rlike(r"^[$\w\\(]")), units, alone, models)
+    operands = cut(scoped(operands.select("unit", "first", *HEADS, *(c for c in ("path", "method_key") if c in units.columns)), "first"))
 
     # parameters: a variable with a type before it
     taken = rows.where("takes").select("unit", "g", F.col("first").alias("i"), name_of("text").alias("var"), "before", "text").where("var != ''")
@@ -301,7 +313,7 @@ def body_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None
     """files(path, text) -> (calls on what receivers hold, other calls of bodies), in the columns of ``extract.graph_of`` with ``resolution``: framework_type for
     receivers of the framework, how a function's name was understood, else null."""
     read = read or read_once(files)
-    units = cut(units_of(files, read))
+    units = numbered(files, read)
     found = events_of(units, models_of(read))
     rows = _typed_calls(found).where("type is not null").join(units.select("unit", "path", "method_key"), "unit")
     target = normalized_key(F.concat(F.lit("method:"), "type", F.lit("::"), "name"))
@@ -317,6 +329,6 @@ def receiver_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None =
 def unresolved_calls(files: DataFrame) -> DataFrame:
     """(method_key, unresolved) of each method: its calls on what isn't known, and those whose name is computed."""
     read = read_once(files)
-    units = cut(units_of(files, read))
+    units = numbered(files, read)
     open_ = receivers(units, models_of(read)).groupBy("unit").agg(F.count_if(F.col("type").isNull()).alias("n"))
     return units.join(open_, "unit", "left").groupBy("method_key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unresolved"))

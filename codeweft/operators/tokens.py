@@ -23,6 +23,11 @@ WORDS = (
 )
 
 
+def dealt(units: DataFrame) -> DataFrame:
+    """units(unit, text) dealt to all tasks by unit, while they are still narrow: windows over a unit's tokens then need no shuffle of tokens."""
+    return units.select("unit", "text").repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+
+
 def tokens(units: DataFrame, text: str = "text") -> DataFrame:
     """units(unit, text) -> (unit, i, t), comments aside."""
     rows = units.select("unit", F.posexplode(all_of(F.col(text), TOKEN, 0)).alias("i", "t"))
@@ -60,8 +65,8 @@ def chains(rows: DataFrame) -> DataFrame:
     called = (prev.rlike(rf"^(?:\$\w+|{NAME})$") & (member | ~F.lower(prev).isin(*WORDS))) | prev.isin(")", "]")
     joins = F.col("t").isin(*LINKS, ")", "]") | F.coalesce(prev.isin(*LINKS) | (F.lower(prev) == "new"), F.lit(False)) | (F.col("t").isin("(", "[") & F.coalesce(called, F.lit(False)))
     numbered = rows.withColumn("joins", joins).withColumn("n", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.groupBy("unit", "g", "n").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.max("pair").alias("pair"), F.array_sort(F.collect_list(F.struct("i", "t"))).alias("parts"))
-    return out.withColumn("text", F.array_join(F.transform("parts", lambda p: p["t"]), " "))
+    out = numbered.groupBy("unit", "g", "n").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.max("pair").alias("pair"), F.sort_array(F.collect_list(F.struct("i", "t"))).alias("parts"))
+    return out.withColumn("text", F.array_join("parts.t", " "))
 
 
 def around(rows: DataFrame) -> DataFrame:

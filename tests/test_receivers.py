@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from codeweft.operators import receivers as module
 from codeweft.operators import tokens
-from codeweft.operators.lineage import cut
+from codeweft.operators.extract import declared, methods_of
+from codeweft.operators.lineage import cut, spread
 from codeweft.operators.receivers import receiver_edges, receivers, units_of, unresolved_calls
 
 FLOW = r"""<?php
@@ -163,3 +164,26 @@ def test_compact_tables_are_not_broadcast(spark):
     assert "BroadcastHashJoin" in joined(cut(alike)) and "Broadcast" not in joined(cut(alike, compact=True))
     assert "BroadcastHashJoin" in joined(cut(alike.limit(5), compact=True))
     assert "hint" in module.cut(alike)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_patterns_are_matched_by_all_tasks(spark, tmp_path):
+    spark.range(40).coalesce(1).write.parquet(f"file:{tmp_path}/k")
+    files = spread(spark.read.parquet(f"file:{tmp_path}/k")).select(F.concat(F.lit("app/A"), "id", F.lit(".php")).alias("path"), F.concat(F.lit("<?php\nclass A"), "id", F.lit(" {\n function f() { return 1; }\n}\n")).alias("text"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = declared(files)
+    # nothing is matched twice, beforehand, and nothing on the other side of a shuffle that deals rows out
+    assert "Repartition" not in plan(found) and "size(heads" not in plan(found) and "size(heads" not in plan(methods_of(cut(found)))
+    assert found.count() == 40 and methods_of(found).select("method").distinct().count() == 1
+
+
+def test_tokens_are_not_shuffled(spark):
+    units = cut(spark.range(3000).select(F.col("id").alias("unit"), F.lit("($a) { $b->c($a, [1]); }").alias("text")))
+    plan = tokens.around(tokens.chains(tokens.nested(tokens.tokens(tokens.dealt(units)))))._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange") == 1 and initial.index("Generate posexplode") < initial.index("Exchange")  # plans are printed from their end
+
+
+def test_units_are_numbered(spark):
+    twice = "<?php\nif (1) {\nclass A {\n function f(B $b) { $b->one(); }\n}\n} else {\nclass A {\n function f(C $c) { $c->two(); }\n}\n}\n"
+    files = spark.createDataFrame([("a.php", twice)], "path string, text string")  # two methods of one name, path and place
+    assert sorted((r.source_key, r.target_key) for r in receiver_edges(files).collect()) == [("method:A::f", "method:B::one"), ("method:A::f", "method:C::two")]
