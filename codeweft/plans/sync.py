@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.operators import changes, extract, graph, knowledge, receivers, routing, semantics, tokens
-from codeweft.operators.lineage import cut
+from codeweft.operators.lineage import cut, spread
 from codeweft.plans import source_graph
 from codeweft.sources.files import unchanged
 from codeweft.store import LeaseLost, Part, SnapshotStore, bucket_of
@@ -88,7 +88,7 @@ def _sync(store: SnapshotStore, files: DataFrame, roots: list[str], scope: str,
     spark, base = store.spark, store.version()
     stored = lambda name, schema: (d if (d := store.read(name)) is not None else spark.createDataFrame([], schema))
     old_files, old_nodes, old_edges, old_shared, runs = stored("files", FILES), stored("nodes", NODES), stored("edges", EDGES), stored("shared", extract.SHARED), stored("runs", RUNS)
-    live = cut(unchanged(files.withColumn("content_hash", F.sha2("text", 256)), old_files, fingerprint))
+    live = spread(unchanged(files.withColumn("content_hash", F.sha2("text", 256)), old_files, fingerprint))
     todo = live if force else live.where("not skip")
     missing = cut(changes.missing_files(old_files.withColumnRenamed("path", "file_path"), live.select(F.col("path").alias("file_path")), roots).select(F.col("file_path").alias("path")))
     counts = {"updated": todo.count(), "scanned": live.count(), "deleted": missing.count()}

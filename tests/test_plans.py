@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import SERVICE
 
-from codeweft.plans import retrieve
+from codeweft.plans import retrieve, source_graph
 from codeweft.plans.demo_graph import edges, nodes
 from codeweft.plans.sync import annotated_edges, graph_edges, sync
 from codeweft.store import LeaseLost, Part, SnapshotStore
@@ -179,3 +179,17 @@ def test_a_lease_that_was_taken_over_neither_commits_nor_unlocks(spark, tmp_path
     with pytest.raises(RuntimeError):  # what was read as version 0 is no longer the latest
         slow.publish({"t": t}, base=0)
     assert slow._made("claims/2", "a writer that died") and slow.publish({"t": t}) == 3 and slow.read("t").count() == 1
+
+
+def test_changed_files_are_read_by_all_tasks(spark, tmp_path, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def read_files(files):
+        raise Seen(files.rdd.getNumPartitions())
+
+    monkeypatch.setattr(source_graph, "read_files", read_files)
+    few = spark.range(0, 300, 1, 1).select(F.concat(F.lit("app/A"), "id", F.lit(".php")).alias("path"), F.repeat(F.lit("// x\n"), 50).alias("text"))
+    with pytest.raises(Seen) as seen:
+        sync(SnapshotStore(spark, f"file:{tmp_path}/d"), few, ["app"], "full")
+    assert seen.value.args[0] >= 4
