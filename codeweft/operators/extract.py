@@ -7,6 +7,7 @@ table definitions. It infers no types of local variables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,18 @@ def all_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def held(text: Column, *words: str) -> Column:
+    """The text if it holds one of the words, else an empty one: for patterns that find nothing without these, as looking for a word is many times
+    faster."""
+    none = reduce(lambda a, b: a & b, (~text.contains(w) for w in words))
+    return F.when(none, "").otherwise(text)
+
+
+def heads_of(text: Column, pattern: str, **groups: int) -> Column:
+    """What a pattern finds, as structs of the groups by name: one scan of the text, and one of each match."""
+    return F.transform(all_of(text, pattern, 0), lambda h: F.struct(*(F.regexp_extract(h, pattern, g).alias(n) for n, g in groups.items())))
+
+
 def distinct_captures(text: Column, pattern: str, group: int = 1) -> Column:
     return F.array_distinct(all_of(text, pattern, group))
 
@@ -97,7 +110,7 @@ def declared(files: DataFrame) -> DataFrame:
     code = without_comments(F.col("text"))
     rows = files.select("path", F.sha2("text", 256).alias("content_hash"), code.alias("code"))
     rows = rows.withColumns({"namespace": F.regexp_extract("code", r"(?m)^\s*namespace\s+([\w\\]+)\s*;", 1), "imports": imports_of(F.col("code"))})
-    heads = F.arrays_zip(*(all_of(F.col("code"), DECLARED, g).alias(n) for g, n in ((1, "kind"), (2, "name"), (3, "extends"), (4, "implements"))))
+    heads = heads_of(F.col("code"), DECLARED, kind=1, name=2, extends=3, implements=4)
     rows = rows.withColumns({"bodies": F.split("code", DECLARED), "heads": heads})
     # outer, then without what is empty: else Spark looks for empty ones beforehand, by all these patterns once more, and even before a shuffle
     rows = rows.select("path", "content_hash", "namespace", "imports", "bodies", F.posexplode_outer("heads").alias("i", "h")).where("i is not null").withColumns({"body": F.get("bodies", F.col("i") + 1), "attributes": F.regexp_extract(F.get("bodies", F.col("i")), ATTRIBUTES, 1)})
@@ -112,7 +125,7 @@ def declared(files: DataFrame) -> DataFrame:
 def methods_of(found: DataFrame) -> DataFrame:
     """Declarations, one row for each of their methods: its name, modifiers, parameters, return type, and in ``inner`` the text between
     its head and the next one's."""
-    rows = found.withColumn("parts", F.split("body", METHOD)).withColumn("heads", F.arrays_zip(all_of(F.col("body"), METHOD, 2).alias("method"), all_of(F.col("body"), METHOD, 1).alias("modifiers")))
+    rows = found.withColumn("parts", F.split("body", METHOD)).withColumn("heads", heads_of(F.col("body"), METHOD, method=2, modifiers=1))
     rows = rows.select("*", F.posexplode_outer("heads").alias("m", "head")).where("m is not null").select("*", "head.method", "head.modifiers").withColumn("inner", F.get("parts", F.col("m") + 1))
     rows = rows.withColumn("parameters", F.coalesce(balanced(F.col("inner")), F.lit("")))
     return rows.withColumn("returns", F.regexp_extract(F.substring("inner", F.length("parameters") + 2, F.lit(1 << 20)), r"^\s*:\s*([?\w\\|&\s]+?)\s*[{;]", 1))
@@ -160,14 +173,15 @@ def graph_of(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None)
     )
     static = r"(\\?\b[A-Z][\w\\]*)::(\w+)\s*\("
     inner = F.col("inner")
-    pairs = F.filter(F.array_distinct(F.arrays_zip(all_of(inner, static, 1).alias("c"), all_of(inner, static, 2).alias("f"))), lambda x: x["f"] != "dispatch")
+    statics = held(inner, "::")
+    pairs = F.filter(F.array_distinct(F.arrays_zip(all_of(statics, static, 1).alias("c"), all_of(statics, static, 2).alias("f"))), lambda x: x["f"] != "dispatch")
     called = F.transform(pairs, lambda x: F.concat(full(x["c"]), F.lit("::"), x["f"]))
     by_method = F.concat(
         said(file, "", F.array(of_method), "defines", 1), said(of_class, "", F.array(of_method), "contains", 1),
         said(of_method, "class:", typed(all_of(F.col("parameters"), PARAMETER)), "depends_on", 0.95, "parameter"), said(of_method, "class:", typed(F.array("returns")), "depends_on", 0.95, "return_type"),
-        said(of_method, "class:", F.transform(distinct_captures(inner, r"\bnew\s+(\\?[A-Z][\w\\]*)"), full), "depends_on", 0.9, "new"), said(of_method, "method:", called, "calls", 0.85),
+        said(of_method, "class:", F.transform(distinct_captures(held(inner, "new"), r"\bnew\s+(\\?[A-Z][\w\\]*)"), full), "depends_on", 0.9, "new"), said(of_method, "method:", called, "calls", 0.85),
         said(of_method, "method:", F.transform(distinct_captures(inner, r"\$this->(\w+)\s*\("), lambda m: F.concat("fqcn", F.lit("::"), m)), "calls", 0.75),
-        said(of_method, "view:", distinct_captures(inner, r"\bview\(\s*['\"]([\w.\-/]+)['\"]"), "renders_view", 0.9), said(of_method, "route:", distinct_captures(inner, r"\broute\(\s*['\"]([\w.\-]+)['\"]"), "references_route", 0.8),
+        said(of_method, "view:", distinct_captures(held(inner, "view("), r"\bview\(\s*['\"]([\w.\-/]+)['\"]"), "renders_view", 0.9), said(of_method, "route:", distinct_captures(held(inner, "route("), r"\broute\(\s*['\"]([\w.\-]+)['\"]"), "references_route", 0.8),
     )
     edges = found.select("path", F.explode(by_class).alias("e")).unionByName(spans.select("path", F.explode(by_method).alias("e")))
     edges = edges.select(normalized_key(F.col("e.source_key")).alias("source_key"), normalized_key(F.col("e.target_key")).alias("target_key"), "e.relationship", "e.confidence", F.col("path").alias("file_path"), "e.via")

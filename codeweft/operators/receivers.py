@@ -153,24 +153,34 @@ def events_of(units: DataFrame, models: DataFrame | None = None) -> dict[str, Da
     makers = here((F.lower("text") == "function") & F.col("brace").isNotNull()).select("unit", "g", F.col("first").alias("at"), plain("first").alias("takes"), "brace")
     used = here(F.lower("text") == "use").select("unit", "brace", F.col("next1.first").alias("uses"))
     closures = cut(makers.join(braces, ["unit", "brace"]).join(used, ["unit", "brace"], "left").select("unit", F.col("brace").alias("open"), "close", "takes", "uses"))
-    arrows = here(F.lower("text") == "fn").select("unit", "g", F.col("first").alias("open"), plain("first").alias("takes"), F.col("comma").alias("close"))
+    arrows = cut(here(F.lower("text") == "fn").select("unit", "g", F.col("first").alias("open"), plain("first").alias("takes"), F.col("comma").alias("close")))
     ends = chained.where("pair is not null").select("unit", F.col("first").alias("g"), F.col("pair").alias("_close"))
-    arrows = arrows.join(ends, ["unit", "g"], "left").select("unit", "open", F.coalesce("close", "_close", F.lit(1 << 28)).alias("close"), "takes")
+    # what no method holds needs no joins: those of all that methods do hold would be shuffled for them
+    encloses, points = not closures.isEmpty(), not arrows.isEmpty()
+    if points:
+        arrows = cut(arrows.join(ends, ["unit", "g"], "left").select("unit", "open", F.coalesce("close", "_close", F.lit(1 << 28)).alias("close"), "takes"))
 
     inside = closures.select("unit", F.col("open").alias("_open"), F.col("close").alias("_close"))
 
     def scoped(rows: DataFrame, at: str, within: str = "scope") -> DataFrame:
         """Adds the brace of the innermost closure around ``at``: 0 for the method itself."""
+        if not encloses:
+            return rows.withColumn(within, F.lit(0))
         ids = rows.select("unit", F.col(at).alias("_at")).distinct()
         found = ids.join(inside, "unit").where("_open < _at and _at < _close").groupBy("unit", "_at").agg(F.max("_open").alias(within))
         joined = rows.join(found.withColumnRenamed("_at", at), ["unit", at], "left")
         return joined.withColumn(within, F.coalesce(within, F.lit(0)))
 
-    parameters = closures.select("unit", F.col("takes").alias("g")).union(arrows.select("unit", "takes")).union(units.select("unit", F.lit(0))).distinct().withColumn("_takes", F.lit(True))
-    rows = cut(chained.join(parameters, ["unit", "g"], "left").withColumn("takes", F.coalesce("_takes", F.lit(False))).drop("_takes"))
+    rows, own_takes = chained, F.col("g") == 0  # a method's parameters are its first brackets
+    if encloses or points:
+        parameters = closures.select("unit", F.col("takes").alias("g")).union(arrows.select("unit", "takes")).distinct().withColumn("_takes", F.lit(True))
+        rows = cut(chained.join(parameters, ["unit", "g"], "left").withColumn("takes", F.coalesce("_takes", own_takes)).drop("_takes"))
+    else:
+        rows = chained.withColumn("takes", own_takes)
     body = rows.where("not takes")
     alone = rows.withColumn("alone", F.col("next1").isNull())
-    operands = _heads(body.where(F.col("text").rlike(r"^[$\w\\(]")), units, alone, models)
+    # a single word or number holds nothing and calls nothing
+    operands = _heads(body.where(F.col("text").rlike(r"^[$\w\\(]") & ~(F.col("text").rlike(r"^[\w\\]") & (F.size("parts") == 1))), units, alone, models)
     operands = cut(scoped(operands.select("unit", "first", *HEADS, *(c for c in ("path", "method_key") if c in units.columns)), "first"))
 
     # parameters: a variable with a type before it
@@ -190,18 +200,14 @@ def events_of(units: DataFrame, models: DataFrame | None = None) -> dict[str, Da
     assigned = assigned.join(right, ["unit", "right"], "left")
     simple = F.col("plain") & (F.col("then").isNull() | F.col("then").isin(";", ","))
     assigned = cut(assigned.withColumns({"pos": F.col("end") * 4, "type": F.when(simple & F.col("base").isNotNull(), applied(F.col("mode"), F.col("base"))), "rests": simple & F.col("base").isNull() & F.col("start_var").isNotNull()}))
-    unset = body.where("lower(text) = 'unset'").select("unit", F.col("next1.first").alias("g"))
+    unset = cut(body.where("lower(text) = 'unset'").select("unit", F.col("next1.first").alias("g")))
+    unsets = not unset.isEmpty()
     unset = scoped(rows.join(unset, ["unit", "g"]).where(F.col("text").rlike(r"^\$\w+$")).select("unit", "first", name_of("text").alias("var")), "first")
 
     none = F.lit(None).cast("string")
     zero = F.lit(0).alias("sub")
-    own = cut(
-        of_method.select(*AT, "pos", zero, "type")
-        .unionByName(of_closure.select(*AT, "pos", zero, "type"))
-        .unionByName(of_arrow.select(*AT, "pos", zero, "type"))
-        .unionByName(assigned.where("not rests").select(*AT, "pos", zero, "type"))
-        .unionByName(unset.select(*AT, (F.col("first") * 4).alias("pos"), zero, none.alias("type")))
-    )
+    given = [(True, of_method), (encloses, of_closure), (points, of_arrow), (True, assigned.where("not rests")), (unsets, unset.withColumns({"pos": F.col("first") * 4, "type": none}))]
+    own = cut(reduce(DataFrame.unionByName, (d.select(*AT, "pos", zero, "type") for there, d in given if there)))
     ask = lambda df, pos, sub, at, scope, var="var", mode=F.lit("same"): df.select(*AT, pos.cast("long").alias("pos"), sub.cast("long").alias("sub"), scope.alias("ask_scope"), F.col(var).alias("ask_var"), at.cast("long").alias("at"), mode.alias("mode"))
     copied = ask(assigned.where("rests"), F.col("pos"), F.lit(0), F.col("right") * 4, F.col("scope"), "start_var", F.col("mode"))
     caught = rows.join(closures.where("uses is not null").select("unit", F.col("uses").alias("g"), "open"), ["unit", "g"]).where(F.col("text").rlike(r"^\$\w+$"))
@@ -221,13 +227,16 @@ def events_of(units: DataFrame, models: DataFrame | None = None) -> dict[str, Da
     branches = numbered.select("unit", "g", "statement", "first", F.explode(blocks).alias("b")).select("unit", "g", "statement", "first", "b.open", "b.close").where("close is not null")
     whole = branches.groupBy("unit", "g", "statement").agg(F.min("first").alias("start"), F.max("close").alias("end"), F.min("open").alias("first_open"))
     branches = cut(scoped(branches.drop("first").join(whole, ["unit", "g", "statement"]), "start"))
+    parted = not branches.isEmpty()
     made = assigned.select(*AT, "pos").unionByName(unset.select(*AT, (F.col("first") * 4).alias("pos")))
     within = branches.join(made, ["unit", "scope"]).where("open * 4 < pos and pos <= close * 4")
-    changed = cut(within.select("unit", "g", "statement", "scope", "start", "end", "first_open", "var").distinct())
+    changed = within.select("unit", "g", "statement", "scope", "start", "end", "first_open", "var").distinct()
+    changed = cut(changed) if parted else changed
     arms = changed.join(branches.select("unit", "g", "statement", "open", "close"), ["unit", "g", "statement"])
     merged = ask(changed, F.col("end") * 4 + 2, -F.col("start"), F.col("start") * 4, F.col("scope")).unionByName(ask(arms, F.col("end") * 4 + 2, -F.col("start"), F.col("close") * 4 + 1, F.col("scope")))
     restored = ask(arms.where("open > first_open"), F.col("open") * 4 + 3, F.lit(0), F.col("start") * 4, F.col("scope"))
-    rests = cut(reduce(DataFrame.unionByName, (copied, captured, restored_arrow, merged, restored)))
+    resting = [(True, copied), (encloses, captured), (points, restored_arrow), (parted, merged), (parted, restored)]
+    rests = cut(reduce(DataFrame.unionByName, (d for there, d in resting if there)))
     return {"chains": operands, "definitions": own, "rests": rests, "closures": closures}
 
 
@@ -301,7 +310,8 @@ def _plain_calls(chains: DataFrame) -> DataFrame:
         F.when(function & ~at_root & spaced, edge("function:", first, "calls", 0.5, None, "global_fallback")),
         F.when(function & ((at_root & plain.contains("\\")) | (~at_root & ~spaced)), edge("function:", plain, "calls", 0.95, None, "resolved_name")),
     ))
-    rows = chains.select("path", "method_key", F.explode(said).alias("e"))
+    # all of these end with what is called
+    rows = chains.where(head.endswith(" ( )")).select("path", "method_key", F.explode(said).alias("e"))
     return rows.select(F.col("method_key").alias("source_key"), normalized_key(F.col("e.target")).alias("target_key"), "e.relationship", "e.confidence", F.col("path").alias("file_path"), "e.resolution", "e.via")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import normalized_key
-from codeweft.operators.extract import all_of, balanced, full_name, read_once
+from codeweft.operators.extract import all_of, balanced, full_name, held, read_once
 
 NAME = r"(\\?[A-Za-z_][\w\\]*)"
 CLASS = rf"{NAME}::class"
@@ -25,10 +25,6 @@ def _full(name: Column) -> Column:
     return full_name(name, F.col("namespace"), F.col("imports"))
 
 
-def _class(name: Column) -> Column:
-    return normalized_key(F.concat(F.lit("class:"), name))
-
-
 def _edge(source: Column, target: Column, relationship: str, sure: Column | float) -> Column:
     sure = sure if isinstance(sure, Column) else F.lit(sure)
     return F.struct(source.alias("source_key"), target.alias("target_key"), F.lit(relationship).alias("relationship"), sure.cast("decimal(3,2)").alias("confidence"))
@@ -63,7 +59,8 @@ def _calls(text: Column, head: str) -> Column:
 def bindings(methods: DataFrame) -> DataFrame:
     """Container bindings in methods: (path, source_key, abstract, abstract_kind, concrete, lifetime, via, confidence). A class that is bound
     alone is bound to itself, unless the binding is conditional."""
-    calls = F.arrays_zip(all_of(F.col("inner"), BIND).alias("lifetime"), _calls(F.col("inner"), BIND).alias("arguments"))
+    inner = held(F.col("inner"), "bind", "singleton(", "scoped(")
+    calls = F.arrays_zip(all_of(inner, BIND).alias("lifetime"), _calls(inner, BIND).alias("arguments"))
     rows = methods.select("path", "fqcn", "method", "namespace", "imports", F.explode(calls).alias("c")).select("*", "c.lifetime", "c.arguments").where("arguments is not null")
     head = rf"^\s*(?:{CLASS}|['\"]([^'\"]+)['\"])\s*(?:,|$)"
     text = F.replace(F.regexp_extract("arguments", head, 2), F.lit("\\\\"), F.lit("\\"))
@@ -86,31 +83,34 @@ def semantic_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None =
     found, methods = read or read_once(files)
     body = F.col("body")
     facade = lambda name: rf"(?<![\w\\])\\?(?:[\w\\]*\\)?{name}"
-    turned = lambda pairs, rel: F.transform(pairs, lambda p: _edge(_class(_full(p["b"])), _class(_full(p["a"])), rel, 0.9))
-    policies = F.regexp_extract("body", r"(?s)\$policies\s*=\s*\[(.*?)\]\s*;", 1)
-    listened = _pairs(F.regexp_extract("body", r"(?s)\$listen\s*=\s*\[(.*?)\]\s*;", 1), rf"{CLASS}\s*=>\s*\[([^\]]*)\]")
-    observers = F.flatten(F.transform(all_of(F.col("attributes"), r"(?s)ObservedBy\(([^()]*)\)"), lambda a: all_of(a, CLASS)))
+    named = lambda name: F.concat(F.lit("class:"), name)  # noqa: E731  keys are brought to length at the end
+    turned = lambda pairs, rel: F.transform(pairs, lambda p: _edge(named(_full(p["b"])), named(_full(p["a"])), rel, 0.9))
+    policies = F.regexp_extract(held(body, "$policies"), r"(?s)\$policies\s*=\s*\[(.*?)\]\s*;", 1)
+    listened = _pairs(F.regexp_extract(held(body, "$listen"), r"(?s)\$listen\s*=\s*\[(.*?)\]\s*;", 1), rf"{CLASS}\s*=>\s*\[([^\]]*)\]")
+    observers = F.flatten(F.transform(all_of(held(F.col("attributes"), "ObservedBy"), r"(?s)ObservedBy\(([^()]*)\)"), lambda a: all_of(a, CLASS)))
     of_classes = F.concat(
-        turned(_pairs(body, rf"{NAME}::observe\(\s*{CLASS}"), "observes"),
-        turned(_pairs(body, rf"{facade('Event')}::listen\(\s*{CLASS}\s*,\s*{CLASS}\s*[,)]"), "listens_to_event"),
-        turned(_pairs(body, rf"{facade('Gate')}::policy\(\s*{CLASS}\s*,\s*{CLASS}"), "depends_on"),
+        turned(_pairs(held(body, "::observe("), rf"{NAME}::observe\(\s*{CLASS}"), "observes"),
+        turned(_pairs(held(body, "Event::listen("), rf"{facade('Event')}::listen\(\s*{CLASS}\s*,\s*{CLASS}\s*[,)]"), "listens_to_event"),
+        turned(_pairs(held(body, "Gate::policy("), rf"{facade('Gate')}::policy\(\s*{CLASS}\s*,\s*{CLASS}"), "depends_on"),
         turned(_pairs(policies, rf"{CLASS}\s*=>\s*{CLASS}"), "depends_on"),
-        F.flatten(F.transform(listened, lambda p: F.transform(all_of(p["b"], CLASS), lambda x: _edge(_class(_full(x)), _class(_full(p["a"])), "listens_to_event", 0.9)))),
-        F.transform(observers, lambda o: _edge(_class(_full(o)), F.col("class_key"), "observes", 0.9)),
+        F.flatten(F.transform(listened, lambda p: F.transform(all_of(p["b"], CLASS), lambda x: _edge(named(_full(x)), named(_full(p["a"])), "listens_to_event", 0.9)))),
+        F.transform(observers, lambda o: _edge(named(_full(o)), F.col("class_key"), "observes", 0.9)),
     )
-    key = normalized_key(F.concat(F.lit("method:"), "fqcn", F.lit("::"), "method"))
+    key = F.concat(F.lit("method:"), "fqcn", F.lit("::"), "method")
     inner = F.col("inner")
-    contexts = F.arrays_zip(all_of(inner, CONTEXT, 1).alias("a"), _calls(inner, CONTEXT).alias("b"))
+    given_to = held(inner, "needs(")
+    contexts = F.arrays_zip(all_of(given_to, CONTEXT, 1).alias("a"), _calls(given_to, CONTEXT).alias("b"))
     given = F.filter(F.transform(contexts, lambda c: concrete(c["b"])), lambda g: g.isNotNull())
-    related = F.when(is_model(), F.transform(all_of(inner, rf"{RELATION}\s*{CLASS}", 2), lambda c: _edge(key, _class(_full(c)), "uses_model", 0.85)))
-    pivots = F.when(is_model(), F.transform(all_of(inner, r"\$this->belongsToMany\(\s*[^,()]+,\s*['\"]([A-Za-z_]\w*)['\"]"), lambda t: _edge(key, normalized_key(F.concat(F.lit("table:"), t)), "uses_table", 0.9)))
+    related = F.when(is_model(), F.transform(all_of(inner, rf"{RELATION}\s*{CLASS}", 2), lambda c: _edge(key, named(_full(c)), "uses_model", 0.85)))
+    pivots = F.when(is_model(), F.transform(all_of(inner, r"\$this->belongsToMany\(\s*[^,()]+,\s*['\"]([A-Za-z_]\w*)['\"]"), lambda t: _edge(key, F.concat(F.lit("table:"), t), "uses_table", 0.9)))
     none = F.array().cast("array<struct<source_key:string,target_key:string,relationship:string,confidence:decimal(3,2)>>")
-    of_methods = F.concat(F.transform(given, lambda g: _edge(key, _class(g["name"]), "contextual_binding", F.least(g["sure"], F.lit(0.85).cast("decimal(3,2)")))), F.coalesce(related, none), F.coalesce(pivots, none))
+    of_methods = F.concat(F.transform(given, lambda g: _edge(key, named(g["name"]), "contextual_binding", F.least(g["sure"], F.lit(0.85).cast("decimal(3,2)")))), F.coalesce(related, none), F.coalesce(pivots, none))
     bound = bindings(methods)
-    to_bound = lambda source: _edge(source, _class(F.col("concrete")), "binds", F.col("confidence"))
-    through = F.when((F.col("abstract_kind") == "class") & (F.col("abstract") != F.col("concrete")), to_bound(_class(F.col("abstract"))))
+    to_bound = lambda source: _edge(source, named(F.col("concrete")), "binds", F.col("confidence"))
+    through = F.when((F.col("abstract_kind") == "class") & (F.col("abstract") != F.col("concrete")), to_bound(named(F.col("abstract"))))
     parts = [found.select("path", F.explode(of_classes).alias("e")), methods.select("path", F.explode(of_methods).alias("e")), bound.select("path", F.explode(F.array_compact(F.array(to_bound(F.col("source_key")), through))).alias("e"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("e.*", F.col("path").alias("file_path"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select(normalized_key(F.col("e.source_key")).alias("source_key"), normalized_key(F.col("e.target_key")).alias("target_key"), "e.relationship", "e.confidence", F.col("path").alias("file_path"))
 
 
 def class_facts(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -122,7 +122,7 @@ def class_facts(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = Non
     found, spans = read or read_once(files)
     entry = rf"['\"]([^'\"]+)['\"]\s*=>\s*(?:['\"]([^'\"]+)['\"]|{CLASS})"
     returned = r"(?s)function\s+casts\s*\([^)]*\)[^{]*\{\s*return\s*\[(.*?)\]\s*;"
-    maps = F.concat_ws(",", F.regexp_extract("body", r"(?s)\$casts\s*=\s*\[(.*?)\]\s*;", 1), F.regexp_extract("body", returned, 1))
+    maps = F.concat_ws(",", F.regexp_extract(held(F.col("body"), "$casts"), r"(?s)\$casts\s*=\s*\[(.*?)\]\s*;", 1), F.regexp_extract(held(F.col("body"), "casts"), returned, 1))
     zipped = F.arrays_zip(all_of(maps, entry, 1).alias("k"), all_of(maps, entry, 2).alias("s"), all_of(maps, entry, 3).alias("c"))
     casts = F.transform(zipped, lambda z: F.struct(z["k"].alias("key"), F.when(z["s"] != "", z["s"]).otherwise(_full(z["c"])).alias("value")))
     methods = spans.withColumn("at", F.struct("m", "method"))
@@ -158,7 +158,7 @@ def class_facts(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = Non
         F.coalesce(only("_scopes", is_model()), strings).alias("scopes"),
         last(F.coalesce(only("_relations", is_model()), pairs)).alias("relations"),
         named.alias("facade_accessor"), kind.alias("accessor_kind"),
-        F.array_distinct(all_of(F.col("body"), r"\$this->middleware\(\s*['\"]([^'\"]+)['\"]")).alias("middleware_aliases"),
+        F.array_distinct(all_of(held(F.col("body"), "$this->middleware("), r"\$this->middleware\(\s*['\"]([^'\"]+)['\"]")).alias("middleware_aliases"),
     )
 
 

@@ -34,6 +34,11 @@ def tokens(units: DataFrame, text: str = "text") -> DataFrame:
     return rows.where(~F.col("t").rlike(r"^(?:/[*/]|#(?!\[).)"))
 
 
+def next_of(column: str, within: str, order: str) -> Column:
+    """The next value after a row's own, nulls left out, within a unit's rows of one ``within``: in the order that other windows sort by, too."""
+    return F.expr(f"lead({column}) ignore nulls over (partition by unit, {within} order by {order})")
+
+
 def nested(rows: DataFrame) -> DataFrame:
     """tokens() with g, the place of the innermost bracket around each (-1: none), and pair, where the bracket that belongs to it stands.
     A bracket itself counts as being outside."""
@@ -45,11 +50,10 @@ def nested(rows: DataFrame) -> DataFrame:
     # a bracket stands in two levels: the one that it is in, and the one that it delimits
     rows = rows.withColumn("depth", depth).withColumn("x", F.explode(F.when(opens | closes, F.array(outer, inner)).otherwise(F.array(outer)))).select("unit", "i", "t", "x.level", "x.inner")
     before = Window.partitionBy("unit", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("unit", "level").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda which, w: F.last(F.when(which, F.col("i")), ignorenulls=True).over(w)
-    rows = rows.withColumns({
-        "g": F.coalesce(last(opens & F.col("inner"), before), F.lit(-1)),
-        "pair": F.when(opens, last(closes & ~F.col("inner"), after)).when(closes, last(opens & ~F.col("inner"), before)),
+    last = lambda which: F.last(F.when(which, F.col("i")), ignorenulls=True).over(before)
+    rows = rows.withColumn("_closes", F.when(closes & ~F.col("inner"), F.col("i"))).withColumns({
+        "g": F.coalesce(last(opens & F.col("inner")), F.lit(-1)),
+        "pair": F.when(opens, next_of("_closes", "level", "i")).when(closes, last(opens & ~F.col("inner"))),
     })
     return rows.where("not inner").select("unit", "i", "t", "g", "pair")
 
@@ -73,13 +77,12 @@ def around(rows: DataFrame) -> DataFrame:
     """chains() with their neighbours in the same brackets: before and its text, next1 to next3 (first, last, text, pair), and the places of the next
     semicolon, of the next semicolon or comma, and of the next brace, null where the brackets close before."""
     by = Window.partitionBy("unit", "g").orderBy("n")
-    after = Window.partitionBy("unit", "g").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     one = F.struct("first", "last", "text", "pair")
-    following = lambda *t: F.last(F.when(F.col("text").isin(*t), F.col("first")), ignorenulls=True).over(after)
-    return rows.withColumns({
-        "before": F.lag("text").over(by), **{f"next{k}": F.lead(one, k).over(by) for k in (1, 2, 3)},
-        "stop": following(";"), "comma": following(";", ","), "brace": following("{"),
-    })
+    marks = {"stop": (";",), "comma": (";", ","), "brace": ("{",)}
+    marked = rows.withColumns({f"_{k}": F.when(F.col("text").isin(*t), F.col("first")) for k, t in marks.items()})
+    return marked.withColumns({
+        "before": F.lag("text").over(by), **{f"next{k}": F.lead(one, k).over(by) for k in (1, 2, 3)}, **{k: next_of(f"_{k}", "g", "n") for k in marks},
+    }).drop(*(f"_{k}" for k in marks))
 
 
 def same_or(column: Column, *texts: str) -> Column:

@@ -8,6 +8,7 @@ from codeweft.operators import tokens
 from codeweft.operators.extract import declared, methods_of
 from codeweft.operators.lineage import cut, spread
 from codeweft.operators.receivers import receiver_edges, receivers, units_of, unresolved_calls
+from codeweft.operators.semantics import semantic_edges
 
 FLOW = r"""<?php
 namespace App;
@@ -187,3 +188,16 @@ def test_units_are_numbered(spark):
     twice = "<?php\nif (1) {\nclass A {\n function f(B $b) { $b->one(); }\n}\n} else {\nclass A {\n function f(C $c) { $c->two(); }\n}\n}\n"
     files = spark.createDataFrame([("a.php", twice)], "path string, text string")  # two methods of one name, path and place
     assert sorted((r.source_key, r.target_key) for r in receiver_edges(files).collect()) == [("method:A::f", "method:B::one"), ("method:A::f", "method:C::two")]
+
+
+def test_what_is_absent_costs_no_sorts_and_no_patterns(spark):
+    units = cut(spark.range(30).select(F.col("id").alias("unit"), F.lit("($a) { $b->c($a, [1]); }").alias("text")))
+    plan = tokens.around(tokens.chains(tokens.nested(tokens.tokens(tokens.dealt(units)))))._jdf.queryExecution().executedPlan().toString()
+    assert "DESC" not in plan  # what comes next is found in the order of what came before
+    code = "<?php\nclass A {\n function f() { User::observe(B::class); Event::listen(C::class, D::class); $this->app->bind(E::class, F::class); }\n}\nclass G { }\n"
+    files = spark.createDataFrame([("a.php", code)], "path string, text string")
+    edges = semantic_edges(files)
+    assert sorted((r.source_key, r.target_key, r.relationship) for r in edges.collect()) == [("class:B", "class:User", "observes"), ("class:D", "class:C", "listens_to_event"), ("class:E", "class:F", "binds"), ("method:A::f", "class:F", "binds")]
+    # keys are brought to length once, after rows are made, not within what makes them
+    made = [x for x in edges._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
+    assert made and not any("octet_length" in x for x in made)
