@@ -786,11 +786,7 @@ def symbols_containing(spark, sf_dir):
     """Words of all lengths out of the tables, each in all symbols and paths that contain it."""
     names = table(spark, sf_dir, "nation").select(F.explode(F.array("n_name", F.substring("n_name", 2, 4), F.substring("n_name", 1, 2), F.substring("n_name", 3, 1))).alias("w"))
     words = names.union(table(spark, sf_dir, "part").select("p_name")).select(F.lower("w").alias("word"))
-    # numbers in the order of the keys stand for these: the least of numbers is found without a sort of all that is found
-    n = cut(nodes(spark, sf_dir).select("node_key", "symbol_name", "file_path").orderBy("node_key").withColumn("number", F.monotonically_increasing_id()))
-    found = postings.containing(postings.postings(n.withColumn("node_key", F.col("number"))), words)
-    least = cut(found.groupBy("word", "field").agg(F.count(F.lit(1)).alias("n"), F.min("node_key").alias("number")))
-    return least.join(n.select("number", F.col("node_key").alias("first")), "number").select("word", "field", "n", "first")
+    return postings.counted(nodes(spark, sf_dir), words)
 
 
 @query(f"""with {NODES_SQL}, s as (select node_key, list_sum([3 * contains(lower(symbol_name), w)::int + coalesce(contains(lower(file_path), w)::int, 0) for w in ['ring', 'red', 'customer', '7']]) as score from nodes)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,29 @@ def test_postings_tell_what_is_new_in_a_field(spark):
     words = spark.createDataFrame([(w,) for w in ("a", "ab", "aa", "aaa", "aaaa", "abca", "cab", "b")], "word string")
     rows = sorted(tuple(r) for r in postings.containing(index, words).collect())
     assert rows == sorted([(w, "symbol_name", "k") for w in ("a", "ab", "abca", "cab", "b")] + [(w, "symbol_name", "l") for w in ("a", "aa", "aaa", "aaaa")] + [("a", "file_path", "l")])
+
+
+def test_words_are_looked_up_in_different_texts_once(spark, monkeypatch):
+    dice = random.Random(5)
+    wild = lambda n, of="ab]^-\\&[x0 12\n\U0001f600.": "".join(dice.choice(of) for _ in range(n))
+    rows = [(f"k{i}", None if i % 7 == 0 else wild(i % 23), None if i % 5 == 0 else f"region-{i}/nation-{i % 3}/" + wild(i % 9)) for i in range(300)]
+    words = [*{wild(n) for n in range(1, 9) for _ in range(6)}, "nation-1", "on-", "7", "no such word", "n" * 9, ""]
+    nodes = spark.createDataFrame(rows, "node_key string, symbol_name string, file_path string")
+    asked = spark.createDataFrame([(w,) for w in [*words, "7"]], "word string")
+    want = set()
+    for at, field in ((1, "symbol_name"), (2, "file_path")):
+        for w in words:
+            held = [r[0] for r in rows if w and r[at] is not None and w in r[at]]
+            want |= {(w, field, len(held), min(held))} if held else set()
+    shown = lambda: {(r.word, r.field, r.n, r.first) for r in postings.counted(nodes, asked).collect()}
+    assert shown() == want
+    monkeypatch.setattr(postings, "MOST_GRAMS", 3)
+    assert shown() == want
+    monkeypatch.undo()
+    assert postings.counted(nodes, asked.limit(0)).count() == 0
+    # what no word can stand in tells no nodes apart: two texts, not 3,000
+    seen = []
+    monkeypatch.setattr(postings, "postings", lambda n, whole=postings.postings: seen.append(n.count()) or whole(n))
+    many = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("node_key"), F.concat(F.lit("Order-"), "id").alias("symbol_name"), F.concat(F.lit("nation-"), F.col("id") % 2, F.lit("/order-"), "id").alias("file_path"))
+    got = sorted(tuple(r) for r in postings.counted(many, spark.createDataFrame([("nation-1",), ("order",)], "word string")).collect())
+    assert got == [("nation-1", "file_path", 1500, "k1"), ("order", "file_path", 3000, "k0"), ("order", "symbol_name", 3000, "k0")] and seen == [2]
