@@ -29,13 +29,13 @@ def spread(rows: DataFrame) -> DataFrame:
 FEW_ROWS = 2000
 
 
-def cut(df: DataFrame, compact: bool = False) -> DataFrame:
+def cut(df: DataFrame, compact: bool = False, few: int = FEW_ROWS) -> DataFrame:
     """Computes a table once and keeps it in the shared folder, as Parquet: what reads it knows its size, and a lost executor costs no more
     than its own tasks. The folder's owner clears it.
 
     ``compact`` says that its files are many times smaller than its rows, as those of tokens and of what is made out of them are. By the
-    size of its files Spark would broadcast such a table, through the driver's memory; it is joined by a shuffle unless it has few rows."""
+    size of its files Spark would broadcast such a table, through the driver's memory; it is joined by a shuffle unless it has few rows, no more than ``few``."""
     path = f"{checkpoint_dir(df.sparkSession)}/codeweft-{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
-    return written.hint("merge") if compact and written.count() > FEW_ROWS else written
+    return written.hint("merge") if compact and written.count() > few else written

@@ -5,6 +5,8 @@ doesn't last beyond it unless all branches agree, and closures see what they cap
 others. Types then spread from those that are known (``new``, parameters, properties, the container) to what is copied from them, round by
 round, each definition once. Chains of query calls are a finite table of (kind of receiver, kind of method), so a whole chain
 is one step.
+
+Methods that are alike in all that this rests on, text, names and properties, are looked at once, however many classes hold them: see shared().
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from codeweft.functions.text import normalized_key
 from codeweft.operators import tokens as tk
 from codeweft.operators.extract import all_of, full_name, read_once
+from codeweft.operators.lineage import FEW_ROWS
 from codeweft.operators.lineage import cut as cut_plain
 from codeweft.operators.semantics import RELATION, is_model
 
@@ -45,9 +48,9 @@ PROMOTED = r"(?:^|[(,])\s*(?:(?:public|protected|private|readonly)\s+)+\??(\\?[A
 CLASS_NAME = rf"^({tk.NAME})$"
 
 
-def cut(rows: DataFrame) -> DataFrame:
+def cut(rows: DataFrame, few: int = FEW_ROWS) -> DataFrame:
     """All that is kept here is made of tokens: alike from method to method, so that files say little of its size."""
-    return cut_plain(rows, compact=True)
+    return cut_plain(rows, compact=True, few=few)
 
 
 def units_of(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -72,6 +75,34 @@ def numbered(files: DataFrame, read: tuple[DataFrame, DataFrame]) -> DataFrame:
     return cut(units_of(files, read).withColumn("unit", F.monotonically_increasing_id()))
 
 
+#: Stands for the class that a method belongs to; no name holds it.
+OWN = "\x01"
+#: What calls lead to is of few short columns, so that more rows of it may be sent to all executors.
+FEW_CALLS = 50000
+
+
+def shared(units: DataFrame, models: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """units_of() -> (the units with their shape and ``own``, one unit for each shape): methods of equal text, namespace, imports, parent, properties and
+    relations have one shape, a SHA-256. Their class is OWN in it, and in all that follows from it; it stays itself, and so part of the shape, where the
+    method might name it in full, or where more than its name matters."""
+    name, low = F.element_at(F.split("fqcn", r"\\"), -1), F.lower
+    texts = F.concat_ws(" ", "text", F.transform("imports", lambda i: F.concat_ws(" ", i["alias"], i["name"])), "parent", F.map_values("properties"))
+    plain = F.contains(low(texts), low(name)) | F.col("fqcn").endswith("\\Relation") | F.col("fqcn").endswith("\\Builder") | (F.col("fqcn") == MODEL)
+    if models is not None:
+        units = units.join(models.select("fqcn", F.lit(True).alias("_model")), "fqcn", "left")
+        plain = plain | F.col("_model").isNotNull()
+    units = units.withColumn("own", F.when(plain, F.col("fqcn")).otherwise(OWN))
+    alike = [F.col("own").alias("fqcn"), "text", "namespace", "imports", "parent", F.map_entries("properties").alias("properties"), F.array_sort("relations").alias("relations")]
+    units = units.withColumn("shape", F.sha2(F.to_json(F.struct(*alike), {"ignoreNullFields": "false"}), 256)).drop("_model")
+    one = units.select("shape", *alike).distinct().withColumns({"properties": F.map_from_entries("properties"), "unit": F.monotonically_increasing_id()})
+    return units, cut(one)
+
+
+def of_each(units: DataFrame, shapes: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """rows(unit, ...) of the shapes, for each unit that has the shape; units have no other columns of these names."""
+    return units.join(cut(rows.join(shapes.select("unit", "shape"), "unit").drop("unit"), FEW_CALLS), "shape", how)
+
+
 def class_name(name: Column) -> Column:
     """A class as a row of units_of() means it; null for names of no class."""
     low = F.lower(name)
@@ -181,7 +212,7 @@ def events_of(units: DataFrame, models: DataFrame | None = None) -> dict[str, Da
     alone = rows.withColumn("alone", F.col("next1").isNull())
     # a single word or number holds nothing and calls nothing
     operands = _heads(body.where(F.col("text").rlike(r"^[$\w\\(]") & ~(F.col("text").rlike(r"^[\w\\]") & (F.size("parts") == 1))), units, alone, models)
-    operands = cut(scoped(operands.select("unit", "first", *HEADS, *(c for c in ("path", "method_key") if c in units.columns)), "first"))
+    operands = cut(scoped(operands.select("unit", "first", *HEADS), "first"))
 
     # parameters: a variable with a type before it
     taken = rows.where("takes").select("unit", "g", F.col("first").alias("i"), name_of("text").alias("var"), "before", "text").where("var != ''")
@@ -273,7 +304,9 @@ def types_of(own: DataFrame, rests: DataFrame) -> DataFrame:
 
 def receivers(units: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """units_of() -> (unit, place, name, type) of each call on something: the class of what it is called on, null where that isn't known."""
-    return _typed_calls(events_of(units, models))
+    units, shapes = shared(units, models)
+    rows = of_each(units.select("unit", "shape", "fqcn"), shapes, _typed_calls(events_of(shapes, models)))
+    return rows.select("unit", "place", "name", F.when(F.col("type") == OWN, F.col("fqcn")).otherwise(F.col("type")).alias("type"))
 
 
 def _typed_calls(found: dict[str, DataFrame]) -> DataFrame:
@@ -287,7 +320,7 @@ def _typed_calls(found: dict[str, DataFrame]) -> DataFrame:
     return known.select(*out).unionByName(by_var.select(*out))
 
 
-def _plain_calls(chains: DataFrame) -> DataFrame:
+def _plain_calls(units: DataFrame, shapes: DataFrame, chains: DataFrame) -> DataFrame:
     """What chains call without a receiver: own and inherited static calls, dispatches, events, what the container gives, and functions. A function
     of a namespace may be its own or the global one, so both are named, neither for sure; those at the root by a leading backslash are left out,
     as most are the language's own."""
@@ -311,34 +344,43 @@ def _plain_calls(chains: DataFrame) -> DataFrame:
         F.when(function & ((at_root & plain.contains("\\")) | (~at_root & ~spaced)), edge("function:", plain, "calls", 0.95, None, "resolved_name")),
     ))
     # all of these end with what is called
-    rows = chains.where(head.endswith(" ( )")).select("path", "method_key", F.explode(said).alias("e"))
-    return rows.select(F.col("method_key").alias("source_key"), normalized_key(F.col("e.target")).alias("target_key"), "e.relationship", "e.confidence", F.col("path").alias("file_path"), "e.resolution", "e.via")
+    rows = of_each(units.select("shape", "fqcn", "path", "method_key"), shapes, chains.where(head.endswith(" ( )")).select("unit", F.explode(said).alias("e")))
+    return rows.select(F.col("method_key").alias("source_key"), normalized_key(F.replace("e.target", F.lit(OWN), F.col("fqcn"))).alias("target_key"), "e.relationship", "e.confidence", F.col("path").alias("file_path"), "e.resolution", "e.via")
 
 
 def models_of(read: tuple[DataFrame, DataFrame]) -> DataFrame:
     return read[0].where(is_model()).select("fqcn").distinct()
 
 
+def _read(files: DataFrame, read: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """The units of files, their shapes, and the events of these."""
+    read = read or read_once(files)
+    models = models_of(read)
+    units, shapes = shared(numbered(files, read), models)
+    return units, shapes, events_of(shapes, models)
+
+
+def _edges_on_types(units: DataFrame, shapes: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    target = lambda of: normalized_key(F.concat(F.lit("method:"), of, F.lit("::"), F.col("name")))
+    typed = _typed_calls(found).where("type is not null").select("unit", "name", "type", F.when(F.col("type") != OWN, target(F.col("type"))).alias("target"))
+    rows = of_each(units.select("shape", "fqcn", "path", "method_key"), shapes, typed).withColumn("type", F.when(F.col("type") == OWN, F.col("fqcn")).otherwise(F.col("type")))
+    return rows.select(F.col("method_key").alias("source_key"), F.coalesce("target", target(F.col("type"))).alias("target_key"), F.lit("calls").alias("relationship"), F.lit(0.75).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"), F.when(F.col("type").startswith("Illuminate\\"), "framework_type").alias("resolution"))
+
+
 def body_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """files(path, text) -> (calls on what receivers hold, other calls of bodies), in the columns of ``extract.graph_of`` with ``resolution``: framework_type for
     receivers of the framework, how a function's name was understood, else null."""
-    read = read or read_once(files)
-    units = numbered(files, read)
-    found = events_of(units, models_of(read))
-    rows = _typed_calls(found).where("type is not null").join(units.select("unit", "path", "method_key"), "unit")
-    target = normalized_key(F.concat(F.lit("method:"), "type", F.lit("::"), "name"))
-    on_types = rows.select(F.col("method_key").alias("source_key"), target.alias("target_key"), F.lit("calls").alias("relationship"), F.lit(0.75).cast("decimal(3,2)").alias("confidence"), F.col("path").alias("file_path"), F.when(F.col("type").startswith("Illuminate\\"), "framework_type").alias("resolution"))
-    return on_types, _plain_calls(found["chains"])
+    units, shapes, found = _read(files, read)
+    return _edges_on_types(units, shapes, found), _plain_calls(units, shapes, found["chains"])
 
 
 def receiver_edges(files: DataFrame, read: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The first of body_edges()."""
-    return body_edges(files, read)[0]
+    return _edges_on_types(*_read(files, read))
 
 
 def unresolved_calls(files: DataFrame) -> DataFrame:
     """(method_key, unresolved) of each method: its calls on what isn't known, and those whose name is computed."""
-    read = read_once(files)
-    units = numbered(files, read)
-    open_ = receivers(units, models_of(read)).groupBy("unit").agg(F.count_if(F.col("type").isNull()).alias("n"))
-    return units.join(open_, "unit", "left").groupBy("method_key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unresolved"))
+    units, shapes, found = _read(files, None)
+    open_ = _typed_calls(found).groupBy("unit").agg(F.count_if(F.col("type").isNull()).alias("n"))
+    return of_each(units.select("shape", "method_key"), shapes, open_, "left").groupBy("method_key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unresolved"))

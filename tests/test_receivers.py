@@ -201,3 +201,31 @@ def test_what_is_absent_costs_no_sorts_and_no_patterns(spark):
     # keys are brought to length once, after rows are made, not within what makes them
     made = [x for x in edges._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
     assert made and not any("octet_length" in x for x in made)
+
+
+def test_methods_that_are_alike_are_looked_at_once(spark, monkeypatch):
+    body = "private self $me;\n private {T} $kept;\n public function go({T} $b, $free) { $this->mine(); $x = new self; $x->made(); self::own(); static::late(); event(new self); app(self::class)->got(); help($x); $b->given(); $this->kept->held(); $this->me->again(); $y = $free ? 1 : 2; $z = new {T}; if ($y) { $z = new {T}; } else { $z = new self; } $z->both(); $free->lost(); }\n public function back() { return $this->hasMany(Note::class); }\n public function all() { $this->back()->where(1)->get()->map(2); self::where(3)->limit(4); }\n"
+    made = [
+        *((f"s/P{i}.php", f"<?php\nnamespace App;\nclass P{i} extends Base {{\n {body.replace('{T}', 'Thing')}}}\n") for i in range(6)),
+        ("named.php", f"<?php\nnamespace App;\nclass Thing extends Base {{\n {body.replace('{T}', 'Thing')}}}\n"),  # the text names the class
+        ("aliased.php", f"<?php\nnamespace App;\nuse App\\Q as Thing;\nclass Q extends Base {{\n {body.replace('{T}', 'Thing')}}}\n"),
+        ("relation.php", f"<?php\nnamespace App;\nclass Relation extends Base {{\n {body.replace('{T}', 'Thing')}}}\n"),
+        ("model.php", f"<?php\nnamespace App;\nuse Illuminate\\Database\\Eloquent\\Model;\nclass M1 extends Model {{\n {body.replace('{T}', 'Thing')}}}\n"),
+        ("other.php", f"<?php\nnamespace Elsewhere;\nclass P1 extends Base {{\n {body.replace('{T}', 'Thing')}}}\n"),
+    ]
+    files = spark.createDataFrame(made, "path string, text string")
+    seen, events = [], module.events_of
+    monkeypatch.setattr(module, "events_of", lambda units, models=None: seen.append(units.count()) or events(units, models))
+    rows = lambda: [sorted(tuple(r) for r in e.collect()) for e in module.body_edges(files)] + [sorted(tuple(r) for r in unresolved_calls(files).collect())]
+    got = rows()
+    assert seen == [18, 18]  # three methods of each of six kinds of classes, not of eleven classes
+
+    def apart(units, models):
+        units = units.withColumn("shape", F.col("unit").cast("string"))
+        return units, units
+
+    monkeypatch.setattr(module, "shared", apart)
+    assert got == rows() and seen[2:] == [33, 33]
+    targets = {(r[0], r[1]) for r in got[0]}
+    assert {("method:App\\P3::go", f"method:App\\P3::{m}") for m in ("mine", "made", "again")} <= targets and ("method:App\\P3::go", "method:App\\P3::both") not in targets and ("method:App\\Thing::go", "method:App\\Thing::both") in targets
+    assert ("method:App\\P3::go", "method:App\\P3::own") in {(r[0], r[1]) for r in got[1]}
