@@ -78,8 +78,12 @@ def relevance(query: Column, fields: list[Column]) -> Column:
     return F.when(F.size(asked) == 0, 0).otherwise(share + F.when(same, 80).otherwise(0))
 
 
+def single_blanks(text: Column) -> Column:
+    return F.regexp_replace(trimmed(text), r"(?U)\s+", " ")
+
+
 def text_fingerprint(text: Column) -> Column:
-    return F.sha2(F.regexp_replace(trimmed(text), r"(?U)\s+", " "), 256)
+    return F.sha2(single_blanks(text), 256)
 
 
 def class_key(key: Column) -> Column:

@@ -28,6 +28,20 @@ def endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 KEY_BITS = 1 << 26
 
 
+#: Kinds of keys that a filter names; of more, it names none.
+MOST_KINDS = 64
+
+
+def of_kinds(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``column`` is of a kind that some key is of: a kind is what stands before the first colon. A filter on fixed values goes below
+    the aggregations and unions that rows are made of, so that those of other kinds are read, but not made."""
+    kind = lambda c: F.substring_index(F.col(c), ":", 1)
+    found = [r.kind for r in keys.select(kind(key).alias("kind")).where("kind is not null").distinct().limit(MOST_KINDS + 1).collect()]
+    if not found:
+        return rows.limit(0)
+    return rows if len(found) > MOST_KINDS else rows.where(kind(column).isin(found))
+
+
 def touching(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose ``column`` is among the keys, and few others: keys are bits at the places of their hashes, in words of 64 that every task gets.
     They take no more than KEY_BITS however many keys there are, so that of a large table only what a join needs goes through its shuffle."""
@@ -49,7 +63,8 @@ def first_visits(edges: DataFrame, frontier: DataFrame, visited: DataFrame, per:
     down = edges.where(F.col("relationship").isin(*STRUCTURAL)).select(F.col("source_key").alias("node_key"), F.col("target_key").alias("far"), "relationship", F.col("confidence").cast("double").alias("edge"), F.lit("outgoing").alias("direction"))
     inner = frontier.where(F.col("node_type").isin("file", *CLASS_LIKE))
     if per:  # the frontiers of many traversals may be large
-        back, down = touching(back, "node_key", frontier, "node_key"), touching(down, "node_key", inner, "node_key")
+        near = lambda rows, keys: touching(of_kinds(rows, "node_key", keys, "node_key"), "node_key", keys, "node_key")
+        back, down = near(back, frontier), near(down, inner)
     reached = back.join(frontier, "node_key").unionByName(down.join(inner, "node_key"))
     reached = reached.join(visited.select(*per, F.col("node_key").alias("far")), [*per, "far"], "left_anti")
     # combined before the shuffle, so that no task meets all edges of a hub
@@ -100,10 +115,10 @@ def impact(edges: DataFrame, nodes: DataFrame, origin: str, depth: int | None =
 
 
 def impact_of_each(edges: DataFrame, nodes: DataFrame, origins: DataFrame, depth: int | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """impact(), with ``most``, of many origins at once: origins(question, node_key), one node a question -> (findings with their question,
+    """impact(), with ``most``, of many origins at once: origins(question, node_key), one node a question -> (findings with their question and file_path,
     (question, truncated)). The frontier carries the question, so that a level is the same few jobs for any number of them."""
     depth, cap = clamp(depth, 2, 0, HARD_DEPTH), clamp(most, 30, 0, HARD_NODES)
-    named, per = nodes.select("node_key", "node_type", "symbol_name"), ("question",)
+    named, per = nodes.select("node_key", "node_type", "symbol_name", "file_path"), ("question",)
     frontier = cut(origins.join(named.select("node_key", "node_type"), "node_key").select("question", "node_key", "node_type", F.lit(1.0).alias("confidence"), F.array("node_key").alias("path")))
     visited, found = frontier.select("question", "node_key"), None
     state = frontier.select("question", F.lit(0).cast("long").alias("total"), F.lit(False).alias("truncated"))
@@ -124,7 +139,7 @@ def impact_of_each(edges: DataFrame, nodes: DataFrame, origins: DataFrame, depth
     if found is None:
         found = first_visits(edges, frontier, visited, per).join(named, "node_key", "left").withColumn("distance", F.lit(0)).limit(0)
     sure = finding_confidence(F.col("confidence"), F.col("edge"), F.col("node_type").isNull())
-    shown = found.select("question", "node_key", "node_type", "symbol_name", "relationship", "direction", "distance", sure.alias("confidence"), "path")
+    shown = found.select("question", "node_key", "node_type", "symbol_name", "relationship", "direction", "distance", sure.alias("confidence"), "path", "file_path")
     return shown.withColumns({"risk": risk(F.coalesce("node_type", F.lit("")), F.col("relationship")), "score": impact_score(F.col("distance"), F.col("relationship"))}), state.select("question", "truncated")
 
 
@@ -153,8 +168,9 @@ def neighborhood_of_each(edges: DataFrame, seeds: DataFrame, most: int = 80) ->
     keys = seeds.select("question", F.col("node_key").alias("_seed")).distinct()
     plain = edges.where(~F.col("relationship").isin(*STRUCTURAL))
     at = lambda column: keys.withColumnRenamed("_seed", column)
-    into = touching(plain, "target_key", keys, "_seed").join(at("target_key"), "target_key").withColumn("incoming", F.lit(True))
-    out = touching(plain, "source_key", keys, "_seed").join(at("source_key"), "source_key").join(at("target_key"), ["question", "target_key"], "left_anti").withColumn("incoming", F.lit(False))
+    near = lambda column: touching(of_kinds(plain, column, keys, "_seed"), column, keys, "_seed")
+    into = near("target_key").join(at("target_key"), "target_key").withColumn("incoming", F.lit(True))
+    out = near("source_key").join(at("source_key"), "source_key").join(at("target_key"), ["question", "target_key"], "left_anti").withColumn("incoming", F.lit(False))
     return leading(into.unionByName(out), "question", [F.desc("confidence"), "source_key", "target_key", "relationship"], most)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.scoring import evidence_matches
+from codeweft.functions.scoring import evidence_matches, same_evidence
 
 
 def histogram(rows: DataFrame, by: str, example: str, most: int = 3) -> DataFrame:
@@ -45,6 +45,25 @@ def evaluated(retrieved: DataFrame, expected: DataFrame, k: int = 8) -> DataFram
     return out.select("scenario", "recall_at_k", "recall_in_packet", F.coalesce("precision_at_k", F.lit(0.0)).alias("precision_at_k"), F.coalesce("rr", F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def evaluated_packets(packets: DataFrame, expected: DataFrame, k: int = 8) -> DataFrame:
+    """evaluated() of packets(scenario, identities), whose identities are an array for each position: each expected item meets its packet once, and no row
+    is made of a pair."""
+    one_form = lambda c: F.lower(F.translate(c, "\\", "/"))
+    items = expected.select("scenario", one_form(F.col("item")).alias("item")).distinct()
+    told = packets.select("scenario", F.transform("identities", lambda at: F.transform(at, one_form)).alias("told"))
+    shown = F.size(F.filter(F.slice("told", 1, k), lambda at: F.size(at) > 0))  # a position without identities is none
+    pairs = items.join(told, "scenario", "left").withColumn("told", F.coalesce("told", F.array().cast("array<array<string>>"))).withColumns({
+        "at": F.filter(F.transform("told", lambda at, i: F.when(F.exists(at, lambda x: F.coalesce(x.contains(F.col("item")) & same_evidence(F.col("item"), x), F.lit(False))), i + 1)), lambda x: x.isNotNull()), "shown": shown,
+    })
+    top = F.filter("at", lambda x: x <= k)
+    rows = pairs.select("scenario", "shown", top.alias("top"), (F.size("at") > 0).alias("any"))
+    # of the places among the first k there are few different sets
+    judged = rows.groupBy("scenario").agg(F.avg((F.size("top") > 0).cast("int")).alias("recall_at_k"), F.avg(F.col("any").cast("int")).alias("recall_in_packet"), F.max("shown").alias("shown"), F.array_distinct(F.flatten(F.collect_set("top"))).alias("hits"))
+    share = F.coalesce(F.when(F.col("shown") > 0, F.round(F.size("hits") / F.col("shown"), 4)), F.lit(0.0))
+    first = F.coalesce(F.round(1 / F.array_min("hits"), 4), F.lit(0.0))
+    return judged.select("scenario", *(F.round(c, 4).alias(c) for c in ("recall_at_k", "recall_in_packet")), share.alias("precision_at_k"), first.alias("reciprocal_rank"))
+
+
 def means(results: DataFrame) -> DataFrame:
     names = ("recall_at_k", "recall_in_packet", "precision_at_k", "reciprocal_rank")
     return results.agg(F.count(F.lit(1)).alias("scenarios"), *(F.round(F.coalesce(F.avg(n), F.lit(0.0)), 4).alias(f"mean_{n}") for n in names))

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.functions.text import text_fingerprint
+from codeweft.functions.text import single_blanks, text_fingerprint
 from codeweft.operators.lineage import cut
 
+#: Texts without any of this are what text_fingerprint() would make of their blanks.
+ODD_BLANKS = r"(?U)[\s\x00&&[^ ]]|  |^ | $"
 #: Candidates that one question to the graph gathers; what has been gathered is ranked whole.
 CANDIDATES = 160
 WEIGHTS = {"symbol_name": 3, "summary": 2, "file_path": 1}
@@ -51,7 +53,8 @@ def deduplicated(items: DataFrame, packet: str) -> DataFrame:
     of these go. All are aggregations, so that no packet is held in one place, and few rounds are needed, as ids seldom recur.
     """
     text_key = text_fingerprint(F.coalesce("text", F.lit("")))
-    own = F.array(F.xxhash64(packet, F.lit("id"), "id"), F.xxhash64(packet, F.lit("text"), text_key))
+    said = F.coalesce("text", F.lit(""))
+    own = F.array(F.xxhash64(packet, F.lit("id"), "id"), F.xxhash64(packet, F.lit("text"), F.when(said.rlike(ODD_BLANKS), single_blanks(said)).otherwise(said)))
     again = cut(items.select(F.explode(own).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
     if again.isEmpty():
         return items
@@ -83,7 +86,7 @@ def folded(items: DataFrame, packet: str, header: str | Column, budget: int, byt
     # sizes instead of texts go through the shuffle
     narrow = items.select(packet, "id", "score", *carried, F.least(F.octet_length(text), F.lit(room)).alias("start"), F.octet_length("text").alias("full"), F.octet_length("compact").alias("small"))
     sized = ranked(narrow, packet).select(packet, "start", F.struct("rn", "id", "full", "small", *carried).alias("x"))
-    held = sized.groupBy(packet).agg(F.max("start").alias("start"), F.array_sort(F.collect_list("x")).alias("items"))
+    held = sized.groupBy(packet).agg(F.max("start").alias("start"), F.array_sort(F.collect_list("x")).alias("items"), F.sum(F.col("x.full").cast("long") + 1).alias("whole"), F.min(F.coalesce("x.full", F.lit(0))).alias("least"))
     kind = f"array<struct<id:string,compact:boolean{''.join(f',{c}:{items.schema[c].dataType.simpleString()}' for c in carried)}>>"
     zero = F.struct(F.col("start").alias("used"), F.array().cast(kind).alias("taken"), F.lit(0).alias("omitted"))
 
@@ -99,7 +102,11 @@ def folded(items: DataFrame, packet: str, header: str | Column, budget: int, byt
             (s["omitted"] + F.when(takes, 0).otherwise(1)).alias("omitted"),
         )
 
-    return held.select(packet, F.aggregate("items", zero, step).alias("p")).select(packet, "p.*")
+    # where all items fit one after the other, all are taken whole, and there is nothing to fold
+    every = F.transform("items", lambda x: F.struct(x["id"].cast("string").alias("id"), F.lit(False).alias("compact"), *(x[c].alias(c) for c in carried))).cast(kind)
+    whole = F.struct((F.col("start") + F.col("whole")).cast("int").alias("used"), every.alias("taken"), F.lit(0).alias("omitted"))
+    fits = (F.col("start") > 0) & (F.col("least") > 0) & (F.col("start") + F.col("whole") <= room)
+    return held.select(packet, F.when(fits, whole).otherwise(F.aggregate("items", zero, step)).alias("p")).select(packet, "p.*")
 
 
 def packed(items: DataFrame, packet: str, header: str | Column, budget: int, bytes_a_token: int = 4) -> DataFrame:

@@ -772,9 +772,8 @@ def evaluate_by_retrieval(spark, sf_dir):
     asked = asked.select(F.concat_ws("-", "kind", F.col("c_custkey").cast("string")).alias("question"), "operation", key("customer", "c_custkey").alias("asked"), "c_custkey")
     wanted = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("item"))
     m = memory(spark, sf_dir)
-    # each level of a traversal reads the edges: written once
-    # no sources are compared here, so hashes of contents aren't read
-    m = retrieve.Memory(cut(m.nodes.drop("content_hash")), cut(m.edges), m.modules)
+    # no sources are compared here, so hashes of contents aren't read; edges aren't written, as each step makes only those of the kinds that it asks for
+    m = retrieve.Memory(cut(m.nodes.drop("content_hash")), m.edges, m.modules)
     out = questions.evaluated(m, asked.drop("c_custkey"), asked.join(wanted, "c_custkey").select("question", "item"), budget=8000, max_nodes=200)
     return out.drop("estimated_context_tokens")
 

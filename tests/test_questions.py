@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import canonical_text
-from codeweft.operators import graph, postings, search
+from codeweft.operators import graph, postings, reports, search
 from codeweft.operators.lineage import cut
 from codeweft.plans import questions, retrieve
 from codeweft.queries import memory
@@ -157,3 +157,52 @@ def test_words_are_looked_up_in_different_texts_once(spark, monkeypatch):
     many = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("node_key"), F.concat(F.lit("Order-"), "id").alias("symbol_name"), F.concat(F.lit("nation-"), F.col("id") % 2, F.lit("/order-"), "id").alias("file_path"))
     got = sorted(tuple(r) for r in postings.counted(many, spark.createDataFrame([("nation-1",), ("order",)], "word string")).collect())
     assert got == [("nation-1", "file_path", 1500, "k1"), ("order", "file_path", 3000, "k0"), ("order", "symbol_name", 3000, "k0")] and seen == [2]
+
+
+def test_packets_that_fit_whole_equal_the_fold(spark):
+    # sizes 10, 20 and 30 with a header of 8 bytes: 8 + 11 + 21 + 31 = 71 bytes; budgets in bytes around that
+    rows = [("p", f"i{n}", 9 - n, "x" * n * 10, "y" * n, f"c{n}") for n in (1, 2, 3)] + [("q", "i0", 1, "", None, "c"), ("q", "i1", 0, "abc", None, "d"), ("r", "i1", 1, None, None, "e")]
+    items = spark.createDataFrame(rows, "packet string, id string, score int, text string, compact string, more string")
+    for room, want in ((71, (71, [("i1", False, "c1"), ("i2", False, "c2"), ("i3", False, "c3")], 0)), (70, (44, [("i1", False, "c1"), ("i2", False, "c2"), ("i3", True, "c3")], 0)), (1000, (71, [("i1", False, "c1"), ("i2", False, "c2"), ("i3", False, "c3")], 0))):
+        got = {r.packet: (r.used, [(t.id, t.compact, t.more) for t in r.taken], r.omitted) for r in search.folded(items, "packet", "8 bytes.", room, 1, carried=("more",)).collect()}
+        assert got["p"] == want and got["q"] == (12, [("i1", False, "d")], 1) and got["r"] == (8, [], 1), (room, got)
+    assert search.folded(items.where("packet = 'q' and id = 'i1'"), "packet", "", 50, 1).first().used == 3
+
+
+def test_packets_are_judged_as_their_rows(spark):
+    dice = random.Random(11)
+    names = ["a", "A\\b", "a/b", "b::c", "x/b", "c", "", None, "a::d", "A"]
+    packets = [(f"s{i}", [[dice.choice(names) for _ in range(dice.randrange(4))] for _ in range(dice.randrange(12))]) for i in range(60)]
+    expected = [(f"s{dice.randrange(62)}", dice.choice(["a", "b", "A/b", "c", "zz", "b::c"])) for _ in range(90)]
+    frame = spark.createDataFrame(packets, "scenario string, identities array<array<string>>")
+    wanted = spark.createDataFrame(expected, "scenario string, item string")
+    each = frame.select("scenario", F.posexplode("identities").alias("at", "i")).select("scenario", (F.col("at") + 1).alias("position"), F.explode("i").alias("identity"))
+    for k in (1, 3, 8):
+        want = sorted(tuple(r) for r in reports.evaluated(each, wanted, k).collect())
+        assert sorted(tuple(r) for r in reports.evaluated_packets(frame, wanted, k).collect()) == want and len(want) > 40
+
+
+def test_edges_of_other_kinds_are_not_made(spark):
+    made = spark.range(100).groupBy((F.col("id") % 10).alias("g")).agg(F.max("id").alias("n")).select(F.concat(F.lit("part:"), "g").alias("target_key"), "n")
+    made = made.unionByName(spark.range(5).select(F.concat(F.lit("order:"), "id").alias("target_key"), F.col("id").alias("n")))
+    keys = spark.createDataFrame([("order:3",), ("order:9",), (None,)], "k string")
+    near = graph.of_kinds(made, "target_key", keys, "k")
+    assert sorted(r.n for r in near.collect()) == [0, 1, 2, 3, 4]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x or "Aggregate" in x]
+    assert not any("Aggregate" in x for x in filters) or plan.index("Aggregate") < plan.rindex("Filter")  # below what rows are made of, or gone with it
+    many = spark.range(200).select(F.concat(F.lit("k"), "id", F.lit(":x")).alias("k"))
+    assert graph.of_kinds(made, "target_key", many, "k").count() == 15 and graph.of_kinds(made, "target_key", keys.limit(0), "k").count() == 0
+
+
+def test_texts_of_odd_blanks_are_found_alike(spark):
+    alike = ["a b", " a b", "a  b", "a\tb", "a b\n", "a　b", "\x00a b", "a  b", "a\x85b\x0b"]
+    rows = [("p", f"i{n:02}", 100 - n, t) for n, t in enumerate([*alike, "ab", "a c", " ", "", " "])]
+    items = cut(spark.createDataFrame(rows, "packet string, id string, score int, text string"))
+    from codeweft.functions.text import text_fingerprint
+
+    prints = {r.id: r.fp for r in items.select("id", text_fingerprint(F.col("text")).alias("fp")).collect()}
+    first = {}
+    for r in rows:
+        first.setdefault(prints[r[1]], r[1])
+    assert sorted(r.id for r in search.deduplicated(items, "packet").collect()) == sorted(first.values()) and "i01" not in first.values()
