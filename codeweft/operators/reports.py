@@ -48,7 +48,7 @@ def evaluated(retrieved: DataFrame, expected: DataFrame, k: int = 8) -> DataFram
 def evaluated_packets(packets: DataFrame, expected: DataFrame, k: int = 8) -> DataFrame:
     """evaluated() of packets(scenario, identities), whose identities are an array for each position: each expected item meets its packet once, and no row
     is made of a pair."""
-    one_form = lambda c: F.lower(F.translate(c, "\\", "/"))
+    one_form = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
     items = expected.select("scenario", one_form(F.col("item")).alias("item")).distinct()
     told = packets.select("scenario", F.transform("identities", lambda at: F.transform(at, one_form)).alias("told"))
     shown = F.size(F.filter(F.slice("told", 1, k), lambda at: F.size(at) > 0))  # a position without identities is none

@@ -11,7 +11,7 @@ from codeweft.functions.text import single_blanks, text_fingerprint
 from codeweft.operators.lineage import cut
 
 #: Texts without any of this are what text_fingerprint() would make of their blanks.
-ODD_BLANKS = r"(?U)[\s\x00&&[^ ]]|  |^ | $"
+ODD_BLANKS = r"(?U)[\s\x00](?:(?<! )|(?= |\z)|(?<=\A ))"
 #: Candidates that one question to the graph gathers; what has been gathered is ranked whole.
 CANDIDATES = 160
 WEIGHTS = {"symbol_name": 3, "summary": 2, "file_path": 1}
